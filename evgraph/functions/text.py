@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from evgraph import vocab
 
 
+# --- fixed values: characters that count as white space at the ends of a text ---
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Remove white space of any kind at both ends (``trim`` alone removes blanks only)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
+def words(values: list[str]) -> Column:
+    """Constant array of texts as one literal, which the optimizer folds."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
 
 
 def content_hash(c: Column) -> Column:
@@ -25,9 +37,9 @@ def claim_hash(c: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """SIM-01: distinct trigrams of the lower-case words, each padded by two blanks and one."""
-    words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+    parts = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
     grams = F.transform(
-        words,
+        parts,
         lambda w: F.transform(
             F.sequence(F.lit(1), F.length(w) + 1),
             lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, 3),
@@ -48,20 +60,14 @@ def set_similarity(x: Column, y: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(F.lit(0.0))
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
+def contains_any(text: Column, values: list[str]) -> Column:
     """True when any literal word occurs in ``text`` as a substring."""
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | F.contains(text, F.lit(w))
-    return hit
+    return F.exists(words(values), lambda w: F.contains(text, w))
 
 
-def keyword_count(text: Column, words: list[str]) -> Column:
+def keyword_count(text: Column, values: list[str]) -> Column:
     """How many list entries occur in ``text``; a repeated entry counts each time."""
-    total = F.lit(0)
-    for w in words:
-        total = total + F.contains(text, F.lit(w)).cast("int")
-    return total
+    return F.size(F.filter(words(values), lambda w: F.contains(text, w)))
 
 
 def best_dimension(text: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from evgraph import vocab
 from evgraph.functions.text import strip
 from evgraph.operators.ordered import previous_value
-from evgraph.session import cut_lineage
+from evgraph.session import cut_lineage, literal_table
 
 # --- fixed values: rejection reasons and operation order -----------------------
 REJECTIONS = {
@@ -91,17 +91,16 @@ class Graph:
 def empty_graph(spark) -> Graph:
     """A graph without nodes."""
     return Graph(
-        spark.createDataFrame([], NODE_SCHEMA),
-        spark.createDataFrame([], EDGE_SCHEMA),
-        spark.createDataFrame([], ALIAS_SCHEMA),
+        literal_table(spark, [], NODE_SCHEMA),
+        literal_table(spark, [], EDGE_SCHEMA),
+        literal_table(spark, [], ALIAS_SCHEMA),
     )
 
 
 def complete(operations: DataFrame) -> DataFrame:
     """Add missing optional columns, the phase and the event id of each operation."""
-    spark = operations.sparkSession
     out = operations
-    for f in spark.createDataFrame([], OPERATION_SCHEMA).schema.fields:
+    for f in literal_table(operations.sparkSession, [], OPERATION_SCHEMA).schema.fields:
         if f.name not in out.columns:
             out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
     out = out.withColumn("batch_id", F.col("batch_id").cast("string"))

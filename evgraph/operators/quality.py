@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evgraph import vocab
-from evgraph.functions.text import claim_hash, content_hash
+from evgraph.functions.text import claim_hash, content_hash, words
+from evgraph.operators.ordered import top_per_key
 
 
 def url_chars(content: Column) -> Column:
@@ -22,10 +23,7 @@ def url_chars(content: Column) -> Column:
 def stock_phrase(content: Column) -> Column:
     """FLT-04: first stock phrase of the list that occurs, else null."""
     low = F.lower(content)
-    hit = F.lit(None).cast("string")
-    for phrase in reversed(vocab.STOCK_PHRASES):
-        hit = F.when(F.contains(low, F.lit(phrase)), F.lit(phrase)).otherwise(hit)
-    return hit
+    return F.get(F.filter(words(vocab.STOCK_PHRASES), lambda p: F.contains(low, p)), F.lit(0))
 
 
 def with_features(fetched: DataFrame) -> DataFrame:
@@ -145,9 +143,7 @@ def normalise(fetched: DataFrame) -> DataFrame:
 def dedup_claims(signals: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """DED-03: first signal per claim hash within ``keys`` (one payload), by ``order``."""
     d = signals.withColumn("claim_hash", claim_hash(F.col("claim_text")))
-    first = d.groupBy(*keys, "claim_hash").agg(F.min(F.struct(*order)).alias("__first"))
-    d = d.join(first, [*keys, "claim_hash"])
-    return d.filter(F.struct(*order) == F.col("__first")).drop("__first", "claim_hash")
+    return top_per_key(d, [*keys, "claim_hash"], [F.col(c) for c in order], 1).drop("claim_hash")
 
 
 def convergence(signals: DataFrame, by: str = "lens_id") -> DataFrame:

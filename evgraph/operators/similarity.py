@@ -1,11 +1,12 @@
 """Joins on text similarity and on containment (SIM-02..07).
 
 Texts are interned first: each distinct text is compared once, however many rows
-carry it.  Candidate pairs come from a prefix filter.  With the trigrams of a
-text ordered from rare to common, two sets of Jaccard ratio at least ``t`` must
-share one of the first ``n - ceil(t * n) + 1`` trigrams, so common trigrams
-never become join keys.  The ratio of each candidate is then computed exactly.
-Nothing is capped: the filter only drops pairs that cannot reach ``t``.
+carry it.  At high thresholds candidate pairs come from a prefix filter.  With the
+trigrams of a text ordered from rare to common, two sets of Jaccard ratio at least
+``t`` must share one of the first ``n - ceil(t * n) + 1`` trigrams, so common
+trigrams never become join keys.  At low thresholds shared trigrams are counted.
+Both give exact ratios and nothing is capped: only pairs that cannot reach ``t``
+are dropped.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from evgraph.operators.ordered import top_per_key
 from evgraph.session import cut_lineage
 
 # Thresholds tried from high to low by :func:`top_similar`; the caller's own comes last.
-TIERS = (0.6, 0.3)
+TIERS = (0.5,)
+# From this threshold on the prefix filter is used, below it shared trigrams are counted.
+PREFIX_FROM = 0.4
 
 
 def intern(df: DataFrame, text: str) -> DataFrame:
@@ -28,58 +31,91 @@ def intern(df: DataFrame, text: str) -> DataFrame:
 
 
 def _ranked(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the trigrams of each text ordered from rare to common.
+    """Both sides with a number per text and its trigrams ordered from rare to common.
 
     Rarity is counted over both sides.  The list gathered per text is bounded by
-    the length of that text.  Lineage is cut because every tier reads the result.
+    the length of that text.  The result is written once, because every tier reads
+    it and the numbers must not change.
     """
     both = left.select("text", "grams", F.lit(True).alias("is_left")).unionAll(
         right.select("text", "grams", F.lit(False))
     )
     flat = both.select("text", "is_left", F.explode("grams").alias("gram"))
     rarity = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = cut_lineage(
-        flat.join(rarity, "gram").groupBy("text", "is_left").agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda s: s["gram"]
-            ).alias("ranked")
-        )
+    ranked = flat.join(rarity, "gram").groupBy("text", "is_left").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda s: s["gram"]
+        ).alias("ranked")
     )
+    ranked = cut_lineage(ranked.withColumn("id", F.monotonically_increasing_id()))
     return (
-        ranked.filter("is_left").select("text", "ranked"),
-        ranked.filter("NOT is_left").select("text", "ranked"),
+        ranked.filter("is_left").select("id", "text", "ranked"),
+        ranked.filter("NOT is_left").select("id", "text", "ranked"),
     )
 
 
-def _prefixes(ranked: DataFrame, threshold: float) -> DataFrame:
-    n = F.size("ranked")
-    keep = n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int") + 1
-    return ranked.select("text", "ranked", F.explode(F.slice("ranked", 1, keep)).alias("gram"))
+def _fits(a: str, b: str, threshold: float) -> Column:
+    """Sizes of sets with ratio >= t differ at most by the factor t."""
+    slack = F.lit(1e-9)
+    return (F.col(a) >= F.lit(threshold) * F.col(b) - slack) & (
+        F.col(b) >= F.lit(threshold) * F.col(a) - slack
+    )
 
 
-def _pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of texts with ratio >= threshold; inputs hold ``text`` and ``ranked``."""
-    a = _prefixes(left, threshold).select(
-        F.col("text").alias("left_text"), F.col("ranked").alias("lg"), "gram"
-    )
-    b = _prefixes(right, threshold).select(
-        F.col("text").alias("right_text"), F.col("ranked").alias("rg"), "gram"
-    )
-    # Sizes of sets with ratio >= t differ at most by the factor t.
-    fits = (F.size("lg") >= F.lit(threshold) * F.size("rg") - F.lit(1e-9)) & (
-        F.size("rg") >= F.lit(threshold) * F.size("lg") - F.lit(1e-9)
+def _prefix_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Numbers of texts with ratio >= threshold by the prefix filter; for high thresholds."""
+
+    def prefix(d: DataFrame, side: str) -> DataFrame:
+        n = F.size("ranked")
+        keep = n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int") + 1
+        return d.select(
+            F.col("id").alias(f"{side}_id"), F.col("ranked").alias(side), n.alias(f"{side}_n"),
+            F.posexplode(F.slice("ranked", 1, keep)).alias(f"{side}_pos", "gram"),
+        )
+
+    joined = prefix(left, "l").join(prefix(right, "r"), "gram").filter(_fits("l_n", "r_n", threshold))
+    # A pair that shares several prefix trigrams is kept once, at its first shared one,
+    # which the two rows at hand decide; no distinct and no extra shuffle.
+    earlier = F.arrays_overlap(
+        F.slice("l", F.lit(1), F.col("l_pos")), F.slice("r", F.lit(1), F.col("r_pos"))
     )
-    joined = a.join(b, "gram").filter(fits)
-    # A pair sharing several prefix trigrams is kept once, at its first shared one.
-    # The check needs only the two rows at hand, so no distinct and no extra shuffle.
-    first = F.filter("lg", lambda g: F.array_contains(F.col("rg"), g))[0]
     return (
-        joined.filter(F.col("gram") == first)
-        .select("left_text", "right_text", set_similarity(F.col("lg"), F.col("rg")).alias("score"))
+        joined.filter(~earlier)
+        .select("l_id", "r_id", set_similarity(F.col("l"), F.col("r")).alias("score"))
         .filter(F.col("score") >= threshold - 1e-9)
     )
 
 
+def _counted_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The same by counting shared trigrams; for low thresholds, where prefixes spare little.
+
+    Only numbers travel.  A trigram that very many texts share makes one large
+    join key, which AQE splits.
+    """
+
+    def flat(d: DataFrame, side: str) -> DataFrame:
+        return d.select(
+            F.col("id").alias(f"{side}_id"), F.size("ranked").alias(f"{side}_n"),
+            F.explode("ranked").alias("gram"),
+        )
+
+    joined = flat(left, "l").join(flat(right, "r"), "gram").filter(_fits("l_n", "r_n", threshold))
+    both = joined.groupBy("l_id", "r_id", "l_n", "r_n").agg(F.count(F.lit(1)).alias("n"))
+    score = F.col("n") / (F.col("l_n") + F.col("r_n") - F.col("n"))
+    return both.select("l_id", "r_id", score.alias("score")).filter(F.col("score") >= threshold - 1e-9)
+
+
+def _pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Text pairs with ratio >= threshold: left_text, right_text, score."""
+    find = _prefix_pairs if threshold >= PREFIX_FROM else _counted_pairs
+    return (
+        find(left, right, threshold)
+        .join(left.select(F.col("id").alias("l_id"), F.col("text").alias("left_text")), "l_id")
+        .join(right.select(F.col("id").alias("r_id"), F.col("text").alias("right_text")), "r_id")
+        .select("left_text", "right_text", "score")
+    )
+
+
 def similar_texts(
     left: DataFrame, left_text: str, right: DataFrame, right_text: str, above: float
 ) -> DataFrame:

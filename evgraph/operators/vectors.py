@@ -21,6 +21,22 @@ from evgraph.operators.components import components
 BLOCK = 2000
 
 
+def _useful_pivots(angles, reach: float, copies: float = 4.0) -> int:
+    """Largest power of two of pivots that would copy a vector to few cells.
+
+    Judged on the pivots themselves, which are a sample of the vectors.  Without
+    such a number one cell is used and blocks alone divide the work.
+    """
+    k = 1 << (len(angles).bit_length() - 1)
+    while k > 1:
+        near = angles[:, :k] - angles[:, :k].min(axis=1, keepdims=True) <= reach
+        outside = near[k:] if len(near) > k else near
+        if outside.sum(axis=1).mean() <= copies:
+            return k
+        k //= 2
+    return 1
+
+
 def vector_links(vectors: DataFrame, *, above: float, pivots: int = 32) -> DataFrame:
     """Links (a, b) that connect all vectors of a lens with cosine > ``above``.
 
@@ -42,6 +58,7 @@ def vector_links(vectors: DataFrame, *, above: float, pivots: int = 32) -> DataF
     axis = np.asarray(chosen, dtype=np.float64)
     axis /= np.maximum(np.linalg.norm(axis, axis=1, keepdims=True), 1e-300)
     reach = 2.0 * math.acos(max(-1.0, min(1.0, above))) + 1e-6
+    axis = axis[: _useful_pivots(np.arccos(np.clip(axis @ axis.T, -1.0, 1.0)), reach)]
 
     def place(batches: Iterator) -> Iterator:
         import pandas as pd

@@ -12,6 +12,7 @@ from evgraph.functions.bands import is_high
 from evgraph.functions.text import best_dimension, dimension_label, edge_verb, lookup
 from evgraph.operators.ordered import previous_value
 from evgraph.operators.traverse import blast_radius, degree
+from evgraph.session import literal_table
 
 CHANGE_COLUMNS = [
     "change_id", "change_type", "summary", "dimension", "dimension_label", "occurred_at",
@@ -266,7 +267,7 @@ def change_basis(changes: DataFrame) -> DataFrame:
     Applied to the ranked and limited list, so a dimension holds few ids.
     """
     spark = changes.sparkSession
-    dims = spark.createDataFrame([(d,) for d in vocab.DIMENSIONS], "dimension string")
+    dims = literal_table(spark, [(d,) for d in vocab.DIMENSIONS], "dimension string")
     ids = changes.groupBy("dimension").agg(F.array_sort(F.collect_list("change_id")).alias("ids"))
     joined = F.array_join(F.coalesce("ids", F.array().cast("array<string>")), "|")
     return dims.join(ids, "dimension", "left").select(

@@ -13,10 +13,11 @@ from evgraph.functions.bands import is_high, state_band
 from evgraph.functions.text import all_dimensions, dimension_label, lookup
 from evgraph.operators.asof import nodes_as_of
 from evgraph.operators.ordered import top_per_key
+from evgraph.session import literal_table
 
 
 def _dimensions(spark) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in vocab.DIMENSIONS], "dimension string")
+    return literal_table(spark, [(d,) for d in vocab.DIMENSIONS], "dimension string")
 
 
 def condition_dimensions(nodes: DataFrame, as_of: datetime) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from evgraph.functions.bands import band_rank, is_high
 from evgraph.functions.text import strip
-from evgraph.operators.mutate import Graph, apply_batches
+from evgraph.operators.mutate import ALIAS_SCHEMA, Graph, apply_batches
 from evgraph.operators.ordered import top_per_key
 from evgraph.operators.similarity import signals_near_edges
 from evgraph.plans.changes import named_edges
+from evgraph.session import literal_table
 
 CHALLENGE_SCHEMA = "outcome string, reasoning string, operations array<struct<operation:string,target_edge_id:string,new_weight_band:string,direction:string,signal_id:string,reasoning:string>>"
 
@@ -181,8 +182,7 @@ def run_pass(
                      F.lit(None).cast("map<string,string>").alias("type_data"),
                      "created_at", "updated_at"),
         edges,
-        nodes.sparkSession.createDataFrame(
-            [], "alias_text string, canonical_name string, canonical_node_id string"),
+        literal_table(nodes.sparkSession, [], ALIAS_SCHEMA),
     )
     events, after = apply_batches(ops, graph, id_pattern=r"^\S+$")
     log = parsed.select("edge_id", "outcome", "reasoning",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Settings every job of this package assumes.  Partition counts and memory are
 # left to the cluster; AQE coalesces or splits shuffle partitions at run time.
@@ -48,3 +51,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back without lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small constant table as part of the plan, so its size is known to the optimizer.
+
+    Rows are written as one JSON literal.  Without rows the table is an empty
+    relation, which lets the optimizer remove joins with it.
+    """
+    fields = T._parse_datatype_string(schema).fields
+    one = spark.range(1)
+    if not rows:
+        empty = one.filter(F.lit(False))
+        return empty.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    names = [f.name for f in fields]
+    text = json.dumps([dict(zip(names, r)) for r in rows], default=str)
+    kind = T.ArrayType(T.StructType(fields)).simpleString()
+    return one.select(F.inline(F.from_json(F.lit(text), kind)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evgraph.operators.mutate import Graph, apply_batches
+from evgraph.session import literal_table
 
 # --- fixed values: (alias, canonical name) ----------------------------------------
 ALIASES = [
@@ -114,7 +115,7 @@ NOTABLE_EVENTS = [
 
 def seed_aliases(spark: SparkSession, stored: DataFrame) -> DataFrame:
     """SRC-13: seed pairs whose alias is not stored yet, ignoring case; no node attached."""
-    seed = spark.createDataFrame(ALIASES, "alias_text string, canonical_name string")
+    seed = literal_table(spark, ALIASES, "alias_text string, canonical_name string")
     new = seed.join(
         stored.select(F.lower("alias_text").alias("k")).distinct(),
         F.lower("alias_text") == F.col("k"), "left_anti",
@@ -124,8 +125,8 @@ def seed_aliases(spark: SparkSession, stored: DataFrame) -> DataFrame:
 
 def notable_events(spark: SparkSession) -> DataFrame:
     """SRC-15: seeded events, one per time and label."""
-    return spark.createDataFrame(
-        NOTABLE_EVENTS, "occurred_at timestamp, label string, category string"
+    return literal_table(
+        spark, NOTABLE_EVENTS, "occurred_at timestamp, label string, category string"
     ).dropDuplicates(["occurred_at", "label"])
 
 
@@ -146,7 +147,8 @@ def seed_operations(spark: SparkSession) -> DataFrame:
          f"the link from {a} to {b} stops showing in the data")
         for i, (a, b, kind, band) in enumerate(SEED_EDGES)
     ]
-    return spark.createDataFrame(
+    return literal_table(
+        spark,
         nodes + edges,
         "batch_id string, batch_time timestamp, pos long, operation string, proposed_id string, "
         "node_type string, fields map<string,string>, source_ref string, target_ref string, "

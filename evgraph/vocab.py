@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evgraph.session import literal_table
+
 # --- fixed values: graph vocabulary, in declaration order ---------------------
 NODE_TYPES = ["entity", "condition", "event", "quantity", "scenario", "claim"]
 EDGE_TYPES = [
@@ -250,13 +252,14 @@ REGION_SCHEMA = (
 
 def regions(spark: SparkSession) -> DataFrame:
     """SRC-15/16: the seeded region table, one row per region id."""
-    return spark.createDataFrame(REGIONS, REGION_SCHEMA).dropDuplicates(["region_id"])
+    return literal_table(spark, REGIONS, REGION_SCHEMA).dropDuplicates(["region_id"])
 
 
 def lens_table(spark: SparkSession) -> DataFrame:
     """FLT-17: lens catalogue with its signal cap and allowed types."""
     rows = [(k, v[0], v[1], v[2], k != CHALLENGE_LENS) for k, v in LENSES.items()]
-    return spark.createDataFrame(
+    return literal_table(
+        spark,
         rows,
         "lens_id string, max_signals int, node_scope array<string>, edge_scope array<string>, "
         "active boolean",
@@ -265,4 +268,4 @@ def lens_table(spark: SparkSession) -> DataFrame:
 
 def ordinal(spark: SparkSession, values: list[str], name: str) -> DataFrame:
     """A vocabulary with its declaration order, for ordering by enum rather than by text."""
-    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{name} string, ord int")
+    return literal_table(spark, [(v, i) for i, v in enumerate(values)], f"{name} string, ord int")
