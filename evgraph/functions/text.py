@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,11 +109,10 @@ def dimension_label(c: Column) -> Column:
 
 
 def lookup(values: dict, key: Column, default: Column | None = None) -> Column:
-    """Constant dictionary lookup as a map literal."""
-    pairs: list[Column] = []
-    for k, v in values.items():
-        pairs += [F.lit(k), F.lit(v)]
-    found = F.try_element_at(F.create_map(*pairs), key)
+    """Constant dictionary lookup; the dictionary is one literal, which the optimizer folds."""
+    kind = {str: "string", int: "int", float: "double"}[type(next(iter(values.values())))]
+    table = F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
+    found = F.try_element_at(table, key)
     return found if default is None else F.coalesce(found, default)
 
 

@@ -11,6 +11,8 @@ are dropped.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from evgraph.session import cut_lineage
 TIERS = (0.5,)
 # From this threshold on the prefix filter is used, below it shared trigrams are counted.
 PREFIX_FROM = 0.4
+# Most trigrams a side may have to be broadcast; at some forty bytes each, about ten megabytes.
+BROADCAST_GRAMS = 250_000
 
 
 def intern(df: DataFrame, text: str) -> DataFrame:
@@ -30,7 +34,15 @@ def intern(df: DataFrame, text: str) -> DataFrame:
     return d.withColumn("grams", trigrams(F.col("text"))).filter(F.size("grams") > 0)
 
 
-def _ranked(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+@dataclass
+class Side:
+    """Numbered texts of one side with ranked trigrams, and how many trigrams there are."""
+
+    rows: DataFrame
+    n_grams: int
+
+
+def _ranked(left: DataFrame, right: DataFrame) -> tuple[Side, Side]:
     """Both sides with a number per text and its trigrams ordered from rare to common.
 
     Rarity is counted over both sides.  The list gathered per text is bounded by
@@ -48,12 +60,38 @@ def _ranked(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
         ).alias("ranked")
     )
     ranked = cut_lineage(ranked.withColumn("id", F.monotonically_increasing_id()))
+    # Two numbers: they decide whether a side is small enough to be broadcast.
+    n = ranked.agg(
+        F.sum(F.when(F.col("is_left"), F.size("ranked"))),
+        F.sum(F.when(~F.col("is_left"), F.size("ranked"))),
+    ).first()
     return (
-        ranked.filter("is_left").select("id", "text", "ranked"),
-        ranked.filter("NOT is_left").select("id", "text", "ranked"),
+        Side(ranked.filter("is_left").select("id", "text", "ranked"), n[0] or 0),
+        Side(ranked.filter("NOT is_left").select("id", "text", "ranked"), n[1] or 0),
     )
 
 
+def _spread(side: Side, small: bool) -> DataFrame:
+    """Rows of a side; the larger one spread by number over all shuffle partitions.
+
+    Few bytes of text can still make very many pairs, so the partition count is
+    fixed here instead of following the size of the input.
+    """
+    if small:
+        return side.rows
+    n = int(side.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return side.rows.repartition(n, "id")
+
+
+def _meet(left: Side, right: Side, flat) -> DataFrame:
+    """Join the exploded sides on the trigram; the smaller is broadcast when its size allows."""
+    small_left = left.n_grams <= right.n_grams
+    a, b = flat(_spread(left, small_left), "l"), flat(_spread(right, not small_left), "r")
+    if min(left.n_grams, right.n_grams) <= BROADCAST_GRAMS:
+        a, b = (F.broadcast(a), b) if small_left else (a, F.broadcast(b))
+    return a.join(b, "gram")
+
+
 def _fits(a: str, b: str, threshold: float) -> Column:
     """Sizes of sets with ratio >= t differ at most by the factor t."""
     slack = F.lit(1e-9)
@@ -62,7 +100,7 @@ def _fits(a: str, b: str, threshold: float) -> Column:
     )
 
 
-def _prefix_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def _prefix_pairs(left: Side, right: Side, threshold: float) -> DataFrame:
     """Numbers of texts with ratio >= threshold by the prefix filter; for high thresholds."""
 
     def prefix(d: DataFrame, side: str) -> DataFrame:
@@ -73,7 +111,7 @@ def _prefix_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
             F.posexplode(F.slice("ranked", 1, keep)).alias(f"{side}_pos", "gram"),
         )
 
-    joined = prefix(left, "l").join(prefix(right, "r"), "gram").filter(_fits("l_n", "r_n", threshold))
+    joined = _meet(left, right, prefix).filter(_fits("l_n", "r_n", threshold))
     # A pair that shares several prefix trigrams is kept once, at its first shared one,
     # which the two rows at hand decide; no distinct and no extra shuffle.
     earlier = F.arrays_overlap(
@@ -86,11 +124,12 @@ def _prefix_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     )
 
 
-def _counted_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def _counted_pairs(left: Side, right: Side, threshold: float) -> DataFrame:
     """The same by counting shared trigrams; for low thresholds, where prefixes spare little.
 
-    Only numbers travel.  A trigram that very many texts share makes one large
-    join key, which AQE splits.
+    Only numbers travel.  With the smaller side broadcast the counts of a text
+    are complete in its own task.  Otherwise a trigram that very many texts share
+    makes one large join key, which AQE splits.
     """
 
     def flat(d: DataFrame, side: str) -> DataFrame:
@@ -99,19 +138,20 @@ def _counted_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataF
             F.explode("ranked").alias("gram"),
         )
 
-    joined = flat(left, "l").join(flat(right, "r"), "gram").filter(_fits("l_n", "r_n", threshold))
+    joined = _meet(left, right, flat).filter(_fits("l_n", "r_n", threshold))
     both = joined.groupBy("l_id", "r_id", "l_n", "r_n").agg(F.count(F.lit(1)).alias("n"))
     score = F.col("n") / (F.col("l_n") + F.col("r_n") - F.col("n"))
     return both.select("l_id", "r_id", score.alias("score")).filter(F.col("score") >= threshold - 1e-9)
 
 
-def _pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def _pairs(left: Side, right: Side, threshold: float) -> DataFrame:
     """Text pairs with ratio >= threshold: left_text, right_text, score."""
     find = _prefix_pairs if threshold >= PREFIX_FROM else _counted_pairs
+    names = lambda s, i, t: s.rows.select(F.col("id").alias(i), F.col("text").alias(t))
     return (
         find(left, right, threshold)
-        .join(left.select(F.col("id").alias("l_id"), F.col("text").alias("left_text")), "l_id")
-        .join(right.select(F.col("id").alias("r_id"), F.col("text").alias("right_text")), "r_id")
+        .join(names(left, "l_id", "left_text"), "l_id")
+        .join(names(right, "r_id", "right_text"), "r_id")
         .select("left_text", "right_text", "score")
     )
 
@@ -162,7 +202,8 @@ def top_similar(
             hits = cut_lineage(hits)
             full = hits.groupBy("left_text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
             hits = hits.join(full.select("left_text"), "left_text", "left_semi")
-            left = left.join(full.select(F.col("left_text").alias("text")), "text", "left_anti")
+            rest = left.rows.join(full.select(F.col("left_text").alias("text")), "text", "left_anti")
+            left = Side(rest, left.n_grams)
         found = hits if found is None else found.unionAll(hits)
     best = found.join(per_text, "right_text").select(
         F.col("left_text").alias("query"), item_id, F.col("right_text").alias(item_text), "score"
@@ -271,11 +312,23 @@ def signals_near_edges(
     )
     per_name = top_per_key(
         pairs.join(per_claim, pairs["right_text"] == per_claim["claim_text"]).select(
-            F.col("left_text").alias("name"), "signal_id", "claim_text", "content_timestamp"
+            F.col("left_text").alias("name"), "signal_id", "content_timestamp"
         ),
         ["name"],
         newest,
         k,
     )
-    both = sides.join(per_name, "name").drop("name").distinct()
-    return top_per_key(both, ["edge_id"], newest, k)
+    # At most k entries per name, so the two lists of an edge merge in its own row.
+    lists = per_name.groupBy("name").agg(
+        F.collect_list(F.struct("content_timestamp", "signal_id")).alias("near")
+    )
+    source = lists.select(F.col("name").alias("source_name"), F.col("near").alias("near_source"))
+    target = lists.select(F.col("name").alias("target_name"), F.col("near").alias("near_target"))
+    none = F.array().cast(lists.schema["near"].dataType)
+    merged = F.array_union(F.coalesce("near_source", none), F.coalesce("near_target", none))
+    return (
+        edges.select("edge_id", "source_name", "target_name")
+        .join(source, "source_name", "left").join(target, "target_name", "left")
+        .select("edge_id", F.explode(F.slice(F.sort_array(merged, asc=False), 1, k)).alias("s"))
+        .select("edge_id", "s.signal_id", "s.content_timestamp")
+    )

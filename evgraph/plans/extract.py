@@ -65,9 +65,8 @@ def with_operation_items(responses: DataFrame) -> DataFrame:
 def _anchors(v: Column) -> Column:
     """First ten anchors of a signal, non-objects removed, as typed structs with the raw text."""
     raw = F.coalesce(_get(v, "$.proposed_anchors", "array<variant>"), F.array().cast("array<variant>"))
-    kept = F.filter(F.slice(raw, 1, vocab.MAX_ANCHORS), is_object)
-    return F.transform(
-        kept,
+    typed = F.transform(
+        F.slice(raw, 1, vocab.MAX_ANCHORS),
         lambda a: F.struct(
             _get(a, "$.operation", "string").alias("operation"),
             _get(a, "$.node_type", "string").alias("node_type"),
@@ -76,6 +75,7 @@ def _anchors(v: Column) -> Column:
             F.to_json(a).alias("body"),
         ),
     )
+    return F.filter(typed, lambda a: a["body"].startswith("{"))
 
 
 def in_scope(anchors: Column, node_scope: Column, edge_scope: Column) -> Column:
@@ -103,7 +103,8 @@ def response_signals(responses: DataFrame, lenses: DataFrame) -> DataFrame:
         "payload_id", "lens_id", "max_signals", "node_scope", "edge_scope",
         F.posexplode("items").alias("pos", "item"),
     )
-    d = d.filter((F.col("pos") < F.col("max_signals")) & is_object(F.col("item")))
+    # An element that is not an object has no claim and drops out below.
+    d = d.filter(F.col("pos") < F.col("max_signals"))
     claim = strip(F.coalesce(_get(F.col("item"), "$.claim_text", "string"), F.lit("")))
     band = _get(F.col("item"), "$.confidence_band", "string")
     known = F.coalesce(band.isin(vocab.CONFIDENCE_BANDS), F.lit(False))
