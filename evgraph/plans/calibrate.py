@@ -246,10 +246,15 @@ def report(
     """
     def listed(scores: DataFrame, key: str, name: str) -> DataFrame:
         d = scores.join(breakdown_maps(tracking, key), key, "left")
+
+        def best_first(a: Column, b: Column) -> Column:
+            return (
+                F.when(a["mean_score"] > b["mean_score"], -1).when(a["mean_score"] < b["mean_score"], 1)
+                .when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
+            )
+
         return d.agg(
-            F.array_sort(
-                F.collect_list(F.struct((-F.col("mean_score")).alias("rank"), *d.columns))
-            ).alias(name),
+            F.array_sort(F.collect_list(F.struct(*d.columns)), best_first).alias(name),
             F.array_sort(F.collect_list(F.when(F.col("flagged"), F.col(key)))).alias(f"flagged_{name}"),
         )
 

@@ -15,7 +15,11 @@ from evgraph.operators.similarity import signals_near_edges
 from evgraph.plans.changes import named_edges
 from evgraph.session import literal_table
 
-CHALLENGE_SCHEMA = "outcome string, reasoning string, operations array<struct<operation:string,target_edge_id:string,new_weight_band:string,direction:string,signal_id:string,reasoning:string>>"
+OPERATION_FIELDS = [
+    "operation", "target_edge_id", "new_weight_band", "direction", "signal_id", "reasoning",
+]
+# --- fixed values: operations a challenge may propose ---
+CHALLENGE_OPERATIONS = ["add_disconfirming_signal", "update_edge_weight"]
 
 
 def challenge_candidates(
@@ -105,33 +109,37 @@ def parse_challenges(responses: DataFrame) -> DataFrame:
     A fenced object, else the text from the first brace to the last; anything
     else is an error.  Operations count only for ``found``.
     """
+    fence = r"(?s)```(?:json)?\s*(.*?)```"
     text = strip(F.col("body"))
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    inner = F.when(fenced != "", strip(fenced)).otherwise(text)
-    braces = F.regexp_extract(inner, r"(?s)\{.*\}", 0)
-    parse = lambda c: F.from_json(c, CHALLENGE_SCHEMA)
-    is_object = lambda c: F.coalesce(F.is_variant_null(F.try_parse_json(c)), F.lit(True))
-    whole = F.when(inner.startswith("{") & ~is_object(inner), parse(inner))
-    part = F.when((braces != "") & ~is_object(braces), parse(braces))
-    failed = F.try_parse_json(inner).isNull() & F.try_parse_json(braces).isNull()
-    d = responses.withColumn("p", F.coalesce(whole, F.when(F.try_parse_json(inner).isNull(), part)))
-    outcome = F.when(F.col("p.outcome").isin("found", "not_found"), F.col("p.outcome")).otherwise("error")
+    d = responses.withColumn(
+        "__text", F.when(text.rlike(fence), strip(F.regexp_extract(text, fence, 1))).otherwise(text)
+    )
+    d = d.withColumn("__braces", F.regexp_extract("__text", r"(?s)\{.*\}", 0))
+    d = d.withColumn("__whole", F.try_parse_json("__text")).withColumn(
+        "__p", F.coalesce("__whole", F.when(F.col("__whole").isNull(), F.try_parse_json("__braces")))
+    )
+    p = F.col("__p")
+    get = lambda path, kind: F.try_variant_get(p, path, kind)
+    is_object = F.coalesce(F.schema_of_variant(p).startswith("OBJECT"), F.lit(False))
+    known = get("$.outcome", "string").isin("found", "not_found")
+    outcome = F.when(is_object & known, get("$.outcome", "string")).otherwise("error")
     reasoning = (
-        F.when(F.col("p").isNotNull(), F.substring(F.coalesce("p.reasoning", F.lit("")), 1, 2000))
-        .when(failed & (braces != ""), "Could not parse LLM output.")
-        .when(failed, "No JSON found in LLM output.")
-        .otherwise("LLM returned non-object JSON.")
+        F.when(is_object, F.substring(F.coalesce(get("$.reasoning", "string"), F.lit("")), 1, 2000))
+        .when(p.isNotNull(), "LLM returned non-object JSON.")
+        .when(F.col("__braces") != "", "Could not parse LLM output.")
+        .otherwise("No JSON found in LLM output.")
+    )
+    none = F.array().cast("array<variant>")
+    ops = F.transform(
+        F.coalesce(F.when(outcome == "found", get("$.operations", "array<variant>")), none),
+        lambda v: F.struct(*[
+            F.try_variant_get(v, f"$.{n}", "string").alias(n) for n in OPERATION_FIELDS
+        ]),
     )
-    ops = F.when(outcome == "found", F.col("p.operations"))
+    keep = [c for c in responses.columns if c != "body"]
     return d.select(
-        *responses.columns, outcome.alias("outcome"), reasoning.alias("reasoning"),
-        F.coalesce(ops, F.array().cast(_OPS_TYPE)).alias("operations"),
-    ).drop("p", "body")
-
-
-_OPS_TYPE = CHALLENGE_SCHEMA.split("operations ", 1)[1]
-# --- fixed values: operations a challenge may propose ---
-CHALLENGE_OPERATIONS = ["add_disconfirming_signal", "update_edge_weight"]
+        *keep, outcome.alias("outcome"), reasoning.alias("reasoning"), ops.alias("operations")
+    )
 
 
 def challenge_operations(parsed: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ class HoldBack(StatefulProcessor):
         self.waiting = handle.getValueState("waiting", "signal_id long, extracted_ms long")
         self.opened = handle.getValueState("opened", "flag boolean")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
         for pdf in rows:
             for sid, ms in zip(pdf["signal_id"], pdf["extracted_at"].astype("int64") // 1_000_000):
@@ -45,7 +45,7 @@ class HoldBack(StatefulProcessor):
                 out = []
         yield self._frame(key, out, "grouped")
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         out = []
         if self.waiting.exists():
             held = self.waiting.get()
@@ -84,7 +84,7 @@ class Quota(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.times = handle.getValueState("times", "us array<long>")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         times = list(self.times.get()[0]) if self.times.exists() else []
         pdf = pd.concat(list(rows)).sort_values(["us", "request_id"])
         allowed = []
