@@ -76,7 +76,7 @@ def stored_per_source(t):
 
 
 @query("payload_lengths", duck(CHECKED + """
-SELECT payload_id, source_id, fetched_at, n AS content_length FROM checked
+SELECT payload_id, source_id, fetched_at, cast(n AS int) AS content_length FROM checked
 WHERE rejected_reason IS NULL ORDER BY fetched_at DESC, payload_id LIMIT 20""", "payloads"))
 def payload_lengths(t):
     return landed.recent_payloads(checked(t)).select(
@@ -101,7 +101,7 @@ _HEADER = """concat('Tue, ', lpad(cast(1 + page_id % 28 AS varchar(2)), 2, '0'),
 WITH p AS (SELECT *, {_HEADER} AS header, regexp_extract(html, 'lang="([^"]*)"', 1) AS lang FROM pages)
 SELECT url, coalesce(nullif(lower(substring(trim(lang), 1, 2)), ''), 'en') AS language,
   strptime(regexp_replace(header, '^\\w+,\\s*', ''), '%d %b %Y %H:%M:%S GMT') AS content_timestamp,
-  substring(sha256(html), 1, 16) AS content_hash, length(html) AS n_chars
+  substring(sha256(html), 1, 16) AS content_hash, cast(length(html) AS int) AS n_chars
 FROM p""")
 def page_rows(t):
     p = t["pages"].select(
@@ -339,7 +339,9 @@ _RESPONSES = f"""
 """
 
 
-@query("response_signals", duck(_RESPONSES + "SELECT * FROM valid", "model_responses"))
+@query("response_signals", duck(_RESPONSES + """
+SELECT payload_id, lens_id, cast(pos AS int) AS pos, claim_text, confidence_band,
+  cast(n_anchors AS int) AS n_anchors FROM valid""", "model_responses"))
 def response_signals(t):
     d = extract.response_signals(t["model_responses"], vocab.lens_table(t.spark))
     return d.select("payload_id", "lens_id", "pos", "claim_text", "confidence_band",
@@ -374,8 +376,9 @@ _OP_BODY = """concat('Proposed: [{"operation":"', operation, '","reasoning":"r"'
     ELSE edge_type = 'causes' AND weight_band = 'weak' AND trim(falsification_criteria) <> '' END AS ok
   FROM operations)
 SELECT batch_id * 100 + pos AS batch_id, parsed,
-  CASE WHEN parsed AND ok THEN 1 ELSE 0 END AS n_valid,
-  CASE WHEN parsed AND NOT ok THEN 1 ELSE 0 END + CASE WHEN pos = 7 THEN 1 ELSE 0 END AS n_skipped
+  cast(CASE WHEN parsed AND ok THEN 1 ELSE 0 END AS bigint) AS n_valid,
+  cast(CASE WHEN parsed AND NOT ok THEN 1 ELSE 0 END + CASE WHEN pos = 7 THEN 1 ELSE 0 END AS bigint)
+    AS n_skipped
 FROM v""", "operations"))
 def response_operations(t):
     d = t["operations"].selectExpr("batch_id * 100 + pos AS batch_id", f"{_OP_BODY} AS body")

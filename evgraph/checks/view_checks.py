@@ -145,7 +145,7 @@ def change_week(t):
 @query("change_basis", duck(_CAPPED + f"""
 , top AS (SELECT * FROM rec ORDER BY impact_rank, occurred_at, change_id LIMIT 60)
 , dims AS (SELECT unnest({sql_list(vocab.DIMENSIONS)}) AS dimension)
-SELECT d.dimension, count(t.change_id) AS n_changes,
+SELECT d.dimension, cast(count(t.change_id) AS int) AS n_changes,
   substring(sha256(coalesce(string_agg(t.change_id, '|' ORDER BY t.change_id), '')), 1, 16) AS basis_hash
 FROM dims d LEFT JOIN top t ON t.dimension = d.dimension GROUP BY d.dimension""", *_TABLES))
 def change_basis(t):
