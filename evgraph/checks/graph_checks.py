@@ -348,7 +348,7 @@ def context_pack(t):
     )
     return traverse.pack_lines(
         d, key="topic_id", order=["created_at", "node_id"],
-        bucket=F.date_trunc("day", "created_at"), budget=600,
+        bucket=F.date_trunc("hour", "created_at"), budget=600,
     ).select("topic_id", "node_id", "used")
 
 

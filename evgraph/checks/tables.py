@@ -125,9 +125,10 @@ SELECT s * 1000000 + p AS edge_id, concat('s', cast(s AS varchar(20))) AS source
 FROM (SELECT l_suppkey s, l_partkey p, min(l_shipdate) c, max(l_shipdate) u FROM lineitem
       GROUP BY l_suppkey, l_partkey) t JOIN part ON p_partkey = p""",
     "topics": """
-SELECT concat('t', cast(r_regionkey * 2 + k AS varchar(10))) AS topic_id,
-  concat(r_name, CASE k WHEN 0 THEN ' north' ELSE ' south' END) AS name
-FROM region CROSS JOIN (VALUES (0), (1)) v(k)
+SELECT concat('t', cast(r_regionkey * 2 AS varchar(10))) AS topic_id, concat(r_name, ' north') AS name
+FROM region
+UNION ALL
+SELECT concat('t', cast(r_regionkey * 2 + 1 AS varchar(10))), concat(r_name, ' south') FROM region
 UNION ALL
 SELECT concat('empty', cast(r_regionkey AS varchar(10))), concat(r_name, ' empty') FROM region""",
     "topic_nodes": """
@@ -144,9 +145,10 @@ SELECT event_id, cast(floor(event_id / 50) AS bigint) AS batch_id,
 FROM steps""",
     # Some signal numbers do not exist on purpose.
     "event_triggers": """
-SELECT event_id, cast(floor(event_id / 9) AS bigint) * 1000000 + (event_id * 7 + k * 13) % 20
-  AS signal_id
-FROM events CROSS JOIN (VALUES (0), (1)) v(k)""",
+SELECT event_id, cast(floor(event_id / 9) AS bigint) * 1000000 + (event_id * 7) % 20 AS signal_id
+FROM events
+UNION ALL
+SELECT event_id, cast(floor(event_id / 9) AS bigint) * 1000000 + (event_id * 7 + 13) % 20 FROM events""",
     "challenges": """
 SELECT event_id AS pass_event_id,
   concat('c', cast(src AS varchar(20)), '-', cast(dst AS varchar(20))) AS edge_id,

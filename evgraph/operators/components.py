@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.functions.text import strip
-from evgraph.operators.ordered import number_rows
+from evgraph.operators.ordered import number_rows, range_buckets
 from evgraph.session import cut_lineage
 
 
@@ -100,14 +100,19 @@ def form_batches(
     """GRA-06: windows of ``size`` signals per group; small ones wait unless overdue.
 
     Signals are taken newest content first, the order they are pulled in, ties by
-    signal id.  Windows of a large group are numbered day by day, so no task
-    orders a whole group.  Returns one row per signal with ``batch_no``.
+    signal id.  One group may hold a large share of all signals, so the order is cut
+    into even ranges and only ids and times are numbered.  Returns one row per
+    signal with ``batch_no``.
     """
-    d = grouped.withColumn("__age", -F.unix_micros("content_timestamp"))
-    d = number_rows(
-        d, ["group_id"], ["__age", "signal_id"], F.floor(F.col("__age") / 86_400_000_000)
+    narrow = grouped.select(
+        "group_id", "signal_id", (-F.unix_micros("content_timestamp")).alias("__age")
     )
-    d = d.withColumn("batch_no", F.floor((F.col("rn") - 1) / size)).drop("__age", "rn")
+    order = ["__age", "signal_id"]
+    narrow = range_buckets(narrow, ["group_id"], order, "__piece")
+    numbered = number_rows(narrow, ["group_id"], order, F.col("__piece")).select(
+        "signal_id", F.floor((F.col("rn") - 1) / size).alias("batch_no")
+    )
+    d = grouped.join(numbered, "signal_id")
     if force:
         return d
     sizes = d.groupBy("group_id", "batch_no").agg(

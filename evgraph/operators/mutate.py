@@ -511,7 +511,7 @@ def weight_history(events: DataFrame, edges: DataFrame) -> DataFrame:
         *_ORDER,
     )
     rows = previous_value(
-        start.unionAll(change), ["edge_id"], _ORDER, F.date_trunc("day", "batch_time"),
+        start.unionAll(change), ["edge_id"], _ORDER, F.date_trunc("hour", "batch_time"),
         "weight_band", "previous_weight_band",
     )
     stored = edges.select("edge_id", F.col("current_weight_band").alias("stored_band"))
@@ -543,7 +543,7 @@ def value_history(events: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
         F.try_element_at("field_updates", F.lit(key)).alias("new_value"), *_ORDER,
     )
     rows = previous_value(
-        start.unionAll(change), ["node_id"], _ORDER, F.date_trunc("day", "batch_time"),
+        start.unionAll(change), ["node_id"], _ORDER, F.date_trunc("hour", "batch_time"),
         "new_value", "previous_value",
     )
     stored = nodes.select("node_id", F.try_element_at("type_data", F.lit(key)).alias("stored"))

@@ -2,11 +2,14 @@
 
 A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task, which a
 hot key turns into the slowest task of the job.  The functions here split a key
-by a deterministic ``bucket`` column that never decreases along the order (a
-truncated timestamp, the high digits of an id).  Rows are ordered inside a
-(key, bucket) group only; one summary row per bucket carries the total or the
-last value over, and the summaries of a key are few.  Results equal those of the
-plain window.
+by a ``bucket`` column that never decreases along the order: a truncated
+timestamp, or :func:`range_buckets`, which cuts any order into even pieces.  Rows
+are ordered inside a (key, bucket) group only; one summary row per bucket carries
+the total or the last value over, and the summaries of a key are few.  Results
+equal those of the plain window.
+
+Rows and summaries are both partitioned by one (key, bucket) struct, so the rows
+are shuffled once for the window and the join together.
 """
 
 from __future__ import annotations
@@ -17,65 +20,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_B = "__o_bucket"
+from evgraph.session import cut_lineage
 
+_G = "__o_group"
 
 
+def range_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Add a bucket number that splits the rows evenly along (keys, order).
 
-def _attach(df: DataFrame, summary: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Join the per-bucket summary back on (keys, bucket)."""
-    a, b = df.alias("a"), summary.alias("b")
-    cond = F.col(f"a.{_B}").eqNullSafe(F.col(f"b.{_B}"))
-    for k in keys:
-        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return a.join(b, cond, "left").select("a.*", *[F.col(f"b.{c}").alias(c) for c in cols])
+    Rows are range partitioned, so a key with very many rows spans many buckets.
+    The sampled bounds differ from run to run; writing the numbers makes them
+    final before anything is derived from them.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys, *order)
+    return cut_lineage(ranged.withColumn(out, F.spark_partition_id()))
+
+
+def _grouped(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """Add the (keys, bucket) struct; inside a struct null keys are equal."""
+    return df.withColumn(_G, F.struct(*keys, bucket.alias("__o_bucket")))
+
+
+def _across(keys: Sequence[str]):
+    """Window over the bucket summaries of one key."""
+    return W.partitionBy(*[F.col(_G)[k] for k in keys]).orderBy(F.col(_G)["__o_bucket"])
 
 
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str = "rn"
 ) -> DataFrame:
     """``row_number()`` over ``keys`` in ascending ``order``."""
-    d = df.withColumn(_B, bucket)
-    sizes = d.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("__o_n"))
-    before = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, _B, F.coalesce(F.sum("__o_n").over(before), F.lit(0)).alias("__o_base"))
-    inner = W.partitionBy(*keys, _B).orderBy(*order)
-    d = d.withColumn("__o_rn", F.row_number().over(inner))
-    d = _attach(d, sizes, keys, ["__o_base"])
-    return d.withColumn(out, F.col("__o_rn") + F.col("__o_base")).drop("__o_rn", "__o_base", _B)
+    d = _grouped(df, keys, bucket)
+    sizes = d.groupBy(_G).agg(F.count(F.lit(1)).alias("__o_n"))
+    before = F.sum("__o_n").over(_across(keys).rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(_G, F.coalesce(before, F.lit(0)).alias("__o_base"))
+    d = d.withColumn("__o_rn", F.row_number().over(W.partitionBy(_G).orderBy(*order)))
+    d = d.join(sizes, _G, "left")
+    return d.withColumn(out, F.col("__o_rn") + F.col("__o_base")).drop("__o_rn", "__o_base", _G)
 
 
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str, out: str
 ) -> DataFrame:
     """Running sum of ``value`` over ``keys`` in ascending ``order``, the row included."""
-    d = df.withColumn(_B, bucket)
-    totals = d.groupBy(*keys, _B).agg(F.sum(value).alias("__o_t"))
-    before = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*keys, _B, F.sum("__o_t").over(before).alias("__o_base"))
-    inner = W.partitionBy(*keys, _B).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("__o_run", F.sum(value).over(inner))
-    d = _attach(d, totals, keys, ["__o_base"])
+    d = _grouped(df, keys, bucket)
+    totals = d.groupBy(_G).agg(F.sum(value).alias("__o_t"))
+    before = F.sum("__o_t").over(_across(keys).rowsBetween(W.unboundedPreceding, -1))
+    totals = totals.select(_G, before.alias("__o_base"))
+    inner = W.partitionBy(_G).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("__o_run", F.sum(value).over(inner)).join(totals, _G, "left")
     run = F.col("__o_run") + F.coalesce(F.col("__o_base"), F.lit(0))
-    return d.withColumn(out, run).drop("__o_run", "__o_base", _B)
+    return d.withColumn(out, run).drop("__o_run", "__o_base", _G)
 
 
 def previous_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str, out: str
 ) -> DataFrame:
     """``lag(value)`` over ``keys`` in ascending ``order``."""
-    d = df.withColumn(_B, bucket)
-    last = d.groupBy(*keys, _B).agg(F.max_by(F.struct(F.col(value).alias("v")),
-                                             F.struct(*order)).alias("__o_last"))
-    last = last.select(
-        *keys, _B, F.lag("__o_last").over(W.partitionBy(*keys).orderBy(_B))["v"].alias("__o_prev")
+    d = _grouped(df, keys, bucket)
+    last = d.groupBy(_G).agg(
+        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__o_last")
     )
-    inner = W.partitionBy(*keys, _B).orderBy(*order)
+    last = last.select(_G, F.lag("__o_last").over(_across(keys))["v"].alias("__o_prev"))
+    inner = W.partitionBy(_G).orderBy(*order)
     d = d.withColumn("__o_first", F.row_number().over(inner) == 1)
-    d = d.withColumn("__o_lag", F.lag(value).over(inner))
-    d = _attach(d, last, keys, ["__o_prev"])
+    d = d.withColumn("__o_lag", F.lag(value).over(inner)).join(last, _G, "left")
     prev = F.when(F.col("__o_first"), F.col("__o_prev")).otherwise(F.col("__o_lag"))
-    return d.withColumn(out, prev).drop("__o_first", "__o_lag", "__o_prev", _B)
+    return d.withColumn(out, prev).drop("__o_first", "__o_lag", "__o_prev", _G)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -89,9 +101,5 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Newest row per key by ``max_by``: combined in the map tasks, no sort."""
-    rest = [c for c in df.columns if c not in keys]
-    top = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("__o_row")
-    )
-    return top.select(*keys, *[F.col("__o_row")[c].alias(c) for c in rest]).select(*df.columns)
+    """Newest row per key, cut in the map tasks first."""
+    return top_per_key(df, keys, [F.col(c).desc() for c in order], 1)

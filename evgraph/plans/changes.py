@@ -21,9 +21,9 @@ CHANGE_COLUMNS = [
 
 
 def with_previous(history: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Add the value before each history row, ordered by (content time, id), day by day."""
+    """Add the value before each history row, ordered by (content time, id), hour by hour."""
     return previous_value(
-        history, [key], ["content_timestamp", "id"], F.date_trunc("day", "content_timestamp"),
+        history, [key], ["content_timestamp", "id"], F.date_trunc("hour", "content_timestamp"),
         value, out,
     )
 

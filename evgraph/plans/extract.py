@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evgraph import vocab
-from evgraph.functions.text import strip
+from evgraph.functions.text import strip, words
 from evgraph.operators.mutate import valid_slug
 from evgraph.operators.quality import convergence, dedup_claims
 
@@ -230,16 +230,18 @@ def parse_scenarios(responses: DataFrame) -> DataFrame:
 Scorer = Callable[[Iterator], Iterator]
 
 
-def score_payloads(payloads: DataFrame, lenses: DataFrame, scorer: Scorer) -> DataFrame:
-    """UDF-02: responses of a model called per payload and active lens, in Arrow batches.
+def score_payloads(
+    payloads: DataFrame, scorer: Scorer, lens_ids: list[str] = vocab.ACTIVE_LENSES
+) -> DataFrame:
+    """UDF-02: responses of a model called per payload and lens, in Arrow batches.
 
     ``scorer`` maps pandas batches of (payload_id, source_id, lens_id, content) to
     batches of (payload_id, lens_id, body).
     """
-    asked = payloads.join(
-        # Fixed catalogue of a few active lenses.
-        F.broadcast(lenses.filter("active").select("lens_id"))
-    ).select(F.col("payload_id").cast("string").alias("payload_id"), "source_id", "lens_id", "content")
+    asked = payloads.select(
+        F.col("payload_id").cast("string").alias("payload_id"), "source_id",
+        F.explode(words(lens_ids)).alias("lens_id"), "content",
+    )
     return asked.mapInPandas(scorer, "payload_id string, lens_id string, body string")
 
 
@@ -247,10 +249,10 @@ def keyword_scorer(batches: Iterator) -> Iterator:
     """Deterministic stand-in for a model: the first sentence when the text names a keyword."""
     import json
 
-    words = sorted({w for ws in vocab.DIMENSION_KEYWORDS.values() for w in ws})
+    known = sorted({w for ws in vocab.DIMENSION_KEYWORDS.values() for w in ws})
     for pdf in batches:
         low = pdf["content"].fillna("").str.lower()
-        hit = low.map(lambda t: next((w for w in words if w in t), None))
+        hit = low.map(lambda t: next((w for w in known if w in t), None))
         claim = pdf["content"].fillna("").str.split(r"[.\n]+", n=1, regex=True).str[0].str.strip()
         out = pdf[["payload_id", "lens_id"]].copy()
         out["body"] = [

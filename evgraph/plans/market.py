@@ -37,15 +37,17 @@ def move_by_days(obs: DataFrame, days: int = 5) -> DataFrame:
     d = obs.join(top, "symbol")
     target = F.col("latest_ts") - F.make_dt_interval(F.lit(days))
     old = F.col("ts") <= target
-    row = F.struct(F.col("ts"), F.col("value"))
+    old_ts = F.when(old, F.col("ts"))
+    # Fixed-width buffers only, so this is a hash aggregate combined in the map tasks.
     d = d.groupBy("symbol").agg(
-        F.max(row).alias("l"), F.max(F.when(old, row)).alias("o"), F.min(row).alias("f"),
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest_ts"),
+        F.max_by("value", "ts").alias("latest"),
+        F.coalesce(F.max_by("value", old_ts), F.min_by("value", "ts")).alias("prior"),
+        F.coalesce(F.max(old_ts), F.min("ts")).alias("prior_ts"),
+    )
+    d = d.filter("n >= 2 AND prior <> 0").select(
+        "symbol", "latest", "prior", "latest_ts", "prior_ts"
     )
-    d = d.withColumn("p", F.coalesce("o", "f")).filter("n >= 2").select(
-        "symbol", F.col("l.value").alias("latest"), F.col("p.value").alias("prior"),
-        F.col("l.ts").alias("latest_ts"), F.col("p.ts").alias("prior_ts"),
-    ).filter("prior <> 0")
     return d.withColumn("pct_change", _percent())
 
 

@@ -37,10 +37,10 @@ def daily_cap(costs: DataFrame, cap: str = "5.00") -> DataFrame:
 
     A refused call adds nothing, but once the cap is reached it stays reached, so
     the sum over all earlier calls refuses the same ones.  Running sums are split
-    by hour, so a day is not one task.
+    by minute, so a day is not one task.
     """
     d = costs.withColumn("day", F.to_date("ts"))
-    d = running_total(d, ["day"], ["ts", "call_id"], F.date_trunc("hour", "ts"), "cost_usd", "__run")
+    d = running_total(d, ["day"], ["ts", "call_id"], F.date_trunc("minute", "ts"), "cost_usd", "__run")
     d = d.withColumn("spent_before", F.col("__run") - F.col("cost_usd")).drop("__run")
     return d.withColumn("refused", F.col("spent_before") >= F.lit(cap).cast("decimal(18,6)"))
 
@@ -55,12 +55,12 @@ def quota(requests: DataFrame, *, limit: int = 10, window_seconds: int = 60) ->
     """
     d = previous_value(
         requests.select("request_id", "key_id", "ts"), ["key_id"], ["ts", "request_id"],
-        F.date_trunc("day", "ts"), "ts", "__prev",
+        F.date_trunc("hour", "ts"), "ts", "__prev",
     )
     gap = F.unix_micros("ts") - F.unix_micros("__prev")
     cut = F.coalesce(gap > F.lit(window_seconds * 1_000_000), F.lit(True)).cast("int")
     d = running_total(
-        d.withColumn("__cut", cut), ["key_id"], ["ts", "request_id"], F.date_trunc("day", "ts"),
+        d.withColumn("__cut", cut), ["key_id"], ["ts", "request_id"], F.date_trunc("hour", "ts"),
         "__cut", "__run",
     )
     d = (

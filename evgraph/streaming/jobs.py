@@ -92,18 +92,22 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "com
     return rows.parquet(path) if mode == "complete" else rows.parquet(f"{path}/batch=*")
 
 
-def fold_stream(events: DataFrame, fold: Callable[[DataFrame], DataFrame], log: str, state: str,
-                checkpoint: str):
-    """STR-10: append mutation events to ``log`` and rewrite the state folded from them.
-
-    Each micro-batch writes its events under its number and the state under a new
-    version folder, so a batch that is repeated after a failure leaves the same
-    files.
+def fold_stream(events: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame],
+                log: str, state: str, checkpoint: str):
+    """STR-10: append mutation events to ``log`` and fold them into ``state``.
+
+    ``fold`` takes the state before a micro-batch (``None`` at first) and its
+    events, so the log is not read again.  Events and the new state go under the
+    batch number and the state before is the one with the number below; a batch
+    that is repeated after a failure leaves the same files.
     """
     def work(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        seen = batch.sparkSession.read.schema(batch.schema).parquet(f"{log}/batch=*")
-        fold(seen).write.mode("overwrite").parquet(f"{state}/version={number}")
+        folder = f"{log}/batch={number}"
+        batch.write.mode("overwrite").parquet(folder)
+        read = batch.sparkSession.read
+        before = read.parquet(f"{state}/version={number - 1}") if number else None
+        after = fold(before, read.schema(batch.schema).parquet(folder))
+        after.write.mode("overwrite").parquet(f"{state}/version={number}")
 
     return (
         events.writeStream.option("checkpointLocation", checkpoint)

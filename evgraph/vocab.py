@@ -179,6 +179,7 @@ LENSES = {
     "disconfirmation": (5, [], []),
 }
 CHALLENGE_LENS = "disconfirmation"
+ACTIVE_LENSES = [name for name in LENSES if name != CHALLENGE_LENS]
 
 # --- fixed values: market series ---------------------------------------------------
 INSTRUMENT_ORDER = {

@@ -96,7 +96,7 @@ def test_model_call_per_payload_and_lens(spark):
     p = spark.createDataFrame([("p", "s", "Bank credit tightens.\nMore text."), ("q", "s", "zzz")],
                               "payload_id string, source_id string, content string")
     lens = vocab.lens_table(spark)
-    d = extract.score_payloads(p, lens, extract.keyword_scorer)
+    d = extract.score_payloads(p, extract.keyword_scorer)
     assert d.count() == 14
     got = extract.response_signals(d, lens).select("payload_id", "claim_text").distinct().collect()
     assert [tuple(r) for r in got] == [("p", "Bank credit tightens")]

@@ -120,7 +120,9 @@ def test_split_late(spark):
 def test_event_log_folds_into_state(spark, folder):
     schema = "edge_id string, seq long, band string"
     path = land(spark, folder, "a", [("e", 1, "weak"), ("f", 1, "weak")], schema)
-    fold = lambda log: log.groupBy("edge_id").agg(F.max_by("band", "seq").alias("band"))
+    def fold(before, batch):
+        rows = batch if before is None else before.unionByName(batch)
+        return sinks.current(rows, ["edge_id"], ["seq"])
 
     def run():
         s = spark.readStream.schema(schema).parquet(path)
