@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evgraph import vocab
 from evgraph.functions.text import lookup
 from evgraph.operators.ordered import top_per_key
+from evgraph.session import side_by_side
 
 
 def register(tracking: DataFrame | None, signals: DataFrame, run_id: str) -> DataFrame:
@@ -261,8 +262,7 @@ def report(
     s = listed(source_scores(tracking, registry), "source_id", "sources")
     x = listed(lens_scores(tracking), "lens_id", "lenses")
     leak = leakage(tracking, signals, registry, window_end=window_end)
-    # Four single-row inputs.
-    one = run_totals(tracking).crossJoin(s).crossJoin(x).crossJoin(leak)
+    one = side_by_side(run_totals(tracking), s, x, leak)
     return one.select(F.to_json(F.struct(*one.columns)).alias("report"))
 
 

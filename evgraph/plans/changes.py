@@ -12,7 +12,7 @@ from evgraph.functions.bands import is_high
 from evgraph.functions.text import best_dimension, dimension_label, edge_verb, lookup
 from evgraph.operators.ordered import previous_value
 from evgraph.operators.traverse import blast_radius, degree
-from evgraph.session import literal_table
+from evgraph.session import cut_lineage, literal_table
 
 CHANGE_COLUMNS = [
     "change_id", "change_type", "summary", "dimension", "dimension_label", "occurred_at",
@@ -246,12 +246,14 @@ def recent_changes(
 ) -> DataFrame:
     """CHG-01: the ranked change list of the home view, with blast radius and topics."""
     d = change_stream(nodes, edges, weight_history, state_history, as_of=as_of, hours=hours)
-    d = attach_counts(rank_changes(d, limit, newest_first), edges)
+    # Cut first, enrich after: the short list is written once and read by every lookup.
+    d = attach_counts(cut_lineage(rank_changes(d, limit, newest_first)), edges)
     return d if topic_nodes is None else attach_topics(d, edges, topic_nodes)
 
 
 def changes_by_topic(changes: DataFrame, edges: DataFrame, topic_nodes: DataFrame) -> DataFrame:
     """TPC-03: number and newest time of changes per topic."""
+    changes = cut_lineage(changes)
     pairs = topics_of_targets(changes, edges, topic_nodes)
     return (
         pairs.join(changes.select("change_id", "occurred_at", "impact_rank"), "change_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evgraph.functions.bands import is_high
 from evgraph.operators.ordered import top_per_key
+from evgraph.session import side_by_side
 
 
 def _after(column: str, now: datetime, **ago) -> Column:
@@ -56,8 +57,7 @@ def pipeline_health(
         F.count_if(_after("fetched_at", now, hours=4)).alias("payloads_4h"),
         F.count_if("rejected").alias("payloads_rejected"),
     )
-    # Four single-row inputs.
-    return s.crossJoin(n).crossJoin(e).crossJoin(p)
+    return side_by_side(s, n, e, p)
 
 
 def last_job_runs(runs: DataFrame, *, now: datetime, days: int = 7) -> DataFrame:
@@ -99,7 +99,7 @@ def graph_totals(
     )
     e = edges.agg(F.count_if(~F.col("deprecated")).alias("n_live_edges"))
     a = aliases.agg(F.count(F.lit(1)).alias("n_aliases"))
-    return n.crossJoin(e).crossJoin(a)
+    return side_by_side(n, e, a)
 
 
 def stored_per_source(payloads: DataFrame) -> DataFrame:

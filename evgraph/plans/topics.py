@@ -14,6 +14,7 @@ from evgraph.operators.asof import nodes_as_of
 from evgraph.operators.ordered import top_per_key
 from evgraph.operators.similarity import containing, top_similar
 from evgraph.plans.changes import named_edges
+from evgraph.session import cut_lineage
 
 
 # --- topics ----------------------------------------------------------------------
@@ -124,15 +125,14 @@ def region_of_points(points: DataFrame, regions: DataFrame, cell: float = 10.0)
     )
     inside = F.filter("boxes", lambda b: F.col("lat").between(b["lat_min"], b["lat_max"])
                       & F.col("lon").between(b["lon_min"], b["lon_max"]))
-    fallback = regions.filter("region_id = 'global'").select(F.max("region_id").alias("everywhere"))
+    has_global = not regions.filter("region_id = 'global'").isEmpty()
+    fallback = F.lit("global" if has_global else None).cast("string")
     return (
         points.withColumn("gy", F.floor(F.col("lat") / cell))
         .withColumn("gx", F.floor(F.col("lon") / cell))
         .join(grid, ["gy", "gx"], "left")
-        # One row: the id of the fallback region or null.
-        .join(F.broadcast(fallback))
-        .withColumn("region_id", F.coalesce(F.array_min(inside)["region_id"], "everywhere"))
-        .drop("gy", "gx", "boxes", "everywhere")
+        .withColumn("region_id", F.coalesce(F.array_min(inside)["region_id"], fallback))
+        .drop("gy", "gx", "boxes")
     )
 
 
@@ -232,6 +232,8 @@ def question_nodes(questions: DataFrame, nodes: DataFrame, *, above: float = 0.1
     scored = by_name.select("query", "node_id", "score").unionAll(
         by_text.select("query", "node_id", "score")
     ).groupBy("query", "node_id").agg(F.max("score").alias("score"))
+    # Read twice below; it holds at most 2k rows per question.
+    scored = cut_lineage(scored)
     starts = q.withColumn("start", F.lower(F.substring("question", 1, 40)))
     named = containing(nodes, "name", starts, "start")
     hits = (
@@ -275,6 +277,8 @@ def question_signals(
     terms = first.join(nodes.select("node_id", "name"), "node_id").select(
         "query", F.lower(F.substring("name", 1, 30)).alias("term")
     ).distinct()
+    # At most five terms per question, read twice below.
+    terms = cut_lineage(terms)
     recent = signals.filter(
         F.col("content_timestamp").between(F.lit(as_of - timedelta(days=30)), F.lit(as_of))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,9 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     text = json.dumps([dict(zip(names, r)) for r in rows], default=str)
     kind = T.ArrayType(T.StructType(fields)).simpleString()
     return one.select(F.inline(F.from_json(F.lit(text), kind)))
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Single-row frames with different columns as one row, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
