@@ -104,6 +104,15 @@ def resolve(
     )
 
 
+def checkpoint_live(
+    tracking: DataFrame, *, now: datetime, observation_days: int = 90, batch_size: int | None = 2000,
+    **tables: DataFrame,
+) -> DataFrame:
+    """CAL-10: resolve signals of the live run once they are ``observation_days`` old."""
+    cutoff = now - timedelta(days=observation_days)
+    return resolve(tracking, cutoff=cutoff, batch_size=batch_size, **tables)
+
+
 def _scored(tracking: DataFrame) -> DataFrame:
     return tracking.filter(F.col("outcome") != "pending")
 
