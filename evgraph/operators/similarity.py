@@ -144,12 +144,17 @@ def _counted_pairs(left: Side, right: Side, threshold: float) -> DataFrame:
     return both.select("l_id", "r_id", score.alias("score")).filter(F.col("score") >= threshold - 1e-9)
 
 
+def _id_pairs(left: Side, right: Side, threshold: float) -> DataFrame:
+    """Pairs with ratio >= threshold by number: l_id, r_id, score."""
+    find = _prefix_pairs if threshold >= PREFIX_FROM else _counted_pairs
+    return find(left, right, threshold)
+
+
 def _pairs(left: Side, right: Side, threshold: float) -> DataFrame:
     """Text pairs with ratio >= threshold: left_text, right_text, score."""
-    find = _prefix_pairs if threshold >= PREFIX_FROM else _counted_pairs
     names = lambda s, i, t: s.rows.select(F.col("id").alias(i), F.col("text").alias(t))
     return (
-        find(left, right, threshold)
+        _id_pairs(left, right, threshold)
         .join(names(left, "l_id", "left_text"), "l_id")
         .join(names(right, "r_id", "right_text"), "r_id")
         .select("left_text", "right_text", "score")
@@ -306,22 +311,23 @@ def signals_near_edges(
     sides = edges.select(
         "edge_id", F.explode(F.array("source_name", "target_name")).alias("name")
     )
-    pairs = similar_texts(sides, "name", signals, "claim_text", above)
+    names, claims = _ranked(intern(sides, "name"), intern(signals, "claim_text"))
+    pairs = _id_pairs(names, claims, above).filter(F.col("score") > above)
     per_claim = top_per_key(
         signals.select("signal_id", "claim_text", "content_timestamp"), ["claim_text"], newest, k
-    )
+    ).join(claims.rows.select(F.col("id").alias("r_id"), F.col("text").alias("claim_text")), "claim_text")
+    # Pairs may be very many, so only numbers and times are joined and ranked.
     per_name = top_per_key(
-        pairs.join(per_claim, pairs["right_text"] == per_claim["claim_text"]).select(
-            F.col("left_text").alias("name"), "signal_id", "content_timestamp"
-        ),
-        ["name"],
+        pairs.select("l_id", "r_id")
+        .join(per_claim.select("r_id", "signal_id", "content_timestamp"), "r_id").drop("r_id"),
+        ["l_id"],
         newest,
         k,
     )
     # At most k entries per name, so the two lists of an edge merge in its own row.
-    lists = per_name.groupBy("name").agg(
+    lists = per_name.groupBy("l_id").agg(
         F.collect_list(F.struct("content_timestamp", "signal_id")).alias("near")
-    )
+    ).join(names.rows.select(F.col("id").alias("l_id"), F.col("text").alias("name")), "l_id")
     source = lists.select(F.col("name").alias("source_name"), F.col("near").alias("near_source"))
     target = lists.select(F.col("name").alias("target_name"), F.col("near").alias("near_target"))
     none = F.array().cast(lists.schema["near"].dataType)
