@@ -30,10 +30,11 @@ def range_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
 
     Rows are range partitioned, so a key with very many rows spans many buckets.
     The sampled bounds differ from run to run; writing the numbers makes them
-    final before anything is derived from them.
+    final before anything is derived from them.  Sampling reads the rows once
+    more, so they are written first; hand in narrow ones.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys, *order)
+    ranged = cut_lineage(df).repartitionByRange(n, *keys, *order)
     return cut_lineage(ranged.withColumn(out, F.spark_partition_id()))
 
 
