@@ -91,82 +91,80 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, effort: int = 2_000) -> np.ndarray:
-    """Swap pieces between bins with room so that squared fill grows and bins fall empty.
+def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, effort: int = 4_000) -> np.ndarray:
+    """Swap pieces between bins with room (below ``CLOSED``) so that squared fill grows and bins fall empty.
 
     The emptiest bin gives pieces to others: a plain move into a gap, an exchange of one
-    of its pieces for a shorter one, of two for one, or of one for two.  The gaining bin is
-    fuller after each step than any bin before, or the giving bin is emptier, so every
-    step raises the sum of squares and the search ends.  ``effort`` bounds the steps per
-    shard; what is left is a valid packing.
+    of its pieces for a shorter one, of two for one, or of one for two.  Every step raises
+    the sum of squared fills, so the search ends.  ``effort`` bounds the steps in a shard;
+    wherever it stops, what is left is a valid packing.
     """
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
-    loose = np.flatnonzero((fill > 0) & (fill < capacity))
-    where = np.flatnonzero(np.isin(bins, loose))
-    stuck: set[int] = set()
+    open_bin = fill < CLOSED * capacity
+    item = np.flatnonzero(open_bin[bins])
+    size, home = lengths[item], bins[item]
+    waiting = open_bin & (fill > 0)
     for _ in range(effort):
-        live = [b for b in loose.tolist() if 0 < fill[b] < capacity and b not in stuck]
+        live = np.flatnonzero(waiting)
         if len(live) < 2:
             break
-        source = min(live, key=lambda b: (fill[b], b))
-        mine = where[bins[where] == source]
-        others = where[(bins[where] != source) & (fill[bins[where]] < capacity) & (fill[bins[where]] >= fill[source])]
-        room = capacity - fill[bins[others]]
-        step = _best_step(lengths, mine, others, room, bins, fill, source, capacity)
+        source = int(live[np.argmin(fill[live])])
+        step = _best_step(size, home, fill, open_bin, source, capacity)
         if step is None:
-            stuck.add(source)
+            waiting[source] = False
             continue
         give, take, target = step
-        bins[list(give)] = target
-        bins[list(take)] = source
-        change = int(lengths[list(give)].sum() - (lengths[list(take)].sum() if take else 0))
+        home[give], home[take] = target, source
+        change = int(size[give].sum() - size[take].sum())
         fill[target] += change
         fill[source] -= change
+        if not fill[source]:
+            waiting[source] = open_bin[source] = False
+    bins[item] = home
     return bins
 
 
-def _best_step(lengths, mine, others, room, bins, fill, source, capacity):
-    """The exchange with the largest gain of the other bin: (given, taken, bin) or None."""
+def _best_step(size, home, fill, open_bin, source, capacity):
+    """The step with the largest gain of the other bin: (given, taken, bin) or None."""
+    mine = np.flatnonzero(home == source)
+    mine = mine[np.argsort(-size[mine], kind="stable")]
+    gap = np.where(open_bin, capacity - fill, 0)
+    gap[source] = 0
+    room = gap[home]
+    none = np.zeros(0, np.int64)
+
+    def largest(up, room, at):
+        ok = (up > 0) & (up <= room) & (fill[home[at]] + up > fill[source])
+        j = int(np.argmax(np.where(ok, up, 0))) if len(up) else 0
+        return (int(up[j]), j) if len(up) and ok[j] else (0, 0)
+
+    every = np.arange(len(home))
     best, gain = None, 0
-    gaps = {int(b): capacity - int(fill[b]) for b in np.unique(bins[others])}
-    sizes = lengths[others]
-    for x in mine.tolist():
-        size = int(lengths[x])
-        fits = [b for b, g in gaps.items() if g >= size]
-        if fits:
-            b = min(fits, key=lambda b: (gaps[b], b))
-            return (x,), (), b
-        up = size - sizes  # one for one
-        ok = (up > 0) & (up <= room)
-        if ok.any():
-            j = int(np.argmax(np.where(ok, up, 0)))
-            if up[j] > gain:
-                best, gain = ((x,), (int(others[j]),), int(bins[others[j]])), int(up[j])
-    small = mine[np.argsort(lengths[mine], kind="stable")][:12]
-    for i in range(len(small)):  # two for one
-        for k in range(i + 1, len(small)):
-            up = int(lengths[small[i]] + lengths[small[k]]) - sizes
-            ok = (up > 0) & (up <= room)
-            if ok.any():
-                j = int(np.argmax(np.where(ok, up, 0)))
-                if up[j] > gain:
-                    pair = (int(small[i]), int(small[k]))
-                    best, gain = (pair, (int(others[j]),), int(bins[others[j]])), int(up[j])
-    if best is None:  # one for two of the same bin
-        order = np.argsort(bins[others], kind="stable")
-        o, b = others[order], bins[others][order]
-        near = np.flatnonzero(b[1:] == b[:-1])
-        if len(near):
-            pair = lengths[o[near]] + lengths[o[near + 1]]
-            gap = room[order][near]
-            for x in mine.tolist():
-                up = int(lengths[x]) - pair
-                ok = (up > 0) & (up <= gap)
-                if ok.any():
-                    j = int(np.argmax(np.where(ok, up, 0)))
-                    if up[j] > gain:
-                        best, gain = ((x,), (int(o[near[j]]), int(o[near[j] + 1])), int(b[near[j]])), int(up[j])
+    for x in mine:
+        fits = np.where(gap >= size[x], gap, capacity + 1)  # move
+        b = int(np.argmin(fits))
+        if fits[b] <= capacity and fill[b] + size[x] > fill[source]:
+            return np.array([x]), none, b
+        up, j = largest(size[x] - size, room, every)  # one for one
+        if up > gain:
+            best, gain = (np.array([x]), np.array([j]), int(home[j])), up
+    if best is None:
+        small = mine[-8:]
+        for i in range(len(small)):  # two for one
+            for k in range(i + 1, len(small)):
+                up, j = largest(size[small[i]] + size[small[k]] - size, room, every)
+                if up > gain:
+                    best, gain = (np.array([small[i], small[k]]), np.array([j]), int(home[j])), up
+    if best is None:
+        order = np.argsort(home, kind="stable")  # one for two of the same bin
+        one, two = order[:-1], order[1:]
+        same = home[one] == home[two]
+        one, two = one[same], two[same]
+        for x in mine:
+            up, j = largest(size[x] - size[one] - size[two], room[one], one)
+            if up > gain:
+                best, gain = (np.array([x]), np.array([one[j], two[j]]), int(home[one[j]])), up
     return best
 
 
@@ -182,7 +180,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
                            F.lit(0).cast("double").alias("__fill")).schema
 
     def packer(round_no: int):
-        def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             lengths = rows["length"].to_numpy(np.int64)
             bins = pack_shard(lengths, capacity)
             order = np.lexsort((np.arange(len(bins)), bins))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evgraph.llm import lengths, packing, url_rules
+from evgraph.llm import lengths, packing, piece_bpe, url_rules
 from evgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@_register("op6_sentencepiece")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_bpe.round_trip_digests(table(spark, folder, "documents"))
+
+
 @_register("op8_token_counts")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.suffix_sums(lengths.length_histogram(table(spark, folder, "documents")))
