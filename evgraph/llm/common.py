@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from evgraph.session import ensure_checkpoint_dir
+
 #: Rows of text are handled in slices of about so many bytes, whatever Spark's batch size is.
 SLICE_BYTES = 8 << 20
 
@@ -28,13 +31,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` as a table in the checkpoint folder and read it back, so that lineage ends
+    there and later readers prune columns; ``by`` are columns that become folders."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """Text column of a batch with null read as empty."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.string()), "")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of a slice have about ``SLICE_BYTES``, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of a slice have about ``size`` bytes, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -43,7 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(start, end - start)
             start = end
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evgraph.llm import lengths, packing, piece_bpe, url_rules
+from evgraph.llm import jaccard, lengths, packing, piece_bpe, url_rules
 from evgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.suffix_sums(lengths.length_histogram(table(spark, folder, "documents")))
 
 
+@_register("op9_jaccard_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, folder, "documents"))
+
+
 _URL_SQL = r"""
 WITH RECURSIVE tags AS (
   SELECT url, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) t, 1 k FROM pages
