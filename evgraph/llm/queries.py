@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evgraph.llm import jaccard, lengths, packing, piece_bpe, url_rules
+from evgraph.llm import jaccard, language, lengths, packing, piece_bpe, secrets, syncmers, url_rules
 from evgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,16 @@ def _register(name: str, sql: str | None = None):
     return add
 
 
+@_register("op1_secret_scans")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(table(spark, folder, "documents")))
+
+
+@_register("op3_closed_syncmers")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.compare_with_edits(table(spark, folder, "documents"))
+
+
 @_register("op5_best_fit_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
@@ -33,6 +44,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return piece_bpe.round_trip_digests(table(spark, folder, "documents"))
 
 
+@_register("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.learned_on(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @_register("op8_token_counts")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.suffix_sums(lengths.length_histogram(table(spark, folder, "documents")))
