@@ -341,6 +341,14 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, round
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: the smallest id of each component stays."""
-    found = similar_components(docs, width, percent).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti")
+    """The rows of ``docs`` without near duplicates: the smallest id of each component stays.
+
+    Rows that repeat an id and a text are one; rows without an id stay.
+    """
+    found = similar_components(docs, width, percent).filter("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    twice = cut_lineage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"))
+    if twice.isEmpty():
+        return left
+    repeated = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,6 +139,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     return picked.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
+def keep_recognised(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for part in slices(batches, text):
+            texts = pc.fill_null(part.column(place), "").to_pylist()
+            yield part.filter(pa.array([not known.predict(t)[2] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned_on(docs: DataFrame) -> Model:
     """Model from the documents that are not held out."""
     return learn(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))

@@ -22,7 +22,7 @@ from evgraph.llm.byte_bpe import DEFAULT, ByteBpe
 from evgraph.llm.common import column, slices
 
 #: Lengths per block of the two-level sums.
-BLOCK = 1024
+BLOCK = 128
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = DEFAULT) -> DataFrame:

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm import jaccard, language, lengths, packing, piece_bpe, secrets, syncmers, url_rules
+from evgraph.llm import (
+    collision_search,
+    jaccard,
+    language,
+    lengths,
+    packing,
+    piece_bpe,
+    secrets,
+    surrogates,
+    syncmers,
+    url_rules,
+)
 from evgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,11 +40,26 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, folder, "documents")))
 
 
+@_register("op2_collision_search")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return collision_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @_register("op3_closed_syncmers")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.compare_with_edits(table(spark, folder, "documents"))
 
 
+#: Key of the registered runs; a real run passes its own secret.
+PII_KEY = "registered query"
+
+
+@_register("op4_surrogates")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace_personal_data(docs, PII_KEY)
+
+
 @_register("op5_best_fit_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
