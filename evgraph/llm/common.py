@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evgraph.session import ensure_checkpoint_dir
 
 #: Rows of text are handled in slices of about so many bytes, whatever Spark's batch size is.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
