@@ -274,25 +274,36 @@ def redrawn(found: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
 
 
 def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with personal data replaced, n_chars to match, and n_entities of each row."""
+    """``docs`` with personal data replaced, n_chars to match, and n_entities of each row.
+
+    A column n_entities of the input gives way to the new one.
+    """
     again = redrawn(cut_lineage(found_entities(docs, text)), key)
-    columns = docs.columns
-    rows = docs.withColumn("__found", matches(F.col(text)))
+    names = [c for c in docs.columns if c != "n_entities"]
+    # The row travels as one struct, so its column names cannot meet those used here.
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text].alias("old"), matches(docs[text]).alias("found"))
     attempts = None
     if not again.isEmpty():
         # Texts that hold an entity drawn again, by digest: equal texts share one map.
-        held = rows.select(F.sha2(text, 256).alias("__key"), F.explode("__found").alias("m"))
-        held = held.select("__key", F.explode(entities(F.col("m"))).alias("e")).select("__key", "e.kind", "e.value").distinct()
-        maps = held.join(again, ["kind", "value"]).groupBy("__key").agg(
-            F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "kind", "value"), "attempt"))).alias("__attempts"))
-        rows = rows.withColumn("__key", F.sha2(text, 256)).join(maps, "__key", "left")
-        attempts = F.coalesce("__attempts", F.create_map().cast("map<string,int>"))
-    between = F.split(F.col(text), ENTITY, -1)
-    new = F.transform("__found", lambda m: surrogate(m, F.lit(key), attempts))
+        held = rows.select(F.sha2("old", 256).alias("digest"), F.explode("found").alias("m"))
+        held = held.select("digest", F.explode(entities(F.col("m"))).alias("e")).select("digest", "e.kind", "e.value").distinct()
+        maps = held.join(again, ["kind", "value"]).groupBy("digest").agg(
+            F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "kind", "value"), "attempt"))).alias("attempts"))
+        rows = rows.withColumn("digest", F.sha2("old", 256)).join(maps, "digest", "left")
+        attempts = F.coalesce("attempts", F.create_map().cast("map<string,int>"))
+    between = F.split("old", ENTITY, -1)
+    new = F.transform("found", lambda m: surrogate(m, F.lit(key), attempts))
     joined = F.array_join(F.flatten(F.zip_with(between, new, lambda b, n: F.array(b, F.coalesce(n, F.lit(""))))), "")
-    some = F.coalesce(F.size("__found"), F.lit(0)) > 0
-    out = rows.withColumn(text, F.when(some, joined).otherwise(F.col(text)))
-    counted = F.when(some, F.size("__found")).otherwise(0).cast("long").alias("n_entities")
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(some, F.length(text)).otherwise(F.col("n_chars")))
-    return out.select(*columns, counted)
+    some = F.coalesce(F.size("found"), F.lit(0)) > 0
+    rows = rows.withColumn("new", F.when(some, joined).otherwise(F.col("old")))
+
+    def column(name: str) -> Column:
+        if name == text:
+            return F.col("new").alias(name)
+        value = F.col("row").getField(name)
+        if name == "n_chars":
+            value = F.when(some, F.length("new").cast(docs.schema[name].dataType)).otherwise(value)
+        return value.alias(name)
+
+    counted = F.when(some, F.size("found")).otherwise(0).cast("long").alias("n_entities")
+    return rows.select(*[column(c) for c in names], counted)
