@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.functions.text import strip
-from evgraph.operators.ordered import number_rows, range_buckets
+from evgraph.operators.ordered import join_summary, number_rows, range_buckets
 from evgraph.session import cut_lineage
 
 
@@ -16,8 +16,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``links`` holds ``a`` and ``b``; returns ``node``, ``root`` for every node of
     a link.  Alternates large-star and small-star steps, which shrink any shape
     of graph in a number of rounds that grows with the logarithm of its size.
-    Each step is one minimum per node and one join; no neighbour list is built,
-    so a hub costs no more memory than any other node.
+    Each step is one minimum per node and one join; no neighbour list is built and
+    the rows of a hub are split over tasks.
     """
     edges = cut_lineage(
         links.select(
@@ -48,9 +48,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(
         edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     )
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(
+        "u", F.least("u", "m").alias("m"), "n"
+    )
     return (
-        both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        join_summary(both, low, ["u"], "n", "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         .filter("u <> v").distinct()
     )
 
@@ -58,8 +60,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = join_summary(down, low, ["u"], "n", "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from evgraph.session import cut_lineage
 
 _G = "__o_group"
+#: Rows of one key that a join hands to one task.
+TASK_ROWS = 200_000
 
 
 def range_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
@@ -104,3 +106,28 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Newest row per key, cut in the map tasks first."""
     return top_per_key(df, keys, [F.col(c).desc() for c in order], 1)
+
+
+def join_summary(
+    rows: DataFrame, summary: DataFrame, keys: Sequence[str], n: str, how: str = "left",
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """Join ``rows`` with one ``summary`` row per key, which counts the rows of the key in ``n``.
+
+    AQE does not split such a join, because the summary is partitioned by its own
+    grouping.  Here keys with more than ``task_rows`` rows are cut into several: their
+    rows get a salt from a hash of the row and the single summary row is repeated per
+    salt, so each row still meets exactly one.  At most four keys per shuffle partition
+    are treated so, the largest ones; any other key holds a smaller share than a task
+    does anyway.  That bound also limits what is broadcast.  ``n`` is dropped.
+    """
+    most = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = summary.filter(F.col(n) > task_rows).orderBy(F.col(n).desc(), *keys).limit(most).select(
+        *keys, F.ceil(F.col(n) / task_rows).cast("int").alias("__o_fan")
+    )
+    hot = F.broadcast(hot)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("__o_fan", F.lit(1))).cast("int")
+    left = rows.join(hot, list(keys), "left").withColumn("__o_salt", salt).drop("__o_fan")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("__o_fan", F.lit(1)) - 1))
+    right = summary.drop(n).join(hot, list(keys), "left").withColumn("__o_salt", every).drop("__o_fan")
+    return left.join(right, [*keys, "__o_salt"], how).drop("__o_salt")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from evgraph import vocab
 from evgraph.functions.text import claim_hash, content_hash, words
-from evgraph.operators.ordered import top_per_key
+from evgraph.operators.ordered import join_summary, top_per_key
+from evgraph.session import cut_lineage
 
 
 def url_chars(content: Column) -> Column:
@@ -67,17 +68,18 @@ def check_run(fetched: DataFrame, stored: DataFrame | None, *, now, days: int =
     source_id, content, fetched_at and a unique ``arrival``.
     """
     keys = ["source_id", "content_hash"]
-    d = with_features(fetched)
+    d = _narrow(fetched)
     per_key = d.groupBy(*keys).agg(*_copies())
     if stored is None:
         per_key = per_key.withColumn("__known", F.lit(False))
     else:
         recent = stored.filter(F.col("fetched_at") > F.lit(now) - F.make_dt_interval(F.lit(days)))
-        known = recent.select(
-            "source_id", content_hash(F.col("content")).alias("content_hash")
-        ).distinct().withColumn("__known", F.lit(True))
+        digest = content_hash(F.col("content"))
+        if "metadata" in stored.columns:  # written when the payload was stored
+            digest = F.coalesce(F.try_element_at("metadata", F.lit("content_hash")), digest)
+        known = recent.select("source_id", digest.alias("content_hash")).distinct().withColumn("__known", F.lit(True))
         per_key = per_key.join(known, keys, "left").fillna(False, ["__known"])
-    return _flag(d, per_key, keys)
+    return _flag(fetched, d, per_key, keys)
 
 
 def check_runs(fetched: DataFrame, *, run: Column, run_start: Column, days: int = 7) -> DataFrame:
@@ -89,7 +91,7 @@ def check_runs(fetched: DataFrame, *, run: Column, run_start: Column, days: int
     per run.
     """
     keys = ["source_id", "content_hash", "__run"]
-    d = with_features(fetched).withColumn("__run", run).withColumn("__start", run_start)
+    d = _narrow(fetched, __run=run, __start=run_start)
     per_key = d.groupBy(*keys).agg(
         *_copies(), F.max("fetched_at").alias("__seen"), F.min("__start").alias("__from")
     )
@@ -97,7 +99,7 @@ def check_runs(fetched: DataFrame, *, run: Column, run_start: Column, days: int
     earlier = F.max("__seen").over(w.rowsBetween(W.unboundedPreceding, -1))
     fresh = F.col("__from") - F.make_dt_interval(F.lit(days))
     per_key = per_key.withColumn("__known", F.coalesce(earlier > fresh, F.lit(False)))
-    return _flag(d, per_key, keys).drop("__run", "__start")
+    return _flag(fetched, d, per_key, keys)
 
 
 def _copies() -> list[Column]:
@@ -107,20 +109,27 @@ def _copies() -> list[Column]:
     ]
 
 
-def _flag(d: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+def _narrow(fetched: DataFrame, **more: Column) -> DataFrame:
+    """Features, keys and times of each row without its text, written once."""
+    rows = with_features(fetched.withColumns(more) if more else fetched)
+    return cut_lineage(rows.select(
+        "arrival", "source_id", "fetched_at", "content_hash", "__n", "__links", "__phrase", *more))
+
+
+def _flag(fetched: DataFrame, d: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     """Attach the reasons.  Only keys that are known or repeated are joined, which are few.
 
-    Content that fails another rule is never remembered, so its copies fail that
-    rule too.
+    Reasons are found on narrow rows and joined back by the unique arrival, so a text
+    copied very often is no hot key for the texts.  Content that fails another rule is
+    never remembered, so its copies fail that rule too.
     """
-    notable = per_key.filter("__known OR __copies > 1").select(*keys, "__known", "__first")
-    d = d.join(notable, keys, "left")
+    notable = per_key.filter("__known OR __copies > 1").select(*keys, "__known", "__first", "__copies")
+    d = join_summary(d, notable, keys, "__copies")
     acceptable = rejection(F.lit(False)).isNull()
     later = acceptable & (F.struct("fetched_at", "arrival") > F.col("__first"))
     duplicate = F.coalesce(F.col("__known") | later, F.lit(False))
-    return d.withColumn("rejected_reason", rejection(duplicate)).withColumn(
-        "rejected", F.col("rejected_reason").isNotNull()
-    ).drop("__known", "__first", "__n", "__links", "__phrase")
+    judged = d.select("arrival", "content_hash", rejection(duplicate).alias("rejected_reason"))
+    return fetched.join(judged, "arrival").withColumn("rejected", F.col("rejected_reason").isNotNull())
 
 
 def normalise(fetched: DataFrame) -> DataFrame:
@@ -163,4 +172,5 @@ def convergence(signals: DataFrame, by: str = "lens_id") -> DataFrame:
 def convergent_signals(signals: DataFrame) -> DataFrame:
     """DED-04: the signals of convergent claims, with their claim hash."""
     d = signals.withColumn("claim_hash", claim_hash(F.col("claim_text")))
-    return d.join(convergence(signals).select("claim_hash"), "claim_hash", "left_semi")
+    found = convergence(signals).select("claim_hash", "n_signals")
+    return join_summary(d, found, ["claim_hash"], "n_signals", "inner")

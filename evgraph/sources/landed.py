@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,14 +33,22 @@ REGISTRY_SCHEMA = (
 )
 
 
-def load_registry(spark: SparkSession, path: str) -> DataFrame:
+def load_registry(
+    spark: SparkSession, path: str, environment: dict[str, str] | None = None, allowed: Sequence[str] = ()
+) -> DataFrame:
     """SRC-01: registry stored as JSON lines, with defaults and variables filled in."""
-    return registry_defaults(spark.read.schema(REGISTRY_SCHEMA).json(path))
+    return registry_defaults(spark.read.schema(REGISTRY_SCHEMA).json(path), environment, allowed)
+
 
+def registry_defaults(
+    raw: DataFrame, environment: dict[str, str] | None = None, allowed: Sequence[str] = ()
+) -> DataFrame:
+    """Defaults of missing registry fields; ``$NAME`` and ``${NAME}`` in the base url.
 
-def registry_defaults(raw: DataFrame, environment: dict[str, str] | None = None) -> DataFrame:
-    """Defaults of missing registry fields; ``$NAME`` and ``${NAME}`` in the base url."""
-    env = dict(os.environ if environment is None else environment)
+    Values become part of the query plan.  ``environment`` gives them; without it only
+    the variables named in ``allowed`` are read from the process.
+    """
+    env = dict(environment) if environment is not None else {n: os.environ[n] for n in allowed if n in os.environ}
     url = F.coalesce("url_base", F.lit(""))
     names = sorted(n for n in env if re.fullmatch(r"\w+", n))
     table = F.create_map(*[F.lit(x) for n in names for x in (n, env[n])]) if names else None

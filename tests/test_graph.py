@@ -148,3 +148,13 @@ def test_vector_clusters_equal_all_pairs(spark, above, block, monkeypatch):
     pairs = [(i, i) for i in range(120)] + [
         (i, j) for i in range(120) for j in range(i) if rows[i][1] == rows[j][1] and c[i, j] > above]
     assert got == union_find(pairs)
+
+
+def test_cycles_do_not_include_what_joins_them(spark):
+    refs = [("x", a, b) for a, b in ["ab", "ba", "bc", "cd", "de", "ed", "fa", "eg"]]
+    refs += [("y", "p", "q"), ("y", "q", "r"), ("z", "s", "s"), ("z", "s", "t"), ("z", "t", "u")]
+    refs += [("w", a, b) for a, b in ["ab", "bc", "ca", "cd", "de", "ef", "fd"]]
+    d = spark.createDataFrame(refs, "batch_id string, source_ref string, target_ref string")
+    got = {(r.batch_id, r.slug) for r in traverse.reference_cycles(d).collect()}
+    want = {("x", c) for c in "abde"} | {("z", "s")} | {("w", c) for c in "abcdef"}
+    assert got == want
