@@ -383,15 +383,22 @@ def context_roots(t):
 , two AS (SELECT start, b AS stop, 2 AS hops, s * coalesce(w, 1.0) AS s, least(weakest, w) AS weakest,
     disputed OR w IS NULL AS disputed, n_f + CASE WHEN f <> '' THEN 1 ELSE 0 END AS n_f
   FROM one JOIN step ON a = stop WHERE b <> start AND b <> stop)
+, three AS (SELECT t.start, b AS stop, 3 AS hops, s * coalesce(w, 1.0) AS s, least(weakest, w) AS weakest,
+    disputed OR w IS NULL AS disputed, n_f + CASE WHEN f <> '' THEN 1 ELSE 0 END AS n_f
+  FROM (SELECT o.start, o.stop AS mid, k.b AS stop, o.s * coalesce(k.w, 1.0) AS s, least(o.weakest, k.w) AS weakest,
+      o.disputed OR k.w IS NULL AS disputed, o.n_f + CASE WHEN k.f <> '' THEN 1 ELSE 0 END AS n_f
+    FROM one o JOIN step k ON k.a = o.stop WHERE k.b <> o.start AND k.b <> o.stop) t
+  JOIN step ON a = t.stop WHERE b <> t.start AND b <> t.mid AND b <> t.stop)
 SELECT start, hops, count(*) AS n_paths, count(DISTINCT stop) AS n_ends,
   round(cast(max(s) AS double), 6) AS best, round(cast(sum(s) AS double), 6) AS total,
   cast(min(weakest) AS double) AS weakest, count(*) FILTER (WHERE disputed) AS n_disputed,
   cast(sum(n_f) AS bigint) AS n_falsifiers
-FROM (SELECT * FROM one UNION ALL SELECT * FROM two) z GROUP BY start, hops""",
+FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) z
+GROUP BY start, hops""",
     "edges", "condition_nodes"))
 def projection_paths(t):
     starts = t["condition_nodes"].filter("current_state = 'active'")
-    d = traverse.projection_paths(t["edges"], starts, depth=2)
+    d = traverse.projection_paths(t["edges"], starts, depth=3)
     return d.groupBy("start", "hops").agg(
         F.count(F.lit(1)).alias("n_paths"), F.countDistinct("end").alias("n_ends"),
         F.round(F.max("strength").cast("double"), 6).alias("best"),
@@ -648,6 +655,18 @@ ORDER BY CASE current_weight_band WHEN 'strong' THEN 1 ELSE 2 END,
   last_disconfirmation_pass ASC NULLS FIRST, e.updated_at DESC, edge_id LIMIT 20""",
     "edges", "condition_nodes"))
 def challenge_candidates(t):
+    return review.challenge_candidates(t["edges"], t["condition_nodes"], now=AS_OF, limit=20).select(
+        "edge_id", "source_name", "target_name", "current_weight_band"
+    )
+
+
+@query("challenge_candidates_all", duck(f"""
+SELECT edge_id, s.name AS source_name, d.name AS target_name, current_weight_band FROM edges e
+JOIN condition_nodes s ON s.node_id = e.source_node_id JOIN condition_nodes d ON d.node_id = e.target_node_id
+WHERE NOT e.deprecated AND falsification_criteria <> '' AND current_weight_band IN ('strong', 'moderate')
+  AND (last_disconfirmation_pass IS NULL OR last_disconfirmation_pass < {SQL_AS_OF} - interval '7' day)""",
+    "edges", "condition_nodes"))
+def challenge_candidates_all(t):
     return review.challenge_candidates(t["edges"], t["condition_nodes"], now=AS_OF).select(
         "edge_id", "source_name", "target_name", "current_weight_band"
     )
@@ -659,7 +678,7 @@ JOIN condition_nodes s ON s.node_id = e.source_node_id JOIN condition_nodes d ON
 WHERE NOT e.deprecated AND falsification_criteria <> '' AND current_weight_band IN ('strong', 'moderate')
 ORDER BY e.updated_at DESC, edge_id LIMIT 30""", "edges", "condition_nodes"))
 def inline_edges(t):
-    return review.inline_edges(t["edges"], t["condition_nodes"]).select(
+    return review.inline_edges(t["edges"], t["condition_nodes"], limit=30).select(
         "edge_id", "source_name", "target_name"
     )
 
@@ -679,7 +698,7 @@ JOIN condition_nodes d ON d.node_id = e.target_node_id WHERE outcome = 'found'
 ORDER BY challenged_at DESC, pass_event_id DESC LIMIT 20""", "challenges", "edges", "condition_nodes"))
 def challenge_log(t):
     return review.challenge_log(
-        t["challenges"], t["edges"], t["condition_nodes"], outcome="found"
+        t["challenges"], t["edges"], t["condition_nodes"], outcome="found", limit=20
     ).select("pass_event_id", "edge_id", "source_name", "target_name")
 
 

@@ -79,7 +79,7 @@ def stored_per_source(t):
 SELECT payload_id, source_id, fetched_at, cast(n AS int) AS content_length FROM checked
 WHERE rejected_reason IS NULL ORDER BY fetched_at DESC, payload_id LIMIT 20""", "payloads"))
 def payload_lengths(t):
-    return landed.recent_payloads(checked(t)).select(
+    return landed.recent_payloads(checked(t), limit=20).select(
         "payload_id", "source_id", "fetched_at", "content_length"
     )
 
@@ -304,6 +304,13 @@ SELECT signal_id, lens_id, content_timestamp FROM signals
 WHERE NOT anchored AND extracted_at < {SQL_AS_OF} - interval '1' hour
 ORDER BY content_timestamp DESC, signal_id LIMIT 200""", "signals"))
 def unanchored(t):
+    return signals.unanchored(t["signals"], now=AS_OF, limit=200).select("signal_id", "lens_id", "content_timestamp")
+
+
+@query("unanchored_all", duck(f"""
+SELECT signal_id, lens_id, content_timestamp FROM signals
+WHERE NOT anchored AND extracted_at < {SQL_AS_OF} - interval '1' hour""", "signals"))
+def unanchored_all(t):
     return signals.unanchored(t["signals"], now=AS_OF).select("signal_id", "lens_id", "content_timestamp")
 
 
@@ -312,7 +319,7 @@ SELECT signal_id, lens_id, extracted_at FROM signals WHERE payload_id IN
   (SELECT payload_id FROM payloads WHERE source_id = 'src3')
 ORDER BY extracted_at DESC, signal_id LIMIT 50""", "signals", "payloads"))
 def recent_by_source(t):
-    d = signals.recent(t["signals"], t["payloads"], source_id="src3")
+    d = signals.recent(t["signals"], t["payloads"], source_id="src3", limit=50)
     return d.select("signal_id", "lens_id", "extracted_at")
 
 
@@ -356,11 +363,22 @@ ORDER BY fetched_at DESC, payload_id LIMIT 200""", "model_responses", "payloads"
 def no_signal_payloads(t):
     found = extract.response_signals(t["model_responses"], vocab.lens_table(t.spark))
     p = t["payloads"].withColumn("rejected", F.length("content") < vocab.MIN_CONTENT_CHARS)
-    return landed.payloads_without_signals(p, found, now=AS_OF, hours=240).select(
+    return landed.payloads_without_signals(p, found, now=AS_OF, hours=240, limit=200).select(
         "payload_id", "fetched_at"
     )
 
 
+@query("no_signal_payloads_all", duck(_RESPONSES + f"""
+SELECT payload_id, fetched_at FROM payloads
+WHERE fetched_at > {SQL_AS_OF} - interval '240' hour
+  AND length(content) >= 80 AND NOT EXISTS (SELECT 1 FROM valid v WHERE v.payload_id = payloads.payload_id)""",
+    "model_responses", "payloads"))
+def no_signal_payloads_all(t):
+    found = extract.response_signals(t["model_responses"], vocab.lens_table(t.spark))
+    p = t["payloads"].withColumn("rejected", F.length("content") < vocab.MIN_CONTENT_CHARS)
+    return landed.payloads_without_signals(p, found, now=AS_OF, hours=240).select("payload_id", "fetched_at")
+
+
 _OP_BODY = """concat('Proposed: [{"operation":"', operation, '","reasoning":"r"',
   coalesce(concat(',"proposed_id":"', proposed_id, '","fields":{"name":"', name, '"}'), ''),
   coalesce(concat(',"node_type":"', node_type, '"'), ''),

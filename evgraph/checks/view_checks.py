@@ -91,14 +91,15 @@ def histories(t):
 def recent(t, hours=24, limit=15):
     w, s = histories(t)
     return changes.recent_changes(
-        t["condition_nodes"], t["edges"], w, s, t["topic_nodes"], as_of=AS_OF, hours=hours, limit=limit
+        t["condition_nodes"], t["edges"], w, s, t["topic_nodes"], as_of=AS_OF, hours=hours, limit=limit,
+        caps=(50, 50, 30),
     )
 
 
 def _week(t):
     w, s = histories(t)
     return changes.change_stream(
-        t["condition_nodes"], t["edges"], w, s, as_of=AS_OF, hours=168, caps=(None, None, None)
+        t["condition_nodes"], t["edges"], w, s, as_of=AS_OF, hours=168
     )
 
 
@@ -121,6 +122,14 @@ def recent_changes(t):
     return recent(t).withColumn("topic_ids", F.array_join("topic_ids", "|"))
 
 
+@query("recent_changes_all", duck(_CHANGES.format(since=_SINCE, cap50="", cap30="") + """
+SELECT change_id, change_type, summary, dimension, occurred_at, target_id, impact_rank FROM rec""", *_TABLES))
+def recent_changes_all(t):
+    w, s = histories(t)
+    d = changes.change_stream(t["condition_nodes"], t["edges"], w, s, as_of=AS_OF, hours=24)
+    return d.select("change_id", "change_type", "summary", "dimension", "occurred_at", "target_id", "impact_rank")
+
+
 @query("changes_by_topic", duck(_WEEK + """
 , tgt AS (SELECT change_id, target_id AS node_id FROM rec WHERE target_type = 'node'
   UNION SELECT change_id, source_node_id FROM rec JOIN edges ON edge_id = target_id
@@ -375,8 +384,8 @@ def _by_keyword(text: str, cols: str, source: str) -> str:
         for d in vocab.DIMENSIONS)
 
 
-def _evidence(t):
-    return topics.evidence_bundle(t["condition_nodes"], t["edges"], t["edge_history"], as_of=AS_OF)
+def _evidence(t, pre=(100, 100, 30)):
+    return topics.evidence_bundle(t["condition_nodes"], t["edges"], t["edge_history"], as_of=AS_OF, pre=pre)
 
 
 _EV_TABLES = ["condition_nodes", "edges", "edge_history"]
@@ -405,6 +414,27 @@ def evidence_edges(t):
     return _evidence(t)[1].select("dimension", "edge_id")
 
 
+@query("evidence_conditions_all", duck(f"""
+, c AS (SELECT * FROM condition_nodes WHERE current_state = 'active' AND created_at <= {SQL_AS_OF})
+, d AS ({_by_keyword("concat(name, ' ', coalesce(description, ''))", "node_id, name, updated_at", "c")})
+SELECT dimension, node_id, name FROM d
+QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY updated_at DESC, node_id) <= 20""", *_EV_TABLES))
+def evidence_conditions_all(t):
+    return _evidence(t, (None, None, None))[0].select("dimension", "node_id", "name")
+
+
+@query("evidence_edges_all", duck(f"""
+, c AS (SELECT e.*, s.name AS sn, d.name AS dn, CASE current_weight_band WHEN 'strong' THEN 0 ELSE 1 END
+    AS r FROM edges e JOIN condition_nodes s ON s.node_id = e.source_node_id
+  JOIN condition_nodes d ON d.node_id = e.target_node_id
+  WHERE current_weight_band {_HIGH} AND NOT deprecated AND e.created_at <= {SQL_AS_OF})
+, d AS ({_by_keyword("concat(sn, ' ', dn)", "edge_id, r, updated_at", "c")})
+SELECT dimension, edge_id FROM d
+QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY r, updated_at DESC, edge_id) <= 25""", *_EV_TABLES))
+def evidence_edges_all(t):
+    return _evidence(t, (None, None, None))[1].select("dimension", "edge_id")
+
+
 @query("evidence_changes", duck(f"""
 SELECT h.id, concat(s.name, ' ', replace(edge_type, '_', ' '), ' ', d.name, ' — ',
   CASE change_type WHEN 'disconfirmation' THEN 'disconfirmed' ELSE change_type END) AS summary
@@ -562,7 +592,7 @@ SELECT batch_id, count(*) AS n_events, count(*) FILTER (WHERE NOT rejected) AS n
 FROM events_log WHERE applied_at > {SQL_AS_OF} - interval '7' day GROUP BY batch_id
 ORDER BY batch_start DESC, batch_id LIMIT 20""", "events_log"))
 def batch_quality(t):
-    return health.batch_quality(t["events_log"].withColumn("lens_id", F.col("event_id") % 7), now=AS_OF)
+    return health.batch_quality(t["events_log"].withColumn("lens_id", F.col("event_id") % 7), now=AS_OF, limit=20)
 
 
 @query("signal_flow", duck(f"""

@@ -209,7 +209,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
         done = done.unionByName(packed.filter(closed).select(*names, "sequence_id", "offset"))
         rest = packed.filter(~closed).select(*names)
         again = rest.count()
-        if again > 0.9 * left:  # hardly a bin was filled: dealing anew would not help
+        if again > 0.98 * left:  # hardly a bin was filled: dealing anew would not help
             done = done.unionByName(packed.filter(~closed).select(*names, "sequence_id", "offset"))
             break
         left, round_no = again, round_no + 1

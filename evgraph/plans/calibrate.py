@@ -105,7 +105,7 @@ def resolve(
 
 
 def checkpoint_live(
-    tracking: DataFrame, *, now: datetime, observation_days: int = 90, batch_size: int | None = 2000,
+    tracking: DataFrame, *, now: datetime, observation_days: int = 90, batch_size: int | None = None,
     **tables: DataFrame,
 ) -> DataFrame:
     """CAL-10: resolve signals of the live run once they are ``observation_days`` old."""

@@ -59,13 +59,13 @@ def change_stream(
     *,
     as_of: datetime,
     hours: int = 24,
-    caps: tuple[int | None, int | None, int | None] = (50, 50, 30),
+    caps: tuple[int | None, int | None, int | None] = (None, None, None),
 ) -> DataFrame:
     """SET-02: weight changes, state flips and new edges of the window as change records.
 
     Histories carry their previous value (``previous_weight_band``,
-    ``previous_state``).  Bounds are inclusive.  ``caps`` are the per-stream cuts
-    of the home view; pass ``None`` for all rows.
+    ``previous_state``).  Bounds are inclusive.  ``caps`` cut each stream to
+    its newest rows before the streams are ranked together, as the home view may do.
     """
     since, until = F.lit(as_of - timedelta(hours=hours)), F.lit(as_of)
 
@@ -241,11 +241,12 @@ def recent_changes(
     *,
     as_of: datetime,
     hours: int = 24,
-    limit: int = 15,
+    limit: int | None = 15,
     newest_first: bool = False,
+    caps: tuple[int | None, int | None, int | None] = (None, None, None),
 ) -> DataFrame:
     """CHG-01: the ranked change list of the home view, with blast radius and topics."""
-    d = change_stream(nodes, edges, weight_history, state_history, as_of=as_of, hours=hours)
+    d = change_stream(nodes, edges, weight_history, state_history, as_of=as_of, hours=hours, caps=caps)
     # Cut first, enrich after: the short list is written once and read by every lookup.
     d = attach_counts(cut_lineage(rank_changes(d, limit, newest_first)), edges)
     return d if topic_nodes is None else attach_topics(d, edges, topic_nodes)

@@ -67,7 +67,7 @@ def last_job_runs(runs: DataFrame, *, now: datetime, days: int = 7) -> DataFrame
     )
 
 
-def batch_quality(events: DataFrame, *, now: datetime, days: int = 7, limit: int | None = 20) -> DataFrame:
+def batch_quality(events: DataFrame, *, now: datetime, days: int = 7, limit: int | None = None) -> DataFrame:
     """AGG-07: events, applied, rejected, start, lenses and rejection rate per batch."""
     d = events.filter(_after("applied_at", now, days=days)).groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n_events"),

@@ -24,7 +24,7 @@ CHALLENGE_OPERATIONS = ["add_disconfirming_signal", "update_edge_weight"]
 
 def challenge_candidates(
     edges: DataFrame, nodes: DataFrame, *, now: datetime, rechallenge_days: int = 7,
-    limit: int | None = 20,
+    limit: int | None = None,
 ) -> DataFrame:
     """DSC-01: live strong or moderate edges due for a challenge.
 
@@ -44,17 +44,17 @@ def challenge_candidates(
         F.col("edge_id"),
     ]
     # Endpoint names are joined to the cut list; both endpoints always exist.
-    d = d.orderBy(*order)
-    return named_edges(d if limit is None else d.limit(limit), nodes)
+    return named_edges(d if limit is None else d.orderBy(*order).limit(limit), nodes)
 
 
-def inline_edges(edges: DataFrame, nodes: DataFrame, limit: int = 30) -> DataFrame:
+def inline_edges(edges: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
     """DSC-03: newest strong or moderate edges shown with every payload."""
     d = edges.filter(
         ~F.col("deprecated") & (F.col("falsification_criteria") != "")
         & is_high(F.col("current_weight_band"))
     )
-    return named_edges(d.orderBy(F.col("updated_at").desc(), "edge_id").limit(limit), nodes)
+    d = d if limit is None else d.orderBy(F.col("updated_at").desc(), "edge_id").limit(limit)
+    return named_edges(d, nodes)
 
 
 def stale_support(
@@ -94,13 +94,13 @@ def challenge_totals(challenges: DataFrame) -> DataFrame:
 
 def challenge_log(
     challenges: DataFrame, edges: DataFrame, nodes: DataFrame, *, outcome: str | None = None,
-    limit: int = 20,
+    limit: int | None = None,
 ) -> DataFrame:
     """FLT-30: newest challenges with the names of the edge's endpoints."""
     d = challenges if outcome is None else challenges.filter(F.col("outcome") == outcome)
     order = [F.col("challenged_at").desc(), F.col("pass_event_id").desc()]
     d = d.join(edges.select("edge_id", "edge_type", "source_node_id", "target_node_id"), "edge_id")
-    return named_edges(d.orderBy(*order).limit(limit), nodes)
+    return named_edges(d if limit is None else d.orderBy(*order).limit(limit), nodes)
 
 
 def parse_challenges(responses: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def run_pass(
     responses: DataFrame,
     *,
     now: datetime,
-    limit: int = 20,
+    limit: int | None = None,
     window_days: int = 7,
 ) -> dict[str, DataFrame]:
     """DSC-02: candidates, their signals, outcomes, graph events and the stamped edges.

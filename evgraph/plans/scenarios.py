@@ -27,14 +27,15 @@ def with_deprecation(scenarios: DataFrame) -> DataFrame:
 
 
 def read_scenarios(
-    scenarios: DataFrame, *, as_of, dimension: str | None = None, limit: int = 20,
+    scenarios: DataFrame, *, as_of, dimension: str | None = None, limit: int | None = None,
     include_deprecated: bool = False,
 ) -> DataFrame:
     """FLT-29: newest scenarios generated by ``as_of``, bands in text order."""
     d = scenarios.filter(F.col("generated_at") <= F.lit(as_of))
     d = d if include_deprecated else d.filter(~F.col("deprecated"))
     d = d if dimension is None else d.filter(F.col("dimension") == dimension)
-    return d.orderBy(F.col("generated_at").desc(), "probability_band", "scenario_id").limit(limit)
+    order = [F.col("generated_at").desc(), "probability_band", "scenario_id"]
+    return d if limit is None else d.orderBy(*order).limit(limit)
 
 
 def projection_cycle(responses: DataFrame, stored: DataFrame | None, *, save_no: int) -> DataFrame:

@@ -20,7 +20,7 @@ BAND_WEIGHTS = {"hard_datum": 1.0, "reported_claim": 0.75, "inference": 0.5, "we
 
 def unanchored(
     signals: DataFrame, *, now: datetime, min_age_hours: int = 1, lens_id: str | None = None,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """FLT-06: signals not yet anchored and old enough, newest content first."""
     d = signals.filter(
@@ -34,14 +34,14 @@ def unanchored(
 
 def recent(
     signals: DataFrame, payloads: DataFrame, *, source_id: str | None = None,
-    lens_id: str | None = None, limit: int = 50,
+    lens_id: str | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """FLT-07, JOI-05: newest extracted signals, optionally of one lens or source."""
+    """FLT-07, JOI-05: extracted signals, optionally of one lens or source, the newest ``limit``."""
     d = signals if lens_id is None else signals.filter(F.col("lens_id") == lens_id)
     if source_id is not None:
         wanted = payloads.filter(F.col("source_id") == source_id).select("payload_id")
         d = d.join(wanted, "payload_id", "left_semi")
-    return d.orderBy(F.col("extracted_at").desc(), "signal_id").limit(limit)
+    return d if limit is None else d.orderBy(F.col("extracted_at").desc(), "signal_id").limit(limit)
 
 
 def with_citation(signals: DataFrame, payloads: DataFrame) -> DataFrame:

@@ -166,20 +166,21 @@ def evidence_bundle(
     weight_history: DataFrame,
     *,
     as_of: datetime,
-    pre: tuple[int, int, int] = (100, 100, 30),
+    pre: tuple[int | None, int | None, int | None] = (None, None, None),
     keep: tuple[int, int, int] = (20, 25, 10),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """EVD-01: active conditions, strong edges and recent changes for each dimension.
 
-    The newest rows are cut first (``pre``), then filtered by keywords and cut per
-    dimension (``keep``).  Changes are not filtered by dimension.
+    Rows are filtered by keywords and cut per dimension (``keep``).  ``pre`` may cut all
+    rows to the newest before that; a dimension then loses evidence that is older.  Changes are not filtered by dimension.
     """
     until = F.lit(as_of)
     newest = [F.col("updated_at").desc(), F.col("node_id")]
     c = nodes.filter(
         (F.col("node_type") == "condition") & (F.col("current_state") == "active")
         & (F.col("created_at") <= until)
-    ).orderBy(*newest).limit(pre[0])
+    )
+    c = _cut(c, newest, pre[0])
     text = F.concat("name", F.lit(" "), F.coalesce("description", F.lit("")))
     c = c.select("node_id", "name", "description", "updated_at",
                  F.explode(_keyword_dimensions(text)).alias("dimension"))
@@ -189,7 +190,7 @@ def evidence_bundle(
     e = edges.filter(
         is_high(F.col("current_weight_band")) & ~F.col("deprecated") & (F.col("created_at") <= until)
     )
-    e = named_edges(e, nodes).orderBy(*best).limit(pre[1])
+    e = _cut(named_edges(e, nodes), best, pre[1])
     e = e.withColumn("dimension", F.explode(_keyword_dimensions(
         F.concat("source_name", F.lit(" "), "target_name"))))
     strong = top_per_key(e, ["dimension"], best, keep[1])
@@ -197,7 +198,7 @@ def evidence_bundle(
     h = weight_history.filter(
         F.col("content_timestamp").between(F.lit(as_of - timedelta(days=14)), until)
     ).join(edges.select("edge_id", "source_node_id", "target_node_id", "edge_type"), "edge_id")
-    h = h.orderBy(F.col("content_timestamp").desc(), F.col("id").desc()).limit(min(pre[2], keep[2]))
+    h = h.orderBy(F.col("content_timestamp").desc(), F.col("id").desc()).limit(keep[2] if pre[2] is None else min(pre[2], keep[2]))
     h = named_edges(h, nodes)
     verb = F.when(F.col("change_type") == "disconfirmation", "disconfirmed").otherwise(F.col("change_type"))
     changes = h.select(
@@ -208,6 +209,10 @@ def evidence_bundle(
     return conditions, strong, changes
 
 
+def _cut(d: DataFrame, order: list, n: int | None) -> DataFrame:
+    return d if n is None else d.orderBy(*order).limit(n)
+
+
 def _keyword_dimensions(text):
     """Dimensions whose own keywords occur; nothing is assigned by default."""
     low = F.lower(text)

@@ -332,24 +332,25 @@ def replay(payloads: DataFrame, start, end, sources: list[str] | None = None) ->
     return d if sources is None else d.filter(F.col("source_id").isin(sources))
 
 
-def notable_events(events: DataFrame, limit: int = 500) -> DataFrame:
-    """SRC-18: events by time; the limit is 1 to 2000."""
+def notable_events(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """SRC-18: all events, or the first ``limit`` (1 to 2000) by time."""
+    if limit is None:
+        return events
     if not 1 <= limit <= 2000:
         raise ValueError("limit must be between 1 and 2000")
     return events.orderBy("occurred_at", "label").limit(limit)
 
 
-def recent_payloads(payloads: DataFrame, limit: int = 20, source_id: str | None = None) -> DataFrame:
+def recent_payloads(payloads: DataFrame, limit: int | None = None, source_id: str | None = None) -> DataFrame:
     """FLT-08: newest accepted payloads with the length of their content."""
     d = payloads.filter(~F.col("rejected"))
     d = d if source_id is None else d.filter(F.col("source_id") == source_id)
-    return d.withColumn("content_length", F.length("content")).drop("content").orderBy(
-        F.col("fetched_at").desc(), "payload_id"
-    ).limit(limit)
+    d = d.withColumn("content_length", F.length("content")).drop("content")
+    return d if limit is None else d.orderBy(F.col("fetched_at").desc(), "payload_id").limit(limit)
 
 
 def payloads_without_signals(
-    payloads: DataFrame, signals: DataFrame, *, now, hours: int = 2, limit: int | None = 200
+    payloads: DataFrame, signals: DataFrame, *, now, hours: int = 2, limit: int | None = None
 ) -> DataFrame:
     """JOI-06: accepted recent payloads that no signal refers to, newest first."""
     d = payloads.filter(
