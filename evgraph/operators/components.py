@@ -26,16 +26,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     nodes = edges.select(F.col("u").alias("node")).unionAll(edges.select("v")).distinct()
     stars = edges.filter("u <> v")
-    previous = None
+    previous, n = None, edges.count()
     for _ in range(max_rounds):
-        stars = cut_lineage(_small_star(_large_star(stars)))
+        # A large star writes at most one row per end of an edge.
+        stars = cut_lineage(_small_star(_large_star(stars, 2 * n), 2 * n))
         # Row count and a digest of the rows tell whether a round changed anything.
         state = stars.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")
         ).first()
         if state == previous:
             break
-        previous = state
+        previous, n = state, state["n"]
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     return nodes.join(stars, nodes["node"] == stars["u"], "left").select(
@@ -43,7 +44,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Connect each larger neighbour of a node to the node's smallest neighbour."""
     both = edges.select("u", "v").unionAll(
         edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
@@ -52,16 +53,16 @@ def _large_star(edges: DataFrame) -> DataFrame:
         "u", F.least("u", "m").alias("m"), "n"
     )
     return (
-        join_summary(both, low, ["u"], "n", "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        join_summary(both, low, ["u"], "n", "inner", total=total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         .filter("u <> v").distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = join_summary(down, low, ["u"], "n", "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join_summary(down, low, ["u"], "n", "inner", total=total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

@@ -110,7 +110,7 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
 
 def join_summary(
     rows: DataFrame, summary: DataFrame, keys: Sequence[str], n: str, how: str = "left",
-    task_rows: int = TASK_ROWS,
+    task_rows: int = TASK_ROWS, total: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` with one ``summary`` row per key, which counts the rows of the key in ``n``.
 
@@ -119,8 +119,11 @@ def join_summary(
     rows get a salt from a hash of the row and the single summary row is repeated per
     salt, so each row still meets exactly one.  At most four keys per shuffle partition
     are treated so, the largest ones; any other key holds a smaller share than a task
-    does anyway.  That bound also limits what is broadcast.  ``n`` is dropped.
+    does anyway.  That bound also limits what is broadcast.  ``n`` is dropped.  With a
+    known ``total`` of rows that fits one task no key can be hot and the join is plain.
     """
+    if total is not None and total <= task_rows:
+        return rows.join(summary.drop(n), list(keys), how)
     most = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = summary.filter(F.col(n) > task_rows).orderBy(F.col(n).desc(), *keys).limit(most).select(
         *keys, F.ceil(F.col(n) / task_rows).cast("int").alias("__o_fan")
