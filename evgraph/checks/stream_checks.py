@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evgraph.checks.ingest_checks import CHECKED
 from evgraph.checks.registry import query
 from evgraph.checks.tables import duck
 from evgraph.session import ensure_checkpoint_dir
@@ -23,17 +24,33 @@ def stream(t, name: str) -> DataFrame:
     return d
 
 
-def finish(t, d: DataFrame, mode: str) -> DataFrame:
+def home(t) -> str:
+    """A new folder below the session's checkpoint folder."""
+    return f"{ensure_checkpoint_dir(t.spark)}/streams/{uuid.uuid4().hex}"
+
+
+def finish(t, d: DataFrame, keys: list[str]) -> DataFrame:
     """Run over all input; table and progress go below the session's checkpoint folder."""
-    home = f"{ensure_checkpoint_dir(t.spark)}/streams/{uuid.uuid4().hex}"
-    return jobs.run_to_table(d, f"{home}/table", f"{home}/progress", mode)
+    at = home(t)
+    return jobs.run_to_table(d, f"{at}/table", f"{at}/progress", "update", keys)
+
+
+def in_files(t, d: DataFrame, time: str, parts: int) -> DataFrame:
+    """``d`` as a stream of several micro-batches in the order of ``time``, one file each."""
+    at = f"{home(t)}/input"
+    d = d.withColumn("__day", F.dayofmonth(time))
+    for k in range(parts):
+        low, high = 31 * k // parts, 31 * (k + 1) // parts
+        rows = d.filter((F.col("__day") > low) & (F.col("__day") <= high)).drop("__day")
+        rows.coalesce(1).write.mode("append").parquet(at)
+    return t.spark.readStream.schema(d.drop("__day").schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
 @query("stream_weekly", """
 SELECT date_trunc('week', ts)::timestamp AS week_start, event_type, count(*) AS n
 FROM events GROUP BY ALL""")
 def stream_weekly(t):
-    return finish(t, jobs.weekly_counts(stream(t, "events"), "ts", ["event_type"]), "complete")
+    return finish(t, jobs.weekly_counts(stream(t, "events"), "ts", ["event_type"]), ["week_start", "event_type"])
 
 
 @query("stream_rolling", """
@@ -41,7 +58,7 @@ WITH e AS (SELECT date_trunc('hour', ts) AS h FROM events)
 SELECT h + to_hours(k) AS as_of, count(*) AS n
 FROM e CROSS JOIN (SELECT unnest(range(1, 25)) AS k) r GROUP BY 1""")
 def stream_rolling(t):
-    return finish(t, jobs.rolling_counts(stream(t, "events"), "ts"), "complete")
+    return finish(t, jobs.rolling_counts(stream(t, "events"), "ts"), ["as_of"])
 
 
 @query("stream_sessions", """
@@ -49,20 +66,34 @@ WITH l AS (SELECT *, coalesce(ts >= lag(ts) OVER w + interval '30' minute, true)
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 , r AS (SELECT *, sum(fresh::int) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM l)
 SELECT user_id, min(ts) AS started_at, max(ts) + interval '30' minute AS expires_at, count(*) AS n
-FROM r GROUP BY user_id, run""")
+FROM r GROUP BY user_id, run
+HAVING expires_at <= (SELECT max(ts) - interval '48' hour FROM events)""")
 def stream_sessions(t):
+    """Closed sessions: those that ended before the watermark, two days behind the newest event."""
     d = jobs.idle_sessions(stream(t, "events"), "ts", "user_id", gap="30 minutes")
-    return finish(t, d, "complete")
+    at = home(t)
+    return jobs.run_to_table(d, f"{at}/table", f"{at}/progress", "append")
+
+
+@query("stream_known_content", duck(CHECKED + """
+SELECT payload_id, source_id, content_hash, rejected_reason IS NOT NULL AS rejected,
+  rejected_reason FROM checked""", "payloads"))
+def stream_known_content(t):
+    """Four micro-batches of a week; the memory of one reaches into the next."""
+    p = t["payloads"].withColumn("arrival", F.col("payload_id"))
+    rows = jobs.check_stream(
+        in_files(t, p, "fetched_at", 4), home(t), run=F.to_date("fetched_at"), run_start=F.date_trunc("day", "fetched_at"))
+    return rows.select("payload_id", "source_id", "content_hash", "rejected", "rejected_reason")
 
 
 @query("stream_dedup", duck("""
 SELECT source_id, count(DISTINCT sha256(content)) AS n_contents FROM payloads GROUP BY source_id""",
     "payloads"))
 def stream_dedup(t):
-    """All documents arrive in one micro-batch, so each content of a source is kept once."""
+    """All documents arrive in one run; what is no repeat is one row per content of a source."""
     d = stream(t, "documents").select(
-        F.col("source").alias("source_id"), F.col("text").alias("content"),
+        F.col("source").alias("source_id"), F.col("text").alias("content"), F.col("doc_id").alias("arrival"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("fetched_at"),
     )
-    kept = finish(t, jobs.first_seen(d).drop("content"), "append")
-    return kept.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_contents"))
+    rows = jobs.check_stream(d, home(t), run=F.to_date("fetched_at"), run_start=F.date_trunc("day", "fetched_at"))
+    return rows.groupBy("source_id").agg(F.countDistinct("content_hash").alias("n_contents"))

@@ -83,23 +83,41 @@ def check_run(fetched: DataFrame, stored: DataFrame | None, *, now, days: int =
 
 
 def check_runs(fetched: DataFrame, *, run: Column, run_start: Column, days: int = 7) -> DataFrame:
-    """DED-01/02 over a history of runs: each run sees what earlier runs stored.
+    """DED-01/02 over a history of runs: each run sees what earlier runs stored."""
+    return check_more_runs(fetched, run=run, run_start=run_start, days=days)[0]
+
+
+def check_more_runs(
+    fetched: DataFrame, *, run: Column, run_start: Column, days: int = 7, memory: DataFrame | None = None,
+    remember: bool = False,
+) -> tuple[DataFrame, DataFrame | None]:
+    """:func:`check_runs` of later rows: (flagged rows, memory for runs after these).
 
     Content of a source counts as known when an earlier run stored it within
     ``days`` before the run's start.  Rows are first reduced to one per source,
     content and run; only those are ordered, so copies of one text cost one row
-    per run.
+    per run.  ``memory`` holds such rows of runs before these; with ``remember`` the one
+    returned keeps what a run that starts no earlier than the last one can still see.
     """
     keys = ["source_id", "content_hash", "__run"]
     d = _narrow(fetched, __run=run, __start=run_start)
     per_key = d.groupBy(*keys).agg(
         *_copies(), F.max("fetched_at").alias("__seen"), F.min("__start").alias("__from")
     )
+    if memory is not None:
+        per_key = per_key.unionByName(memory).groupBy(*keys).agg(
+            F.sum("__copies").alias("__copies"), F.min("__first").alias("__first"),
+            F.max("__seen").alias("__seen"), F.min("__from").alias("__from"))
     w = W.partitionBy("source_id", "content_hash").orderBy("__run")
     earlier = F.max("__seen").over(w.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.col("__from") - F.make_dt_interval(F.lit(days))
+    age = F.make_dt_interval(F.lit(days))
+    fresh = F.col("__from") - age
+    kept = None
+    if remember:
+        last = d.agg(F.max("__start")).first()[0]
+        kept = per_key if last is None else per_key.filter(F.col("__seen") > F.lit(last) - age)
     per_key = per_key.withColumn("__known", F.coalesce(earlier > fresh, F.lit(False)))
-    return _flag(fetched, d, per_key, keys)
+    return _flag(fetched, d, per_key, keys), kept
 
 
 def _copies() -> list[Column]:
@@ -128,8 +146,12 @@ def _flag(fetched: DataFrame, d: DataFrame, per_key: DataFrame, keys: list[str])
     acceptable = rejection(F.lit(False)).isNull()
     later = acceptable & (F.struct("fetched_at", "arrival") > F.col("__first"))
     duplicate = F.coalesce(F.col("__known") | later, F.lit(False))
-    judged = d.select("arrival", "content_hash", rejection(duplicate).alias("rejected_reason"))
-    return fetched.join(judged, "arrival").withColumn("rejected", F.col("rejected_reason").isNotNull())
+    judged = d.select(
+        F.col("arrival").alias("__a"), F.col("fetched_at").alias("__t"), "content_hash",
+        rejection(duplicate).alias("rejected_reason"),
+    ).distinct()  # rows that agree in all of these get one verdict
+    same = fetched["arrival"].eqNullSafe(F.col("__a")) & fetched["fetched_at"].eqNullSafe(F.col("__t"))
+    return fetched.join(judged, same).drop("__a", "__t").withColumn("rejected", F.col("rejected_reason").isNotNull())
 
 
 def normalise(fetched: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs (STR-01..03, 05..07, 10).
+"""Structured Streaming jobs (STR-01..07, 10).
 
 Event times are cast to ``timestamp`` before a watermark, which refuses
 timestamps without zone.  Jobs run with ``availableNow`` on a schedule or
@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.functions.text import content_hash
+from evgraph.operators.components import form_batches, group_signals
+from evgraph.operators.ordered import latest
+from evgraph.operators.quality import check_more_runs
+from evgraph.session import cut_lineage
 
 
 def pending_payloads(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):
@@ -28,13 +31,27 @@ def pending_payloads(stream: DataFrame, work: Callable[[DataFrame, int], None],
     )
 
 
-def first_seen(stream: DataFrame, days: int = 7) -> DataFrame:
-    """STR-02: first row per source and content hash within a duplicate memory of ``days``."""
-    d = stream.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
-    d = d.withColumn("content_hash", content_hash(F.col("content")))
-    return d.withWatermark("fetched_at", f"{days} days").dropDuplicatesWithinWatermark(
-        ["source_id", "content_hash"]
+def check_stream(stream: DataFrame, home: str, *, run: Column, run_start: Column, days: int = 7) -> DataFrame:
+    """STR-02: rows of a stream with quality flags; runs arrive in order, each in any number of batches.
+
+    The rule is the one of :func:`check_runs`.  Between micro-batches one narrow row per
+    source, content and run of the last ``days`` is kept, under the number of the batch,
+    so a batch that is repeated after a failure reads and writes the same.  Repeats are
+    flagged, not dropped.
+    """
+    def work(batch: DataFrame, number: int) -> None:
+        read = batch.sparkSession.read
+        before = read.parquet(f"{home}/memory/{number - 1}") if number else None
+        flagged, memory = check_more_runs(
+            batch, run=run, run_start=run_start, days=days, memory=before, remember=True)
+        memory.write.mode("overwrite").parquet(f"{home}/memory/{number}")
+        flagged.write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
+
+    (
+        stream.writeStream.option("checkpointLocation", f"{home}/progress")
+        .trigger(availableNow=True).foreachBatch(work).start().awaitTermination()
     )
+    return stream.sparkSession.read.parquet(f"{home}/rows/batch=*")
 
 
 def split_late(batch: DataFrame, watermark) -> tuple[DataFrame, DataFrame]:
@@ -73,23 +90,27 @@ def idle_sessions(stream: DataFrame, time: str, key: str, gap: str = "48 hours",
     )
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+def run_to_table(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: list[str] | None = None
+) -> DataFrame:
     """Run an aggregate over all available input and read the result back.
 
-    ``complete`` replaces the table with every micro-batch; ``append`` adds rows.
-    A batch is written under its number, so a repeated batch overwrites itself.
+    ``append`` adds final rows; ``update`` adds the changed rows of a micro-batch, of
+    which the newest per ``keys`` is read.  A batch is written under its number, so a
+    repeated batch overwrites itself, and nothing is written twice.
     """
     def write(batch: DataFrame, number: int) -> None:
-        folder = path if mode == "complete" else f"{path}/batch={number}"
-        batch.write.mode("overwrite").parquet(folder)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
-    rows = stream.sparkSession.read.schema(stream.schema)
-    return rows.parquet(path) if mode == "complete" else rows.parquet(f"{path}/batch=*")
+    rows = stream.sparkSession.read
+    if mode == "append":
+        return rows.schema(stream.schema).parquet(f"{path}/batch=*")
+    return latest(rows.option("basePath", path).parquet(f"{path}/batch=*"), keys, ["batch"]).drop("batch")
 
 
 def fold_stream(events: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame],
@@ -113,3 +134,36 @@ def fold_stream(events: DataFrame, fold: Callable[[DataFrame | None, DataFrame],
         events.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(work).start()
     )
+
+
+def hold_back(signals: DataFrame, home: str, *, hold_hours: float = 6.0, minimum: int = 2) -> DataFrame:
+    """STR-04: release signals in batches once their group is large enough or overdue.
+
+    ``signals`` streams signal_id, names (array), content_timestamp and extracted_at.
+    The signals that wait are a small table under the number of the micro-batch.  They
+    and the new ones are grouped by shared names, transitively, and cut into batches as
+    in the batch form; the clock is the newest extraction time so far.  A signal leaves
+    once, and a later single signal of its group waits again.
+    """
+    def work(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        columns = batch.columns
+        pool = batch if not number else batch.unionByName(spark.read.parquet(f"{home}/waiting/{number - 1}"))
+        pool = cut_lineage(pool)
+        clock = pool.agg(F.max("extracted_at")).first()[0]
+        if number:
+            before = spark.read.parquet(f"{home}/clock/{number - 1}").first()[0]
+            clock = max(t for t in (clock, before) if t is not None)
+        names = pool.select("signal_id", F.explode("names").alias("name"))
+        out = cut_lineage(form_batches(
+            group_signals(pool, names), now=clock, minimum=minimum, max_hold_hours=hold_hours))
+        waiting = pool.join(out.select("signal_id"), "signal_id", "left_anti").select(*columns)
+        out.write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
+        waiting.write.mode("overwrite").parquet(f"{home}/waiting/{number}")
+        spark.range(1).select(F.lit(clock).alias("clock")).write.mode("overwrite").parquet(f"{home}/clock/{number}")
+
+    (
+        signals.writeStream.option("checkpointLocation", f"{home}/progress")
+        .trigger(availableNow=True).foreachBatch(work).start().awaitTermination()
+    )
+    return signals.sparkSession.read.option("basePath", f"{home}/rows").parquet(f"{home}/rows/batch=*")

@@ -1,4 +1,4 @@
-"""Streaming operators with their own state (STR-04, STR-08)."""
+"""Streaming operators with their own state (STR-08)."""
 
 from __future__ import annotations
 
@@ -10,71 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
-class HoldBack(StatefulProcessor):
-    """Keep signals of an entity until two are there or the oldest has waited long enough.
-
-    State per entity is at most one waiting signal: the second one releases both,
-    and later ones pass through.
-    """
-
-    def __init__(self, hold_ms: int) -> None:
-        self.hold_ms = hold_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getValueState("waiting", "signal_id long, extracted_ms long")
-        self.opened = handle.getValueState("opened", "flag boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int, int]] = []
-        for pdf in rows:
-            for sid, ms in zip(pdf["signal_id"], pdf["extracted_at"].astype("int64") // 1_000_000):
-                out.append((int(sid), int(ms)))
-        if not self.opened.exists():
-            if self.waiting.exists():
-                held = self.waiting.get()
-                out.insert(0, (held[0], held[1]))
-            if len(out) >= 2:
-                self.opened.update((True,))
-                self.waiting.clear()
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
-            elif out:
-                self.waiting.update(out[0])
-                self.handle.registerTimer(out[0][1] + self.hold_ms)
-                out = []
-        yield self._frame(key, out, "grouped")
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.waiting.exists():
-            held = self.waiting.get()
-            out = [(held[0], held[1])]
-            self.waiting.clear()
-        yield self._frame(key, out, "overdue")
-
-    def _frame(self, key: Any, rows: list, reason: str) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"name": [key[0]] * len(rows), "signal_id": [r[0] for r in rows],
-             "reason": [reason] * len(rows)}
-        ).astype({"name": "object", "signal_id": "int64", "reason": "object"})
-
-    def close(self) -> None:
-        pass
-
-
-def hold_back(signals: DataFrame, hold_hours: float = 6.0, delay: str = "1 minute") -> DataFrame:
-    """STR-04: release the signals of an entity in pairs or when overdue.
-
-    ``signals`` streams name, signal_id (long) and extracted_at.
-    """
-    d = signals.withWatermark("extracted_at", delay).groupBy("name")
-    return d.transformWithStateInPandas(
-        HoldBack(int(hold_hours * 3_600_000)), "name string, signal_id long, reason string",
-        outputMode="append", timeMode="eventTime",
-    )
-
-
 class Quota(StatefulProcessor):
     """Accepted request times of the last window per key, at most ``limit`` of them."""
 

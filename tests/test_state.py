@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from evgraph.operators import quality
 from evgraph.plans import health, sessions
 from evgraph.sources import landed, sinks
 from evgraph.streaming import jobs, stateful
@@ -103,12 +104,24 @@ def test_pending_payloads_are_handed_over_once(spark, folder):
     assert seen == [1, 3]
 
 
-def test_duplicates_within_memory(spark, folder):
-    schema = "source_id string, content string, fetched_at timestamp"
-    path = land(spark, folder, "a", [("s", "x", T), ("s", "x", T + timedelta(days=1)), ("t", "x", T)], schema)
-    s = spark.readStream.schema(schema).parquet(path)
-    d = jobs.run_to_table(jobs.first_seen(s), f"{folder}/out", f"{folder}/cp", "append")
-    assert sorted(r["source_id"] for r in d.collect()) == ["s", "t"]
+def test_stream_of_runs_equals_the_batch_form(spark, folder):
+    schema = "arrival long, source_id string, content string, fetched_at timestamp"
+    days = {"a": [0, 10], "b": [0, 3, 6, 9, 12, 15, 18, 21], "c": [0, 0], "d": [5, 12], "e": [5, 11]}
+    long = "words of a content that is long enough for the first of the quality rules, which asks for eighty "
+    data, n = [], 0
+    for name, when in days.items():
+        for d in when:
+            data.append((n, "s", long + name, T + timedelta(days=d, minutes=n)))
+            n += 1
+    rule = {"run": F.to_date("fetched_at"), "run_start": F.date_trunc("day", "fetched_at")}
+    want = {r["arrival"]: r["rejected_reason"] for r in quality.check_runs(spark.createDataFrame(data, schema), **rule).collect()}
+    data.sort(key=lambda r: r[3])
+    for k in range(0, len(data), 3):  # runs are cut between micro-batches too
+        path = land(spark, folder, f"{k:03}", data[k : k + 3], schema)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = {r["arrival"]: r["rejected_reason"] for r in jobs.check_stream(s, f"{folder}/home", **rule).collect()}
+    assert got == want and len(got) == n
+    assert sum(v is None for v in want.values()) == 6
 
 
 def test_split_late(spark):
@@ -149,19 +162,23 @@ def _collect(query_input, folder, mode="append"):
 
 
 def test_small_groups_are_held_back(spark, folder):
-    schema = "name string, signal_id long, extracted_at timestamp"
-    path = land(spark, folder, "a", [("oil", 1, T), ("gas", 2, T)], schema)
+    schema = "signal_id long, names array<string>, content_timestamp timestamp, extracted_at timestamp"
 
-    def run():
+    def run(tag, rows):
+        path = land(spark, folder, tag, [(i, n, T, T + timedelta(hours=h)) for i, n, h in rows], schema)
         s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-        return _collect(stateful.hold_back(s, hold_hours=6.0), folder)
-
-    assert run() == []
-    land(spark, folder, "b", [("oil", 3, T + timedelta(hours=1))], schema)
-    assert sorted(run()) == [("oil", 1, "grouped"), ("oil", 3, "grouped")]
-    land(spark, folder, "c", [("tin", 4, T + timedelta(hours=9))], schema)
-    land(spark, folder, "d", [("tin", 5, T + timedelta(hours=9))], schema)
-    assert ("gas", 2, "overdue") in run()
+        out = jobs.hold_back(s, f"{folder}/home")
+        return {(r["signal_id"], r["group_id"]) for r in out.collect()}
+
+    # Output folders of the batches exist from the first one on.
+    first = run("a", [(1, ["oil"], 0), (2, ["gas"], 0), (9, ["x", "y"], 0), (10, ["y", "z"], 0), (11, ["z"], 0)])
+    assert first == {(9, 9), (10, 9), (11, 9)}  # joined through shared names
+    second = run("b", [(3, ["oil", "wells"], 1)])
+    assert second - first == {(1, 1), (3, 1)}  # two names, released once
+    third = run("c", [(4, ["oil"], 2)])
+    assert third == second  # a later single signal waits again
+    fourth = run("d", [(5, ["tin"], 9)])
+    assert fourth - third == {(2, 2), (4, 4)}  # both overdue, tin waits
 
 
 def test_stream_quota_equals_one_at_a_time(spark, folder):
