@@ -691,6 +691,18 @@ def challenge_totals(t):
     return review.challenge_totals(t["challenges"])
 
 
+@query("challenge_pass_totals", duck("""
+, o AS (SELECT rejected FROM events_log JOIN challenges ON pass_event_id = event_id WHERE outcome = 'found')
+SELECT count(*) AS n_challenged, count(*) FILTER (WHERE outcome = 'found') AS n_found,
+  count(*) FILTER (WHERE outcome = 'not_found') AS n_not_found,
+  count(*) FILTER (WHERE outcome = 'error') AS n_error,
+  (SELECT count(*) FROM o WHERE NOT rejected) AS n_operations_applied,
+  (SELECT count(*) FROM o WHERE rejected) AS n_operations_rejected FROM challenges""", "challenges", "events_log"))
+def challenge_pass_totals(t):
+    found = t["challenges"].filter("outcome = 'found'").select(F.col("pass_event_id").alias("event_id"))
+    return review.challenge_totals(t["challenges"], t["events_log"].join(found, "event_id"))
+
+
 @query("challenge_log", duck("""
 SELECT pass_event_id, edge_id, s.name AS source_name, d.name AS target_name FROM challenges
 JOIN edges e USING (edge_id) JOIN condition_nodes s ON s.node_id = e.source_node_id

@@ -508,7 +508,9 @@ def outcome_breakdown(t):
 @query("run_totals", duck(_OUTCOME + """
 SELECT count(*) AS n_total, count(*) FILTER (WHERE outcome <> 'pending') AS n_scored,
   count(*) FILTER (WHERE outcome = 'pending') AS n_pending, min(content_timestamp) AS oldest,
-  max(content_timestamp) AS newest FROM sc""", *_CAL_TABLES))
+  max(content_timestamp) AS newest,
+  (SELECT string_agg(outcome || '=' || n, '|' ORDER BY outcome) FROM (SELECT outcome, count(*) AS n
+    FROM sc WHERE outcome <> 'pending' GROUP BY outcome) z) AS outcome_breakdown FROM sc""", *_CAL_TABLES))
 def run_totals(t):
     return calibrate.run_totals(resolved(t))
 

@@ -188,12 +188,18 @@ def lens_scores(tracking: DataFrame, warn_below: float = -0.1) -> DataFrame:
 
 
 def run_totals(tracking: DataFrame) -> DataFrame:
-    """AGG-04/05: all, resolved and pending rows with the time span."""
+    """AGG-04/05: all, resolved and pending rows with the time span and the resolved outcomes.
+
+    ``outcome_breakdown`` lists "outcome=rows" of each outcome that occurs, by name.
+    """
+    known = [o for o in sorted(vocab.OUTCOME_SCORES) if o != "pending"]
+    each = [F.when(F.count_if(F.col("outcome") == o) > 0, F.concat(F.lit(f"{o}="), F.count_if(F.col("outcome") == o))) for o in known]
     return tracking.agg(
         F.count(F.lit(1)).alias("n_total"),
         F.count_if(F.col("outcome") != "pending").alias("n_scored"),
         F.count_if(F.col("outcome") == "pending").alias("n_pending"),
         F.min("content_timestamp").alias("oldest"), F.max("content_timestamp").alias("newest"),
+        F.array_join(F.array_compact(F.array(*each)), "|").alias("outcome_breakdown"),
     )
 
 

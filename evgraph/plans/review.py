@@ -13,7 +13,7 @@ from evgraph.operators.mutate import ALIAS_SCHEMA, Graph, apply_batches
 from evgraph.operators.ordered import top_per_key
 from evgraph.operators.similarity import signals_near_edges
 from evgraph.plans.changes import named_edges
-from evgraph.session import literal_table
+from evgraph.session import literal_table, side_by_side
 
 OPERATION_FIELDS = [
     "operation", "target_edge_id", "new_weight_band", "direction", "signal_id", "reasoning",
@@ -84,12 +84,17 @@ def survival(challenges: DataFrame) -> DataFrame:
     )
 
 
-def challenge_totals(challenges: DataFrame) -> DataFrame:
-    """AGG-12: totals of a pass."""
-    return challenges.agg(
+def challenge_totals(challenges: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """AGG-12: totals of a pass; with its graph ``events`` also operations applied and rejected."""
+    totals = challenges.agg(
         F.count(F.lit(1)).alias("n_challenged"),
         *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("found", "not_found", "error")],
     )
+    if events is None:
+        return totals
+    done = events.agg(
+        F.count_if(~F.col("rejected")).alias("n_operations_applied"), F.count_if("rejected").alias("n_operations_rejected"))
+    return side_by_side(totals, done)
 
 
 def challenge_log(
