@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evgraph.llm.common import column, mix, slices, stored, utf8
@@ -40,13 +41,14 @@ from evgraph.session import cut_lineage
 #: Documents of a block and of a hash range.
 BLOCK_DOCS = 2_000
 #: Pivot rounds before the remaining pairs are listed.
-ROUNDS = 2
+ROUNDS = 3
 _KEY_BITS = 48
-_HISTOGRAM = 16
+_PARITY = 256
+_PARITY_COLUMNS = ("s0", "s1", "s2", "s3")
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 #: Spark's rows with one schema for the three kinds of output of a block.
-_ROWS = ("kind int, doc_id long, sig long, size int, h long, pos int, suffix array<int>, shingles binary")
+_ROWS = ("kind int, doc_id long, sig long, size int, h long, pos int, s0 long, s1 long, s2 long, s3 long, shingles binary")
 
 
 class _Words:
@@ -156,7 +158,7 @@ def _schema(ddl_fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
 
 
 _OUT = _schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("h", pa.int64()),
-                ("pos", pa.int32()), ("suffix", pa.list_(pa.int32())), ("shingles", pa.binary())])
+                ("pos", pa.int32()), *((c, pa.int64()) for c in _PARITY_COLUMNS), ("shingles", pa.binary())])
 
 
 def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -202,21 +204,22 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(describe, _ROWS)
 
 
-def _rows(ids: list, sets: list[np.ndarray], keys: np.ndarray, steps: np.ndarray, percent: int) -> pa.Table:
-    out: dict[str, list] = {f.name: [] for f in _OUT}
+def _part(kind: int, **columns) -> pa.Table:
+    """Rows of one kind; columns that are not given are null."""
+    n = len(next(iter(columns.values())))
+    columns["kind"] = np.full(n, kind, np.int32)
+    return pa.table([
+        (pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name])
+        if f.name in columns else pa.nulls(n, f.type) for f in _OUT], schema=_OUT)
 
-    def add(**row):
-        for name, values in out.items():
-            values.append(row.get(name))
 
-    seen = set()
-    for doc, s in zip(ids, sets):
-        if not len(s):
-            add(kind=0, doc_id=doc, size=0)
-            continue
-        sig = int(mix(np.array([mix(s).sum() + np.uint64(len(s))]))[0].view(np.int64))
-        add(kind=0, doc_id=doc, sig=sig, size=len(s))
-        if sig in seen:
+def _rows(ids: list, sets: list[np.ndarray], keys: np.ndarray, steps: np.ndarray, percent: int) -> pa.Table:
+    sizes = np.array([len(s) for s in sets], np.int32)
+    sigs = [int(mix(np.array([mix(s).sum() + np.uint64(len(s))]))[0].view(np.int64)) if len(s) else None for s in sets]
+    seen, owners, blobs = set(), [], []
+    h, pos, suffix, times = [], [], [], []
+    for k, (sig, s) in enumerate(zip(sigs, sets)):
+        if sig is None or sig in seen:
             continue
         seen.add(sig)
         step = steps[np.searchsorted(keys, s >> np.uint64(64 - _KEY_BITS))]
@@ -225,15 +228,25 @@ def _rows(ids: list, sets: list[np.ndarray], keys: np.ndarray, steps: np.ndarray
         shared = np.flatnonzero(step[prefix] > 0)
         if not len(shared):
             continue
-        add(kind=2, sig=sig, size=len(s), shingles=_pack(s))
-        part = (s[order] >> np.uint64(3)).astype(np.int64) % _HISTOGRAM
-        left = np.bincount(part, minlength=_HISTOGRAM)
-        pos = 0
-        for p in shared.tolist():
-            left = left - np.bincount(part[pos : p + 1], minlength=_HISTOGRAM)
-            pos = p + 1
-            add(kind=1, sig=sig, size=len(s), h=int(s[order[p]].view(np.int64)), pos=p, suffix=left.tolist())
-    return pa.table(out, schema=_OUT)
+        bucket = (s >> np.uint64(3)).astype(np.int64) % _PARITY
+        passed = np.zeros((len(prefix), _PARITY), np.uint8)
+        passed[np.arange(len(prefix)), bucket[prefix]] = 1
+        behind = (np.bincount(bucket, minlength=_PARITY) - np.cumsum(passed, axis=0, dtype=np.int64)[shared]) & 1
+        suffix.append(np.packbits(behind.astype(np.uint8), axis=1).view(np.int64))
+        h.append(s[prefix[shared]])
+        pos.append(shared)
+        times.append(len(shared))
+        owners.append(k)
+        blobs.append(_pack(s))
+    parts = [_part(0, doc_id=ids, sig=sigs, size=sizes)]
+    if owners:
+        own_sig = np.array([sigs[k] for k in owners], np.int64)
+        parity = np.concatenate(suffix)
+        parts.append(_part(2, sig=own_sig, size=sizes[owners], shingles=blobs))
+        parts.append(_part(
+            1, sig=np.repeat(own_sig, times), size=np.repeat(sizes[owners], times), h=np.concatenate(h).view(np.int64),
+            pos=np.concatenate(pos).astype(np.int32), **{c: parity[:, i] for i, c in enumerate(_PARITY_COLUMNS)}))
+    return pa.concat_tables(parts)
 
 
 def _needed(x: Column, y: Column, percent: int) -> Column:
@@ -244,13 +257,16 @@ def _needed(x: Column, y: Column, percent: int) -> Column:
 def _pass_filters(percent: int) -> Column:
     """Length, position and suffix filter of entries x and y with the same shingle.
 
-    The position bound and the suffix bound hold at the first shingle that two sets
-    share; there both entries exist, so a similar pair always passes in that list.
+    The suffix filter takes the shingles behind an entry as a parity vector: each shingle
+    that only one of the two has flips one bit of their sum, so the set bits are no more
+    than the shingles that differ.  The position bound and the suffix bound hold at the
+    first shingle that two sets share; there both entries exist, so a similar pair always
+    passes in that list.
     """
     x, y = F.col("x"), F.col("y")
     need = _needed(x["size"], y["size"], percent)
     left_x, left_y = x["size"] - x["pos"] - 1, y["size"] - y["pos"] - 1
-    apart = F.aggregate(F.zip_with(x["suffix"], y["suffix"], lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
+    apart = sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in _PARITY_COLUMNS), F.lit(0))
     return (
         (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"]))
         & (1 + F.least(left_x, left_y) >= need)
@@ -275,23 +291,36 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").mapInPandas(run, "a long, b long, linked boolean")
 
 
-def _labelled(entries: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return entries.withColumn("label", F.col("sig"))
-    roots = components(links).select(F.col("node").alias("sig"), F.col("root").alias("label"))
-    return entries.join(roots, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """sig, label with the labels of linked nodes brought together.
+
+    Each label hooks to the smallest label it is linked with and then follows that one's
+    hook, twice, which joins what meets one pivot.  Labels only spare comparisons, so
+    they need not be whole components yet.
+    """
+    for _ in range(2):
+        ends = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").filter("la <> lb").select("la", "lb")
+        both = ends.unionByName(ends.select(F.col("lb").alias("la"), F.col("la").alias("lb")))
+        hook = both.groupBy("la").agg(F.min("lb").alias("to")).select("la", F.least("la", "to").alias("to"))
+        after = hook.toDF("to", "then")
+        hook = cut_lineage(hook.join(after, "to", "left").select(F.col("la").alias("label"), F.coalesce("then", "to").alias("to")))
+        labels = cut_lineage(labels.join(hook, "label", "left").select("sig", F.coalesce("to", "label").alias("label")))
+    return labels
 
 
-_NODE = ("sig", "label", "size", "pos", "suffix")
+_NODE = ("sig", "label", "size", "pos", *_PARITY_COLUMNS)
 
 
 def _pivot_pairs(entries: DataFrame, percent: int, round_no: int) -> DataFrame:
     """For each node the pivot it shares most prefix shingles with, among those of other components."""
     node = F.struct(*_NODE)
+    # Two pivots a list: a member of the component with most nodes there, and a node of
+    # another one, so that every node can meet one that is not of its own component.
+    turn = F.xxhash64("sig", F.lit(round_no))
+    held = entries.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"), F.min_by(node, turn).alias("node"))
     turn = F.xxhash64("label", F.lit(round_no))
-    # Two pivots a list, of different components: every node can meet one that is not of its own.
-    one = entries.groupBy("h").agg(
-        F.min_by(node, F.struct(turn, F.xxhash64("sig"))).alias("p"), F.max_by(node, F.struct(turn, F.xxhash64("sig"))).alias("q")
+    one = held.groupBy("h").agg(
+        F.max_by("node", F.struct("n", turn)).alias("p"), F.min_by("node", F.struct("n", turn)).alias("q")
     ).filter("p.label <> q.label")
     met = entries.withColumn("x", node).join(one, "h").withColumn("y", F.when(F.col("label") == F.col("p.label"), F.col("q")).otherwise(F.col("p")))
     met = met.filter(_pass_filters(percent)).groupBy(F.col("x.sig").alias("s"), F.col("y.sig").alias("t")).agg(F.count(F.lit(1)).alias("n"))
@@ -316,11 +345,17 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, round
     needed to join components.
     """
     rows = stored(_describe(docs, width, percent), "kind")
-    entries = rows.filter("kind = 1").dropDuplicates(["sig", "pos"]).select("h", "sig", "size", "pos", "suffix")
-    sets = rows.filter("kind = 2").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+    # Blocks may describe copies of one node each; one description is kept, and written once.
+    entries = rows.filter("kind = 1").dropDuplicates(["sig", "pos"]).select("h", "sig", "size", "pos", *_PARITY_COLUMNS)
+    in_list = F.count(F.lit(1)).over(W.partitionBy("h"))
+    entries = stored(entries.withColumn("n", in_list).filter("n > 1").drop("n"))
+    sets = stored(rows.filter("kind = 2").groupBy("sig").agg(F.first("shingles").alias("shingles")))
+    labels = cut_lineage(entries.select("sig").distinct().withColumn("label", F.col("sig")))
     links = checked = None
     for r in range(rounds + 1):
-        labelled = _labelled(entries, links)
+        if links is not None:
+            labels = _merge(labels, links)
+        labelled = entries.join(labels, "sig")
         pairs = _pivot_pairs(labelled, percent, r) if r < rounds else _other_pairs(labelled, percent)
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
