@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from evgraph.llm.byte_bpe import DEFAULT, ByteBpe
 from evgraph.llm.common import column, slices
+from evgraph.session import cut_lineage
 
 #: Lengths per block of the two-level sums.
 BLOCK = 128
@@ -46,6 +47,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     ``length``.  Sums run inside blocks of lengths and then over one row per block, so
     no task holds all lengths.
     """
+    histogram = cut_lineage(histogram)  # read twice below; texts are encoded once
     h = histogram.withColumn("__b", F.floor(F.col("length") / BLOCK)).withColumn("__t", F.col("length") * F.col("n_docs"))
     blocks = h.groupBy("__b").agg(F.sum("n_docs").alias("bn"), F.sum("__t").alias("bt"))
     after = W.orderBy(F.col("__b").desc()).rowsBetween(W.unboundedPreceding, -1)
