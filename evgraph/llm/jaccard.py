@@ -13,8 +13,10 @@
    the pivot it shares most shingles with.
 4. All pairs of a list whose components still differ pass the length, position and suffix
    filters and are verified, so no link between components is lost.
-
-Pairs inside one component are not listed: they cannot change the answer.
+5. Links join rows of one component only, so the links of each row are counted inside
+   the components: every pair of nodes that the length filter leaves is compared once,
+   as a product of incidence matrices.  Large components are cut into blocks; a task
+   compares two blocks and emits one count a node, never a row a pair.
 
 Defined cases: null or blank texts have an empty set and are linked with nothing; texts
 with fewer words than a shingle have one; equal rows are copies of one node and each is
@@ -42,6 +44,8 @@ from evgraph.session import cut_lineage
 BLOCK_DOCS = 2_000
 #: Pivot rounds before the remaining pairs are listed.
 ROUNDS = 3
+#: Nodes and shingles of a block of a large component, and shingles whose columns are multiplied at once.
+LINK_NODES, LINK_SHINGLES, LINK_COLUMNS = 1_000, 500_000, 4_096
 _KEY_BITS = 48
 _PARITY = 256
 _PARITY_COLUMNS = ("s0", "s1", "s2", "s3")
@@ -338,12 +342,102 @@ def _other_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return both.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row of ``docs`` (doc_id, text).
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``x`` with each of ``y``."""
+    flat = np.concatenate([*x, *y])
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    column_of = np.cumsum(shared) - 1
+    keep = shared[place]
+    place, owner = column_of[place[keep]], owner[keep]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(x), len(y)), np.int64)
+    n = int(shared.sum())
+    bounds = np.searchsorted(place, np.arange(0, n + LINK_COLUMNS, LINK_COLUMNS))
+    for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
+        held = np.zeros((len(x) + len(y), min(LINK_COLUMNS, n - k * LINK_COLUMNS)), np.float32)
+        held[owner[lo:hi], place[lo:hi] - k * LINK_COLUMNS] = 1
+        out += (held[: len(x)] @ held[len(x) :].T).astype(np.int64)  # below 2 ** 24, so exact
+    return out
+
+
+_PAIR = ("root", "la", "ba", "lb", "bb")
+
+
+def _links_in_components(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """sig, n: rows of other nodes linked with each of ``nodes`` (sig, root, size, copies).
 
-    ``n_links`` counts the verified links of the document's node to other texts that were
-    needed to join components.
+    Nodes of similar sets have levels of size that differ by one at most.  A block is a
+    part of a level; pairs of blocks of equal or neighbouring levels are compared.
     """
+    base = float(np.log(1.0001 * 100 / percent))
+    nodes = cut_lineage(nodes.withColumn("level", F.floor(F.log("size") / base)))
+    large = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("total"))
+    large = large.filter((F.col("m") > LINK_NODES) | (F.col("total") > LINK_SHINGLES)).select("root")
+    total = nodes.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, int(total) // LINK_SHINGLES)
+    level = nodes.join(F.broadcast(large), "root", "left_semi").groupBy("root", "level").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / LINK_NODES, F.sum("size") / LINK_SHINGLES)).cast("int").alias("parts"))
+    level = cut_lineage(level)
+    beside = {k: level.select("root", (F.col("level") + k).alias("level"), F.col("parts").alias(name)) for k, name in ((-1, "above"), (1, "below"))}
+    level = level.join(beside[-1], ["root", "level"], "left").join(beside[1], ["root", "level"], "left")
+    dealt = nodes.join(F.broadcast(level), ["root", "level"], "left").withColumn("own", F.pmod(F.xxhash64("sig"), F.coalesce("parts", F.lit(1))).cast("int"))
+
+    def pairs(count: str, make) -> Column:
+        n = F.coalesce(F.col(count), F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), make)).otherwise(F.array().cast(_PAIR_TYPE))
+
+    def pair(la, ba, lb, bb, side) -> Column:
+        return F.struct(la.alias("la"), ba.cast("int").alias("ba"), lb.alias("lb"), bb.cast("int").alias("bb"), side.cast("int").alias("side"))
+
+    at, own = F.col("level"), F.col("own")
+    split = F.concat(
+        pairs("parts", lambda k: pair(at, F.least(own, k), at, F.greatest(own, k), own > k)),
+        pairs("above", lambda k: pair(at, own, at + 1, k, F.lit(0))),
+        pairs("below", lambda k: pair(at - 1, k, at, own, F.lit(1))),
+    )
+    whole = F.array(pair(F.lit(0).cast("long"), F.lit(0), F.lit(0).cast("long"), F.lit(0), F.lit(0)))
+    dealt = dealt.withColumn("pair", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(split)))
+    dealt = dealt.select(
+        F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "pair.la", "pair.ba", "pair.lb", "pair.bb")).alias("task"),
+        "root", "pair.*", "sig", "copies").join(sets, "sig")
+
+    def count(rows: pa.Table) -> pa.Table:
+        sig, copies, side = (rows.column(c).to_numpy() for c in ("sig", "copies", "side"))
+        found = np.zeros(len(sig), np.int64)
+        groups: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(rows.column(c).to_pylist() for c in _PAIR))):
+            groups.setdefault(key, []).append(i)
+        blobs = rows.column("shingles")
+        for key, members in groups.items():
+            mine = [i for i in members if side[i] == 0]
+            same = key[1:3] == key[3:5]
+            other = mine if same else [i for i in members if side[i] == 1]
+            if not mine or not other:
+                continue
+            x = [_unpack(blobs[i].as_py()) for i in mine]
+            y = x if same else [_unpack(blobs[i].as_py()) for i in other]
+            both = _intersections(x, y)
+            sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+            linked = 100 * both >= percent * (sizes - both)
+            if same:
+                np.fill_diagonal(linked, False)
+            found[mine] += linked @ copies[other]
+            if not same:
+                found[other] += linked.T @ copies[mine]
+        return pa.table({"sig": rows.column("sig"), "n": pa.array(found, pa.int64())})
+
+    counted = dealt.groupBy("task").applyInArrow(count, "sig long, n long")
+    return counted.groupBy("sig").agg(F.sum("n").alias("n"))
+
+
+_PAIR_TYPE = "array<struct<la: bigint, ba: int, lb: bigint, bb: int, side: int>>"
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (kind 0 of :func:`_describe`), sig and root of the linked nodes, sig and shingles of the sets."""
     rows = stored(_describe(docs, width, percent), "kind")
     # Blocks may describe copies of one node each; one description is kept, and written once.
     entries = rows.filter("kind = 1").dropDuplicates(["sig", "pos"]).select("h", "sig", "size", "pos", *_PARITY_COLUMNS)
@@ -362,13 +456,26 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, round
         now = cut_lineage(_verify(pairs, sets, percent))
         checked = now if checked is None else checked.unionByName(now)
         links = checked.filter("linked").select("a", "b")
-    roots = components(links)
-    members = rows.filter("kind = 0").select("doc_id", "sig", F.col("size").cast("long").alias("n_shingles"))
-    nodes = members.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
-    nodes = nodes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    roots = components(links).select(F.col("node").alias("sig"), "root")
+    return rows.filter("kind = 0"), roots, sets
+
+
+def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row of ``docs`` (doc_id, text).
+
+    ``n_links`` is the number of other rows whose sets reach the threshold with the row's,
+    copies included.
+    """
+    rows, roots, sets = _grouped(docs, width, percent, rounds)
+    members = rows.select("doc_id", "sig", F.col("size").cast("long").alias("n_shingles"))
+    nodes = members.filter("sig is not null").groupBy("sig").agg(
+        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"))
+    nodes = cut_lineage(nodes.join(roots, "sig", "left"))
+    linked = _links_in_components(nodes.filter("root is not null").select("sig", "root", "size", "copies"), sets, percent)
+    nodes = nodes.withColumn("root", F.coalesce("root", "sig"))
     low = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.join(low, "root").select("sig", "component_id").join(ends, "sig", "left")
+    named = nodes.join(low, "root").join(linked, "sig", "left").select(
+        "sig", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return members.join(named, "sig", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),

@@ -86,6 +86,20 @@ def test_jaccard_edges(spark):
     assert jaccard.similar_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [jaccard.LINK_NODES, 7])
+def test_jaccard_links(spark, similar, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "LINK_NODES", block)
+    data = [*similar, *((1000 + i, similar[i][1]) for i in range(8, 40, 3)), (None, similar[20][1])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    sets = [shingles(t, 4) for _, t in data]
+    want = [
+        (i, sum(k != j and bool(y) and 100 * len(x & y) >= 85 * len(x | y) for j, y in enumerate(sets)))
+        for k, ((i, _), x) in enumerate(zip(data, sets))
+    ]
+    got = [(r.doc_id, r.n_links) for r in jaccard.similar_components(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and max(n for _, n in want) >= 20
+
+
 def test_shingle_sets_are_exact():
     import pyarrow as pa
 
