@@ -35,6 +35,8 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"(?i:passw|passphrase|secret|token|api[_ -]?key|credential|private|bearer|authorization|access[_ -]?key)", re.ASCII)
 REACH = 64
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: Length from which a value inside a candidate is looked for in the surroundings.
+LEAST = 16
 #: Bytes added per byte from which a candidate is new, and the surroundings it is measured in.
 NOVELTY = 0.75
 AROUND = 1024
@@ -58,18 +60,26 @@ class Novelty:
         self.coder = zstandard.ZstdCompressor(dict_data=words, level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def __call__(self, text: str, start: int, end: int) -> float:
-        """Added compressed bytes per byte of ``text[start:end]``, given what stands around it."""
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        around = (after + "\n" + before).encode()
+        """Added compressed bytes per byte of ``text[start:end]``, given what stands around it.
+
+        Other occurrences of the string, or of the value behind its last equals sign, are
+        blanked first: a secret that is repeated is as new as one that stands alone.
+        """
+        own = text[start:end]
+        value = own.rstrip("=").rpartition("=")[2]
+        reach = AROUND + end - start
+        low = max(0, start - reach)
+        before, after = text[low:start], text[end : end + reach]
+        for other in {own, value} if len(value) >= LEAST else {own}:
+            before, after = (x.replace(other, "\n" * len(other)) for x in (before, after))
+        around = (after[:AROUND] + "\n" + before[max(0, start - AROUND) - low :]).encode()
         inner = text[start:end].encode()
         return max(0.0, (len(self.coder.compress(around + inner)) - len(self.coder.compress(around))) / max(1, len(inner)))
 
 
 def _odd(s: str) -> bool:
-    """Digits and letters mixed, or both cases inside: words of prose are neither."""
-    digits = any(c.isdigit() for c in s)
-    letters = any(c.isalpha() for c in s)
-    return digits and letters or any(c.islower() for c in s) and any(c.isupper() for c in s[1:])
+    """Digits, or both cases inside: words of prose have neither."""
+    return any(c.isdigit() for c in s) or any(c.islower() for c in s) and any(c.isupper() for c in s[1:])
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

@@ -240,6 +240,16 @@ def test_secrets(spark):
     assert secrets.digests(secrets.find_secrets(rows(spark, []))).count() == 0
 
 
+def test_repeated_and_numeric_secrets():
+    key = "qZ8vK2mXw4Lr9TbN7cYp1HsDe5Gj3Uf6"
+    novelty = secrets.Novelty()
+    for text in (f"private {key}\nprivate {key}\nprivate {key}", f"private name={key} and then bearer {key}"):
+        assert len([s for s in secrets.scan(text, novelty) if s[2] == "novel"]) == text.count(key)
+    far = "private " + key + " " + "and so on " * 101 + "bearer " + key
+    assert [s[2] for s in secrets.scan(far, novelty)] == ["novel", "novel"]
+    assert [s[2] for s in secrets.scan("the private code is 83920174659102837465, keep it", novelty)] == ["novel"]
+
+
 def test_novelty_orders_strings():
     novelty = secrets.Novelty()
     text = "config = load(settings)\nvalue = {}\nconfig = load(settings)\n"
