@@ -2,9 +2,9 @@
 
 A window of ``K`` bytes is an anchor if the smallest hash of its inner substrings of
 ``S`` bytes is the first or the last of them.  That depends on the window alone, so the
-anchors of a passage are the same wherever it stands.  The fingerprint keeps the anchors
-with the smallest hashes; two fingerprints estimate the Jaccard likeness of their anchor
-sets.  Each text has ``K - 1`` zero bytes in front, so short texts have windows too.
+anchors of a passage are the same wherever it stands.  The fingerprint keeps all anchors
+with their positions; two texts are as alike as the share of their anchors that match in
+the order of both.  The printed column is a digest, the smallest hashes.  Each text has ``K - 1`` zero bytes in front, so short texts have windows too.
 
 Documents are dealt to ranges of ids; the first document of the next range is sent along
 as a guest, so neighbours meet without one task for all.
@@ -18,7 +18,9 @@ document is its own next one; an empty table gives no rows; other columns are no
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from evgraph.llm.common import SLICE_BYTES, column, mix, slices
 
 K, S = 12, 4
-#: Anchors kept in a fingerprint.
+#: Hashes of the printed digest.
 KEPT = 64
 _LAST_ID = -(1 << 63)
 
@@ -64,35 +66,59 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, at - starts[text] - (K - 1), text
 
 
-def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
-    """The smallest distinct anchor hashes (32 bits) of each text, ascending."""
-    hashes, _, text = anchors(texts)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
+class Print(NamedTuple):
+    """All anchors of a text: ``digest`` are the smallest distinct hashes (32 bits), ascending;
+    ``keys`` are ascending numbers of (hash, how many equal ones stand before) and ``places``
+    their byte positions."""
+
+    digest: np.ndarray
+    keys: np.ndarray
+    places: np.ndarray
+
+
+def fingerprints(texts: list[bytes]) -> list[Print]:
+    """The anchors of each text with their positions, and the digest that is printed."""
+    hashes, place, text = anchors(texts)
     at = np.searchsorted(text, np.arange(len(texts) + 1))
     out = []
     for i, raw in enumerate(texts):
-        own = short[at[i] : at[i + 1]]
-        if len(own):
-            out.append(np.unique(own)[:KEPT])
-        elif raw:
-            out.append(np.frombuffer(hashlib.sha256(raw).digest()[:4], ">u4").astype(np.uint32))
-        else:
-            out.append(own)
+        own, where = hashes[at[i] : at[i + 1]], place[at[i] : at[i + 1]]
+        if not len(own) and raw:
+            own, where = np.frombuffer(hashlib.sha256(raw).digest()[:8], ">u8").astype(np.uint64), np.zeros(1, np.int64)
+        order = np.argsort(own, kind="stable")
+        own, where = own[order], where[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+        nth = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+        keys = mix(own + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(keys)
+        out.append(Print(np.unique((own >> np.uint64(32)).astype(np.uint32))[:KEPT], keys[order], where[order]))
     return out
 
 
-def written(print_: np.ndarray) -> str:
-    """A fingerprint as text, eight hex digits a hash."""
-    return print_.astype(">u4").tobytes().hex()
+def written(print_: Print) -> str:
+    """The digest of a fingerprint as text, eight hex digits a hash."""
+    return print_.digest.astype(">u4").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard likeness; exact where both fingerprints hold all anchors."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    top = min(int(x[-1]) if len(x) == KEPT else 1 << 32 for x in (a, b))
-    x, y = ({v for v in s.tolist() if v <= top} for s in (a, b))
-    return len(x & y) / len(x | y)
+def likeness(a: Print, b: Print) -> float:
+    """Share of the anchors that match in hash and place, of all anchors of both texts.
+
+    The n-th anchor with a hash meets the n-th one of the other text; of these pairs the
+    longest chain that runs in the order of both texts counts.
+    """
+    if not len(a.keys) or not len(b.keys):
+        return float(len(a.keys) == len(b.keys))
+    _, i, j = np.intersect1d(a.keys, b.keys, assume_unique=True, return_indices=True)
+    places = b.places[j][np.argsort(a.places[i])]
+    if (np.diff(places) > 0).all():
+        met = len(places)
+    else:
+        ends: list[int] = []
+        for p in places.tolist():
+            k = bisect_left(ends, p)
+            ends[k : k + 1] = [p]
+        met = len(ends)
+    return met / (len(a.keys) + len(b.keys) - met)
 
 
 def document_anchors(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -202,6 +202,16 @@ def test_edited_texts(spark):
     assert places.columns == ["doc_id", "hash", "position"] and places.filter("doc_id = 1").count() == 0
 
 
+def test_likeness_finds_passages_by_place():
+    rng = random.Random(8)
+    a, b, shared = (" ".join(f"w{rng.randrange(10**8)}" for _ in range(n)) for n in (3000, 4000, 80))
+    x, y = (syncmers.fingerprints([t.encode()])[0] for t in (a + " " + shared, shared + " " + b))
+    assert 0.008 < syncmers.likeness(x, y) < 0.016  # 80 of 7,080 words; the 64 smallest hashes give 0
+    turned = " ".join(reversed([a[k : k + 500] for k in range(0, len(a), 500)]))
+    x, y = (syncmers.fingerprints([t.encode()])[0] for t in (a, turned))
+    assert syncmers.likeness(x, x) == 1 and syncmers.likeness(x, y) < 0.1
+
+
 def test_edited_texts_with_equal_and_null_ids(spark):
     data = [(1, "aaa bbb ccc ddd"), (1, "eee fff ggg hhh"), (None, "iii jjj kkk lll"), (5, None)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
