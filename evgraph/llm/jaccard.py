@@ -52,7 +52,7 @@ _PARITY_COLUMNS = ("s0", "s1", "s2", "s3")
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 #: Spark's rows with one schema for the three kinds of output of a block.
-_ROWS = ("kind int, doc_id long, sig long, size int, h long, pos int, s0 long, s1 long, s2 long, s3 long, shingles binary")
+_ROWS = ("kind int, doc_id long, digest long, sig long, size int, h long, pos int, s0 long, s1 long, s2 long, s3 long, shingles binary")
 
 
 class _Words:
@@ -161,7 +161,7 @@ def _schema(ddl_fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
     return pa.schema([pa.field(n, t) for n, t in ddl_fields])
 
 
-_OUT = _schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("h", pa.int64()),
+_OUT = _schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("h", pa.int64()),
                 ("pos", pa.int32()), *((c, pa.int64()) for c in _PARITY_COLUMNS), ("shingles", pa.binary())])
 
 
@@ -170,7 +170,7 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     n = docs.count()
     blocks = max(1, -(-n // BLOCK_DOCS))
     ranges = max(1, -(-n // (2 * BLOCK_DOCS)))
-    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).alias("block"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).alias("block"))
 
     def ask(block: pa.Table) -> pa.Table:
         keys, counts, at = _requests(_block_sets(block, width), ranges)
@@ -201,7 +201,7 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
         order = np.argsort(answers.column("range").to_numpy())
         parts = [np.frombuffer(zstandard.decompress(answers.column("steps")[int(i)].as_py()), np.uint8) for i in order]
         steps = np.concatenate([np.zeros(0, np.uint8), *parts])
-        return _rows(block.column("doc_id").to_pylist(), sets, keys, steps, percent)
+        return _rows(block.column("doc_id").to_pylist(), block.column("digest").to_pylist(), sets, keys, steps, percent)
 
     asked = rows.groupBy("block").applyInArrow(ask, "range int, block long, keys binary, counts binary")
     answers = asked.groupBy("range").applyInArrow(answer, "block long, range int, steps binary")
@@ -217,7 +217,7 @@ def _part(kind: int, **columns) -> pa.Table:
         if f.name in columns else pa.nulls(n, f.type) for f in _OUT], schema=_OUT)
 
 
-def _rows(ids: list, sets: list[np.ndarray], keys: np.ndarray, steps: np.ndarray, percent: int) -> pa.Table:
+def _rows(ids: list, digests: list, sets: list[np.ndarray], keys: np.ndarray, steps: np.ndarray, percent: int) -> pa.Table:
     sizes = np.array([len(s) for s in sets], np.int32)
     sigs = [int(mix(np.array([mix(s).sum() + np.uint64(len(s))]))[0].view(np.int64)) if len(s) else None for s in sets]
     seen, owners, blobs = set(), [], []
@@ -242,7 +242,7 @@ def _rows(ids: list, sets: list[np.ndarray], keys: np.ndarray, steps: np.ndarray
         times.append(len(shared))
         owners.append(k)
         blobs.append(_pack(s))
-    parts = [_part(0, doc_id=ids, sig=sigs, size=sizes)]
+    parts = [_part(0, doc_id=ids, digest=digests, sig=sigs, size=sizes)]
     if owners:
         own_sig = np.array([sigs[k] for k in owners], np.int64)
         parity = np.concatenate(suffix)
@@ -483,14 +483,27 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, round
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: the smallest id of each component stays.
+    """The rows of ``docs`` without near duplicates: one row of each component stays.
 
-    Rows that repeat an id and a text are one; rows without an id stay.
+    That is the one with the smallest id, and of several texts under it the one with the
+    smallest digest.  Rows that repeat an id and a text are one; rows without an id stay.
     """
-    found = similar_components(docs, width, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
-    twice = cut_lineage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"))
+    rows, roots, _ = _grouped(docs, width, percent, ROUNDS)
+    one = F.struct("doc_id", "digest")
+    held = rows.filter("doc_id is not null").groupBy("doc_id", "digest", "sig").agg(F.count(F.lit(1)).alias("n"))
+    held = cut_lineage(held.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig")).withColumn("one", one))
+    first = held.filter("root is not null").groupBy("root").agg(F.min("one").alias("first"))
+    gone = held.join(first, "root").filter("one <> first").select("doc_id", "digest")
+    left = _without(docs, cut_lineage(gone), "left_anti")
+    twice = cut_lineage(held.filter("n > 1").select("doc_id", "digest"))
     if twice.isEmpty():
         return left
-    repeated = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
+    repeated = _without(left, twice, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _without(left, twice, "left_anti").unionByName(repeated).select(*docs.columns)
+
+
+def _without(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` by a semi or anti-join with (doc_id, digest)."""
+    keys = keys.toDF("__id", "__digest")
+    same = (docs["doc_id"] == keys["__id"]) & (F.xxhash64(docs["text"]) == keys["__digest"])
+    return docs.join(keys, same, how).select(*docs.columns)

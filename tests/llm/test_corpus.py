@@ -100,6 +100,18 @@ def test_jaccard_links(spark, similar, monkeypatch, block):
     assert sorted(got, key=str) == sorted(want, key=str) and max(n for _, n in want) >= 20
 
 
+def test_keep_first_decides_by_row(spark):
+    near = [" ".join(f"w{i}" for i in range(60)) + f" {x}" for x in ("a", "b", "c")]
+    lone = [" ".join(f"{x}{i}" for i in range(60)) for x in "xyz"]
+    data = [(1, near[0]), (5, near[1]), (5, lone[0]), (None, near[2]), (None, near[2]), (None, lone[1]), (7, lone[2]), (7, lone[2].upper())]
+    data += [(None, None), (None, None), (8, ""), (8, "")]
+    got = [tuple(r) for r in jaccard.keep_first(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    sevens = [r for r in got if r[0] == 7]
+    assert len(sevens) == 1 and sevens[0] in data
+    want = [(1, near[0]), (5, lone[0]), (None, near[2]), (None, near[2]), (None, lone[1]), (None, None), (None, None), (8, "")]
+    assert sorted((r for r in got if r[0] != 7), key=str) == sorted(want, key=str)
+
+
 def test_shingle_sets_are_exact():
     import pyarrow as pa
 
