@@ -15,6 +15,7 @@ from evgraph.llm import (
     packing,
     piece_bpe,
     secrets,
+    spelling,
     surrogates,
     syncmers,
     url_rules,
@@ -129,3 +130,54 @@ FROM pages p JOIN judged j ON j.url IS NOT DISTINCT FROM p.url"""
 @_register("op10_url_filters", _URL_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(table(spark, folder, "pages"))
+
+
+def _crc_table() -> list[int]:
+    """Checksum of each single byte, as ``zlib.crc32`` steps through it."""
+    table_ = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        table_.append(c)
+    return table_
+
+
+# Words hold letters below U+0100 only: one byte, or 195 and the letter less 64.
+_SPELLING_SQL = f"""
+WITH crc AS (SELECT {_crc_table()}::UBIGINT[] AS t),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents)
+), once AS (SELECT id, w, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT w, n, length(w) AS size, xor(4294967295::UBIGINT, list_reduce(
+    list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(id || w, ''), lambda c:
+      CASE WHEN unicode(c) < 128 THEN [unicode(c)::UBIGINT] ELSE [195::UBIGINT, (unicode(c) - 64)::UBIGINT] END))),
+    lambda h, b: xor(h >> 8, t[(xor(h, b) & 255)::BIGINT + 1]))) AS h
+  FROM once, crc
+), words AS (
+  SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN left(w, (h % size)::BIGINT) || substr(w, (h % size)::BIGINT + 2) ELSE w END AS word,
+    sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+), cut AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS less FROM words, unnest(range(length(word))) AS u(i)
+), pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM cut a JOIN cut b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, w.word, w.n FROM cut JOIN words w ON cut.less = w.word
+  UNION SELECT w.word, cut.word, cut.n FROM cut JOIN words w ON cut.less = w.word
+), best AS (
+  SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS near, max(n) AS near_n FROM pairs GROUP BY a
+), found AS (
+  SELECT word, CASE WHEN near_n >= 2 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root, form AS onward FROM found
+  UNION ALL SELECT walk.word, found.word, found.form FROM walk JOIN found ON found.word = walk.onward
+)
+SELECT found.word, form, walk.root, n, n_near, form_n FROM found JOIN walk ON walk.word = found.word AND walk.onward IS NULL"""
+
+
+@_register("op11_pivotal_spelling", _SPELLING_SQL.replace("WITH crc", "WITH RECURSIVE crc", 1))
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variant_groups(spelling.word_counts(table(spark, folder, "documents"), noise=spelling.NOISE))
