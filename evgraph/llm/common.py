@@ -31,10 +31,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name in the checkpoint folder that nothing has been written to."""
+    return f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it back, so that lineage ends
     there and later readers prune columns; ``by`` are columns that become folders."""
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    folder = new_folder(df.sparkSession)
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

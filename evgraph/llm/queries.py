@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evgraph.llm import (
     collision_search,
+    id_files,
     jaccard,
     language,
     lengths,
@@ -20,7 +21,7 @@ from evgraph.llm import (
     syncmers,
     url_rules,
 )
-from evgraph.llm.common import table
+from evgraph.llm.common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -181,3 +182,10 @@ SELECT found.word, form, walk.root, n, n_near, form_n FROM found JOIN walk ON wa
 @_register("op11_pivotal_spelling", _SPELLING_SQL.replace("WITH crc", "WITH RECURSIVE crc", 1))
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variant_groups(spelling.word_counts(table(spark, folder, "documents"), noise=spelling.NOISE))
+
+
+@_register("op12_id_files")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    place = new_folder(spark)
+    id_files.write_ids(table(spark, folder, "documents"), place)
+    return id_files.read_ids(spark, place, digest=True)
