@@ -26,6 +26,7 @@ one block whatever its length; an empty table gives no rows; other columns are n
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -44,7 +45,14 @@ MAGIC = b"EVI1"
 #: A block is closed when it holds so many ids.
 BLOCK_IDS = 1 << 18
 #: Words whose ids a worker keeps at hand.
-CACHED = 200_000
+CACHED = 500_000
+#: Bytes of text encoded at once; words that repeat in them cost nothing more.
+ENCODED = 6 << 20
+#: Mark of pieces that end a word (fixed value of the vocabulary).
+WORD_END = "</w>"
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_LATIN = re.compile(f"[{_LETTERS}]+").fullmatch
+_MARK = f"([{_LETTERS}])([.,;:!?])"
 
 #: Bytes taken by each of the four ids of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -52,7 +60,11 @@ MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 class WordBpe:
-    """Encoder for a vocabulary file; words between plain spaces are encoded once and kept."""
+    """Encoder for a vocabulary file; words between plain spaces are encoded once and kept.
+
+    Ids of all kept words lie in one pool; ``known`` has the number of a word, ``start`` and ``size``
+    its place.
+    """
 
     _loaded: dict[str, WordBpe] = {}
 
@@ -62,7 +74,15 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        ids = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(ids.values()) + 1, bool)
+        self.closes[[i for w, i in ids.items() if w.endswith(WORD_END)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool = np.zeros(0, np.uint32)
+        self.start = self.size = np.zeros(0, np.int64)
 
     @classmethod
     def load(cls, name: str = DEFAULT) -> WordBpe:
@@ -74,36 +94,67 @@ class WordBpe:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of Latin letters, encoded in one call: each ends with its only closing piece."""
+        ids = self._ids([" ".join(words)])[0]
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(words):
+            return ids, np.diff(np.r_[0, ends])
+        found = self._ids(words)
+        return np.concatenate(found), np.array([len(f) for f in found], np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of new words."""
+        plain, rest = [], []
+        for w in words:
+            (plain if _LATIN(w) else rest).append(w)
+        pools, sizes = [self.pool], [self.size]
+        if plain:
+            ids, size = self._plain(plain)
+            pools.append(ids)
+            sizes.append(size)
+        found = self._ids(rest)
+        pools += found
+        sizes.append(np.array([len(f) for f in found], np.int64))
+        self.known.update(zip((*plain, *rest), range(len(self.known), len(self.known) + len(words))))
+        self.pool, self.size = np.concatenate(pools), np.concatenate(sizes)
+        self.start = np.cumsum(self.size) - self.size
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has.
 
-        The tokenizer drops white space and no pattern of it crosses one, so the words between plain
-        spaces encode alone as they do in the text.  A word must start with an ordinary letter or sign for
-        that; words that begin with a combining mark make their text be encoded whole.
+        The tokenizer drops white space, takes a line end for a space, and no pattern of it goes on from a
+        Latin letter to a mark, so spaces put between those change nothing and the parts between spaces
+        encode alone as they do in the text.  Parts that begin with what may join the sign before
+        make their text be encoded whole.
         """
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        parts = pc.split_pattern(texts, " ")
+        apart = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), _MARK, r"\1 \2")
+        parts = pc.split_pattern(apart, " ")
         at = np.asarray(parts.offsets, np.int64)
         at = at - at[0]
         coded = parts.flatten().dictionary_encode()
         codes = np.asarray(coded.indices, np.int64)
         words = coded.dictionary.to_pylist()
-        odd = np.array([bool(w) and not w[0].isascii() and not w[0].isalnum() for w in words], bool)
         if len(self.known) > CACHED:
-            self.known = {}
+            self._forget()
         new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self._ids(new)))
-        found = [self.known[w] for w in words]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[codes]
+        starts, size = self.start[number], self.size[number]
+        pool = self.pool
+        odd = np.array([not w[:1].isascii() and not w[0].isalnum() for w in words], bool)
         whole = np.add.reduceat(odd[codes].astype(np.int64), at[:-1]) > 0
-        asked = np.flatnonzero(whole)
-        found += self._ids([texts[int(i)].as_py() for i in asked])
-        size = np.array([len(f) for f in found], np.int64)
-        starts = np.cumsum(size) - size
-        use_start, use_size = starts[codes], size[codes]
-        use_size[np.repeat(whole, np.diff(at))] = 0
-        use_start[at[:-1][whole]], use_size[at[:-1][whole]] = starts[len(words) :], size[len(words) :]
-        return np.concatenate(found)[spread(use_start, use_size)], np.add.reduceat(use_size, at[:-1])
+        if whole.any():
+            found = self._ids([texts[int(i)].as_py() for i in np.flatnonzero(whole)])
+            own = np.array([len(f) for f in found], np.int64)
+            size[np.repeat(whole, np.diff(at))] = 0
+            first = at[:-1][whole]
+            starts[first], size[first] = len(pool) + np.cumsum(own) - own, own
+            pool = np.concatenate([pool, *found])
+        return pool[spread(starts, size)], np.add.reduceat(size, at[:-1])
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -152,7 +203,7 @@ def _encoded(docs: DataFrame, text: str, vocabulary: str, end: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.load(vocabulary)
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "__text", ENCODED):
             ids, sizes = bpe.encode(column(part, "__text"))
             full = np.full(len(ids) + len(sizes), end, "<u4")
             place = np.cumsum(sizes + 1)
