@@ -19,6 +19,7 @@ from evgraph.llm import (
     spelling,
     surrogates,
     syncmers,
+    turns,
     url_rules,
 )
 from evgraph.llm.common import new_folder, table
@@ -189,3 +190,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     place = new_folder(spark)
     id_files.write_ids(table(spark, folder, "documents"), place)
     return id_files.read_ids(spark, place, digest=True)
+
+
+@_register("op13_turn_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.repair(turns.damaged(table(spark, folder, "conversations")))
