@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import column, slices, spread, stored, vocabulary
+from evgraph.llm.common import column, slices, spread, stored, utf8, vocabulary
 
 DEFAULT, END = "word_bpe_49k.json", 1
 MAGIC = b"EVI1"
@@ -50,6 +50,8 @@ CACHED = 500_000
 ENCODED = 6 << 20
 #: Mark of pieces that end a word (fixed value of the vocabulary).
 WORD_END = "</w>"
+#: First bytes of the marks U+0300..U+036F in UTF-8.
+_COMBINING = np.array([0xCC, 0xCD], np.uint8)
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _LATIN = re.compile(f"[{_LETTERS}]+").fullmatch
 _MARK = f"([{_LETTERS}])([.,;:!?])"
@@ -131,6 +133,8 @@ class WordBpe:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         apart = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), _MARK, r"\1 \2")
+        if not np.isin(utf8(texts)[0], _COMBINING).any():  # they join some small letters whose capitals they do not
+            apart = pc.ascii_lower(apart)
         parts = pc.split_pattern(apart, " ")
         at = np.asarray(parts.offsets, np.int64)
         at = at - at[0]
@@ -199,22 +203,30 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encoded(docs: DataFrame, text: str, vocabulary: str, end: int) -> DataFrame:
-    """doc_id, n, ids (little-endian unsigned 32-bit, end id last) of every row."""
+    """doc_id, ids (end id last, little-endian, two bytes each or four if ``wide``) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.load(vocabulary)
         for part in slices(batches, "__text", ENCODED):
             ids, sizes = bpe.encode(column(part, "__text"))
-            full = np.full(len(ids) + len(sizes), end, "<u4")
+            wide = max(ids.max(initial=0), end) >= 1 << 16
+            full = np.full(len(ids) + len(sizes), end, "<u4" if wide else "<u2")
             place = np.cumsum(sizes + 1)
             own = np.ones(len(full), bool)
             own[place - 1] = False
             full[own] = ids
-            offsets = pa.py_buffer(np.concatenate([[0], 4 * place]).astype(np.int64))
+            offsets = pa.py_buffer(np.concatenate([[0], full.itemsize * place]).astype(np.int64))
             raw = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, offsets, pa.py_buffer(full)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes + 1), raw.cast(pa.binary())], ["doc_id", "n", "ids"])
+            flags = pa.array(np.full(len(sizes), wide))
+            yield pa.RecordBatch.from_arrays([part.column(0), flags, raw.cast(pa.binary())], ["doc_id", "wide", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("__text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("__text")).mapInArrow(run, "doc_id long, wide boolean, ids binary")
+
+
+def _narrow(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Ids of each row of a batch that ends with ``wide`` and ``ids``."""
+    for wide, raw in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)):
+        yield np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2")
 
 
 def _counted(encoded: DataFrame) -> DataFrame:
@@ -223,14 +235,14 @@ def _counted(encoded: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for raw in b.column(0):
-                n = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(total))
+            for ids in _narrow(b):
+                n = np.bincount(ids, minlength=len(total))
                 n[: len(total)] += total
                 total = n
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": ids.astype(np.int64), "n": total[ids]})
 
-    return encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _in_order(ranks: DataFrame) -> np.ndarray:
@@ -263,9 +275,8 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", vocabulary: str
                 "n_ids": pa.array([size], pa.int64()), "doc_ids": pa.array([[i for i, _ in kept]], pa.list_(pa.int64())), "payload": pa.array([raw], pa.binary())})
 
         for b in batches:
-            for id_, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.frombuffer(raw.as_buffer(), "<u4").copy()
-                kept.append((id_, ids))
+            for id_, ids in zip(b.column(0).to_pylist(), _narrow(b)):
+                kept.append((id_, ids.copy()))
                 size += len(ids)
                 if size >= BLOCK_IDS:
                     yield block()
@@ -276,7 +287,7 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", vocabulary: str
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["doc_id", "__h", "__row"]  # one id may hold many rows: they spread over shards by hash and row
     ranged = encoded.withColumn("__h", F.xxhash64("ids")).repartitionByRange(shards, *keys).sortWithinPartitions(*keys)
-    blocks = ranged.select("doc_id", "ids").mapInArrow(
+    blocks = ranged.select("doc_id", "wide", "ids").mapInArrow(
         write, "shard int, block long, before long, n_ids long, doc_ids array<long>, payload binary")
     blocks.write.parquet(f"{folder}/blocks")
 
