@@ -39,10 +39,22 @@ def new_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it back, so that lineage ends
     there and later readers prune columns; ``by`` are columns that become folders."""
+    return stored_at(df, *by)[0]
+
+
+def stored_at(df: DataFrame, *by: str) -> tuple[DataFrame, str]:
+    """:func:`stored` with the folder, for callers that discard it."""
     folder = new_folder(df.sparkSession)
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of :func:`stored_at` that nothing reads any more, in whatever store it is."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

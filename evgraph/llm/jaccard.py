@@ -33,10 +33,9 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import column, mix, slices, stored, utf8
+from evgraph.llm.common import column, discard, mix, slices, stored, stored_at, utf8
 from evgraph.operators.components import components
 from evgraph.session import cut_lineage
 
@@ -438,12 +437,17 @@ _PAIR_TYPE = "array<struct<la: bigint, ba: int, lb: bigint, bb: int, side: int>>
 
 def _grouped(docs: DataFrame, width: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (kind 0 of :func:`_describe`), sig and root of the linked nodes, sig and shingles of the sets."""
-    rows = stored(_describe(docs, width, percent), "kind")
+    rows, folder = stored_at(_describe(docs, width, percent), "kind")
+    # A list counts if two different nodes are in it: the ends of its numbers tell, summed up in the map tasks.
+    held = rows.filter("kind = 1").groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").select("h")
+    entries = rows.filter("kind = 1").select("h", "sig", "size", "pos", *_PARITY_COLUMNS).join(held, "h", "left_semi")
     # Blocks may describe copies of one node each; one description is kept, and written once.
-    entries = rows.filter("kind = 1").dropDuplicates(["sig", "pos"]).select("h", "sig", "size", "pos", *_PARITY_COLUMNS)
-    in_list = F.count(F.lit(1)).over(W.partitionBy("h"))
-    entries = stored(entries.withColumn("n", in_list).filter("n > 1").drop("n"))
-    sets = stored(rows.filter("kind = 2").groupBy("sig").agg(F.first("shingles").alias("shingles")))
+    entries = stored(entries.dropDuplicates(["sig", "pos"]))
+    met = entries.select("sig").distinct()
+    sets = stored(rows.filter("kind = 2").select("sig", "shingles").join(met, "sig", "left_semi")
+                  .groupBy("sig").agg(F.first("shingles").alias("shingles")))
+    for kind in (1, 2):
+        discard(docs.sparkSession, f"{folder}/kind={kind}")
     labels = cut_lineage(entries.select("sig").distinct().withColumn("label", F.col("sig")))
     links = checked = None
     for r in range(rounds + 1):
