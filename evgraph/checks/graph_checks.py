@@ -398,14 +398,8 @@ GROUP BY start, hops""",
     "edges", "condition_nodes"))
 def projection_paths(t):
     starts = t["condition_nodes"].filter("current_state = 'active'")
-    d = traverse.projection_paths(t["edges"], starts, depth=3)
-    return d.groupBy("start", "hops").agg(
-        F.count(F.lit(1)).alias("n_paths"), F.countDistinct("end").alias("n_ends"),
-        F.round(F.max("strength").cast("double"), 6).alias("best"),
-        F.round(F.sum("strength").cast("double"), 6).alias("total"),
-        F.min("weakest").cast("double").alias("weakest"), F.count_if("disputed").alias("n_disputed"),
-        F.sum(F.size("falsifiers")).alias("n_falsifiers"),
-    )
+    d = traverse.projection_totals(t["edges"], starts, depth=3)
+    return d.withColumns({c: F.round(c, 6) for c in ("best", "total")})
 
 
 @query("reference_cycles", duck("""
@@ -510,7 +504,8 @@ def _operations(t):
     )
 
 
-def _events(t):
+def graph_events(t):
+    """Validated events of all operations."""
     return mutate.validate(_operations(t), mutate.empty_graph(t.spark))
 
 
@@ -518,7 +513,7 @@ def _events(t):
 SELECT batch_id, pos, event_type, rejection_reason IS NOT NULL AS rejected, rejection_reason FROM ev""",
     "operations"))
 def apply_events(t):
-    return _events(t).select(
+    return graph_events(t).select(
         F.col("batch_id").cast("bigint").alias("batch_id"), "pos", "event_type", "rejected",
         "rejection_reason",
     )
@@ -530,7 +525,7 @@ SELECT batch_id, count(*) FILTER (WHERE rejection_reason IS NULL) AS n_applied,
   round(count(*) FILTER (WHERE rejection_reason IS NOT NULL) / count(*), 6) AS rejection_rate
 FROM ev GROUP BY batch_id""", "operations"))
 def batch_totals(t):
-    return mutate.batch_totals(_events(t)).withColumn(
+    return mutate.batch_totals(graph_events(t)).withColumn(
         "batch_id", F.col("batch_id").cast("bigint")
     ).withColumn("rejection_rate", F.round("rejection_rate", 6))
 
@@ -543,7 +538,7 @@ def cycle_totals(t):
     sizes = t["operations"].groupBy(F.col("batch_id").cast("string").alias("batch_id")).agg(
         F.count(F.lit(1)).alias("n_signals")
     )
-    return mutate.cycle_totals(_events(t), sizes)
+    return mutate.cycle_totals(graph_events(t), sizes)
 
 
 def _hash_id(kind: str, batch: str, op: str, pos: str) -> str:
@@ -555,7 +550,7 @@ def _hash_id(kind: str, batch: str, op: str, pos: str) -> str:
 SELECT {_hash_id('node', 'batch_id', 'create_node', 'pos')} AS node_id, node_type, trim(name) AS name,
   entity_kind, content_timestamp AS created_at FROM c WHERE owner = batch_id * 100 + pos""", "operations"))
 def fold_nodes(t):
-    d = mutate.fold_nodes(_events(t), mutate.empty_graph(t.spark).nodes)
+    d = mutate.fold_nodes(graph_events(t), mutate.empty_graph(t.spark).nodes)
     return d.select("node_id", "node_type", "name",
                     F.try_element_at("type_data", F.lit("entity_kind")).alias("entity_kind"), "created_at")
 
@@ -566,7 +561,7 @@ SELECT {_hash_id('edge', 'batch_id', 'create_edge', 'pos')} AS edge_id,
   {_hash_id('node', '(dst // 100)', 'create_node', '(dst % 100)')} AS target_node_id,
   edge_type, weight_band AS current_weight_band FROM e WHERE ewhy IS NULL""", "operations"))
 def fold_edges(t):
-    d = mutate.fold_edges(_events(t), mutate.empty_graph(t.spark).edges)
+    d = mutate.fold_edges(graph_events(t), mutate.empty_graph(t.spark).edges)
     return d.select("edge_id", "source_node_id", "target_node_id", "edge_type", "current_weight_band")
 
 
@@ -584,7 +579,7 @@ def alias_fold(t):
         "concat('Entity ', cast((c_custkey + 1) % 90 AS string)) AS canonical_name",
         "cast(NULL AS string) AS canonical_node_id",
     ).distinct()
-    return mutate.fold_aliases(_events(t), held)
+    return mutate.fold_aliases(graph_events(t), held)
 
 
 _WEIGH = """

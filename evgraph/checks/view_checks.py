@@ -151,18 +151,28 @@ def change_week(t):
     )
 
 
-@query("change_basis", duck(_CAPPED + f"""
-, top AS (SELECT * FROM rec ORDER BY impact_rank, occurred_at, change_id LIMIT 60)
+_BASIS = f"""
+, top AS (SELECT * FROM rec ORDER BY impact_rank, occurred_at, change_id {{limit}})
 , dims AS (SELECT unnest({sql_list(vocab.DIMENSIONS)}) AS dimension)
 SELECT d.dimension, cast(count(t.change_id) AS int) AS n_changes,
   substring(sha256(coalesce(string_agg(t.change_id, '|' ORDER BY t.change_id), '')), 1, 16) AS basis_hash
-FROM dims d LEFT JOIN top t ON t.dimension = d.dimension GROUP BY d.dimension""", *_TABLES))
+FROM dims d LEFT JOIN top t ON t.dimension = d.dimension GROUP BY d.dimension"""
+
+
+@query("change_basis", duck(_CAPPED + _BASIS.format(limit="LIMIT 60"), *_TABLES))
 def change_basis(t):
     w, s = histories(t)
-    d = changes.change_stream(t["condition_nodes"], t["edges"], w, s, as_of=AS_OF)
+    d = changes.change_stream(t["condition_nodes"], t["edges"], w, s, as_of=AS_OF, caps=(50, 50, 30))
     return changes.change_basis(changes.rank_changes(d, 60))
 
 
+@query("change_basis_all", duck(_CHANGES.format(since=_SINCE, cap50="", cap30="") + _BASIS.format(limit=""), *_TABLES))
+def change_basis_all(t):
+    w, s = histories(t)
+    d = changes.change_stream(t["condition_nodes"], t["edges"], w, s, as_of=AS_OF)
+    return changes.change_basis(d)
+
+
 # --- dimensions ------------------------------------------------------------------------------
 
 _DIMS = f"""

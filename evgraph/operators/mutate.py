@@ -452,7 +452,8 @@ def fold_edges(events: DataFrame, edges: DataFrame) -> DataFrame:
     """MUT-04..06/10: current edges with band, update time and signal counts.
 
     Supporting and disconfirming signals stay rows (see :func:`edge_signals`); an
-    edge that gathers very many of them must not become one huge array.
+    edge that gathers very many of them must not become one huge array.  Counts that
+    the stored edges carry from earlier folds are added to.
     """
     e = applied(events)
     order = F.struct(*_ORDER)
@@ -473,14 +474,15 @@ def fold_edges(events: DataFrame, edges: DataFrame) -> DataFrame:
         F.count_if(kind == "add_supporting_signal").alias("n_supporting"),
         F.count_if(kind == "add_disconfirming_signal").alias("n_disconfirming"),
     )
-    base = edges.select(*born.columns).unionAll(born)
+    held = [c for c in ("n_supporting", "n_disconfirming") if c in edges.columns]
+    base = edges.select(*born.columns, *[F.col(c).alias(f"held_{c}") for c in held]).unionByName(born, allowMissingColumns=True)
+    counted = lambda c: F.coalesce(c, F.lit(0)) + (F.coalesce(f"held_{c}", F.lit(0)) if c in held else F.lit(0))
     return base.join(changes, "edge_id", "left").select(
         "edge_id", "source_node_id", "target_node_id", "edge_type",
         F.coalesce("band", "current_weight_band").alias("current_weight_band"),
         "falsification_criteria", "deprecated", "created_at",
         F.coalesce("touched", "updated_at").alias("updated_at"),
-        F.coalesce("n_supporting", F.lit(0)).alias("n_supporting"),
-        F.coalesce("n_disconfirming", F.lit(0)).alias("n_disconfirming"),
+        counted("n_supporting").alias("n_supporting"), counted("n_disconfirming").alias("n_disconfirming"),
     )
 
 

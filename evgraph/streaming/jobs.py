@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evgraph.operators.components import form_batches, group_signals
@@ -71,13 +71,43 @@ def weekly_counts(stream: DataFrame, time: str, keys: list[str], delay: str = "7
     ).select(F.col("window.start").alias("week_start"), *keys, "n")
 
 
-def rolling_counts(stream: DataFrame, time: str, length: str = "24 hours", step: str = "1 hour",
-                   delay: str = "1 day") -> DataFrame:
-    """STR-06: counts over rolling look-backs."""
-    d = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-    return d.groupBy(F.window(time, length, step)).agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("window.end").alias("as_of"), "n"
+def count_hours(stream: DataFrame, time: str, home: str, keys: list[str] | None = None, delay: str = "1 day") -> DataFrame:
+    """STR-03/06: hourly counts of a stream in one pass, late rows apart: keys, hour, late, n.
+
+    A row is late if it is older than the newest time of earlier micro-batches less ``delay``.  Counts
+    add up, so a micro-batch writes what it counted under its number and reads one row, the newest
+    time so far; a repeated batch writes the same.  Late rows themselves go to ``late`` below ``home``.
+    Any look-back is a sum of hours (:func:`look_back`), and a late row repairs the hours it belongs to.
+    """
+    keys = keys or []
+
+    def work(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.withColumn(time, F.col(time).cast("timestamp"))
+        before = spark.read.parquet(f"{home}/clock/{number - 1}").first()[0] if number else None
+        newest = batch.agg(F.max(time)).first()[0]
+        clock = max([t for t in (before, newest) if t is not None], default=None)
+        mark = F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        flagged = batch.withColumn("late", F.coalesce(F.col(time) < mark, F.lit(False)))
+        flagged.filter("late").drop("late").write.mode("overwrite").parquet(f"{home}/late/batch={number}")
+        hours = flagged.groupBy(*keys, F.date_trunc("hour", time).alias("hour"), "late").agg(F.count(F.lit(1)).alias("n"))
+        hours.write.mode("overwrite").parquet(f"{home}/hours/batch={number}")
+        spark.range(1).select(F.lit(clock).cast("timestamp").alias("clock")).write.mode("overwrite").parquet(f"{home}/clock/{number}")
+
+    (
+        stream.writeStream.option("checkpointLocation", f"{home}/progress")
+        .trigger(availableNow=True).foreachBatch(work).start().awaitTermination()
     )
+    counts = stream.sparkSession.read.parquet(f"{home}/hours/batch=*")
+    return counts.groupBy(*keys, "hour", "late").agg(F.sum("n").alias("n"))
+
+
+def look_back(hours: DataFrame, length: int, keys: list[str] | None = None) -> DataFrame:
+    """STR-06: as_of, n: rows of the ``length`` hours before each full hour, from hourly counts."""
+    keys = keys or []
+    moved = hours.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(length))).alias("k"), "hour", "n")
+    as_of = F.col("hour") + F.make_interval(hours=F.col("k"))
+    return moved.groupBy(*keys, as_of.alias("as_of")).agg(F.sum("n").alias("n"))
 
 
 def idle_sessions(stream: DataFrame, time: str, key: str, gap: str = "48 hours",
@@ -90,6 +120,20 @@ def idle_sessions(stream: DataFrame, time: str, key: str, gap: str = "48 hours",
     )
 
 
+def running_sessions(closed: DataFrame, key: str, checkpoint: str) -> DataFrame:
+    """STR-07: sessions still open, with the columns of ``closed``, read from the state of the query.
+
+    Append mode gives a session once, when the watermark has passed its end.  Until then it is a row of
+    the state store in the checkpoint folder of the query; after each micro-batch every session is
+    in exactly one of the two.
+    """
+    state = closed.sparkSession.read.format("statestore").load(checkpoint).select("value.*")
+    return state.select(
+        key, F.col("session_window.start").alias("started_at"), F.col("session_window.end").alias("expires_at"),
+        F.col("count").alias("n"),
+    )
+
+
 def run_to_table(
     stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: list[str] | None = None
 ) -> DataFrame:
@@ -113,27 +157,67 @@ def run_to_table(
     return latest(rows.option("basePath", path).parquet(f"{path}/batch=*"), keys, ["batch"]).drop("batch")
 
 
-def fold_stream(events: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame],
-                log: str, state: str, checkpoint: str):
-    """STR-10: append mutation events to ``log`` and fold them into ``state``.
+def fold_stream(events: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], touched: Callable[[DataFrame], DataFrame],
+                keys: list[str], home: str, compact_every: int = 16) -> DataFrame:
+    """STR-10: append mutation events to a log and fold them into a keyed state, which is returned.
 
-    ``fold`` takes the state before a micro-batch (``None`` at first) and its
-    events, so the log is not read again.  Events and the new state go under the
-    batch number and the state before is the one with the number below; a batch
-    that is repeated after a failure leaves the same files.
+    ``fold`` takes stored rows (``None`` at first) and the events of a micro-batch; ``touched`` gives the
+    ``keys`` that events may change.  Only the stored rows of those keys are folded, and a micro-batch writes
+    the rows that came out different, so its work and its bytes follow its events, not the state.
+    Every ``compact_every``-th batch writes the state as a whole, so a reader takes one base and fewer
+    deltas than that.  All goes under the batch number and reads smaller numbers only; a batch repeated
+    after a failure leaves the same files.
     """
+    spark = events.sparkSession
+
     def work(batch: DataFrame, number: int) -> None:
-        folder = f"{log}/batch={number}"
+        folder = f"{home}/log/batch={number}"
         batch.write.mode("overwrite").parquet(folder)
-        read = batch.sparkSession.read
-        before = read.parquet(f"{state}/version={number - 1}") if number else None
-        after = fold(before, read.schema(batch.schema).parquet(folder))
-        after.write.mode("overwrite").parquet(f"{state}/version={number}")
+        new = batch.sparkSession.read.schema(batch.schema).parquet(folder)
+        before = folded_state(batch.sparkSession, home, keys, number - 1, compact_every) if number else None
+        if before is not None:
+            before = cut_lineage(before.join(touched(new).select(*keys).distinct(), keys, "left_semi"))
+        after = fold(before, new)
+        if before is not None:
+            after = _different(after, before, keys)
+        after.write.mode("overwrite").parquet(f"{home}/delta/version={number}")
+        if number % compact_every == compact_every - 1:
+            whole = folded_state(batch.sparkSession, home, keys, number, compact_every, based=False)
+            whole.write.mode("overwrite").parquet(f"{home}/base/version={number}")
 
-    return (
-        events.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(work).start()
+    (
+        events.writeStream.option("checkpointLocation", f"{home}/progress")
+        .trigger(availableNow=True).foreachBatch(work).start().awaitTermination()
     )
+    last = spark.read.option("basePath", f"{home}/log").parquet(f"{home}/log/batch=*").agg(F.max("batch")).first()[0]
+    return folded_state(spark, home, keys, last, compact_every)
+
+
+def _different(after: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``after`` that ``before`` does not hold just so; maps are compared by their entries."""
+    plain = lambda d: F.to_json(F.struct(*[
+        F.array_sort(F.map_entries(f.name)).alias(f.name) if f.dataType.typeName() == "map" else F.col(f.name)
+        for f in d.schema.fields if f.name in after.columns]))
+    old = before.select(*after.columns).select(*keys, plain(before).alias("__old"))
+    return after.withColumn("__new", plain(after)).join(old, keys, "left").filter(
+        ~F.col("__new").eqNullSafe(F.col("__old"))).drop("__new", "__old")
+
+
+def folded_state(spark: SparkSession, home: str, keys: list[str], number: int, compact_every: int = 16, based: bool = True) -> DataFrame:
+    """State after micro-batch ``number``: the newest base up to it and the deltas since, newest row per key.
+
+    With ``based=False`` the base that ``number`` itself writes is not read yet.
+    """
+    base = (number + 1) // compact_every * compact_every - 1
+    if base == number and not based:
+        base -= compact_every
+    paths = [(f"{home}/base/version={base}", base)] if base >= 0 else []
+    paths += [(f"{home}/delta/version={k}", k) for k in range(max(base, -1) + 1, number + 1)]
+    rows = None
+    for path, version in paths:
+        part = spark.read.parquet(path).withColumn("__version", F.lit(version))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.drop("__version") if len(paths) == 1 else latest(rows, keys, ["__version"]).drop("__version")
 
 
 def hold_back(signals: DataFrame, home: str, *, hold_hours: float = 6.0, minimum: int = 2) -> DataFrame:

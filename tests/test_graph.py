@@ -123,6 +123,31 @@ def test_paths_multiply_and_flag(spark):
     assert got["abd"]["falsifiers"] == ["f1", "f4"]
 
 
+def test_walk_totals_equal_the_listed_walks(spark):
+    import random
+
+    random.seed(3)
+    bands = ["strong", "moderate", "weak", "provisional", "disputed"]
+    rows = []
+    for i in range(90):
+        a, b = random.choice("abcdefgh"), random.choice("abcdefgh")  # loops, parallel edges and two-way pairs
+        rows.append((str(i), a, b, i % 9 == 0, random.choice(bands), random.choice(["", "f"])))
+    rows += [("x", "p", "q", False, "disputed", ""), ("y", "q", "p", False, "weak", ""), ("z", "q", "r", False, "disputed", "f")]
+    e = spark.createDataFrame(rows, "edge_id string, source_node_id string, target_node_id string, deprecated boolean, "
+                              "current_weight_band string, falsification_criteria string")
+    starts = spark.createDataFrame([(n,) for n in "abcpqz"], "node_id string")
+    listed = traverse.projection_paths(e, starts, depth=3).groupBy("start", "hops").agg(
+        F.count(F.lit(1)).alias("n_paths"), F.countDistinct("end").alias("n_ends"), F.max("strength").cast("double").alias("best"),
+        F.sum("strength").cast("double").alias("total"), F.min("weakest").cast("double").alias("weakest"),
+        F.count_if("disputed").alias("n_disputed"), F.sum(F.size("falsifiers")).alias("n_falsifiers"))
+    for depth in (1, 2, 3):
+        got = traverse.projection_totals(e, starts, depth).collect()
+        want = listed.filter(F.col("hops") <= depth).collect()
+        plain = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+        assert sorted(map(plain, got), key=str) == sorted(map(plain, want), key=str)
+    assert traverse.projection_totals(e.limit(0), starts).count() == 0
+
+
 def test_reference_cycles(spark):
     d = spark.createDataFrame([("x", "a", "b"), ("x", "b", "c"), ("x", "c", "a"), ("y", "a", "b"), ("y", "b", "c")],
                               "batch_id string, source_ref string, target_ref string")

@@ -131,22 +131,82 @@ def test_split_late(spark):
 
 
 def test_event_log_folds_into_state(spark, folder):
-    schema = "edge_id string, seq long, band string"
-    path = land(spark, folder, "a", [("e", 1, "weak"), ("f", 1, "weak")], schema)
+    """A micro-batch writes the keys that came out different, and reads back as one fold over all events."""
+    schema = "edge_id long, seq long, band string, tags map<string,string>"
+
     def fold(before, batch):
         rows = batch if before is None else before.unionByName(batch)
         return sinks.current(rows, ["edge_id"], ["seq"])
 
-    def run():
-        s = spark.readStream.schema(schema).parquet(path)
-        jobs.fold_stream(s, fold, f"{folder}/log", f"{folder}/state", f"{folder}/cp").awaitTermination()
+    data = [[(i, 1, "weak", {"a": "x", "b": str(i)}) for i in range(500)]]
+    data += [[(7, 2, "strong", {}), (k, 2, "moderate", None)] for k in range(6)]
+    data += [[(3, 1, "none", None), (900, 1, "weak", {"a": "x"})]]  # older than what is stored; a new one
+    for k, rows in enumerate(data):
+        path = land(spark, folder, f"{k:03}", rows, schema)
+    written = [500, 2, 2, 2, 2, 2, 2, 1]
 
-    run()
-    land(spark, folder, "b", [("e", 2, "strong")], schema)
-    run()
-    newest = max(os.listdir(f"{folder}/state"), key=lambda n: int(n.split("=")[1]))
-    got = {r["edge_id"]: r["band"] for r in spark.read.parquet(f"{folder}/state/{newest}").collect()}
-    assert got == {"e": "strong", "f": "weak"}
+    def run():
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        return jobs.fold_stream(s, fold, lambda new: new, ["edge_id"], f"{folder}/home", compact_every=3)
+
+    def plain(d):
+        return {(r["edge_id"], r["seq"], r["band"], str(sorted((r["tags"] or {}).items()))) for r in d.collect()}
+
+    got = run()
+    whole = sinks.current(spark.read.schema(schema).parquet(path), ["edge_id"], ["seq"])
+    ties = {(7, 2)}  # written by six batches with one number
+    assert {r for r in plain(got) if r[:2] not in ties} == {r for r in plain(whole) if r[:2] not in ties}
+    assert got.count() == 501
+    rows = spark.read.option("basePath", f"{folder}/home/delta").parquet(f"{folder}/home/delta/version=*").groupBy("version").count().collect()
+    assert all(r["count"] <= written[r["version"]] for r in rows) and sum(r["count"] for r in rows) < 520
+    assert sorted(os.listdir(f"{folder}/home/base")) == ["version=2", "version=5"]
+    land(spark, folder, "more", [(900, 5, "strong", None)], schema)
+    again = {r["edge_id"]: r["band"] for r in run().collect()}
+    assert again[900] == "strong" and len(again) == 501
+
+
+def test_counts_of_edges_go_on_from_stored_ones(spark):
+    from evgraph.operators import mutate
+
+    fields = {f: None for f in ("source_node_id", "target_node_id", "edge_type", "falsification_criteria")}
+    stored = spark.createDataFrame(
+        [("e", "a", "b", "causes", "weak", "", False, T, T, 3, 1)],
+        "edge_id string, source_node_id string, target_node_id string, edge_type string, current_weight_band string, "
+        "falsification_criteria string, deprecated boolean, created_at timestamp, updated_at timestamp, n_supporting long, n_disconfirming long")
+    events = spark.createDataFrame(
+        [("add_supporting_signal", "e", False, T, "1", 4, k) for k in range(2)],
+        "event_type string, target_edge string, rejected boolean, batch_time timestamp, batch_id string, phase int, pos int"
+    ).withColumns({c: F.lit(None).cast("string") for c in (*fields, "target_of_edge", "weight_band", "new_weight_band")})
+    row = mutate.fold_edges(events, stored).first()
+    assert (row["n_supporting"], row["n_disconfirming"]) == (5, 1)
+
+
+def test_hourly_counts_repair_late_rows(spark, folder):
+    schema = "id long, at timestamp"
+    batches = [[0, 1, 30], [29, 5, 31], [60], [59, 10, 33]]
+    for k, hours in enumerate(batches):
+        path = land(spark, folder, f"{k}", [(k, T + timedelta(hours=h)) for h in hours], schema)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    hours = jobs.count_hours(s, "at", f"{folder}/home").collect()
+    late = {r["hour"]: r["n"] for r in hours if r["late"]}
+    assert late == {T + timedelta(hours=h): 1 for h in (5, 10, 33)}
+    assert sum(r["n"] for r in hours) == 10
+    assert spark.read.schema(schema).parquet(f"{folder}/home/late/batch=*").count() == 3
+    rolled = {r["as_of"]: r["n"] for r in jobs.look_back(jobs.count_hours(s, "at", f"{folder}/home"), 4).collect()}
+    assert rolled[T + timedelta(hours=33)] == 3 and rolled[T + timedelta(hours=2)] == 2
+
+
+def test_sessions_are_closed_or_running(spark, folder):
+    schema = "user long, at timestamp"
+    batches = [[(1, 0), (2, 0)], [(1, 20), (2, 200)], [(3, 9_000), (1, 9_010)]]
+    for k, rows in enumerate(batches):
+        path = land(spark, folder, f"{k}", [(u, T + timedelta(minutes=m)) for u, m in rows], schema)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    closed = jobs.run_to_table(jobs.idle_sessions(s, "at", "user", "30 minutes"), f"{folder}/table", f"{folder}/progress", "append")
+    open_ = jobs.running_sessions(closed, "user", f"{folder}/progress")
+    plain = lambda d: {(r["user"], r["started_at"], r["n"]) for r in d.collect()}
+    assert plain(closed) == {(1, T, 2), (2, T, 1), (2, T + timedelta(minutes=200), 1)}
+    assert plain(open_) == {(3, T + timedelta(minutes=9_000), 1), (1, T + timedelta(minutes=9_010), 1)}
 
 
 def _collect(query_input, folder, mode="append"):
