@@ -149,18 +149,22 @@ SELECT concat('Title ', doc_id) AS title, s.dimension, 'moderate' AS probability
   CASE doc_id % 2 WHEN 0 THEN '1 year' ELSE '3–6 months' END AS time_horizon, save_no < last AS deprecated
 FROM s JOIN l ON l.dimension IS NOT DISTINCT FROM s.dimension""")
 def scenario_store(t):
+    return scenarios.with_deprecation(parse_scenarios(scenario_responses(t).drop("doc_id"))).select(
+        "title", "dimension", "probability_band", "time_horizon", "deprecated"
+    )
+
+
+def scenario_responses(t):
+    """A landed response per document, with the number of its save."""
     body = """concat('```json\\n[{"title":" Title ', doc_id, ' ","summary":"s","probability_band":"sure"',
       CASE doc_id % 2 WHEN 0 THEN ',"time_horizon":"1 year"' ELSE '' END, '},{"title":"no summary"},7]\\n```')"""
     dim = """CASE doc_id % 6 WHEN 0 THEN 'economic_stability' WHEN 1 THEN 'geopolitical_tension'
       WHEN 2 THEN 'resource_availability' WHEN 3 THEN 'environmental_stress' WHEN 4 THEN 'structural_change' END"""
-    d = t["documents"].selectExpr(
-        f"{dim} AS dimension", f"{body} AS body", f"{SQL_AS_OF} AS as_of",
+    return t["documents"].selectExpr(
+        "doc_id", f"{dim} AS dimension", f"{body} AS body", f"{SQL_AS_OF} AS as_of",
         f"{SQL_AS_OF} + doc_id * interval '1' minute AS generated_at", "'m' AS model_used",
         f"{_SAVE} AS save_no", "true AS replaces",
     )
-    return scenarios.with_deprecation(parse_scenarios(d)).select(
-        "title", "dimension", "probability_band", "time_horizon", "deprecated"
-    )
 
 
 @query("signal_states", duck("""

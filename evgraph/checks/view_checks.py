@@ -458,7 +458,7 @@ def evidence_changes(t):
 
 # --- calibration -------------------------------------------------------------------------------------
 
-_OUTCOME = f"""
+OUTCOME = f"""
 , l AS (SELECT t.signal_id, target_edge_id AS edge_id FROM event_triggers t
   JOIN events_log e ON e.event_id = t.event_id AND NOT e.rejected
   QUALIFY row_number() OVER (PARTITION BY t.signal_id ORDER BY applied_at DESC, e.event_id DESC) = 1)
@@ -482,7 +482,7 @@ _OUTCOME = f"""
     WHEN 'anchored_weakened' THEN -0.3 WHEN 'anchored_deprecated' THEN -1.0
     WHEN 'isolated_in_tier_a' THEN -0.2 WHEN 'pending' THEN NULL ELSE 0.0 END AS score FROM o)
 """
-_CAL_TABLES = ["signals", "events_log", "event_triggers", "edges", "edge_history", "sources"]
+CAL_TABLES = ["signals", "events_log", "event_triggers", "edges", "edge_history", "sources"]
 
 
 def resolved(t):
@@ -503,29 +503,29 @@ def resolved(t):
     )
 
 
-@query("signal_outcome", duck(_OUTCOME + """
-SELECT signal_id, outcome, cast(score AS double) AS score FROM sc""", *_CAL_TABLES))
+@query("signal_outcome", duck(OUTCOME + """
+SELECT signal_id, outcome, cast(score AS double) AS score FROM sc""", *CAL_TABLES))
 def signal_outcome(t):
     return resolved(t).select("signal_id", "outcome", "score")
 
 
-@query("outcome_breakdown", duck(_OUTCOME + """
-SELECT source_id, outcome, count(*) AS n FROM sc WHERE outcome <> 'pending' GROUP BY ALL""", *_CAL_TABLES))
+@query("outcome_breakdown", duck(OUTCOME + """
+SELECT source_id, outcome, count(*) AS n FROM sc WHERE outcome <> 'pending' GROUP BY ALL""", *CAL_TABLES))
 def outcome_breakdown(t):
     return calibrate.outcome_breakdown(resolved(t), "source_id")
 
 
-@query("run_totals", duck(_OUTCOME + """
+@query("run_totals", duck(OUTCOME + """
 SELECT count(*) AS n_total, count(*) FILTER (WHERE outcome <> 'pending') AS n_scored,
   count(*) FILTER (WHERE outcome = 'pending') AS n_pending, min(content_timestamp) AS oldest,
   max(content_timestamp) AS newest,
   (SELECT string_agg(outcome || '=' || n, '|' ORDER BY outcome) FROM (SELECT outcome, count(*) AS n
-    FROM sc WHERE outcome <> 'pending' GROUP BY outcome) z) AS outcome_breakdown FROM sc""", *_CAL_TABLES))
+    FROM sc WHERE outcome <> 'pending' GROUP BY outcome) z) AS outcome_breakdown FROM sc""", *CAL_TABLES))
 def run_totals(t):
     return calibrate.run_totals(resolved(t))
 
 
-@query("source_scores", duck(_OUTCOME + """
+@query("source_scores", duck(OUTCOME + """
 , g AS (SELECT source_id, count(*) AS n_signals, cast(sum(score) AS double) AS raw_score
   FROM sc WHERE outcome <> 'pending' GROUP BY source_id)
 , j AS (SELECT g.*, raw_score / n_signals AS mean_score, tier, starting_source_weight AS prior_weight,
@@ -534,17 +534,17 @@ def run_totals(t):
 , p AS (SELECT *, round(cast(0.5 * tier_baseline + 0.3 * prior_weight
   + 0.2 * greatest(0, least(1, (mean_score + 0.5) / 1.5)) AS double), 4) AS proposed_weight FROM j)
 SELECT source_id, n_signals, round(raw_score, 4) AS raw_score, round(mean_score, 6) AS mean_score, tier,
-  proposed_weight, abs(proposed_weight - prior_weight) > 0.15 AS flagged FROM p""", *_CAL_TABLES))
+  proposed_weight, abs(proposed_weight - prior_weight) > 0.15 AS flagged FROM p""", *CAL_TABLES))
 def source_scores(t):
     d = calibrate.source_scores(resolved(t), t["sources"])
     return d.select("source_id", "n_signals", F.round("raw_score", 4).alias("raw_score"),
                     F.round("mean_score", 6).alias("mean_score"), "tier", "proposed_weight", "flagged")
 
 
-@query("lens_scores", duck(_OUTCOME + """
+@query("lens_scores", duck(OUTCOME + """
 SELECT lens_id, count(*) AS n_signals, round(cast(sum(score) AS double) / count(*), 6) AS mean_score,
   cast(sum(score) AS double) / count(*) < -0.1 AS flagged
-FROM sc WHERE outcome <> 'pending' GROUP BY lens_id""", *_CAL_TABLES))
+FROM sc WHERE outcome <> 'pending' GROUP BY lens_id""", *CAL_TABLES))
 def lens_scores(t):
     d = calibrate.lens_scores(resolved(t))
     return d.select("lens_id", "n_signals", F.round("mean_score", 6).alias("mean_score"), "flagged")
@@ -555,7 +555,7 @@ SELECT l.target_edge_id AS edge_id, count(DISTINCT perspective) AS n_perspective
   count(DISTINCT s.signal_id) AS n_signals,
   CASE WHEN count(DISTINCT perspective) > 1 THEN 'several' ELSE 'one' END AS pools
 FROM events_log l JOIN event_triggers t USING (event_id) JOIN signals s USING (signal_id)
-JOIN sources c ON c.source_id = s.source_id WHERE NOT l.rejected GROUP BY 1""", *_CAL_TABLES))
+JOIN sources c ON c.source_id = s.source_id WHERE NOT l.rejected GROUP BY 1""", *CAL_TABLES))
 def edge_perspectives(t):
     return signals.edge_perspectives(t["events_log"], t["event_triggers"], t["signals"], t["sources"])
 

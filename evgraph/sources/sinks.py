@@ -13,22 +13,32 @@ from pyspark.sql import functions as F
 from evgraph.operators.ordered import latest
 
 
-def write_payloads(payloads: DataFrame, path: str, mode: str = "append") -> None:
+def _written(d: DataFrame, keys: list[str], path: str, mode: str, run: str | None, kind: str) -> None:
+    """Write by partition columns; a named run replaces what it wrote before, and nothing else.
+
+    The run is the outermost folder and is overwritten as a whole, so a run that is repeated after a
+    failure, with more or fewer partitions than before, leaves exactly its own rows.
+    """
+    d = d.hint("rebalance", *keys)
+    if run is not None:
+        path, mode = f"{path}/run={run}", "overwrite"
+    d.write.mode(mode).partitionBy(*keys).format(kind).save(path)
+
+
+def write_payloads(payloads: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
     """SNK-01: all payloads, accepted or not, by source and content month.
 
     A source that holds a large share of the rows is spread over several tasks by
     AQE; rows of one partition folder are not forced into one task.
     """
     d = payloads.withColumn("month", F.date_format("content_timestamp", "yyyy-MM"))
-    d.hint("rebalance", "source_id", "month").write.mode(mode).partitionBy("source_id", "month").parquet(path)
+    _written(d, ["source_id", "month"], path, mode, run, "parquet")
 
 
-def archive_payloads(payloads: DataFrame, path: str, mode: str = "append") -> None:
+def archive_payloads(payloads: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
     """SNK-02: accepted payloads as JSON by source and content month."""
-    d = payloads.filter(~F.col("rejected")).withColumn(
-        "month", F.date_format("content_timestamp", "yyyy-MM")
-    )
-    d.hint("rebalance", "source_id", "month").write.mode(mode).partitionBy("source_id", "month").json(path)
+    d = payloads.filter(~F.col("rejected")).withColumn("month", F.date_format("content_timestamp", "yyyy-MM"))
+    _written(d, ["source_id", "month"], path, mode, run, "json")
 
 
 def archive_layout(payloads: DataFrame) -> DataFrame:
@@ -44,11 +54,10 @@ def only_new(rows: DataFrame, stored: DataFrame | None, keys: list[str]) -> Data
     return new if stored is None else new.join(stored.select(*keys), keys, "left_anti")
 
 
-def append_events(events: DataFrame, path: str) -> None:
+def append_events(events: DataFrame, path: str, run: str | None = None) -> None:
     """SNK-06: mutation events by content month."""
-    events.withColumn("month", F.date_format("batch_time", "yyyy-MM")).write.mode("append").partitionBy(
-        "month"
-    ).parquet(path)
+    d = events.withColumn("month", F.date_format("batch_time", "yyyy-MM"))
+    _written(d, ["month"], path, "append", run, "parquet")
 
 
 def signal_states(signals: DataFrame, states: DataFrame) -> DataFrame:
