@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,17 +94,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _merged(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts of spans in order, and how far the spans up to each of them reach."""
+    starts, reach = [], []
+    for a, b, _ in sorted(spans):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
+    return starts, reach
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str, float]]:
     """Long strings behind sensitive words that no pattern took and that do not compress."""
     found, done = [], -1
+    starts, reach = _merged(taken)
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), len(text)):
-            if m.start() > word.end() + REACH:
-                break
+        # A start is looked for within reach only; the match found there is then taken whole.
+        at, last = word.end(), word.end() + REACH
+        while (m := CANDIDATE.search(text, at, last + LEAST)) and m.start() <= last:
+            m = CANDIDATE.match(text, m.start())
+            at = m.end()
             if m.start() <= done:
                 continue
             done = m.start()
-            if any(a < m.end() and m.start() < b for a, b, _ in taken) or not _odd(m[0]):
+            k = bisect_left(starts, m.end()) - 1
+            if k >= 0 and reach[k] > m.start() or not _odd(m[0]):
                 continue
             added = novelty(text, m.start(), m.end())
             if added >= NOVELTY:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from evgraph.llm import id_files, spelling, turns
+from evgraph.llm import id_files, secrets, spelling, surrogates, turns
 from evgraph.llm.common import new_folder, vocabulary
 
 DOCS = "doc_id long, text string, n_chars string, word string, ids string"
@@ -261,3 +262,51 @@ def test_fix_up_stops_where_vectors_run_along():
         old, new = turns.END, turns.backward(bytes(rng.integers(0, 10, 9).tolist()), turns.END)
         assert turns.fix_up(kinds, old, new, turns.backward(kinds, old)) == turns.backward(kinds, new)
     assert len(turns._BACK) < 2_000
+
+
+# Long texts of the earlier operators
+
+def plain_novel(text, taken, novelty):
+    found, done = [], -1
+    for word in secrets.SENSITIVE.finditer(text):
+        for m in secrets.CANDIDATE.finditer(text, word.end()):
+            if m.start() > word.end() + secrets.REACH:
+                break
+            if m.start() <= done:
+                continue
+            done = m.start()
+            if not any(a < m.end() and m.start() < b for a, b, _ in taken) and secrets._odd(m[0]):
+                added = novelty(text, m.start(), m.end())
+                if added >= secrets.NOVELTY:
+                    found.append((m.start(), m.end(), "novel", added))
+    return found
+
+
+def test_bounded_search_finds_the_same_secrets():
+    rng = np.random.default_rng(3)
+    novelty = secrets.Novelty()
+    parts = ["token", " secret=", "private key ", "aB3", "Zq9xK2mW7vLp4RtY", " ", "\n", "prose of words ", "deadbeef" * 4, "AKIA" + "B" * 18, "x" * 70, "=."]
+    n = 0
+    for _ in range(700):
+        text = "".join(rng.choice(parts, 30))
+        base = secrets.base_spans(text)
+        want = plain_novel(text, base, novelty)
+        assert secrets.novel_spans(text, base, novelty) == want
+        n += len(want)
+    assert n > 100
+
+
+def test_secrets_of_a_long_text_take_seconds():
+    start = time.perf_counter()
+    secrets.scan("token of " * 550_000, secrets.Novelty())
+    secrets.scan("token=abcdef1 " * 100_000, secrets.Novelty())
+    assert time.perf_counter() - start < 120
+
+
+def test_personal_data_of_an_unbroken_text_take_seconds(spark):
+    start = time.perf_counter()
+    docs = spark.createDataFrame([(1, "a1" * 2_500_000), (2, "Mr. John_x@y.com and .abc@mail.org")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_personal_data(docs.withColumn("n_chars", docs.doc_id), "key").collect()}
+    assert got[1] == "a1" * 2_500_000
+    assert "y.com" not in got[2] and "abc@mail" not in got[2] and "John" not in got[2]
+    assert time.perf_counter() - start < 120
