@@ -2,9 +2,12 @@
 
 A window of ``K`` bytes is an anchor if the smallest hash of its inner substrings of
 ``S`` bytes is the first or the last of them.  That depends on the window alone, so the
-anchors of a passage are the same wherever it stands.  The fingerprint keeps all anchors
-with their positions; two texts are as alike as the share of their anchors that match in
-the order of both.  The printed column is a digest, the smallest hashes.  Each text has ``K - 1`` zero bytes in front, so short texts have windows too.
+anchors of a passage are the same wherever it stands.  The fingerprint is all anchors of
+a text with their positions, five bytes each, whatever the length of the text; two texts
+are as alike as the share of their anchors that match in the order of both.  The likeness
+is drawn from what the fingerprint holds and from nothing else: ``likeness`` of two printed
+ones, read back, gives it again.  Each text has ``K - 1`` zero bytes in front, so short
+texts have windows too.
 
 Documents are dealt to ranges of ids; the first document of the next range is sent along
 as a guest, so neighbours meet without one task for all.
@@ -18,6 +21,7 @@ document is its own next one; an empty table gives no rows; other columns are no
 from __future__ import annotations
 
 import hashlib
+from base64 import b64decode, b64encode
 from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,8 +34,8 @@ from pyspark.sql import functions as F
 from evgraph.llm.common import SLICE_BYTES, column, mix, slices
 
 K, S = 12, 4
-#: Hashes of the printed digest.
-KEPT = 64
+#: An anchor as printed: bytes from the anchor before (at most K - S lie between), hash.
+_RECORD = np.dtype([("step", "u1"), ("hash", "<u4")])
 _LAST_ID = -(1 << 63)
 
 
@@ -67,37 +71,48 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Print(NamedTuple):
-    """All anchors of a text: ``digest`` are the smallest distinct hashes (32 bits), ascending;
-    ``keys`` are ascending numbers of (hash, how many equal ones stand before) and ``places``
-    their byte positions."""
+    """All anchors of a text in its order: hashes of 32 bits and byte positions."""
 
-    digest: np.ndarray
-    keys: np.ndarray
+    hashes: np.ndarray
     places: np.ndarray
 
 
 def fingerprints(texts: list[bytes]) -> list[Print]:
-    """The anchors of each text with their positions, and the digest that is printed."""
+    """The anchors of each text with their positions."""
     hashes, place, text = anchors(texts)
+    hashes = (hashes >> np.uint64(32)).astype(np.uint32)
     at = np.searchsorted(text, np.arange(len(texts) + 1))
     out = []
     for i, raw in enumerate(texts):
         own, where = hashes[at[i] : at[i + 1]], place[at[i] : at[i + 1]]
         if not len(own) and raw:
-            own, where = np.frombuffer(hashlib.sha256(raw).digest()[:8], ">u8").astype(np.uint64), np.zeros(1, np.int64)
-        order = np.argsort(own, kind="stable")
-        own, where = own[order], where[order]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
-        nth = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
-        keys = mix(own + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(keys)
-        out.append(Print(np.unique((own >> np.uint64(32)).astype(np.uint32))[:KEPT], keys[order], where[order]))
+            own = np.frombuffer(hashlib.sha256(raw).digest()[:4], ">u4").astype(np.uint32)
+            where = np.full(1, 1 - K)
+        out.append(Print(own, where))
     return out
 
 
 def written(print_: Print) -> str:
-    """The digest of a fingerprint as text, eight hex digits a hash."""
-    return print_.digest.astype(">u4").tobytes().hex()
+    """A fingerprint as text, nothing left out: base64 of its records."""
+    records = np.empty(len(print_.hashes), _RECORD)
+    records["step"] = np.diff(print_.places, prepend=1 - K)
+    records["hash"] = print_.hashes
+    return b64encode(records.tobytes()).decode()
+
+
+def read(text: str) -> Print:
+    """The fingerprint that :func:`written` wrote."""
+    records = np.frombuffer(b64decode(text), _RECORD)
+    return Print(records["hash"].astype(np.uint32), np.cumsum(records["step"], dtype=np.int64) + 1 - K)
+
+
+def _keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending numbers of (hash, how many equal ones stand before), and where each stands."""
+    order = np.argsort(hashes, kind="stable")
+    own = hashes[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    nth = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+    return own.astype(np.uint64) << np.uint64(32) | nth.astype(np.uint64), order
 
 
 def likeness(a: Print, b: Print) -> float:
@@ -106,10 +121,11 @@ def likeness(a: Print, b: Print) -> float:
     The n-th anchor with a hash meets the n-th one of the other text; of these pairs the
     longest chain that runs in the order of both texts counts.
     """
-    if not len(a.keys) or not len(b.keys):
-        return float(len(a.keys) == len(b.keys))
-    _, i, j = np.intersect1d(a.keys, b.keys, assume_unique=True, return_indices=True)
-    places = b.places[j][np.argsort(a.places[i])]
+    if not len(a.hashes) or not len(b.hashes):
+        return float(len(a.hashes) == len(b.hashes))
+    (mine, here), (yours, there) = _keys(a.hashes), _keys(b.hashes)
+    _, i, j = np.intersect1d(mine, yours, assume_unique=True, return_indices=True)
+    places = there[j][np.argsort(here[i])]
     if (np.diff(places) > 0).all():
         met = len(places)
     else:
@@ -118,7 +134,7 @@ def likeness(a: Print, b: Print) -> float:
             k = bisect_left(ends, p)
             ends[k : k + 1] = [p]
         met = len(ends)
-    return met / (len(a.keys) + len(b.keys) - met)
+    return met / (len(a.hashes) + len(b.hashes) - met)
 
 
 def document_anchors(docs: DataFrame, text: str = "text") -> DataFrame:

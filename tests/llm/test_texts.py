@@ -180,6 +180,44 @@ def test_anchors_do_not_depend_on_context():
     assert inside_a == inside_b
 
 
+def naive_likeness(a, b):
+    """Longest chain of equal anchors in the order of both texts, by the full table."""
+    def named(p):
+        seen = {}
+        return [(h, seen.setdefault(h, []).append(0) or len(seen[h])) for h in p.hashes.tolist()]
+
+    x, y = named(a), named(b)
+    if not x or not y:
+        return float(x == y)
+    line = [0] * (len(y) + 1)
+    for u in x:
+        fresh = [0]
+        for k, v in enumerate(y):
+            fresh.append(line[k] + 1 if u == v else max(line[k + 1], fresh[k]))
+        line = fresh
+    return line[-1] / (len(x) + len(y) - line[-1])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["alpha beta ", "gamma", "delta delta ", "x", "\u00e9\u4e16 "]), max_size=30),
+       st.lists(st.sampled_from(["alpha beta ", "gamma", "delta delta ", "y"]), max_size=30))
+def test_likeness_equals_the_full_table(left, right):
+    prints = syncmers.fingerprints(["".join(left).encode(), "".join(right).encode()])
+    assert syncmers.likeness(*prints) == naive_likeness(*prints)
+    for p in prints:
+        again = syncmers.read(syncmers.written(p))
+        assert (again.hashes == p.hashes).all() and (again.places == p.places).all()
+
+
+def test_fingerprint_holds_every_anchor_of_long_texts():
+    rng = random.Random(5)
+    one = " ".join(f"w{rng.randrange(10**8)}" for _ in range(20_000)).encode()
+    two = one[:150_000] + b"!" + one[150_001:]
+    a, b = syncmers.fingerprints([one, two])
+    assert len(syncmers.read(syncmers.written(a)).places) == len(naive_anchors(one))
+    assert syncmers.written(a) != syncmers.written(b) and 0.999 < syncmers.likeness(a, b) < 1
+
+
 def test_edited_texts(spark):
     texts = [*TEXTS, "one two three four five six seven " * 20, "eight nine ten eleven twelve " * 30]
     got = {r.doc_id: r for r in syncmers.compare_with_edits(rows(spark, texts)).collect()}
@@ -193,6 +231,9 @@ def test_edited_texts(spark):
         a, b, c = syncmers.fingerprints([own.encode(), after.encode(), edited.encode()])
         assert r.fingerprint == syncmers.written(a) and r.edited_fingerprint == syncmers.written(c)
         assert r.near_next == syncmers.likeness(a, b) and r.near_edited == syncmers.likeness(a, c)
+        printed = [syncmers.read(f) for f in (r.fingerprint, r.edited_fingerprint)]
+        assert r.near_edited == naive_likeness(*printed)
+        assert r.near_next == naive_likeness(printed[0], syncmers.read(got[order[(k + 1) % len(order)]].fingerprint))
         assert 0 <= r.near_edited <= 1 and (own != after or r.near_next == 1)
     assert got[3].fingerprint == got[9].fingerprint
     assert syncmers.compare_with_edits(rows(spark, [])).count() == 0
