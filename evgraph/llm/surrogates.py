@@ -5,7 +5,9 @@ numbers, social security numbers, IBANs and names behind a title.  Each has a no
 (digits of a number, lower case of an address or of a name word), so that one entity
 gets one replacement however it is written.  The replacement comes from a keyed digest of
 kind, normal form and attempt, and is written back in the format of the original: the
-separators of a number, upper case, the title.  Names keep script and gender of the
+separators of a number, upper case, the title.  A card number or IBAN with right check
+digits gets a replacement with right ones, one with wrong digits may get either; a phone
+number keeps its country code and is another entity under another code (code 1 may be left out).  Names keep script and gender of the
 original.  All distinct entities of the corpus are compared: a replacement that two
 entities share, or that is itself an entity of the corpus, is drawn again for the loser
 with the next attempt, until all differ.
@@ -66,6 +68,8 @@ FAMILY = {
     "greek": ("αλ", "βασ", "γερ", "δημ", "ζαφ", "καρ", "λαμ", "μαν", "νικ", "παπ", "ραλ", "σαρ", "τασ", "φιλ", "χατ", "ψαρ"),
 }
 _RESERVED = ("com", "net", "org")
+# --- fixed values: telephone country codes of one and two digits; all others have three ---
+_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def _let(value: Column, body) -> Column:
@@ -119,10 +123,33 @@ def _kind(found: Column) -> Column:
     )
 
 
-def _national(found: Column) -> Column:
-    """Digits of a phone number without its country code; ten at most."""
+def _phone(found: Column) -> Column:
+    """All digits of a phone number: "+code rest", the rest alone where the code is 1 or not given."""
     digits = F.regexp_replace(found, r"[^0-9]", "")
-    return F.when(found.startswith("+"), F.right(digits, F.least(F.lit(10), F.length(digits) - 1))).otherwise(digits)
+    coded = F.regexp_replace(F.regexp_replace(digits, _CODE, "+$1 "), r"^\+1 ", "")
+    return F.when(found.startswith("+"), coded).otherwise(digits)
+
+
+def _luhn(digits: Column) -> Column:
+    """Sum of a card number modulo 10; 0 where its check digit is right."""
+    n = F.length(digits)
+
+    def part(i: Column) -> Column:
+        d = digits.substr(i, F.lit(1)).cast("int") * (F.pmod(n - i, F.lit(2)) + 1)
+        return d - F.when(d > 9, 9).otherwise(0)
+
+    return F.aggregate(F.transform(F.sequence(F.lit(1), n), part), F.lit(0), lambda a, b: a + b) % 10
+
+
+def _mod97(iban: Column) -> Column:
+    """An IBAN with its first four signs moved to the end, letters as 10 to 35, modulo 97; 1 where it is right."""
+    moved = F.concat(iban.substr(F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+
+    def step(a: Column, i: Column) -> Column:
+        v = F.conv(moved.substr(i, F.lit(1)), 36, 10).cast("int")
+        return (a * F.when(v > 9, 100).otherwise(10) + v) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(iban)), F.lit(0), step)
 
 
 def _gender(found: Column) -> Column:
@@ -145,7 +172,7 @@ def entities(found: Column) -> Column:
 
     def of_kind(kind: Column) -> Column:
         value = (
-            F.when(kind == "email", F.lower(found)).when(kind == "phone", _national(found)).when(kind == "ip", found)
+            F.when(kind == "email", F.lower(found)).when(kind == "phone", _phone(found)).when(kind == "ip", found)
             .when(kind == "iban", F.regexp_replace(found, " ", "")).otherwise(F.regexp_replace(found, r"[^0-9]", ""))
         )
         one = F.array(F.struct(kind.alias("kind"), value.alias("value")))
@@ -168,9 +195,25 @@ def _drawn(kind: Column, value: Column, attempt: Column, key: Column, hexa: Colu
             _letters(F.substring_index(value, "@", 1), hexa), F.when(attempt > 0, attempt.cast("string")).otherwise(""), F.lit("@"),
             name, F.lit(".example."), F.when(top.isin(*_RESERVED), top).otherwise("com"))
 
+    def digits_for(plain: Column, old: Column) -> Column:
+        first = F.when(F.substring(old, 1, 1) == "0", F.lit("0")).otherwise(_number(hexa, 0) % 9 + 1)
+        return F.concat(first, plain.substr(F.lit(8), F.length(old) - 1))
+
     def number(plain: Column) -> Column:
-        first = F.when(F.substring(value, 1, 1) == "0", F.lit("0")).otherwise(_number(hexa, 0) % 9 + 1)
-        return F.concat(first, plain.substr(F.lit(8), F.length(value) - 1))
+        return digits_for(plain, value)
+
+    def coded(plain: Column) -> Column:
+        return F.concat(F.substring_index(value, " ", 1), F.lit(" "), digits_for(plain, F.substring_index(value, " ", -1)))
+
+    def card(made: Column) -> Column:
+        body = made.substr(F.lit(1), F.length(made) - 1)
+        last = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+        return F.when(_luhn(value) == 0, F.concat(body, last)).otherwise(made)
+
+    def checked(made: Column) -> Column:
+        open_ = F.concat(F.substring(made, 1, 2), F.lit("00"), made.substr(F.lit(5), F.length(made)))
+        check = F.lpad((98 - _mod97(open_)).cast("string"), 2, "0")
+        return F.when(_mod97(value) == 1, F.overlay(made, check, 3)).otherwise(made)
 
     def account(plain: Column) -> Column:
         def sign(c: Column, i: Column) -> Column:
@@ -188,7 +231,8 @@ def _drawn(kind: Column, value: Column, attempt: Column, key: Column, hexa: Colu
         F.conv(hexa.substr(i * 6 + 1, F.lit(6)), 16, 10).cast("long") % 254 + 1).cast("string")), ".")
     out = (
         F.when(kind == "email", _let(F.substring_index(value, "@", -1), mail)).when(kind == "ip", address)
-        .when(kind == "iban", _let(_digits(hexa), account))
+        .when(kind == "iban", _let(_let(_digits(hexa), account), checked)).when(kind == "card", _let(_let(_digits(hexa), number), card))
+        .when(value.startswith("+"), _let(_digits(hexa), coded))
     )
     for script, parts in FAMILY.items():
         out = out.when(kind == f"family_{script}", many(parts, 3, ""))
@@ -199,10 +243,12 @@ def _drawn(kind: Column, value: Column, attempt: Column, key: Column, hexa: Colu
 
 def _written(found: Column, kind: Column, new: Column) -> Column:
     """A replaced number in the format of the original, digit for digit from the right."""
+    plain = F.regexp_replace(new, r"[^0-9]", "")
+
     def digit(c: Column, i: Column) -> Column:
         right = F.length(F.regexp_replace(found.substr(i + 1, F.length(found)), r"[^0-9]", ""))  # digits from here on
-        at = F.length(new) - right + 1
-        return F.when(c.rlike("^[0-9]$") & (at >= 1), new.substr(at, F.lit(1))).otherwise(c)
+        at = F.length(plain) - right + 1
+        return F.when(c.rlike("^[0-9]$") & (at >= 1), plain.substr(at, F.lit(1))).otherwise(c)
 
     numbers = F.array_join(F.transform(F.split(found, ""), digit), "")
     spaced = F.array_join(F.transform(F.split(found, ""), lambda c, i: F.when(c == " ", c).otherwise(

@@ -217,6 +217,30 @@ def test_surrogates(spark):
     assert surrogates.replace_personal_data(docs.limit(0), "key").count() == 0
 
 
+def luhn(s):
+    return sum(d - 9 if d > 9 else d for i, c in enumerate(reversed(s)) for d in [int(c) * (1 + i % 2)]) % 10
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_numbers_stay_valid_by_type(spark):
+    cards = ["4111 1111 1111 1111", "378282246310005", "5500-0000-0000-0004", "6011000990139424"]
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "NL91ABNA0417164300"]
+    phones = ["+49 30 1234 5678", "+33 30 1234 5678", "+491512345678", "+1 212 555 0123", "(212) 555-0123", "+380 44 123 4567"]
+    out = [r.text[2:-2] for r in surrogates.replace_personal_data(private(spark, [f"x {v} y" for v in cards + ibans + phones]), "key").orderBy("doc_id").collect()]
+    for old, new in zip(cards + ibans + phones, out):
+        assert old != new and re.sub(r"\d", "0", old)[-3:] == re.sub(r"\d", "0", new)[-3:] and len(old) == len(new)
+    assert all(luhn(re.sub(r"\D", "", c)) == 0 for c in cards + out[:4])
+    assert all(mod97(c.replace(" ", "")) == 1 for c in ibans + out[4:7])
+    assert [o[:2] for o in out[4:7]] == ["DE", "GB", "NL"]
+    german, french, mobile, us, plain, ukraine = out[7:]
+    assert german.startswith("+49 ") and french.startswith("+33 ") and german[4:] != french[4:] and ukraine.startswith("+380 ")
+    assert mobile.startswith("+49") and not mobile.startswith("+491512")
+    assert re.sub(r"\D", "", us) == "1" + re.sub(r"\D", "", plain)  # one number with and without its code
+
+
 def test_collisions_are_drawn_again(spark):
     names = [a + b for a in "bcdfg" for b in "aeiouyhk"]
     docs = private(spark, [f"Mr. {n.title()} Oak" for n in names] + ["Mr. Adam Oak"] + [f"Mr. {names[0].title()} Oak"])
