@@ -137,6 +137,52 @@ def question_signals(t):
     ).select("query", "signal_id")
 
 
+_MOMENT = datetime(1995, 6, 1)
+_SQL_MOMENT = "timestamp '1995-06-01 00:00:00'"
+
+
+def _then(history: str, key: str, value: str) -> str:
+    """Newest value per key up to the moment."""
+    return f"SELECT {key}, max_by({value}, (content_timestamp, id)) AS v FROM {history} WHERE content_timestamp <= {_SQL_MOMENT} GROUP BY {key}"
+
+
+@query("question_context", duck(f"""
+, pn AS (SELECT n.* REPLACE (coalesce(v, current_state) AS current_state) FROM part_nodes n
+  LEFT JOIN ({_then('part_history', 'node_id', 'new_state')}) h USING (node_id) WHERE created_at <= {_SQL_MOMENT})
+, se AS (SELECT e.* REPLACE (coalesce(v, current_weight_band) AS current_weight_band) FROM supply_edges e
+  LEFT JOIN ({_then('delivery_history', 'edge_id', 'weight_band')}) h USING (edge_id) WHERE created_at <= {_SQL_MOMENT})
+, q AS (SELECT query, {grams('query')} AS g FROM (SELECT DISTINCT question AS query FROM questions) z)
+, n AS (SELECT name, d, {grams('name')} AS g, {grams('d')} AS h
+  FROM (SELECT DISTINCT name, coalesce(description, '') AS d FROM pn) z)
+, p AS (SELECT query, name, d, greatest({ratio('q.g', 'n.g')}, {ratio('q.g', 'n.h')}) AS score FROM q, n)
+, hit AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node_id) AS pos
+  FROM p JOIN (SELECT *, coalesce(description, '') AS d FROM pn) k USING (name, d)
+  WHERE score > 0.1 OR contains(lower(name), lower(substring(query, 1, 40))) QUALIFY pos <= 12)
+, e AS (SELECT DISTINCT query, se.* FROM hit JOIN se ON node_id = target_node_id OR node_id = source_node_id WHERE NOT deprecated)
+, el AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY
+  CASE current_weight_band WHEN 'strong' THEN 0 WHEN 'moderate' THEN 1 WHEN 'weak' THEN 2 ELSE 3 END,
+  updated_at DESC, edge_id) AS pos FROM e QUALIFY pos <= 15)
+, term AS (SELECT DISTINCT query, lower(substring(name, 1, 30)) AS term FROM hit WHERE pos <= 5)
+, m AS (SELECT DISTINCT query, s.* FROM term, shipment_signals s
+  WHERE content_timestamp BETWEEN {_SQL_MOMENT} - interval '30' day AND {_SQL_MOMENT} AND contains(lower(claim_text), term))
+, sl AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY content_timestamp DESC, signal_id DESC) AS pos FROM m QUALIFY pos <= 10)
+SELECT query, 'node' AS part, pos AS position, node_id AS item_id, node_type AS kind, name AS label, NULL::varchar AS other,
+  current_state AS state, d AS detail, created_at AS at FROM hit
+UNION ALL SELECT query, 'edge', pos, edge_id::varchar, 'supplies', source_name, target_name, current_weight_band,
+  substring('delivered by ' || source_name, 1, 200), created_at FROM el
+UNION ALL SELECT query, 'signal', pos, signal_id::varchar, 'physical_world', substring(claim_text, 1, 300), NULL, 'hard_datum', '',
+  content_timestamp FROM sl
+UNION ALL SELECT NULL, 'dimension', 1, NULL, NULL, dimension, count(*)::varchar, (count(*) FILTER (WHERE current_state = 'active'))::varchar,
+  '', {_SQL_MOMENT} FROM pn WHERE node_type = 'condition' AND dimension IS NOT NULL GROUP BY dimension""",
+    "questions", "part_nodes", "part_history", "delivery_history", "supply_edges", "shipment_signals"))
+def question_context(t):
+    """All four parts at a moment with states and bands of then; later parts and deliveries do not exist yet."""
+    edges = t["supply_edges"].withColumns({"edge_type": F.lit("supplies"), "reasoning": F.concat(F.lit("delivered by "), "source_name")})
+    told = t["shipment_signals"].withColumns({"lens_id": F.lit("physical_world"), "confidence_band": F.lit("hard_datum")})
+    return topics.question_context(t["questions"], t["part_nodes"], edges, told, as_of=_MOMENT,
+                                   state_history=t["part_history"], weight_history=t["delivery_history"])
+
+
 # --- histories ---------------------------------------------------------------------------
 
 @query("weight_as_of", duck(f"""

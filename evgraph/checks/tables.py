@@ -168,6 +168,24 @@ SELECT concat('p', cast(p_partkey AS varchar(20))) AS node_id,
 FROM part""",
     "questions": """
 SELECT p_partkey AS question_id, concat('why is ', p_name, ' short') AS question FROM part""",
+    # Parts with the moment they first shipped, and what each shipment did to part and delivery.
+    "part_nodes": """
+SELECT concat('p', cast(p_partkey AS varchar(20))) AS node_id,
+  CASE WHEN p_partkey % 3 = 0 THEN 'condition' ELSE 'entity' END AS node_type,
+  concat(p_name, ' ', lower(p_brand)) AS name,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE lower(p_type) END AS description,
+  'unknown' AS current_state, c AS created_at,
+  CASE WHEN p_partkey % 21 = 0 THEN NULL ELSE lower(p_type) END AS dimension
+FROM part JOIN (SELECT l_partkey, min(l_shipdate) c FROM lineitem GROUP BY l_partkey) t ON p_partkey = l_partkey""",
+    "part_history": """
+SELECT id, concat('p', cast(p AS varchar(20))) AS node_id,
+  CASE WHEN id % 2 = 0 THEN 'active' ELSE 'inactive' END AS new_state, ts AS content_timestamp
+FROM (SELECT l_partkey p, l_shipdate ts, cast(sum(l_orderkey * 8 + l_linenumber) AS bigint) id FROM lineitem
+      WHERE l_returnflag <> 'N' GROUP BY l_partkey, l_shipdate) t""",
+    "delivery_history": f"""
+SELECT id, s * 1000000 + p AS edge_id, {_BAND.format(c='id')} AS weight_band, ts AS content_timestamp
+FROM (SELECT l_suppkey s, l_partkey p, l_shipdate ts, cast(sum(l_orderkey * 8 + l_linenumber) AS bigint) id FROM lineitem
+      WHERE l_returnflag <> 'N' GROUP BY l_suppkey, l_partkey, l_shipdate) t""",
     "shipment_signals": """
 SELECT s * 1000000 + p AS signal_id,
   concat('supplier ', cast(s AS varchar(20)), ' ships ', p_name, ' ', lower(p_brand)) AS claim_text,

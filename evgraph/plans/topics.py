@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph import vocab
 from evgraph.functions.bands import attention, band_rank, is_high, state_band
 from evgraph.functions.text import contains_any, similarity
-from evgraph.operators.asof import nodes_as_of
+from evgraph.operators.asof import edges_as_of, nodes_as_of
 from evgraph.operators.ordered import top_per_key
 from evgraph.operators.similarity import containing, top_similar
 from evgraph.plans.changes import named_edges
@@ -223,12 +223,12 @@ def _keyword_dimensions(text):
 
 # --- questions -----------------------------------------------------------------------
 
-def question_nodes(questions: DataFrame, nodes: DataFrame, *, above: float = 0.1, k: int = 12) -> DataFrame:
+def question_nodes(questions: DataFrame, nodes: DataFrame, *, above: float = 0.1, k: int = 12, start: int = 40) -> DataFrame:
     """SIM-06: best nodes per distinct question text.
 
     The score is the better of name and description similarity.  A node is kept
-    when the score exceeds ``above`` or its name contains the start of the
-    question (40 characters); in the latter case its exact score still counts.
+    when the score exceeds ``above`` or its name contains the first ``start`` characters
+    of the question; in the latter case its exact score still counts.
     """
     q = questions.select("question").distinct()
     by_name = top_similar(q, "question", nodes, "name", "node_id", above=above, k=k)
@@ -239,7 +239,7 @@ def question_nodes(questions: DataFrame, nodes: DataFrame, *, above: float = 0.1
     ).groupBy("query", "node_id").agg(F.max("score").alias("score"))
     # Read twice below; it holds at most 2k rows per question.
     scored = cut_lineage(scored)
-    starts = q.withColumn("start", F.lower(F.substring("question", 1, 40)))
+    starts = q.withColumn("start", F.lower(F.substring("question", 1, start)))
     named = containing(nodes, "name", starts, "start")
     hits = (
         named.join(starts, named["term"] == starts["start"])
@@ -274,13 +274,13 @@ def question_edges(matches: DataFrame, edges: DataFrame, *, as_of: datetime, k:
 
 
 def question_signals(
-    matches: DataFrame, nodes: DataFrame, signals: DataFrame, *, as_of: datetime, k: int = 10
+    matches: DataFrame, nodes: DataFrame, signals: DataFrame, *, as_of: datetime, k: int = 10, term: int = 30
 ) -> DataFrame:
-    """SIM-07: newest signals of 30 days naming one of the first five matched nodes."""
+    """SIM-07: newest signals of 30 days that hold the first ``term`` characters of one of the first five names."""
     newest = [F.col("content_timestamp").desc(), F.col("signal_id").desc()]
     first = top_per_key(matches, ["query"], [F.col("score").desc(), F.col("node_id")], 5)
     terms = first.join(nodes.select("node_id", "name"), "node_id").select(
-        "query", F.lower(F.substring("name", 1, 30)).alias("term")
+        "query", F.lower(F.substring("name", 1, term)).alias("term")
     ).distinct()
     # At most five terms per question, read twice below.
     terms = cut_lineage(terms)
@@ -300,6 +300,58 @@ def question_signals(
     return top_per_key(d, ["query"], newest, k)
 
 
+def question_context(
+    questions: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    signals: DataFrame,
+    *,
+    as_of: datetime,
+    state_history: DataFrame | None = None,
+    weight_history: DataFrame | None = None,
+    k: tuple[int, int, int] = (12, 15, 10),
+    shown: tuple[int, int] = (200, 300),
+) -> DataFrame:
+    """EVD-02: what is known about each distinct question at ``as_of``.
+
+    One row per item: query, part (node, edge, signal or dimension), position in the part,
+    item_id, kind, label, other, state, detail, at.  Nodes and edges are first brought to
+    the moment: those created later are out before anything is ranked, and with the
+    histories given their states and bands are those of then.  Both are written once and
+    all parts read them.  ``shown`` bounds the printed reasoning and claim.  The overview of
+    dimensions is the same for every question, so it is there once, with a null query,
+    and its number of conditions and active ones as ``other`` and ``state``.
+    """
+    until = F.lit(as_of)
+    then = nodes.filter(F.col("created_at") <= until) if state_history is None else nodes_as_of(nodes, state_history, as_of)
+    then = cut_lineage(then.select("node_id", "node_type", "name", "description", "current_state", "created_at", "dimension"))
+    links = edges.filter(F.col("created_at") <= until) if weight_history is None else edges_as_of(edges, weight_history, as_of)
+    links = cut_lineage(links)
+    hits = cut_lineage(question_nodes(questions, then, k=k[0]))
+    near = question_edges(hits, links, as_of=as_of, k=k[1])
+    told = question_signals(hits, then, signals, as_of=as_of, k=k[2])
+
+    none = F.lit(None).cast("string")
+    place = lambda *order: F.row_number().over(Window.partitionBy("query").orderBy(*order)).alias("position")
+    text = lambda c: F.col(c).cast("string")
+    found = hits.join(then, "node_id").select(
+        "query", F.lit("node").alias("part"), place(F.col("score").desc(), F.col("node_id")), text("node_id").alias("item_id"),
+        F.col("node_type").alias("kind"), F.col("name").alias("label"), none.alias("other"),
+        F.col("current_state").alias("state"), F.coalesce("description", F.lit("")).alias("detail"), F.col("created_at").alias("at"))
+    best = [band_rank(F.col("current_weight_band")), F.col("updated_at").desc(), F.col("edge_id")]
+    details = links.select("edge_id", "edge_type", "source_name", "target_name", "reasoning", "created_at")
+    linked = near.join(details, "edge_id").select(
+        "query", F.lit("edge"), place(*best), text("edge_id"), "edge_type", "source_name", "target_name", "current_weight_band",
+        F.substring(F.coalesce("reasoning", F.lit("")), 1, shown[0]), "created_at")
+    newest = [F.col("content_timestamp").desc(), F.col("signal_id").desc()]
+    reported = told.select("query", "signal_id").join(signals, "signal_id").select(
+        "query", F.lit("signal"), place(*newest), text("signal_id"), "lens_id", F.substring("claim_text", 1, shown[1]), none,
+        "confidence_band", F.lit(""), "content_timestamp")
+    overview = condition_overview(then, as_of).select(
+        none, F.lit("dimension"), F.lit(1), none, none, "dimension", text("total"), text("active"), F.lit(""), until.cast("timestamp"))
+    return found.unionAll(linked).unionAll(reported).unionAll(overview)
+
+
 def condition_overview(nodes: DataFrame, as_of: datetime) -> DataFrame:
     """AGG-09: conditions and active ones per stored dimension field."""
     return nodes.filter(
