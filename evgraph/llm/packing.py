@@ -6,7 +6,7 @@ random to shards of bounded size.  A shard starts from best fit in descending or
 then exchanges pieces between bins: a move, one for one, two for one or one for two,
 always so that the sum of squared fills grows, until bins fall empty.  Bins that stay
 clearly below capacity are opened again and dealt anew with those of other shards, until
-one shard is left, so the number of shards costs no sequences.
+one shard is left or a deal needs as many sequences as the one before it.
 
 Defined cases: a null text is empty, which still has the end id and so one piece; rows
 that repeat are packed each; an empty table gives no pieces; other columns are not
@@ -91,81 +91,123 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, effort: int = 4_000) -> np.ndarray:
-    """Swap pieces between bins with room (below ``CLOSED``) so that squared fill grows and bins fall empty.
+class _Sums:
+    """Values (a size, or the sum of two) and their bins in flat arrays; each bin holds a value once."""
 
-    The emptiest bin gives pieces to others: a plain move into a gap, an exchange of one
-    of its pieces for a shorter one, of two for one, or of one for two.  Every step raises
-    the sum of squared fills, so the search ends.  ``effort`` bounds the steps in a shard;
-    wherever it stops, what is left is a valid packing.
+    def __init__(self, per_bin: list[list[int]]):
+        self.none = len(per_bin)
+        self.spans = [(0, 0)] * len(per_bin)
+        self.value, self.home, self.used, self.live = np.zeros(64, np.int64), np.full(64, self.none), 0, 0
+        for b, values in enumerate(per_bin):
+            self.put(b, values)
+
+    def put(self, b: int, values: list[int]) -> None:
+        """Give bin ``b`` new values; what it had stays behind without a bin until the arrays are full."""
+        low, high = self.spans[b]
+        self.home[low:high] = self.none
+        self.live += len(values) - (high - low)
+        if self.used + len(values) > len(self.value):
+            keep = np.flatnonzero(self.home[: self.used] < self.none)
+            room = 2 * (len(keep) + len(values)) + 64
+            value, home = np.zeros(room, np.int64), np.full(room, self.none)
+            value[: len(keep)], home[: len(keep)] = self.value[keep], self.home[keep]
+            starts = np.flatnonzero(np.r_[True, home[1 : len(keep)] != home[: len(keep) - 1]]) if len(keep) else keep
+            self.spans = [(0, 0)] * self.none
+            for low, high in zip(starts.tolist(), np.r_[starts[1:], len(keep)].tolist()):
+                self.spans[int(home[low])] = (low, high)
+            self.value, self.home, self.used = value, home, len(keep)
+        end = self.used + len(values)
+        self.value[self.used : end], self.home[self.used : end] = values, b
+        self.spans[b], self.used = (self.used, end), end
+
+    def largest(self, given: np.ndarray, gap: np.ndarray, least: np.ndarray) -> tuple[int, int, int]:
+        """(value, value taken for it, bin) where the bin grows most; (0, 0, 0) where none grows by more than ``least``."""
+        taken, home = self.value[: self.used], self.home[: self.used]
+        offered = given[taken + gap[home]]
+        up = np.where(offered - taken > least[home], offered - taken, 0)
+        j = int(np.argmax(up)) if len(up) else 0
+        return (int(offered[j]), int(taken[j]), int(home[j])) if len(up) and up[j] else (0, 0, 0)
+
+
+def _pairs(held: dict[int, list[int]]) -> list[int]:
+    """Distinct sums of two pieces of a bin."""
+    sizes = sorted(held)
+    return sorted({a + b for i, a in enumerate(sizes) for b in sizes[i:] if a != b or len(held[a]) > 1})
+
+
+def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Swap pieces between bins with room so that squared fill grows and bins fall empty.
+
+    A bin gives pieces to others: a plain move into a gap, one of its pieces for a shorter
+    one, two for one, or one for two.  Every step raises the sum of squared fills, and
+    the search ends when no bin has such a step.  A bin of pieces of many sizes has at most some
+    sixty distinct ones, so its sums of two are few, and a table of the sums a bin can give
+    answers for every piece of the others at once.
     """
     bins = bins.copy()
-    fill = np.bincount(bins, weights=lengths).astype(np.int64)
-    open_bin = fill < CLOSED * capacity
-    item = np.flatnonzero(open_bin[bins])
-    size, home = lengths[item], bins[item]
-    waiting = open_bin & (fill > 0)
-    for _ in range(effort):
-        live = np.flatnonzero(waiting)
-        if len(live) < 2:
-            break
-        source = int(live[np.argmin(fill[live])])
-        step = _best_step(size, home, fill, open_bin, source, capacity)
-        if step is None:
-            waiting[source] = False
-            continue
-        give, take, target = step
-        home[give], home[take] = target, source
-        change = int(size[give].sum() - size[take].sum())
-        fill[target] += change
-        fill[source] -= change
-        if not fill[source]:
-            waiting[source] = open_bin[source] = False
-    bins[item] = home
+    filled = np.bincount(bins, weights=lengths).astype(np.int64)
+    item = np.flatnonzero((filled < capacity)[bins])
+    if not len(item):
+        return bins
+    names, home = np.unique(bins[item], return_inverse=True)
+    held: list[dict[int, list[int]]] = [{} for _ in names]
+    for i, b, size in zip(item.tolist(), home.tolist(), lengths[item].tolist()):
+        held[b].setdefault(size, []).append(i)
+    ones, twos = _Sums([sorted(h) for h in held]), _Sums([_pairs(h) for h in held])
+    fill = np.r_[filled[names], 0]  # the last place stands for no bin
+    moved = True
+    while moved:
+        moved = False
+        for source in np.argsort(fill[:-1], kind="stable").tolist():
+            while fill[source] and (step := _best_step(held, ones, twos, fill, source, capacity)):
+                give, take, target = step
+                for sizes, a, b in ((give, source, target), (take, target, source)):
+                    for size in sizes:
+                        i = held[a][size].pop()
+                        if not held[a][size]:
+                            del held[a][size]
+                        held[b].setdefault(size, []).append(i)
+                        fill[a] -= size
+                        fill[b] += size
+                for b in (source, target):
+                    ones.put(b, sorted(held[b]))
+                    twos.put(b, _pairs(held[b]))
+                moved = True
+    for b, sizes in enumerate(held):
+        for found in sizes.values():
+            bins[found] = names[b]
     return bins
 
 
-def _best_step(size, home, fill, open_bin, source, capacity):
-    """The step with the largest gain of the other bin: (given, taken, bin) or None."""
-    mine = np.flatnonzero(home == source)
-    mine = mine[np.argsort(-size[mine], kind="stable")]
-    gap = np.where(open_bin, capacity - fill, 0)
-    gap[source] = 0
-    room = gap[home]
-    none = np.zeros(0, np.int64)
-
-    def largest(up, room, at):
-        ok = (up > 0) & (up <= room) & (fill[home[at]] + up > fill[source])
-        j = int(np.argmax(np.where(ok, up, 0))) if len(up) else 0
-        return (int(up[j]), j) if len(up) and ok[j] else (0, 0)
-
-    every = np.arange(len(home))
-    best, gain = None, 0
-    for x in mine:
-        fits = np.where(gap >= size[x], gap, capacity + 1)  # move
-        b = int(np.argmin(fits))
-        if fits[b] <= capacity and fill[b] + size[x] > fill[source]:
-            return np.array([x]), none, b
-        up, j = largest(size[x] - size, room, every)  # one for one
-        if up > gain:
-            best, gain = (np.array([x]), np.array([j]), int(home[j])), up
-    if best is None:
-        small = mine[-8:]
-        for i in range(len(small)):  # two for one
-            for k in range(i + 1, len(small)):
-                up, j = largest(size[small[i]] + size[small[k]] - size, room, every)
-                if up > gain:
-                    best, gain = (np.array([small[i], small[k]]), np.array([j]), int(home[j])), up
-    if best is None:
-        order = np.argsort(home, kind="stable")  # one for two of the same bin
-        one, two = order[:-1], order[1:]
-        same = home[one] == home[two]
-        one, two = one[same], two[same]
-        for x in mine:
-            up, j = largest(size[x] - size[one] - size[two], room[one], one)
-            if up > gain:
-                best, gain = (np.array([x]), np.array([one[j], two[j]]), int(home[one[j]])), up
-    return best
+def _best_step(held, ones, twos, fill, source, capacity) -> tuple[list[int], list[int], int] | None:
+    """(sizes given, sizes taken, bin) with the largest growth of that bin, by kind of step, or None."""
+    gap = capacity - fill
+    least = np.maximum(0, fill[source] - fill)  # more than this must come in for the squares to grow
+    least[[source, -1]] = capacity
+    gap[-1] = 0
+    single = np.zeros(capacity + 1, np.int64)
+    single[list(held[source])] = list(held[source])
+    single = np.maximum.accumulate(single)
+    offered = np.where(single[gap] > least, single[gap], 0)
+    size = int(offered.max())
+    if size:  # move into the tightest bin
+        return [size], [], int(np.argmin(np.where(offered == size, gap, capacity + 1)))
+    give, take, target = ones.largest(single, gap, least)
+    if give:
+        return [give], [take], target
+    sums = [v for v in _pairs(held[source]) if v <= capacity]
+    double = np.zeros(capacity + 1, np.int64)
+    double[sums] = sums
+    give, take, target = ones.largest(np.maximum.accumulate(double), gap, least)
+    if give:
+        return _two(held[source], give), [take], target
+    give, take, target = twos.largest(single, gap, least)
+    return ([give], _two(held[target], take), target) if give else None
+
+
+def _two(held: dict[int, list[int]], total: int) -> list[int]:
+    """Sizes of two pieces of a bin with this sum."""
+    return next([a, total - a] for a in sorted(held) if total - a in held and (2 * a != total or len(held[a]) > 1))
 
 
 def pack_shard(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -190,7 +232,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
             begin = (ends - lengths)[first][np.cumsum(first) - 1]
             fill = np.bincount(bins, weights=lengths, minlength=1)[bins] / capacity
             out = rows[names].copy()
-            out["sequence_id"] = (np.int64(round_no) << np.int64(56)) + (np.int64(key[0]) << np.int64(24)) + bins
+            out["sequence_id"] = (np.int64(round_no) << np.int64(52)) + (np.int64(key[0]) << np.int64(24)) + bins
             out["offset"] = ends - lengths - begin
             out["__fill"] = fill
             return out
@@ -200,19 +242,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     full = pieces.filter(F.col("length") >= capacity).select(
         *names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, done = pieces.filter(F.col("length") < capacity), full
-    left, round_no = rest.count(), 0
+    left, round_no, loose, spent = rest.count(), 0, None, 0
     while left:
         n = max(1, -(-left // shard))
         deal = F.pmod(F.xxhash64(F.lit(round_no), *names), F.lit(n)).cast("int")
         packed = cut_lineage(rest.withColumn("__shard", deal).groupBy("__shard").applyInPandas(packer(round_no), schema))
+        if loose is not None and packed.filter("offset = 0").count() >= spent:  # not one bin fell empty
+            return done.unionByName(loose)
         closed = F.col("__fill") >= CLOSED if n > 1 else F.lit(True)
         done = done.unionByName(packed.filter(closed).select(*names, "sequence_id", "offset"))
-        rest = packed.filter(~closed).select(*names)
-        again = rest.count()
-        if again > 0.9 * left:  # hardly a bin was filled: dealing anew would not help
-            done = done.unionByName(packed.filter(~closed).select(*names, "sequence_id", "offset"))
-            break
-        left, round_no = again, round_no + 1
+        loose = packed.filter(~closed).select(*names, "sequence_id", "offset")
+        rest = loose.select(*names)
+        left, spent = loose.agg(F.count(F.lit(1)), F.count_if(F.col("offset") == 0)).first()
+        round_no += 1
     return done
 
 

@@ -1,6 +1,7 @@
 """Operators on single texts against brute-force versions and libraries."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -145,6 +146,42 @@ def test_local_search_empties_bins(low, high):
         assert np.bincount(bins, weights=sizes).max() <= 2048
     square = [(np.bincount(b, weights=sizes) ** 2).sum() for b in (first, better)]
     assert square[1] >= square[0] and len(set(better)) <= len(set(first))
+    if low == 300:
+        assert len(set(better)) < len(set(first))
+
+
+def test_local_search_empties_what_it_must():
+    assert len(set(packing.improve(np.array([6, 6, 3, 3]), np.array([0, 1, 2, 2]), 10).tolist())) == 2
+    # 5 + 4 | 6 + 3 | 2: five for six or three for four, then two fits.
+    assert len(set(packing.improve(np.array([5, 4, 6, 3, 2]), np.array([0, 0, 1, 1, 2]), 10).tolist())) == 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_local_search_leaves_no_step(seed):
+    rng = np.random.default_rng(seed)
+    sizes, capacity = rng.integers(1, [12, 30, 60][seed % 3], 60), 64
+    bins = packing.improve(sizes, rng.permutation(60), capacity)
+    held = [np.flatnonzero(bins == b).tolist() for b in sorted(set(bins.tolist()))]
+    fill = [sizes[h].sum() for h in held]
+    assert max(fill) <= capacity and sum(fill) == sizes.sum()
+    groups = lambda h, n: [c for k in n for c in itertools.combinations(h, k)]
+    for a, b in itertools.permutations(range(len(held)), 2):
+        for give, take in ((1, (0, 1)), (2, (1,)), (1, (2,))):
+            for g in groups(held[a], [give]):
+                for t in groups(held[b], take):
+                    up = sizes[list(g)].sum() - sizes[list(t)].sum() if t else sizes[list(g)].sum()
+                    assert not (up > 0 and fill[b] + up <= capacity and fill[b] + up > fill[a])
+
+
+def test_dealing_anew_stops_when_no_bin_falls_empty(spark):
+    sizes = np.random.default_rng(2).integers(300, 1100, 1200)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(sizes)], packing._PIECES)
+    out = packing.pack(pieces, shard=150).toPandas()
+    fill = out.groupby("sequence_id")["length"].sum()
+    assert sorted(out["doc_id"]) == list(range(1200)) and fill.max() <= 2048
+    assert len(fill) <= 1.02 * len(set(packing.best_fit(sizes, 2048)))
+    for _, part in out.sort_values("offset").groupby("sequence_id"):
+        assert (part["offset"] == part["length"].cumsum() - part["length"]).all()
 
 
 def naive_anchors(text):
