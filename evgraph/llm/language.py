@@ -4,11 +4,13 @@ A model holds, for each language, raw content of a bounded sample of its texts.
 is reduced to lower-case letters and spaces, cut into chunks and compressed with every
 dictionary; the language with the fewest bytes wins.  A chunk is measured as the growth
 of a frame that starts with text of the dictionary, so that also a single word is
-compressed rather than stored.  Equal sizes go to the language seen more often.
+compressed rather than stored.  Where the two best sizes are close, the text is measured
+behind more leads of the dictionaries and the mean decides, which tells apart sizes that
+differ by less than a byte.  Equal sizes go to the language seen more often.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected;
-a text of at least ``JUDGED`` bytes whose best and second size differ by less than
-``NARROW`` is rejected, a shorter one is too little evidence for that and is kept;
+a text of any length whose best and second size are equal or differ by less than
+``NARROW`` is rejected;
 without labelled rows every text is ``und``; with one language the score is 1; rows that
 repeat get the same answer; other columns are not carried.
 """
@@ -35,8 +37,9 @@ SAMPLE_BYTES = 400
 LEVEL = 9
 CHUNK = 4096
 #: Relative difference of the two smallest sizes below which a text is rejected.
-NARROW = 0.003
-JUDGED = 64
+NARROW = 0.01
+#: Relative difference, or difference in bytes, below which a text is measured behind this many more leads.
+CLOSE, CLOSE_BYTES, LEADS = 0.015, 2, 12
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,21 +67,22 @@ class Model:
         if not self._ready:
             for lang in sorted(self.content, key=lambda x: (-self.seen[x], x)):
                 raw = self.content[lang]
-                lead = raw[len(raw) // 20 :][:160] + b" "
                 words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 words.precompute_compress(level=self.level)
                 coder = zstandard.ZstdCompressor(dict_data=words, level=self.level, write_content_size=False,
                                                  write_checksum=False, write_dict_id=False)
-                self._ready.append((lang, coder, lead, len(coder.compress(lead))))
+                leads = [raw[len(raw) * (k + 1) // (LEADS + 8) :][:160] + b" " for k in range(LEADS + 1)]
+                self._ready.append((lang, coder, [(lead, len(coder.compress(lead))) for lead in leads]))
         return self._ready
 
-    def sizes(self, text: str) -> list[tuple[int, str]]:
-        """(bytes, language) in the order of preference at equal sizes."""
+    def sizes(self, text: str, first: int = 0, last: int = 1) -> list[tuple[float, str]]:
+        """(mean bytes behind these leads, language) in the order of preference at equal sizes."""
         raw = normal(text)
+        chunks = [raw[k : k + CHUNK] for k in range(0, max(1, len(raw)), CHUNK)]
         out = []
-        for lang, coder, lead, base in self._coders():
-            total = sum(len(coder.compress(lead + raw[k : k + CHUNK])) - base for k in range(0, max(1, len(raw)), CHUNK))
-            out.append((total, lang))
+        for lang, coder, leads in self._coders():
+            total = sum(len(coder.compress(lead + c)) - base for lead, base in leads[first:last] for c in chunks)
+            out.append((total / (last - first), lang))
         return out
 
     def predict(self, text: str) -> tuple[str, float, bool]:
@@ -86,12 +90,13 @@ class Model:
         if not self.content or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
         ordered = sorted(self.sizes(text), key=lambda x: x[0])  # stable: ties keep the order of preference
-        best = ordered[0][0]
         if len(ordered) == 1:
             return ordered[0][1], 1.0, False
+        if ordered[1][0] - ordered[0][0] < max(CLOSE_BYTES, CLOSE * ordered[1][0]):
+            ordered = sorted(self.sizes(text, 1, LEADS + 1), key=lambda x: x[0])
+        best, apart = ordered[0][0], ordered[1][0] - ordered[0][0]
         weights = [math.exp(-min(700.0, (size - best) * math.log(2))) for size, _ in ordered]
-        apart = (ordered[1][0] - best) / max(1, ordered[1][0])
-        return ordered[0][1], 1.0 / sum(weights), apart < NARROW and len(normal(text)) >= JUDGED
+        return ordered[0][1], 1.0 / sum(weights), apart <= 0 or apart < NARROW * ordered[1][0]
 
 
 def held_out(doc_id: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -375,3 +376,22 @@ def test_learning_counts_copies_once(spark):
     docs = spark.createDataFrame([("same text here " * 40, "en")] * 50 + [(f"other words {i} " * 40, "en") for i in range(5)], "text string, lang string")
     model = language.learn(docs, texts=6, size=100)
     assert model.seen == {"en": 55} and b"other words" in model.content["en"]
+
+
+@pytest.mark.parametrize("text", ["a", "river", "the house and the river of water", "the mountain of water " * 900])
+def test_language_margin_at_every_length(text):
+    words = b"the house river of mountain and water from " * 20
+    even = language.Model({"en": words, "xx": words}, {"en": 2, "xx": 1})
+    assert even.predict(text)[::2] == ("en", True)  # a tie: the language seen more often, rejected
+    apart = language.Model({"en": words, "de": "der fluss und berg haus wasser aus nicht ".encode() * 20}, {"de": 2, "en": 1})
+    assert len(text) < 20 or apart.predict(text)[::2] == ("en", False)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language.identify(docs.filter(language.held_out(F.col("doc_id"))), language.learned_on(docs), keep=("doc_id", "lang"))
+    held = found.filter("lang is not null").toPandas()
+    assert (held["lang"] == held["lang_pred"]).mean() > 0.98 and held["rejected"].mean() < 0.02
+    kept = held[~held["rejected"]]
+    assert (kept["lang"] == kept["lang_pred"]).mean() > 0.99
