@@ -17,9 +17,13 @@ from evgraph.streaming import jobs
 
 
 def stream(t, name: str) -> DataFrame:
-    """A given table as a file stream; timestamps without zone become UTC timestamps."""
+    """A given table as a file stream; timestamps without zone become UTC timestamps.
+
+    A table is one file or a folder of part files.  The pattern fits both: a stream lists what lies
+    in a folder and takes a single file by a pattern only.
+    """
     schema = t.spark.read.parquet(f"{t.folder}/{name}.parquet").schema
-    d = t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+    d = t.spark.readStream.schema(schema).parquet(f"{t.folder}/{name}.parque[t]")
     for f in schema.fields:
         if f.dataType.typeName() == "timestamp_ntz":
             d = d.withColumn(f.name, d[f.name].cast("timestamp"))
