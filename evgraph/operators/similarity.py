@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph.functions.text import set_similarity, trigrams
@@ -294,6 +294,106 @@ def alias_candidates(
     return best.drop("alias_text").join(resolved, "alias_key").drop("alias_key")
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    """Distinct texts with a number, their trigrams and how many there are; written once.
+
+    The number comes first: Spark does not move what stands behind it below the grouping, to all rows.
+    """
+    d = texts.filter("text IS NOT NULL").withColumn("id", F.monotonically_increasing_id())
+    d = d.withColumn("grams", trigrams(F.col("text"))).filter(F.size("grams") > 0)
+    return cut_lineage(d.withColumn("size", F.size("grams")))
+
+
+def _shared_grams(names: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``ranked``: numbers of the trigrams that the two sides share, rare ones first.
+
+    ``size`` stays the whole size.  A trigram that only one side has can't be among the common ones of a pair.
+    """
+    flat = lambda d: d.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    known = flat(names).withColumnRenamed("df", "own").join(flat(claims), "gram")
+    known = cut_lineage(known.select("gram", (F.col("own") + F.col("df")).alias("df"), F.monotonically_increasing_id().alias("no")))
+    few = known.count() <= BROADCAST_GRAMS
+
+    def ranked(d: DataFrame) -> DataFrame:
+        n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        grams = d.select("id", "size", F.explode("grams").alias("gram")).repartition(n, "id")
+        met = grams.join(F.broadcast(known) if few else known, "gram").groupBy("id", "size").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("df", "no"))), lambda x: x["no"]).alias("ranked"))
+        return met
+
+    return ranked(names), ranked(claims)
+
+
+def _near_pairs(names: DataFrame, claims: DataFrame, above: float, least: tuple[int, int], small: str | None) -> DataFrame:
+    """Pairs of numbers with ratio > ``above``: l_id, r_id and what else the claims carry.
+
+    A pair needs at least ``o = t (n + m) / (1 + t)`` common trigrams, so the first common one of either list lies
+    among the first ``length - o + 1``; ``least`` is the smallest size on each side and shortens the lists
+    before they are joined.  A pair is kept at its first common trigram and counted on the two rows at
+    hand, so pairs are never grouped.  ``small`` names the side to be broadcast, if any.
+    """
+    share = F.lit(above / (1 + above))
+    needed = lambda a, b: F.ceil(share * (a + b) - F.lit(1e-6))
+
+    def listed(d: DataFrame, side: str, other: int) -> DataFrame:
+        keep = (F.size("ranked") - needed(F.col("size"), F.lit(other)) + 1).cast("int")
+        rest = [F.col(c) for c in d.columns if c not in ("id", "size", "ranked")]
+        return d.filter(keep > 0).select(
+            F.col("id").alias(f"{side}_id"), F.col("size").alias(f"{side}_n"), F.col("ranked").alias(side), *rest,
+            F.posexplode(F.slice("ranked", F.lit(1), keep)).alias(f"{side}_pos", "gram"))
+
+    a, b = listed(names, "l", least[1]), listed(claims, "r", least[0])
+    d = (F.broadcast(a) if small == "names" else a).join(F.broadcast(b) if small == "claims" else b, "gram")
+    o = needed(F.col("l_n"), F.col("r_n"))
+    d = d.filter((F.size("l") - F.col("l_pos") >= o) & (F.size("r") - F.col("r_pos") >= o))
+    first = ~F.arrays_overlap(F.slice("l", F.lit(1), F.col("l_pos")), F.slice("r", F.lit(1), F.col("r_pos")))
+    both = F.size(F.array_intersect("l", "r"))
+    ratio = both / (F.col("l_n") + F.col("r_n") - both)
+    return d.filter(first & (ratio > above)).select("l_id", "r_id", *[c for c in claims.columns if c not in ("id", "size", "ranked")])
+
+
+#: Of claims from new to old, the numbers after which names that hold enough matches are set aside.
+SLABS = (256, 2_048, 16_384)
+
+
+def _newest_claims(names: DataFrame, claims: DataFrame, above: float, k: int) -> DataFrame:
+    """The ``k`` newest resembling claims per name: l_id, r_id.
+
+    ``claims`` holds ``newest``, the time and number of a claim's newest signal.  Claims are met from new to old in slabs.
+    A name that has met ``k`` in newer slabs is finished, because all signals of later claims are older.
+    """
+    named, told = _shared_grams(names, claims)
+    order = claims.select("id", "newest").orderBy(F.col("newest").desc()).limit(SLABS[-1])
+    place = F.row_number().over(Window.orderBy(F.col("newest").desc()))
+    slab = F.lit(0)
+    for n in SLABS[:-1]:
+        slab = slab + (F.col("place") > n).cast("int")
+    slabs = order.withColumn("place", place).select("id", slab.alias("slab"))
+    told = cut_lineage(told.join(claims.select("id", "newest"), "id").join(F.broadcast(slabs), "id", "left").fillna(len(SLABS), ["slab"]))
+    left = cut_lineage(named)
+    least = tuple(d.agg(F.min("size")).first()[0] or 0 for d in (left, told))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = None
+    for number in range(len(SLABS) + 1):
+        now = told.filter(F.col("slab") == number).drop("slab")
+        sizes = [d.agg(F.sum(F.size("ranked"))).first()[0] or 0 for d in (left, now)]
+        if not all(sizes):
+            if not sizes[0]:
+                break
+            continue
+        small = "names" if sizes[0] <= sizes[1] else "claims"
+        if min(sizes) > BROADCAST_GRAMS:
+            small = None
+        spread = (left if small == "names" else left.repartition(n, "id"), now if small == "claims" else now.repartition(n, "id"))
+        met = top_per_key(_near_pairs(*spread, above, least, small), ["l_id"], [F.col("newest").desc()], k)
+        found = cut_lineage(met if found is None else found.unionByName(met))
+        full = found.groupBy("l_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+        left = cut_lineage(left.join(full.select(F.col("l_id").alias("id")), "id", "left_anti"))
+    if found is None:
+        return names.select(F.col("id").alias("l_id"), F.col("id").alias("r_id")).limit(0)
+    return top_per_key(found, ["l_id"], [F.col("newest").desc()], k).select("l_id", "r_id")
+
+
 def signals_near_edges(
     edges: DataFrame,
     signals: DataFrame,
@@ -305,36 +405,38 @@ def signals_near_edges(
 
     ``edges`` holds edge_id, source_name, target_name; ``signals`` is already cut
     to the time window.  The newest ``k`` are cut per claim and per name before
-    edges are joined, so an edge never meets all signals of a name.
+    edges are joined, so an edge never meets all signals of a name.  Lists of
+    signals have numbers; edges travel with two of them, and lists are merged once per pair.
     """
     newest = [F.col("content_timestamp").desc(), F.col("signal_id").desc()]
-    sides = edges.select(
-        "edge_id", F.explode(F.array("source_name", "target_name")).alias("name")
-    )
-    names, claims = _ranked(intern(sides, "name"), intern(signals, "claim_text"))
-    pairs = _id_pairs(names, claims, above).filter(F.col("score") > above)
+    sides = edges.select(F.explode(F.array("source_name", "target_name")).alias("name"))
+    names = _numbered(sides.select(F.col("name").alias("text")).distinct())
+    claims = _numbered(signals.groupBy(F.col("claim_text").alias("text")).agg(
+        F.max(F.struct("content_timestamp", "signal_id")).alias("newest")))
+    pairs = _newest_claims(names, claims, above, k)
+    met = pairs.join(claims.select(F.col("id").alias("r_id"), F.col("text").alias("claim_text")), "r_id").drop("r_id")
     per_claim = top_per_key(
-        signals.select("signal_id", "claim_text", "content_timestamp"), ["claim_text"], newest, k
-    ).join(claims.rows.select(F.col("id").alias("r_id"), F.col("text").alias("claim_text")), "claim_text")
-    # Pairs may be very many, so only numbers and times are joined and ranked.
-    per_name = top_per_key(
-        pairs.select("l_id", "r_id")
-        .join(per_claim.select("r_id", "signal_id", "content_timestamp"), "r_id").drop("r_id"),
-        ["l_id"],
-        newest,
-        k,
-    )
-    # At most k entries per name, so the two lists of an edge merge in its own row.
-    lists = per_name.groupBy("l_id").agg(
-        F.collect_list(F.struct("content_timestamp", "signal_id")).alias("near")
-    ).join(names.rows.select(F.col("id").alias("l_id"), F.col("text").alias("name")), "l_id")
-    source = lists.select(F.col("name").alias("source_name"), F.col("near").alias("near_source"))
-    target = lists.select(F.col("name").alias("target_name"), F.col("near").alias("near_target"))
+        signals.select("signal_id", "claim_text", "content_timestamp").join(met.select("claim_text").distinct(), "claim_text"),
+        ["claim_text"], newest, k)
+    per_name = top_per_key(met.join(per_claim, "claim_text"), ["l_id"], newest, k)
+    # At most k entries per name; many names share a list.
+    lists = per_name.groupBy("l_id").agg(F.sort_array(F.collect_list(F.struct("content_timestamp", "signal_id")), asc=False).alias("near"))
+    lists = cut_lineage(lists.join(names.select(F.col("id").alias("l_id"), F.col("text").alias("name")), "l_id").drop("l_id"))
+    kinds = cut_lineage(lists.select("near").distinct().withColumn("no", F.monotonically_increasing_id()))
+    of_name = cut_lineage(lists.join(kinds, "near").select("name", "no"))
+    pointed = edges.select("edge_id", "source_name", "target_name")
+    for end in ("source", "target"):
+        pointed = pointed.join(of_name.select(F.col("name").alias(f"{end}_name"), F.col("no").alias(end)), f"{end}_name", "left")
+    pointed = pointed.filter("source IS NOT NULL OR target IS NOT NULL").select("edge_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("source", "target")])
+    pointed = cut_lineage(pointed)
+    both = pointed.select("source", "target").distinct()
+    for end in ("source", "target"):
+        both = both.join(kinds.select(F.col("no").alias(end), F.col("near").alias(f"near_{end}")), end, "left")
     none = F.array().cast(lists.schema["near"].dataType)
     merged = F.array_union(F.coalesce("near_source", none), F.coalesce("near_target", none))
+    both = both.select("source", "target", F.slice(F.sort_array(merged, asc=False), 1, k).alias("near"))
     return (
-        edges.select("edge_id", "source_name", "target_name")
-        .join(source, "source_name", "left").join(target, "target_name", "left")
-        .select("edge_id", F.explode(F.slice(F.sort_array(merged, asc=False), 1, k)).alias("s"))
+        pointed.join(both, ["source", "target"])
+        .select("edge_id", F.explode("near").alias("s"))
         .select("edge_id", "s.signal_id", "s.content_timestamp")
     )

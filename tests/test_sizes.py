@@ -1,7 +1,12 @@
 """Tables of other shapes and sizes than the smallest ones."""
 
-from evgraph.checks import stream_checks
+import random
+import re
+from datetime import datetime, timedelta
+
 from evgraph.checks.registry import QUERIES
+from evgraph.operators import similarity
+
 
 def test_streamed_table_may_be_a_folder_of_files(spark, folder):
     d = spark.range(30).selectExpr(
@@ -9,3 +14,48 @@ def test_streamed_table_may_be_a_folder_of_files(spark, folder):
     d.repartition(3).write.parquet(f"{folder}/documents.parquet")
     got = {r["source_id"]: r["n_contents"] for r in QUERIES["stream_dedup"](spark, folder).collect()}
     assert got == {"src0": 7, "src1": 7}
+
+
+def _brute_near(edges, signals, above, k):
+    def grams(x):
+        return {("  " + w + " ")[i:i + 3] for w in re.findall(r"[^\W_]+", x.lower()) for i in range(len(w) + 1)}
+
+    out = set()
+    for edge, *ends in edges:
+        hits = set()
+        for name in ends:
+            a = grams(name)
+            for no, claim, at in signals:
+                b = grams(claim)
+                if a & b and len(a & b) / len(a | b) > above:
+                    hits.add((at, no))
+        out |= {(edge, no) for _, no in sorted(hits)[::-1][:k]}
+    return out
+
+
+def test_newest_near_signals_equal_brute_force_over_many_slabs(spark, monkeypatch):
+    """Names that almost every claim resembles, names with few matches and names with none."""
+    monkeypatch.setattr(similarity, "SLABS", (4, 12, 30))
+    rng = random.Random(5)
+    words = ["steel", "ring", "copper", "bolt", "large", "small", "hot", "cold"]
+    start = datetime(2024, 1, 1)
+    signals = [(n, f"supplier {rng.randrange(12)} ships {rng.choice(words)} {rng.choice(words)}" if n % 5 else f"{rng.choice(words)} x",
+                start + timedelta(hours=rng.randrange(40))) for n in range(120)]
+    edges = [(n, f"supplier {n % 12}", f"{rng.choice(words)} {rng.choice(words)}" if n % 9 else "zzz qqq") for n in range(40)]
+    got = similarity.signals_near_edges(
+        spark.createDataFrame(edges, "edge_id long, source_name string, target_name string"),
+        spark.createDataFrame(signals, "signal_id long, claim_text string, content_timestamp timestamp"), above=0.15, k=7)
+    assert {(r["edge_id"], r["signal_id"]) for r in got.collect()} == _brute_near(edges, signals, 0.15, 7)
+
+
+def test_finished_names_meet_no_older_claims(spark, monkeypatch):
+    """Every name resembles every claim: pairs are as many as the newest slab makes, not names times claims."""
+    met = []
+    real = similarity._near_pairs
+    monkeypatch.setattr(similarity, "SLABS", (10, 20, 40))
+    monkeypatch.setattr(similarity, "_near_pairs", lambda *a: met.append((d := real(*a)).count()) or d)
+    edges = spark.range(50).selectExpr("id AS edge_id", "concat('supplier ', id) AS source_name", "'none' AS target_name")
+    signals = spark.range(400).selectExpr(
+        "id AS signal_id", "concat('supplier ships ', id) AS claim_text", "timestamp '2024-01-01' + id * interval '1' hour AS content_timestamp")
+    assert similarity.signals_near_edges(edges, signals, k=5).count() == 250
+    assert sum(met) <= 50 * 10
