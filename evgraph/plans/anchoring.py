@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from evgraph.operators.components import batch_summary, form_batches, group_signals
 from evgraph.operators.mutate import Graph, apply_batches
-from evgraph.operators.ordered import range_buckets, running_total
+from evgraph.operators.ordered import range_buckets, running_total, top_per_key
 from evgraph.operators.similarity import search_names
 from evgraph.operators.traverse import context_roots, neighbourhood
 from evgraph.plans.extract import response_operations
+from evgraph.session import cut_lineage
 from evgraph.sources.sinks import mark_anchored
 
 
@@ -23,21 +24,27 @@ def batch_context(
 
     ``names`` holds batch_id, name_no and name.  The two best nodes per name are
     roots, up to six; the union of their neighbourhoods is listed, nodes up to 60 %
-    of the budget and edges up to the whole.  Items come in id order.
+    of the budget and edges up to the whole.  Items come in id order.  Batches with
+    the same roots have the same context, which is made once for them.
     """
     hits = search_names(names, "name", nodes, k=2).select(F.col("query").alias("name"), "node_id", "score")
     roots = context_roots(names, hits).select("batch_id", F.col("node_id").alias("root"))
+    # A batch has at most two roots more than the six.
+    sets = roots.groupBy("batch_id").agg(F.array_sort(F.collect_set("root")).alias("roots"))
+    kinds = cut_lineage(sets.select("roots").distinct().withColumn("kind", F.monotonically_increasing_id()))
+    of_batch = sets.join(kinds, "roots").select("batch_id", "kind")
+    roots = kinds.select("kind", F.explode("roots").alias("root"))
     reached, found = neighbourhood(edges, roots.select("root").distinct(), depth)
-    in_batch = roots.join(reached, "root").select("batch_id", "node_id").distinct()
-    at_edges = roots.join(found, "root").select("batch_id", "edge_id").distinct()
+    in_batch = cut_lineage(roots.join(reached, "root").select("kind", "node_id").distinct())
+    at_edges = cut_lineage(roots.join(found, "root").select("kind", "edge_id").distinct())
     counts = (
-        in_batch.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_nodes"))
-        .join(at_edges.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_edges")), "batch_id", "left")
+        in_batch.groupBy("kind").agg(F.count(F.lit(1)).alias("n_nodes"))
+        .join(at_edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n_edges")), "kind", "left")
         .fillna(0, ["n_edges"])
     )
     head = F.concat(F.lit("**Tier B subgraph** ("), "n_nodes", F.lit(" nodes, "), "n_edges",
                     F.lit(" edges)\n\n### Nodes"))
-    counts = counts.select("batch_id", F.length(head).cast("long").alias("lead"))
+    counts = counts.select("kind", F.length(head).cast("long").alias("lead"))
 
     text = F.coalesce("description", F.lit(""))
     node_line = F.concat(
@@ -45,14 +52,14 @@ def batch_context(
         F.when(text != "", F.concat(F.lit(" — "), F.substring(text, 1, 120))).otherwise(""),
     )
     node_rows = in_batch.join(nodes, "node_id").select(
-        "batch_id", F.col("node_id").alias("item"), node_line.alias("line")
+        "kind", F.col("node_id").alias("item"), node_line.alias("line")
     )
-    listed = _pack(node_rows.join(counts, "batch_id"), int(budget * 0.6))
+    listed = _pack(node_rows.join(counts, "kind"), int(budget * 0.6), least=len("- [] **** (id=)\n"))
     # A note of this length follows when the node list was cut short.
-    used = listed.groupBy("batch_id").agg(F.max("used").alias("used"))
+    used = listed.groupBy("kind").agg(F.max("used").alias("used"))
     cut = F.when(F.col("used") > budget * 0.6, F.length(F.lit("  *(node list truncated)*")) + 1).otherwise(0)
     lead = used.select(
-        "batch_id", (F.col("used") + cut + F.length(F.lit("\n### Edges")) + 1).cast("long").alias("lead")
+        "kind", (F.col("used") + cut + F.length(F.lit("\n### Edges")) + 1).cast("long").alias("lead")
     )
 
     def extra(label: str, column: str, d: DataFrame) -> Column:
@@ -67,27 +74,30 @@ def batch_context(
         extra("reasoning", "reasoning", edges), extra("falsification", "falsification_criteria", edges),
     )
     edge_rows = at_edges.join(edges, "edge_id").select(
-        "batch_id", F.col("edge_id").alias("item"), edge_line.alias("line")
+        "kind", F.col("edge_id").alias("item"), edge_line.alias("line")
     )
-    linked = _pack(edge_rows.join(lead, "batch_id"), budget)
-    return listed.withColumn("section", F.lit("nodes")).unionByName(
+    linked = _pack(edge_rows.join(lead, "kind"), budget, least=len("-  ----> [] (id=)\n"))
+    packed = listed.withColumn("section", F.lit("nodes")).unionByName(
         linked.withColumn("section", F.lit("edges"))
     )
+    return of_batch.join(packed, "kind").drop("kind")
 
 
-def _pack(rows: DataFrame, budget: int) -> DataFrame:
+def _pack(rows: DataFrame, budget: int, least: int) -> DataFrame:
     """Lines within the budget, counting the ``lead`` characters before the section.
 
-    The first line of a section is always kept.
+    The first line of a section is always kept.  No line is shorter than ``least``, its break
+    included, so later ones than those the budget could hold at that length are out of reach.
     """
-    d = range_buckets(rows, ["batch_id"], ["item"], "__piece").withColumn(
+    rows = top_per_key(rows.filter("line IS NOT NULL"), ["kind"], [F.col("item")], budget // least + 2)
+    d = range_buckets(rows, ["kind"], ["item"], "__piece").withColumn(
         "size", F.length("line").cast("long") + 1
     )
-    d = running_total(d, ["batch_id"], ["item"], F.col("__piece"), "size", "sum")
+    d = running_total(d, ["kind"], ["item"], F.col("__piece"), "size", "sum")
     before = F.col("lead") + F.col("sum") - F.col("size")
     keep = (F.col("sum") == F.col("size")) | (before <= budget)
     return d.filter(keep).select(
-        "batch_id", "item", "line", (F.col("lead") + F.col("sum")).alias("used")
+        "kind", "item", "line", (F.col("lead") + F.col("sum")).alias("used")
     )
 
 

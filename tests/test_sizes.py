@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from evgraph.checks.registry import QUERIES
 from evgraph.operators import similarity
+from evgraph.plans import anchoring
 
 
 def test_streamed_table_may_be_a_folder_of_files(spark, folder):
@@ -59,3 +60,18 @@ def test_finished_names_meet_no_older_claims(spark, monkeypatch):
         "id AS signal_id", "concat('supplier ships ', id) AS claim_text", "timestamp '2024-01-01' + id * interval '1' hour AS content_timestamp")
     assert similarity.signals_near_edges(edges, signals, k=5).count() == 250
     assert sum(met) <= 50 * 10
+
+
+def test_batches_with_the_same_roots_share_their_context(spark, monkeypatch):
+    packed = []
+    real = anchoring._pack
+    monkeypatch.setattr(anchoring, "_pack", lambda rows, *a, **b: packed.append(rows.count()) or real(rows, *a, **b))
+    nodes = spark.range(12).selectExpr("concat('n', id) AS node_id", "'entity' AS node_type", "concat('oil field ', id) AS name", "'' AS description")
+    edges = spark.range(11).selectExpr(
+        "concat('e', id) AS edge_id", "concat('n', id) AS source_node_id", "concat('n', id + 1) AS target_node_id", "'causes' AS edge_type",
+        "'weak' AS current_weight_band", "false AS deprecated", "'' AS falsification_criteria")
+    names = spark.range(40).selectExpr("id AS batch_id", "0 AS name_no", "concat('oil field ', id % 2) AS name")
+    rows = anchoring.batch_context(names, nodes, edges).collect()
+    of = {b: {(r["section"], r["item"], r["line"], r["used"]) for r in rows if r["batch_id"] == b} for b in range(40)}
+    assert of[0] and all(of[b] == of[b % 2] for b in of)
+    assert max(packed) <= 2 * 12
