@@ -41,15 +41,28 @@ def finish(t, d: DataFrame, keys: list[str]) -> DataFrame:
     return jobs.run_to_table(d, f"{at}/table", f"{at}/progress", "update", keys)
 
 
+#: Rows of a micro-batch that one task writes into a file.
+FILE_ROWS = 20_000
+
+
 def in_files(t, d: DataFrame, time: str | Column, parts: int, span: int = 31) -> DataFrame:
-    """``d`` as a stream of several micro-batches, one file each, by day of month of ``time`` or a number from 1 to ``span``."""
+    """``d`` as a stream of several micro-batches, by day of month of ``time`` or a number from 1 to ``span``.
+
+    Every micro-batch has the same number of files, which grows with the rows, so no task holds a whole one.
+    Where fewer were written empty files follow, for the source counts files.
+    """
     at = f"{home(t)}/input"
     d = d.withColumn("__day", F.dayofmonth(time) if isinstance(time, str) else time)
-    for k in range(parts):
-        low, high = span * k // parts, span * (k + 1) // parts
-        rows = d.filter((F.col("__day") > low) & (F.col("__day") <= high)).drop("__day")
-        rows.coalesce(1).write.mode("append").parquet(at)
-    return t.spark.readStream.schema(d.drop("__day").schema).option("maxFilesPerTrigger", 1).parquet(at)
+    bounds = [(span * k // parts, span * (k + 1) // parts) for k in range(parts)]
+    within = [(F.col("__day") > low) & (F.col("__day") <= high) for low, high in bounds]
+    most = max(d.agg(*[F.count_if(w).alias(f"n{k}") for k, w in enumerate(within)]).first())
+    files = max(1, -(-most // FILE_ROWS))
+    schema = d.drop("__day").schema
+    for k, w in enumerate(within):
+        d.filter(w).drop("__day").coalesce(files).write.mode("append").parquet(at)
+        for _ in range((k + 1) * files - len(t.spark.read.schema(schema).parquet(at).inputFiles())):
+            t.spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(at)
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(at)
 
 
 @query("stream_weekly", """

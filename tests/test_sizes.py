@@ -4,7 +4,11 @@ import random
 import re
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from evgraph.checks import stream_checks
 from evgraph.checks.registry import QUERIES
+from evgraph.checks.tables import Tables
 from evgraph.operators import similarity
 from evgraph.plans import anchoring
 
@@ -75,3 +79,16 @@ def test_batches_with_the_same_roots_share_their_context(spark, monkeypatch):
     of = {b: {(r["section"], r["item"], r["line"], r["used"]) for r in rows if r["batch_id"] == b} for b in range(40)}
     assert of[0] and all(of[b] == of[b % 2] for b in of)
     assert max(packed) <= 2 * 12
+
+
+def test_micro_batches_span_files_and_stay_apart(spark, folder, monkeypatch):
+    """Parts of 40, 0, 7 and 33 rows: a batch each, none in one file where it is too large for a task."""
+    monkeypatch.setattr(stream_checks, "FILE_ROWS", 10)
+    d = spark.range(80).selectExpr("id", "CASE WHEN id < 40 THEN 1 WHEN id < 47 THEN 3 ELSE 4 END AS part").repartition(8)
+    stream = stream_checks.in_files(Tables(spark, folder), d, F.col("part"), 4, span=4)
+    seen = {}
+    stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(
+        lambda rows, k: seen.update({k: (rows.count(), rows.select(F.input_file_name()).distinct().count(), {r["part"] for r in rows.collect()})})).start().awaitTermination()
+    assert [seen[k][0] for k in sorted(seen)] == [40, 0, 7, 33]
+    assert [seen[k][2] for k in sorted(seen)] == [{1}, set(), {3}, {4}]
+    assert seen[0][1] == 4
