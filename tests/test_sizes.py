@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evgraph.checks import stream_checks
 from evgraph.checks.registry import QUERIES
 from evgraph.checks.tables import Tables
-from evgraph.operators import similarity
+from evgraph.operators import similarity, traverse
 from evgraph.plans import anchoring
 
 
@@ -92,3 +92,18 @@ def test_micro_batches_span_files_and_stay_apart(spark, folder, monkeypatch):
     assert [seen[k][0] for k in sorted(seen)] == [40, 0, 7, 33]
     assert [seen[k][2] for k in sorted(seen)] == [{1}, set(), {3}, {4}]
     assert seen[0][1] == 4
+
+
+def test_walks_of_the_third_hop_are_told_apart_where_they_are_made(spark, monkeypatch):
+    """A complete graph of twelve nodes: every other node is an end, and no walk is dealt anew after its node's ends were added."""
+    plans = []
+    real = traverse.cut_lineage
+    monkeypatch.setattr(traverse, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or real(d))
+    ids = spark.range(12).selectExpr("concat('n', id) AS node_id")
+    edges = ids.withColumnRenamed("node_id", "source_node_id").crossJoin(ids.withColumnRenamed("node_id", "target_node_id")).selectExpr(
+        "concat(source_node_id, target_node_id) AS edge_id", "source_node_id", "target_node_id", "'weak' AS current_weight_band",
+        "'' AS falsification_criteria", "false AS deprecated")
+    got = traverse.projection_totals(edges, ids, 3).filter("hops = 3").collect()
+    assert {(r["n_ends"], r["n_paths"]) for r in got} == {(11, 11 * 10 * 9)} and len(got) == 12
+    made = [p for p in plans if "Generate explode(ends" in p]
+    assert len(made) == 1 and "Exchange" not in made[0].split("Generate explode(ends")[0]
