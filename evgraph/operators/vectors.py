@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from evgraph.operators.components import components
 
 BLOCK = 2000
+#: Rows of a block that are compared, or placed, at a time; a task holds one strip of products and one byte a pair.
+STRIP = 256
 
 
 def _useful_pivots(angles, reach: float, copies: float = 4.0) -> int:
@@ -37,6 +39,32 @@ def _useful_pivots(angles, reach: float, copies: float = 4.0) -> int:
     return 1
 
 
+def _spanning(x, home, above: float):
+    """Smallest row that each row reaches over pairs with a product > ``above`` and a row at home.
+
+    Products are made a strip of rows at a time and only their comparison is kept, one byte a pair.
+    """
+    import numpy as np
+
+    own = np.flatnonzero(home)
+    strips = [slice(at, at + STRIP) for at in range(0, len(own), STRIP)]
+    near = np.empty((len(own), len(x)), dtype=bool)
+    for part in strips:
+        np.greater(x[own[part]] @ x.T, above, out=near[part])
+    # Smallest position reachable from each row, spread until nothing changes.
+    label, far = np.arange(len(x), dtype=np.int32), np.int32(len(x))
+    while len(near):
+        low, spread = label[own], label.copy()
+        for part in strips:
+            low[part] = np.minimum(np.where(near[part], label, far).min(axis=1), low[part])
+            np.minimum(spread, np.where(near[part], low[part, None], far).min(axis=0), out=spread)
+        spread[home] = np.minimum(spread[home], low)
+        if (spread == label).all():
+            break
+        label = spread
+    return label
+
+
 def vector_links(vectors: DataFrame, *, above: float, pivots: int = 32) -> DataFrame:
     """Links (a, b) that connect all vectors of a lens with cosine > ``above``.
 
@@ -63,20 +91,22 @@ def vector_links(vectors: DataFrame, *, above: float, pivots: int = 32) -> DataF
     def place(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        for pdf in batches:
-            x = np.asarray(pdf["vector"].tolist(), dtype=np.float64)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            pdf, x = pdf[norm[:, 0] > 0], x[norm[:, 0] > 0] / norm[norm[:, 0] > 0]
-            if not len(pdf):
-                continue
-            angle = np.arccos(np.clip(x @ axis.T, -1.0, 1.0))
-            home = angle.argmin(axis=1)
-            row, cell = np.nonzero(angle - angle.min(axis=1, keepdims=True) <= reach)
-            yield pd.DataFrame({
-                "lens_no": pdf["lens_no"].to_numpy()[row], "cell": cell,
-                "home": cell == home[row], "id": pdf["rep"].to_numpy()[row],
-                "vector": list(x[row]),
-            })
+        for whole in batches:
+            for at in range(0, len(whole), 4 * STRIP):
+                pdf = whole.iloc[at:at + 4 * STRIP]
+                x = np.asarray(pdf["vector"].tolist(), dtype=np.float64)
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                pdf, x = pdf[norm[:, 0] > 0], x[norm[:, 0] > 0] / norm[norm[:, 0] > 0]
+                if not len(pdf):
+                    continue
+                angle = np.arccos(np.clip(x @ axis.T, -1.0, 1.0))
+                home = angle.argmin(axis=1)
+                row, cell = np.nonzero(angle - angle.min(axis=1, keepdims=True) <= reach)
+                yield pd.DataFrame({
+                    "lens_no": pdf["lens_no"].to_numpy()[row], "cell": cell,
+                    "home": cell == home[row], "id": pdf["rep"].to_numpy()[row],
+                    "vector": list(x[row]),
+                })
 
     placed = same.mapInPandas(
         place, "lens_no string, cell int, home boolean, id long, vector array<double>"
@@ -97,18 +127,8 @@ def vector_links(vectors: DataFrame, *, above: float, pivots: int = 32) -> DataF
     def link(pdf):
         import pandas as pd
 
-        x = np.asarray(pdf["vector"].tolist())
-        ids, home = pdf["id"].to_numpy(), pdf["home"].to_numpy()
-        near = (x[home] @ x.T) > above
-        # Smallest position reachable from each row, spread until nothing changes.
-        label, far = np.arange(len(ids)), len(ids)
-        while len(near):
-            low = np.minimum(np.where(near, label, far).min(axis=1), label[home])
-            spread = np.minimum(np.where(near, low[:, None], far).min(axis=0), label)
-            spread[home] = np.minimum(spread[home], low)
-            if (spread == label).all():
-                break
-            label = spread
+        ids = pdf["id"].to_numpy()
+        label = _spanning(np.asarray(pdf["vector"].tolist()), pdf["home"].to_numpy(), above)
         moved = label != np.arange(len(ids))
         return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
 

@@ -2,14 +2,16 @@
 
 import random
 import re
+import tracemalloc
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from evgraph.checks import stream_checks
 from evgraph.checks.registry import QUERIES
 from evgraph.checks.tables import Tables
-from evgraph.operators import similarity, traverse
+from evgraph.operators import similarity, traverse, vectors
 from evgraph.plans import anchoring
 
 
@@ -107,3 +109,15 @@ def test_walks_of_the_third_hop_are_told_apart_where_they_are_made(spark, monkey
     assert {(r["n_ends"], r["n_paths"]) for r in got} == {(11, 11 * 10 * 9)} and len(got) == 12
     made = [p for p in plans if "Generate explode(ends" in p]
     assert len(made) == 1 and "Exchange" not in made[0].split("Generate explode(ends")[0]
+
+
+def test_two_full_blocks_are_linked_in_strips():
+    """Groups of four equal vectors; products of all pairs would take 128 MB, their comparison takes 16 MB."""
+    x = np.random.default_rng(3).normal(size=(1000, 64))
+    x = np.tile(x / np.linalg.norm(x, axis=1, keepdims=True), (4, 1))
+    tracemalloc.start()
+    label = vectors._spanning(x, np.ones(4000, dtype=bool), 0.92)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (label == np.arange(4000) % 1000).all()
+    assert peak < 48_000_000
