@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from evgraph import vocab
 from evgraph.functions.text import strip, words
 from evgraph.operators.mutate import valid_slug
+from evgraph.operators.ordered import join_summary
 from evgraph.operators.quality import convergence, dedup_claims
+from evgraph.session import cut_lineage
 
 ANCHOR_TYPE = "struct<operation:string,node_type:string,edge_type:string,name:string,body:string>"
 
@@ -101,7 +103,8 @@ def response_signals(responses: DataFrame, lenses: DataFrame) -> DataFrame:
     d = responses.join(F.broadcast(lenses), "lens_id")
     d = with_response_items(d).select(
         "payload_id", "lens_id", "max_signals", "node_scope", "edge_scope",
-        F.posexplode("items").alias("pos", "item"),
+        # Without ``outer`` the optimizer filters by the size of the list first, and parses each text again for that.
+        F.posexplode_outer("items").alias("pos", "item"),
     )
     # An element that is not an object has no claim and drops out below.
     d = d.filter(F.col("pos") < F.col("max_signals"))
@@ -191,15 +194,19 @@ def response_operations(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``responses`` holds batch_id and body.  ``n_skipped`` counts invalid elements;
     ``parsed`` is false when no JSON array was found.
     """
-    d = with_operation_items(responses)
-    rows = typed_operations(d.select("batch_id", F.posexplode("items").alias("pos", "item")))
-    bad = rows.groupBy("batch_id").agg(
-        F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_skipped")
-    )
-    counts = (
-        d.select("batch_id", F.col("items").isNotNull().alias("parsed"))
-        .join(bad, "batch_id", "left").fillna(0, ["n_valid", "n_skipped"])
-    )
+    # Few bytes of landed rows lie in few files, and parsing takes long, so the rows are dealt over all tasks.
+    n = int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = with_operation_items(responses.repartition(n))
+    # Without ``outer`` the optimizer filters by the size of the list first, and parses each text again for that.
+    flat = typed_operations(d.select("batch_id", F.col("items").isNotNull().alias("parsed"), F.posexplode_outer("items").alias("pos", "item")))
+    rows = flat.filter("pos IS NOT NULL").drop("parsed")
+    narrow = cut_lineage(flat.select("batch_id", "parsed", "pos", "valid"))
+    element = F.col("pos").isNotNull()
+    sums = narrow.groupBy("batch_id").agg(
+        F.count_if(element & F.col("valid")).alias("n_valid"), F.count_if(element & ~F.col("valid")).alias("n_skipped"), F.count(F.lit(1)).alias("n"))
+    # One row per response, whether or not its list has elements.
+    heads = narrow.filter("pos IS NULL OR pos = 0").select("batch_id", "parsed")
+    counts = join_summary(heads, sums, ["batch_id"], "n").fillna(0, ["n_valid", "n_skipped"])
     return rows.filter("valid").drop("valid"), counts
 
 

@@ -12,7 +12,7 @@ from evgraph.checks import stream_checks
 from evgraph.checks.registry import QUERIES
 from evgraph.checks.tables import Tables
 from evgraph.operators import similarity, traverse, vectors
-from evgraph.plans import anchoring
+from evgraph.plans import anchoring, extract
 
 
 def test_streamed_table_may_be_a_folder_of_files(spark, folder):
@@ -121,3 +121,18 @@ def test_two_full_blocks_are_linked_in_strips():
     tracemalloc.stop()
     assert (label == np.arange(4000) % 1000).all()
     assert peak < 48_000_000
+
+
+def test_responses_of_one_file_are_parsed_once_by_all_tasks(spark, monkeypatch):
+    seen = []
+    real = extract.cut_lineage
+    monkeypatch.setattr(extract, "cut_lineage", lambda d: seen.append((d.rdd.getNumPartitions(), d._jdf.queryExecution().executedPlan().toString())) or real(d))
+    good = '{"operation":"add_supporting_signal","target_edge_id":"e","signal_id":"s"}'
+    bodies = [(1, f"[{good}, 5]"), (1, f"so: [{good}] end"), (2, "[]"), (3, "none"), (3, "[7]"), (None, f"[{good}]")]
+    d = spark.createDataFrame(bodies, "batch_id long, body string").coalesce(1)
+    rows, counts = extract.response_operations(d)
+    assert sorted(map(tuple, counts.collect()), key=str) == [
+        (1, True, 2, 1), (1, True, 2, 1), (2, True, 0, 0), (3, False, 0, 1), (3, True, 0, 1), (None, True, 0, 0)]
+    assert sorted((r["batch_id"], r["pos"]) for r in rows.collect() if r["batch_id"]) == [(1, 0), (1, 0)]
+    assert [n for n, _ in seen] == [4]
+    assert not [line for _, plan in seen for line in plan.splitlines() if "Filter" in line and "json" in line]
