@@ -304,39 +304,62 @@ def _numbered(texts: DataFrame) -> DataFrame:
     return cut_lineage(d.withColumn("size", F.size("grams")))
 
 
+#: Names that must hold a word for it to be common; the other words of a name are its tail.
+COMMON = 16
+
+
+def _cores(names: DataFrame) -> DataFrame:
+    """Adds ``core``, the trigrams of the words that many names share."""
+    parts = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+    flat = names.select("id", F.explode(F.array_distinct(parts)).alias("word"))
+    common = flat.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON).select("word")
+    held = flat.join(common, "word").groupBy("id").agg(trigrams(F.array_join(F.collect_list("word"), " ")).alias("core"))
+    return names.join(held, "id", "left").withColumn("core", F.coalesce("core", F.array().cast("array<string>")))
+
+
 def _shared_grams(names: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``ranked``: numbers of the trigrams that the two sides share, rare ones first.
 
     ``size`` stays the whole size.  A trigram that only one side has can't be among the common ones of a pair.
+    Names also have the two parts of their list, ``core`` and ``tail``.
     """
     flat = lambda d: d.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     known = flat(names).withColumnRenamed("df", "own").join(flat(claims), "gram")
     known = cut_lineage(known.select("gram", (F.col("own") + F.col("df")).alias("df"), F.monotonically_increasing_id().alias("no")))
     few = known.count() <= BROADCAST_GRAMS
 
-    def ranked(d: DataFrame) -> DataFrame:
+    def ranked(d: DataFrame, common: Column) -> DataFrame:
         n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        grams = d.select("id", "size", F.explode("grams").alias("gram")).repartition(n, "id")
-        met = grams.join(F.broadcast(known) if few else known, "gram").groupBy("id", "size").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("df", "no"))), lambda x: x["no"]).alias("ranked"))
-        return met
+        pairs = F.transform("grams", lambda g: F.struct(g.alias("gram"), common(g).alias("common")))
+        grams = d.select("id", "size", F.inline(pairs)).repartition(n, "id")
+        return grams.join(F.broadcast(known) if few else known, "gram").groupBy("id", "size").agg(
+            F.array_sort(F.collect_list(F.struct("df", "no", "common"))).alias("met"))
 
-    return ranked(names), ranked(claims)
+    numbers = lambda c: F.transform(c, lambda x: x["no"])
+    named = ranked(_cores(names), lambda g: F.array_contains("core", g)).select(
+        "id", "size", numbers("met").alias("ranked"), numbers(F.filter("met", lambda x: x["common"])).alias("core"),
+        numbers(F.filter("met", lambda x: ~x["common"])).alias("tail"))
+    return named, ranked(claims, lambda g: F.lit(True)).select("id", "size", numbers("met").alias("ranked"))
 
 
-def _near_pairs(names: DataFrame, claims: DataFrame, above: float, least: tuple[int, int], small: str | None) -> DataFrame:
+def _near_pairs(
+    names: DataFrame, claims: DataFrame, above: float, least: tuple[int, int], small: str | None, slack: int | None = None
+) -> DataFrame:
     """Pairs of numbers with ratio > ``above``: l_id, r_id and what else the claims carry.
 
     A pair needs at least ``o = t (n + m) / (1 + t)`` common trigrams, so the first common one of either list lies
     among the first ``length - o + 1``; ``least`` is the smallest size on each side and shortens the lists
     before they are joined.  A pair is kept at its first common trigram and counted on the two rows at
-    hand, so pairs are never grouped.  ``small`` names the side to be broadcast, if any.
+    hand, so pairs are never grouped.  ``small`` names the side to be broadcast, if any.  With ``slack`` a name's
+    list lacks up to ``most`` of its trigrams, ``slack`` at most: pairs that may reach the ratio with these come
+    with ``sure``, whether they do without, l_n, r_n, both and the claim's list r.
     """
     share = F.lit(above / (1 + above))
-    needed = lambda a, b: F.ceil(share * (a + b) - F.lit(1e-6))
+    needed = lambda a, b, less: F.greatest(F.ceil(share * (a + b) - F.lit(1e-6)) - less, F.lit(1))
 
     def listed(d: DataFrame, side: str, other: int) -> DataFrame:
-        keep = (F.size("ranked") - needed(F.col("size"), F.lit(other)) + 1).cast("int")
+        less = F.col("most") if "most" in d.columns else F.lit(slack or 0)
+        keep = (F.size("ranked") - needed(F.col("size"), F.lit(other), less) + 1).cast("int")
         rest = [F.col(c) for c in d.columns if c not in ("id", "size", "ranked")]
         return d.filter(keep > 0).select(
             F.col("id").alias(f"{side}_id"), F.col("size").alias(f"{side}_n"), F.col("ranked").alias(side), *rest,
@@ -344,12 +367,67 @@ def _near_pairs(names: DataFrame, claims: DataFrame, above: float, least: tuple[
 
     a, b = listed(names, "l", least[1]), listed(claims, "r", least[0])
     d = (F.broadcast(a) if small == "names" else a).join(F.broadcast(b) if small == "claims" else b, "gram")
-    o = needed(F.col("l_n"), F.col("r_n"))
+    o = needed(F.col("l_n"), F.col("r_n"), F.lit(0) if slack is None else F.col("most"))
     d = d.filter((F.size("l") - F.col("l_pos") >= o) & (F.size("r") - F.col("r_pos") >= o))
     first = ~F.arrays_overlap(F.slice("l", F.lit(1), F.col("l_pos")), F.slice("r", F.lit(1), F.col("r_pos")))
     both = F.size(F.array_intersect("l", "r"))
     ratio = both / (F.col("l_n") + F.col("r_n") - both)
-    return d.filter(first & (ratio > above)).select("l_id", "r_id", *[c for c in claims.columns if c not in ("id", "size", "ranked")])
+    rest = [c for c in claims.columns if c not in ("id", "size", "ranked")]
+    if slack is not None:
+        return d.filter(first & (both >= o)).select("l_id", "r_id", *rest, "l_n", "r_n", "r", both.alias("both"), (ratio > above).alias("sure"))
+    return d.filter(first & (ratio > above)).select("l_id", "r_id", *rest)
+
+
+def _kinds(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names with ``kind``, the number of those of equal core and size, and the kinds with the length of their longest tail."""
+    kinds = named.groupBy("core", "size").agg(F.max(F.size("tail")).alias("most"))
+    kinds = cut_lineage(kinds.withColumn("id", F.monotonically_increasing_id()))
+    names = named.join(kinds.select("core", "size", F.col("id").alias("kind")), ["core", "size"]).select("id", "size", "kind", "tail", "ranked")
+    return names, kinds.select("id", "size", F.col("core").alias("ranked"), "most")
+
+
+def _newest_of_kinds(names: DataFrame, kinds: DataFrame, claims: DataFrame, above: float, k: int) -> DataFrame:
+    """The ``k`` newest of ``claims`` that resemble each name: l_id, r_id, newest.
+
+    Claims meet the common words once per kind.  What reaches the ratio with these alone resembles all names of the
+    kind, so its ``k`` newest are enough; what a tail may lift to it meets the tails by their trigrams.  The rest
+    shares nothing but the tail.
+    """
+    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = lambda d, c: d.agg(F.sum(F.size(c)), F.min("size"), F.count(F.lit(1))).first()
+    newest = [F.col("newest").desc()]
+    kinds = kinds.join(names.select(F.col("kind").alias("id")).distinct(), "id", "left_semi")
+    n_claims, least, _ = count(claims, "ranked")
+    out = []
+
+    def meet(d: DataFrame, slack: int | None = None) -> DataFrame:
+        grams, smallest, _ = count(d, "ranked")
+        small = None if min(grams or 0, n_claims) > BROADCAST_GRAMS else "names" if (grams or 0) <= n_claims else "claims"
+        sides = (d if small == "names" else d.repartition(n, "id"), claims if small == "claims" else claims.repartition(n, "id"))
+        return _near_pairs(*sides, above, (smallest or 0, least), small, slack)
+
+    cored = kinds.filter(F.size("ranked") > 0)
+    slack = cored.agg(F.max("most")).first()[0]
+    if slack is not None:
+        met = meet(cored, slack)
+        met = cut_lineage(met) if slack else met
+        best = top_per_key(met.filter("sure"), ["l_id"], newest, k).select(F.col("l_id").alias("kind"), "r_id", "newest")
+        out.append(best.join(names.select("kind", F.col("id").alias("l_id")), "kind").select("l_id", "r_id", "newest"))
+        if slack:
+            open_ = met.filter("NOT sure").withColumnRenamed("l_id", "kind").select("*", F.posexplode("r").alias("pos", "gram"))
+            tails = names.select(F.col("id").alias("l_id"), "kind", "tail", F.explode("tail").alias("gram"))
+            few = (count(names, "tail")[0] or 0) <= BROADCAST_GRAMS
+            d = open_.join(F.broadcast(tails) if few else tails, ["kind", "gram"])
+            both = F.col("both") + F.size(F.array_intersect("tail", "r"))
+            d = d.filter(~F.arrays_overlap(F.slice("r", F.lit(1), F.col("pos")), "tail") & (both / (F.col("l_n") + F.col("r_n") - both) > above))
+            out.append(top_per_key(d.select("l_id", "r_id", "newest"), ["l_id"], newest, k))
+    tailed = names.filter(F.size("tail") > 0).select("id", "size", F.col("tail").alias("ranked"))
+    if not tailed.isEmpty():
+        out.append(top_per_key(meet(tailed).select("l_id", "r_id", "newest"), ["l_id"], newest, k))
+    found = out[0]
+    for d in out[1:]:
+        found = found.unionByName(d)
+    return top_per_key(found.distinct(), ["l_id"], newest, k)
 
 
 #: Of claims from new to old, the numbers after which names that hold enough matches are set aside.
@@ -370,22 +448,15 @@ def _newest_claims(names: DataFrame, claims: DataFrame, above: float, k: int) ->
         slab = slab + (F.col("place") > n).cast("int")
     slabs = order.withColumn("place", place).select("id", slab.alias("slab"))
     told = cut_lineage(told.join(claims.select("id", "newest"), "id").join(F.broadcast(slabs), "id", "left").fillna(len(SLABS), ["slab"]))
-    left = cut_lineage(named)
-    least = tuple(d.agg(F.min("size")).first()[0] or 0 for d in (left, told))
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = None
+    names_of, kinds = _kinds(cut_lineage(named))
+    left, found = cut_lineage(names_of), None
     for number in range(len(SLABS) + 1):
         now = told.filter(F.col("slab") == number).drop("slab")
-        sizes = [d.agg(F.sum(F.size("ranked"))).first()[0] or 0 for d in (left, now)]
-        if not all(sizes):
-            if not sizes[0]:
-                break
+        if left.isEmpty():
+            break
+        if now.isEmpty():
             continue
-        small = "names" if sizes[0] <= sizes[1] else "claims"
-        if min(sizes) > BROADCAST_GRAMS:
-            small = None
-        spread = (left if small == "names" else left.repartition(n, "id"), now if small == "claims" else now.repartition(n, "id"))
-        met = top_per_key(_near_pairs(*spread, above, least, small), ["l_id"], [F.col("newest").desc()], k)
+        met = _newest_of_kinds(left, kinds, now, above, k)
         found = cut_lineage(met if found is None else found.unionByName(met))
         full = found.groupBy("l_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
         left = cut_lineage(left.join(full.select(F.col("l_id").alias("id")), "id", "left_anti"))

@@ -150,7 +150,8 @@ def parse_challenges(responses: DataFrame) -> DataFrame:
 def challenge_operations(parsed: DataFrame) -> DataFrame:
     """FLT-20: allowed operations of challenge responses, one row each."""
     keep = [c for c in parsed.columns if c not in ("operations", "outcome", "reasoning")]
-    d = parsed.select(*keep, F.posexplode("operations").alias("pos", "op"))
+    # Without ``outer`` the optimizer filters by the size of the list first and parses each text again, for every row it came from.
+    d = parsed.select(*keep, F.posexplode_outer("operations").alias("pos", "op"))
     return d.filter(F.col("op.operation").isin(CHALLENGE_OPERATIONS)).select(*keep, "pos", "op.*")
 
 

@@ -12,7 +12,7 @@ from evgraph.checks import stream_checks
 from evgraph.checks.registry import QUERIES
 from evgraph.checks.tables import Tables
 from evgraph.operators import similarity, traverse, vectors
-from evgraph.plans import anchoring, extract
+from evgraph.plans import anchoring, extract, review
 
 
 def test_streamed_table_may_be_a_folder_of_files(spark, folder):
@@ -136,3 +136,30 @@ def test_responses_of_one_file_are_parsed_once_by_all_tasks(spark, monkeypatch):
     assert sorted((r["batch_id"], r["pos"]) for r in rows.collect() if r["batch_id"]) == [(1, 0), (1, 0)]
     assert [n for n, _ in seen] == [4]
     assert not [line for _, plan in seen for line in plan.splitlines() if "Filter" in line and "json" in line]
+
+
+def test_names_that_share_their_words_meet_claims_as_one(spark, monkeypatch):
+    """Two phrases with 60 numbers each: claims meet a few kinds, and numbers in claims still count."""
+    monkeypatch.setattr(similarity, "SLABS", (10, 40, 80))
+    met = []
+    real = similarity._near_pairs
+    monkeypatch.setattr(similarity, "_near_pairs", lambda names, *a: met.append((names.count(), len(a) > 4 and a[4] is not None)) or real(names, *a))
+    rng = random.Random(7)
+    edges = [(n, f"bank credit {n * 37}", f"oil export supply {n}" if n % 4 else "zebra") for n in range(60)]
+    words = ["bank", "credit", "oil", "export", "supply", "river", "bankrupt", "the", "boil", "37", "1147", "111", "59"]
+    start = datetime(2024, 1, 1)
+    signals = [(n, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))), start + timedelta(hours=rng.randrange(50))) for n in range(250)]
+    got = similarity.signals_near_edges(
+        spark.createDataFrame(edges, "edge_id long, source_name string, target_name string"),
+        spark.createDataFrame(signals, "signal_id long, claim_text string, content_timestamp timestamp"), above=0.3, k=6)
+    assert {(r["edge_id"], r["signal_id"]) for r in got.collect()} == _brute_near(edges, signals, 0.3, 6)
+    assert met and max(n for n, whole in met if whole) <= 20
+
+
+def test_answers_are_not_parsed_to_filter_the_rows_they_came_from(spark):
+    d = spark.range(20).selectExpr("concat('e', id % 5) AS edge_id").distinct().selectExpr(
+        "edge_id", "concat('{\"outcome\":\"found\",\"operations\":[{\"operation\":\"update_edge_weight\",\"target_edge_id\":\"', edge_id, '\"}]}') AS body")
+    ops = review.challenge_operations(review.parse_challenges(d))
+    plan = ops._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "json" in line]
+    assert sorted(r["target_edge_id"] for r in ops.collect()) == [f"e{n}" for n in range(5)]
