@@ -253,20 +253,27 @@ def score_payloads(
 
 
 def keyword_scorer(batches: Iterator) -> Iterator:
-    """Deterministic stand-in for a model: the first sentence when the text names a keyword."""
+    """Deterministic stand-in for a model: the first sentence when the text names a keyword.
+
+    The rows of a payload, one per lens, follow each other; each text of a batch is read once.
+    """
     import json
 
+    import pandas as pd
+
     known = sorted({w for ws in vocab.DIMENSION_KEYWORDS.values() for w in ws})
     for pdf in batches:
-        low = pdf["content"].fillna("").str.lower()
-        hit = low.map(lambda t: next((w for w in known if w in t), None))
-        claim = pdf["content"].fillna("").str.split(r"[.\n]+", n=1, regex=True).str[0].str.strip()
-        out = pdf[["payload_id", "lens_id"]].copy()
-        out["body"] = [
+        which, texts = pd.factorize(pdf["content"].fillna(""))
+        texts = pd.Series(texts, dtype=object)
+        hit = texts.str.lower().map(lambda t: next((w for w in known if w in t), None))
+        claim = texts.str.split(r"[.\n]+", n=1, regex=True).str[0].str.strip()
+        bodies = [
             json.dumps([{"claim_text": c[:500], "confidence_band": "weak_inference",
                          "reasoning": f"mentions {w.strip()}"}]) if w else "[]"
             for c, w in zip(claim, hit)
         ]
+        out = pdf[["payload_id", "lens_id"]].copy()
+        out["body"] = [bodies[i] for i in which]
         yield out
 
 

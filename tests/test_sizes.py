@@ -1,11 +1,13 @@
 """Tables of other shapes and sizes than the smallest ones."""
 
+import json
 import random
 import re
 import tracemalloc
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from evgraph.checks import stream_checks
@@ -163,3 +165,16 @@ def test_answers_are_not_parsed_to_filter_the_rows_they_came_from(spark):
     plan = ops._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "json" in line]
     assert sorted(r["target_edge_id"] for r in ops.collect()) == [f"e{n}" for n in range(5)]
+
+
+def test_a_text_is_scored_once_for_all_its_lenses(monkeypatch):
+    made = []
+    real = json.dumps
+    monkeypatch.setattr(json, "dumps", lambda x: made.append(x) or real(x))
+    texts = ["oil export halted. more", None, "zzz", "oil export halted. more"]
+    pdf = pd.DataFrame([(str(n), lens, t) for n, t in enumerate(texts) for lens in "abc"], columns=["payload_id", "lens_id", "content"])
+    out = pd.concat(extract.keyword_scorer([pdf]))
+    assert list(zip(out["payload_id"], out["lens_id"])) == list(zip(pdf["payload_id"], pdf["lens_id"]))
+    hits = out[out["body"] != "[]"]
+    assert set(hits["payload_id"]) == {"0", "3"} and len(hits) == 6 and hits["body"].nunique() == 1
+    assert len(made) == 1
