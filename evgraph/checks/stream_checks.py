@@ -11,7 +11,7 @@ from evgraph.checks.graph_checks import graph_events
 from evgraph.checks.ingest_checks import CHECKED
 from evgraph.checks.registry import SQL, query
 from evgraph.checks.tables import duck
-from evgraph.session import ensure_checkpoint_dir
+from evgraph.session import cut_lineage, ensure_checkpoint_dir
 from evgraph.operators import mutate
 from evgraph.streaming import jobs
 
@@ -161,12 +161,16 @@ def stream_dedup(t):
 
 
 def folded(t, kind: str) -> DataFrame:
-    """Mutation events in six micro-batches folded into stored nodes or edges."""
+    """Mutation events in six micro-batches folded into stored nodes or edges.
+
+    The events are resolved once and written; the micro-batches read those rows, so a task that writes a
+    file of several partitions does not also hold the joins of all of them.
+    """
     empty = getattr(mutate.empty_graph(t.spark), kind)
     fold = {"nodes": mutate.fold_nodes, "edges": mutate.fold_edges}[kind]
     key, target = {"nodes": ("node_id", "target_node"), "edges": ("edge_id", "target_edge")}[kind]
     return jobs.fold_stream(
-        in_files(t, graph_events(t), "batch_time", 6), lambda held, new: fold(new, empty if held is None else held),
+        in_files(t, cut_lineage(graph_events(t)), "batch_time", 6), lambda held, new: fold(new, empty if held is None else held),
         lambda new: new.select(F.col(target).alias(key)).filter(F.col(key).isNotNull()), [key], home(t), compact_every=4)
 
 

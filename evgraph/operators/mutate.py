@@ -274,7 +274,8 @@ def resolve_refs(
     """JOI-15: node id of a reference.
 
     Text that looks like an id must exist among the nodes known by that batch;
-    anything else is looked up among the slugs created in the same batch.
+    anything else is looked up among the slugs created in the same batch.  Rows without an
+    id meet the nodes under a key of their own, so they do not all go to one task.
     """
     low = F.lower(ref)
     by_slug = slugs.select(
@@ -284,7 +285,8 @@ def resolve_refs(
     d = ops.withColumn("__is_id", F.coalesce(F.col(ref).rlike(id_pattern), F.lit(False)))
     d = d.join(by_slug, (F.col("batch_id") == F.col("__b")) & (low == F.col("__s"))
                & ~F.col("__is_id"), "left")
-    d = d.join(by_id, F.when(F.col("__is_id"), F.col(ref)) == F.col("__n"), "left")
+    by_own = F.concat(F.lit("|"), "event_id")
+    d = d.join(by_id, F.when(F.col("__is_id"), F.col(ref)).otherwise(by_own) == F.col("__n"), "left")
     seen = F.col("__since").isNull() | (F.col("__since") <= F.struct("batch_time", "batch_id"))
     hit = F.when(F.col("__is_id"), F.when(seen, F.col("__n"))).otherwise(F.col("__sn"))
     return d.withColumn(out, hit).drop("__is_id", "__b", "__s", "__sn", "__n", "__since")

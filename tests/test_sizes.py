@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evgraph.checks import stream_checks
 from evgraph.checks.registry import QUERIES
 from evgraph.checks.tables import Tables
-from evgraph.operators import similarity, traverse, vectors
+from evgraph.operators import mutate, similarity, traverse, vectors
 from evgraph.plans import anchoring, extract, review
 
 
@@ -178,3 +178,30 @@ def test_a_text_is_scored_once_for_all_its_lenses(monkeypatch):
     hits = out[out["body"] != "[]"]
     assert set(hits["payload_id"]) == {"0", "3"} and len(hits) == 6 and hits["body"].nunique() == 1
     assert len(made) == 1
+
+
+def test_micro_batches_of_a_fold_read_resolved_events(spark, monkeypatch):
+    """What the files of the micro-batches are written from holds no join, so its tasks hold none of their memory."""
+    plans = []
+    real = stream_checks.in_files
+    monkeypatch.setattr(stream_checks, "in_files", lambda t, d, *a, **b: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(t, d, *a, **b))
+    assert stream_checks.folded(Tables(spark, "/root/testdata/sf0.001"), "nodes").count() > 0
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_references_that_are_no_ids_are_spread_over_tasks(spark):
+    ops = spark.range(400).selectExpr(
+        "concat('b', id % 40) AS batch_id", "timestamp '2024-01-01' AS batch_time", "concat('e', id) AS event_id", "concat('S', id % 10) AS ref")
+    slugs = spark.createDataFrame([(f"b{n}", "s1", f"n{n}") for n in range(40)], "batch_id string, slug string, node_id string")
+    known = spark.createDataFrame([("id7", None)], "node_id string, since struct<batch_time:timestamp,batch_id:string>")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        d = mutate.resolve_refs(ops, "ref", "out", slugs, known, "^id")
+        parts = [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
+        assert d.filter("out IS NOT NULL").count() == 40 and sum(parts) == 400 and max(parts) < 200
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
