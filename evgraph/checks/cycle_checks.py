@@ -11,7 +11,7 @@ from evgraph.checks.landed_checks import scenario_responses
 from evgraph.checks.registry import AS_OF, SQL, SQL_AS_OF, query
 from evgraph.checks.stream_checks import home
 from evgraph.checks.tables import duck
-from evgraph.checks.view_checks import CAL_TABLES, OUTCOME, resolved
+from evgraph.checks.view_checks import CAL_TABLES, OUTCOME, pending
 from evgraph.operators import quality, vectors
 from evgraph.plans import anchoring, calibrate, extract, market, review, scenarios
 from evgraph.session import cut_lineage
@@ -171,8 +171,7 @@ def challenge_stamps(t):
 SELECT signal_id, outcome, cast(score AS double) AS score FROM sc""", *CAL_TABLES))
 def calibration_live(t):
     """CAL-10: of the pending rows those that are ten days old are resolved."""
-    tracking = resolved(t).withColumns({"outcome": F.lit("pending"), "score": F.lit(None).cast("double")})
-    return calibrate.checkpoint_live(tracking, now=AS_OF, observation_days=10, **_tables(t)).select("signal_id", "outcome", "score")
+    return calibrate.checkpoint_live(pending(t), now=AS_OF, observation_days=10, **_tables(t)).select("signal_id", "outcome", "score")
 
 
 def _tables(t):

@@ -485,20 +485,24 @@ OUTCOME = f"""
 CAL_TABLES = ["signals", "events_log", "event_triggers", "edges", "edge_history", "sources"]
 
 
-def resolved(t):
-    """Tracked signals (and some that were never stored), resolved up to the as-of moment."""
-    s = t["signals"].withColumn(
-        "cluster_id", F.when(F.col("payload_id") % 3 == 0, F.col("payload_id").cast("string"))
-    )
+def pending(t):
+    """Tracked signals and some that were never stored."""
     lost = t["documents"].select(
         (-F.col("doc_id") - 1).alias("signal_id"), F.col("source").alias("source_id"),
         F.lit("market").alias("lens_id"),
         F.lit(AS_OF.replace(day=AS_OF.day - 1)).alias("content_timestamp"),
     )
-    tracked = s.select("signal_id", "source_id", "lens_id", "content_timestamp").unionAll(lost)
-    pending = calibrate.register(None, tracked, "run")
+    tracked = t["signals"].select("signal_id", "source_id", "lens_id", "content_timestamp").unionAll(lost)
+    return calibrate.register(None, tracked, "run")
+
+
+def resolved(t):
+    """Tracked signals, resolved up to the as-of moment."""
+    s = t["signals"].withColumn(
+        "cluster_id", F.when(F.col("payload_id") % 3 == 0, F.col("payload_id").cast("string"))
+    )
     return calibrate.resolve(
-        pending, cutoff=AS_OF, signals=s, events=t["events_log"], triggers=t["event_triggers"],
+        pending(t), cutoff=AS_OF, signals=s, events=t["events_log"], triggers=t["event_triggers"],
         edges=t["edges"], weight_history=t["edge_history"],
     )
 

@@ -38,6 +38,17 @@ def last_five(weight_history: DataFrame) -> DataFrame:
     )
 
 
+def edge_verdicts(edges: DataFrame, weight_history: DataFrame) -> DataFrame:
+    """Outcome an edge gives the signals that were anchored on it, per edge with a row or a history."""
+    d = edges.select("edge_id", "deprecated").join(last_five(weight_history), "edge_id", "full_outer")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    verdict = (
+        F.when(yes("deprecated"), "anchored_deprecated").when(yes("up"), "anchored_strengthened")
+        .when(yes("down"), "anchored_weakened").otherwise("anchored_persistent")
+    )
+    return d.select("edge_id", verdict.alias("verdict"))
+
+
 def signal_outcomes(
     tracked: DataFrame,
     signals: DataFrame,
@@ -50,30 +61,25 @@ def signal_outcomes(
 
     The newest applied edge event a signal triggered decides: a deprecated edge, a
     strengthening among the edge's last five changes, a weakening among them, or
-    persistence.  Other signals are clustered, isolated or unknown.
+    persistence.  Other signals are clustered, isolated or unknown.  Events carry the
+    verdict of their edge to the signals, so tracked rows meet others by signal only and
+    those without an edge share no key.
     """
-    landed = triggers.join(
+    applied = (
         events.filter(~F.col("rejected") & F.col("target_edge_id").isNotNull())
-        .select("event_id", "target_edge_id", "applied_at"),
-        "event_id",
+        .select("event_id", F.col("target_edge_id").alias("edge_id"), "applied_at")
+        .join(edge_verdicts(edges, weight_history), "edge_id", "left")
+        .select("event_id", "applied_at", F.coalesce("verdict", F.lit("anchored_persistent")).alias("verdict"))
     )
-    newest = landed.groupBy("signal_id").agg(
-        F.max_by("target_edge_id", F.struct("applied_at", "event_id")).alias("edge_id")
-    )
-    d = (
-        tracked.join(newest, "signal_id", "left")
-        .join(edges.select("edge_id", "deprecated"), "edge_id", "left")
-        .join(last_five(weight_history), "edge_id", "left")
-        .join(signals.select("signal_id", "cluster_id", F.lit(True).alias("exists")), "signal_id", "left")
+    newest = triggers.join(applied, "event_id").groupBy("signal_id").agg(
+        F.max_by("verdict", F.struct("applied_at", "event_id")).alias("verdict")
     )
+    stored = signals.select("signal_id", F.col("cluster_id").isNotNull().alias("clustered"))
+    d = tracked.join(newest, "signal_id", "left").join(stored, "signal_id", "left")
     outcome = (
-        F.when(F.col("edge_id").isNotNull() & F.coalesce("deprecated", F.lit(False)),
-               "anchored_deprecated")
-        .when(F.col("edge_id").isNotNull() & F.coalesce("up", F.lit(False)), "anchored_strengthened")
-        .when(F.col("edge_id").isNotNull() & F.coalesce("down", F.lit(False)), "anchored_weakened")
-        .when(F.col("edge_id").isNotNull(), "anchored_persistent")
-        .when(F.col("exists").isNull(), "extraction_rejected")
-        .when(F.col("cluster_id").isNotNull(), "clustered_but_not_anchored")
+        F.when(F.col("verdict").isNotNull(), F.col("verdict"))
+        .when(F.col("clustered").isNull(), "extraction_rejected")
+        .when(F.col("clustered"), "clustered_but_not_anchored")
         .otherwise("isolated_in_tier_a")
     )
     return d.select(*tracked.columns, outcome.alias("resolved_outcome"))
@@ -91,13 +97,14 @@ def resolve(
     ``batch_size`` resolves only the oldest pending rows of the run, as one call
     of the pipeline does; without it all due rows are resolved.
     """
-    due = tracking.filter(
-        (F.col("outcome") == "pending") & (F.col("content_timestamp") < F.lit(cutoff))
-    )
-    if batch_size is not None:
-        due = due.orderBy("content_timestamp", "signal_id").limit(batch_size)
-    done = signal_outcomes(due.select("run_id", "signal_id"), **tables)
-    return tracking.join(done, ["run_id", "signal_id"], "left").select(
+    due = (F.col("outcome") == "pending") & (F.col("content_timestamp") < F.lit(cutoff))
+    if batch_size is None:
+        d = signal_outcomes(tracking, **tables).withColumn("resolved_outcome", F.when(due, F.col("resolved_outcome")))
+    else:
+        oldest = tracking.filter(due).orderBy("content_timestamp", "signal_id").limit(batch_size)
+        done = signal_outcomes(oldest.select("run_id", "signal_id"), **tables)
+        d = tracking.join(done, ["run_id", "signal_id"], "left")
+    return d.select(
         "run_id", "signal_id", "source_id", "lens_id", "content_timestamp",
         F.coalesce("resolved_outcome", "outcome").alias("outcome"),
         F.coalesce(lookup(vocab.OUTCOME_SCORES, F.col("resolved_outcome")), "score").alias("score"),

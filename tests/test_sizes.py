@@ -14,7 +14,7 @@ from evgraph.checks import stream_checks
 from evgraph.checks.registry import QUERIES
 from evgraph.checks.tables import Tables
 from evgraph.operators import mutate, similarity, traverse, vectors
-from evgraph.plans import anchoring, extract, review
+from evgraph.plans import anchoring, calibrate, extract, review
 
 
 def test_streamed_table_may_be_a_folder_of_files(spark, folder):
@@ -205,3 +205,20 @@ def test_references_that_are_no_ids_are_spread_over_tasks(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_tracked_rows_are_read_once_and_meet_others_by_signal_only(spark):
+    """Signals without an edge would share the null key of a join by edge."""
+    tracked = spark.range(77, 477).selectExpr("id AS signal_id", "'s' AS source_id", "'market' AS lens_id", "timestamp '2024-01-01' AS content_timestamp")
+    signals = spark.range(0, 300).selectExpr("id AS signal_id", "CASE WHEN id % 2 = 0 THEN 'c' END AS cluster_id")
+    events = spark.createDataFrame([(n, n > 3, f"e{n}", datetime(2024, 1, n)) for n in range(1, 6)], "event_id long, rejected boolean, target_edge_id string, applied_at timestamp")
+    triggers = spark.createDataFrame([(1, 100), (2, 100), (1, 102), (3, 103), (4, 104)], "event_id long, signal_id long")
+    edges = spark.createDataFrame([("e1", True), ("e2", False)], "edge_id string, deprecated boolean")
+    history = spark.createDataFrame([("e2", 1, "weakened", datetime(2024, 1, 1))], "edge_id string, id long, change_type string, content_timestamp timestamp")
+    d = calibrate.resolve(calibrate.register(None, tracked, "run"), cutoff=datetime(2024, 2, 1), signals=signals, events=events,
+                          triggers=triggers, edges=edges, weight_history=history)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Range (77, 477") == 1
+    got = {r["signal_id"]: r["outcome"] for r in d.collect()}
+    assert [got[n] for n in (100, 102, 103, 104, 105, 400)] == [
+        "anchored_weakened", "anchored_deprecated", "anchored_persistent", "clustered_but_not_anchored", "isolated_in_tier_a", "extraction_rejected"]
+    assert len(got) == 400
