@@ -202,22 +202,25 @@ def attach_counts(changes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def topics_of_targets(changes: DataFrame, edges: DataFrame, topic_nodes: DataFrame) -> DataFrame:
+def topics_of_targets(
+    changes: DataFrame, edges: DataFrame, topic_nodes: DataFrame, carried: tuple[str, ...] = ()
+) -> DataFrame:
     """CHG-03: (change_id, topic_id) pairs; an edge belongs to the topics of both ends.
 
-    The either-end condition is a union of equi-joins rather than an OR join.
+    The either-end condition is a union of equi-joins rather than an OR join.  Columns
+    ``carried`` come along with their change.
     """
     at_nodes = changes.filter("target_type = 'node'").select(
-        "change_id", F.col("target_id").alias("node_id")
+        "change_id", *carried, F.col("target_id").alias("node_id")
     )
     at_edges = (
-        changes.filter("target_type = 'edge'").select("change_id", F.col("target_id").alias("edge_id"))
+        changes.filter("target_type = 'edge'").select("change_id", *carried, F.col("target_id").alias("edge_id"))
         .join(edges.select("edge_id", "source_node_id", "target_node_id"), "edge_id")
-        .select("change_id", F.explode(F.array("source_node_id", "target_node_id")).alias("node_id"))
+        .select("change_id", *carried, F.explode(F.array("source_node_id", "target_node_id")).alias("node_id"))
     )
     return (
         at_nodes.unionAll(at_edges).join(topic_nodes.select("topic_id", "node_id"), "node_id")
-        .select("change_id", "topic_id").distinct()
+        .select("change_id", "topic_id", *carried).distinct()
     )
 
 
@@ -253,11 +256,14 @@ def recent_changes(
 
 
 def changes_by_topic(changes: DataFrame, edges: DataFrame, topic_nodes: DataFrame) -> DataFrame:
-    """TPC-03: number and newest time of changes per topic."""
-    changes = cut_lineage(changes)
-    pairs = topics_of_targets(changes, edges, topic_nodes)
+    """TPC-03: number and newest time of changes per topic.
+
+    Only what is counted is written, so no text is built or searched for dimensions.
+    """
+    counted = ("occurred_at", "impact_rank")
+    changes = cut_lineage(changes.select("change_id", "target_type", "target_id", *counted))
     return (
-        pairs.join(changes.select("change_id", "occurred_at", "impact_rank"), "change_id")
+        topics_of_targets(changes, edges, topic_nodes, counted)
         .groupBy("topic_id")
         .agg(F.count(F.lit(1)).alias("n_changes"), F.max("occurred_at").alias("last_change"),
              F.min("impact_rank").alias("best_rank"))

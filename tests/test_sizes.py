@@ -14,7 +14,7 @@ from evgraph.checks import stream_checks
 from evgraph.checks.registry import QUERIES
 from evgraph.checks.tables import Tables
 from evgraph.operators import mutate, similarity, traverse, vectors
-from evgraph.plans import anchoring, calibrate, extract, review
+from evgraph.plans import anchoring, calibrate, changes, extract, review
 
 
 def test_streamed_table_may_be_a_folder_of_files(spark, folder):
@@ -222,3 +222,11 @@ def test_tracked_rows_are_read_once_and_meet_others_by_signal_only(spark):
     assert [got[n] for n in (100, 102, 103, 104, 105, 400)] == [
         "anchored_weakened", "anchored_deprecated", "anchored_persistent", "clustered_but_not_anchored", "isolated_in_tier_a", "extraction_rejected"]
     assert len(got) == 400
+
+
+def test_changes_are_counted_by_topic_without_their_texts(spark, monkeypatch):
+    plans = []
+    real = changes.cut_lineage
+    monkeypatch.setattr(changes, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(d))
+    assert QUERIES["changes_by_topic"](Tables(spark, "/root/testdata/sf0.001").spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) == 1 and "Contains" not in plans[0] and "Condition " not in plans[0] and "market and oil price" not in plans[0]
