@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evgraph.checks import stream_checks
 from evgraph.checks.registry import QUERIES
 from evgraph.checks.tables import Tables
-from evgraph.operators import mutate, similarity, traverse, vectors
+from evgraph.operators import mutate, quality, similarity, traverse, vectors
 from evgraph.plans import anchoring, calibrate, changes, extract, review
 
 
@@ -230,3 +230,21 @@ def test_changes_are_counted_by_topic_without_their_texts(spark, monkeypatch):
     monkeypatch.setattr(changes, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(d))
     assert QUERIES["changes_by_topic"](Tables(spark, "/root/testdata/sf0.001").spark, "/root/testdata/sf0.001").count() > 0
     assert len(plans) == 1 and "Contains" not in plans[0] and "Condition " not in plans[0] and "market and oil price" not in plans[0]
+
+
+def test_convergent_claims_are_counted_without_repeating_rows(spark):
+    rows = [(1, 1, "a", " X "), (2, 1, "b", "x"), (3, 2, None, "x"), (4, 2, "a", "y"), (5, 3, "a", "y"), (6, 3, "b", None), (7, 3, "c", None)]
+    d = quality.convergence(spark.createDataFrame(rows, "signal_id long, payload_id long, lens_id string, claim_text string"))
+    assert "Expand" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, d.drop("claim_hash").collect())) == [(2, 1, 2, 6), (3, 2, 2, 1)]
+
+
+def test_edges_alone_between_their_ends_need_no_pair_join_and_no_salt(spark):
+    schema = "edge_id string, source_node_id string, target_node_id string, deprecated boolean"
+    rows = [("e1", "a", "b", False), ("e2", "b", "c", False), ("e3", "c", "d", True), ("e4", "a", "c", False)]
+    d = traverse.blast_radius(spark.createDataFrame(rows, schema))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert {r["edge_id"]: r["blast_radius"] for r in d.collect()} == {"e1": 2, "e2": 2, "e3": 2, "e4": 2}
+    more = spark.createDataFrame(rows + [("e6", "d", "c", False), ("e7", "b", "a", True)], schema)
+    assert {r["edge_id"]: r["blast_radius"] for r in traverse.blast_radius(more).collect()} == {
+        "e1": 2, "e2": 3, "e3": 3, "e4": 3, "e6": 2, "e7": 3}
