@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evgraph.functions.text import strip
@@ -72,20 +73,25 @@ def group_signals(signals: DataFrame, entities: DataFrame) -> DataFrame:
     ``entities`` holds signal_id and name, one row per name.  Names are linked
     rather than signals: a signal with several names links its smallest name to
     the others, so the graph has as many nodes as there are names.  The group id
-    is the smallest signal id of the group.
+    is the smallest signal id of the group, found per pair of names, so that signals are
+    met by their names and not by their group, which may hold almost all of them.
     """
     names = entities.select("signal_id", F.lower(strip(F.col("name"))).alias("name")).filter(
         "name <> ''"
     )
-    first = names.groupBy("signal_id").agg(F.min("name").alias("first"))
-    links = names.join(first, "signal_id").select(F.col("first").alias("a"), F.col("name").alias("b"))
-    roots = components(links)
-    labelled = first.join(roots, first["first"] == roots["node"]).select("signal_id", "root")
+    here = signals.select("signal_id", F.lit(True).alias("here"))
+    inside = W.partitionBy("signal_id").orderBy("name")
+    named = names.withColumn("first", F.first("name").over(inside))
+    pairs = cut_lineage(
+        named.join(here, "signal_id", "left").groupBy("first", "name")
+        .agg(F.min(F.when(F.col("here"), F.col("signal_id"))).alias("low"))
+    )
+    roots = cut_lineage(components(pairs.select(F.col("first").alias("a"), F.col("name").alias("b"))))
     smallest = (
-        signals.select("signal_id").join(labelled, "signal_id").groupBy("root")
-        .agg(F.min("signal_id").alias("group_id"))
+        pairs.join(roots, pairs["first"] == roots["node"]).groupBy("root").agg(F.min("low").alias("group_id"))
     )
-    grouped = labelled.join(smallest, "root").select("signal_id", "group_id")
+    groups = roots.join(smallest, "root").select(F.col("node").alias("first"), "group_id")
+    grouped = names.groupBy("signal_id").agg(F.min("name").alias("first")).join(groups, "first").select("signal_id", "group_id")
     return signals.join(grouped, "signal_id", "left").withColumn(
         "group_id", F.coalesce("group_id", "signal_id")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evgraph.checks import stream_checks
 from evgraph.checks.registry import QUERIES
 from evgraph.checks.tables import Tables
-from evgraph.operators import mutate, quality, similarity, traverse, vectors
+from evgraph.operators import components, mutate, quality, similarity, traverse, vectors
 from evgraph.plans import anchoring, calibrate, changes, extract, review
 
 
@@ -248,3 +248,17 @@ def test_edges_alone_between_their_ends_need_no_pair_join_and_no_salt(spark):
     more = spark.createDataFrame(rows + [("e6", "d", "c", False), ("e7", "b", "a", True)], schema)
     assert {r["edge_id"]: r["blast_radius"] for r in traverse.blast_radius(more).collect()} == {
         "e1": 2, "e2": 3, "e3": 3, "e4": 3, "e6": 2, "e7": 3}
+
+
+def test_signals_meet_their_names_and_not_their_group(spark, monkeypatch):
+    """Names chain all signals into one group; what is written in between is one row per pair of names."""
+    sizes = []
+    real = components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", lambda d: sizes.append((out := real(d)).count()) or out)
+    signals = spark.range(10, 310).withColumnRenamed("id", "signal_id")
+    names = spark.range(0, 320).selectExpr("id AS signal_id", "explode(array(concat('N', id % 5), concat(' n', (id + 1) % 5), '')) AS name")
+    names = names.unionAll(spark.createDataFrame([(309, "lone"), (400, "gone")], names.schema))
+    d = components.group_signals(signals.unionAll(spark.createDataFrame([(900,)], "signal_id long")), names)
+    assert {(r["signal_id"], r["group_id"]) for r in d.collect()} == {(n, 10) for n in range(10, 310)} | {(900, 900)}
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 320") == 1
+    assert max(sizes) <= 16
