@@ -29,8 +29,11 @@ BROADCAST_GRAMS = 250_000
 
 
 def intern(df: DataFrame, text: str) -> DataFrame:
-    """Distinct non-null texts with their trigram sets: ``text``, ``grams``."""
-    d = df.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    """Distinct non-null texts with their trigram sets: ``text``, ``grams``.
+
+    Texts are written first, otherwise Spark moves the filter below the grouping and builds the trigrams of all rows.
+    """
+    d = cut_lineage(df.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct())
     return d.withColumn("grams", trigrams(F.col("text"))).filter(F.size("grams") > 0)
 
 
@@ -221,9 +224,13 @@ def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> Data
 
     Case does not matter.  Each term is looked up by one key, its rarest run of
     three characters (the whole term when shorter); a text offers all its runs
-    of one to three characters that are keys.  Matches are then verified.
+    of the lengths that keys have.  Matches are then verified.  Terms that are few are
+    broadcast, so runs of texts are not shuffled.
     """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = texts.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    # Few bytes of text have very many runs.  Spark would leave out a repartition by the text itself.
+    t = t.withColumn("low", F.lower("text")).repartition(n, "low")
     w = (
         terms.select(F.col(term).alias("term"))
         .filter(F.length("term") > 0)
@@ -242,18 +249,22 @@ def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> Data
             ),
         ).otherwise(F.array().cast("array<string>"))
 
-    low = F.lower("text")
-    grams = t.select(
-        "text", F.explode(F.concat(runs(low, 1), runs(low, 2), runs(low, 3))).alias("gram")
-    )
     lt = F.col("low_term")
+    # Three numbers: which short runs are wanted, and whether the terms are small enough to be broadcast.
+    one, two, offers = w.agg(
+        F.max(F.length(lt) == 1), F.max(F.length(lt) == 2), F.sum(F.greatest(F.length(lt) - 2, F.lit(1)))
+    ).first()
+    few = (offers or 0) <= BROADCAST_GRAMS
+    sizes = [size for size, known in ((1, one), (2, two), (3, True)) if known]
+    grams = t.select("text", "low", F.explode(F.concat(*[runs(F.col("low"), size) for size in sizes])).alias("gram"))
     offered = w.select(
         "term",
         "low_term",
         F.explode(F.when(F.length(lt) < 3, F.array(lt)).otherwise(runs(lt, 3))).alias("gram"),
     )
     # Count only runs that some term offers, and keep the rarest one per term.
-    wanted = grams.join(offered.select("gram").distinct(), "gram", "left_semi")
+    asked = offered.select("gram").distinct()
+    wanted = grams.join(F.broadcast(asked) if few else asked, "gram", "left_semi")
     df = wanted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     key = (
         offered.join(df, "gram", "left")
@@ -265,8 +276,8 @@ def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> Data
         .select("term", "low_term", F.col("k.gram").alias("gram"))
     )
     return (
-        grams.join(key, "gram")
-        .filter(F.contains(F.lower("text"), F.col("low_term")))
+        grams.join(F.broadcast(key) if few else key, "gram")
+        .filter(F.contains("low", F.col("low_term")))
         .select("text", "term")
     )
 

@@ -14,7 +14,7 @@ from evgraph.checks import stream_checks
 from evgraph.checks.registry import QUERIES
 from evgraph.checks.tables import Tables
 from evgraph.operators import components, mutate, quality, similarity, traverse, vectors
-from evgraph.plans import anchoring, calibrate, changes, extract, review
+from evgraph.plans import anchoring, calibrate, changes, extract, review, topics
 
 
 def test_streamed_table_may_be_a_folder_of_files(spark, folder):
@@ -262,3 +262,64 @@ def test_signals_meet_their_names_and_not_their_group(spark, monkeypatch):
     assert {(r["signal_id"], r["group_id"]) for r in d.collect()} == {(n, 10) for n in range(10, 310)} | {(900, 900)}
     assert d._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 320") == 1
     assert max(sizes) <= 16
+
+
+def _counted(df, met):
+    """The same rows; every row that is read is counted."""
+    def count(frames):
+        for f in frames:
+            met.add(len(f))
+            yield f
+
+    return df.mapInPandas(count, df.schema)
+
+
+def test_trigrams_are_built_per_distinct_text(spark, monkeypatch):
+    built = spark.sparkContext.accumulator(0)
+    real = similarity.trigrams
+    same = F.udf(lambda x: built.add(1) or x, "string")
+    monkeypatch.setattr(similarity, "trigrams", lambda c: real(same(c)))
+    questions = spark.range(900).selectExpr("concat('why is part ', id % 3) AS q")
+    nodes = spark.range(900).selectExpr("concat('n', id) AS node_id", "concat('part ', id % 4) AS name")
+    got = {(r["query"], r["node_id"]) for r in similarity.search_names(questions, "q", nodes, k=2).collect()}
+    assert got == {("why is part 0", "n0"), ("why is part 0", "n100"), ("why is part 1", "n1"), ("why is part 1", "n101"),
+                   ("why is part 2", "n10"), ("why is part 2", "n102")}
+    assert built.value <= 100
+
+
+def test_question_context_reads_signals_and_edges_once(spark):
+    start = datetime(2024, 1, 1)
+    nodes = [(f"n{i}", "entity", f"part {i}", None, "active", start, None) for i in range(6)]
+    edges = [(f"e{i}", f"n{i % 6}", f"n{(i + 1) % 6}", f"part {i % 6}", f"part {(i + 1) % 6}", "causes", "weak" if i % 2 else "strong",
+              False, None, start, start + timedelta(hours=i)) for i in range(60)]
+    signals = [(i, f"news of PART {i % 9} and more", "market", "inference", start + timedelta(days=i % 80)) for i in range(400)]
+    met = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    d = topics.question_context(
+        spark.createDataFrame([("part 2",), ("part 2",), ("none",)], "question string"),
+        spark.createDataFrame(nodes, "node_id string, node_type string, name string, description string, current_state string, "
+                                     "created_at timestamp, dimension string"),
+        _counted(spark.createDataFrame(
+            edges, "edge_id string, source_node_id string, target_node_id string, source_name string, target_name string, edge_type string, "
+                   "current_weight_band string, deprecated boolean, reasoning string, created_at timestamp, updated_at timestamp"), met[0]),
+        _counted(spark.createDataFrame(
+            signals, "signal_id long, claim_text string, lens_id string, confidence_band string, content_timestamp timestamp"), met[1]),
+        as_of=start + timedelta(days=60), k=(1, 4, 3))
+    got = {(r["part"], r["position"]): (r["query"], r["item_id"], r["label"], r["state"]) for r in d.collect()}
+    near = sorted((e for e in edges if "n2" in e[1:3]), key=lambda e: (e[6] != "strong", -e[10].timestamp()))[:4]
+    told = sorted((s for s in signals if "PART 2 " in s[1] and timedelta(30) <= s[4] - start <= timedelta(60)),
+                  key=lambda s: (s[4], s[0]), reverse=True)[:3]
+    want = {("node", 1): ("part 2", "n2", "part 2", "active")}
+    want |= {("edge", i): ("part 2", e[0], e[3], e[6]) for i, e in enumerate(near, 1)}
+    want |= {("signal", i): ("part 2", str(s[0]), s[1], "inference") for i, s in enumerate(told, 1)}
+    assert got == want
+    assert [m.value for m in met] == [60, 400]
+
+
+def test_containing_without_broadcast_and_without_terms(spark, monkeypatch):
+    texts = spark.createDataFrame([("Red bolt",), ("a",), ("ring",), (None,)], "t string")
+    terms = spark.createDataFrame([("bol",), ("A",), ("ri",), ("",), ("zzz",)], "w string")
+    assert similarity.containing(texts, "t", terms.filter("w = ''"), "w").count() == 0
+    for most in (similarity.BROADCAST_GRAMS, -1):
+        monkeypatch.setattr(similarity, "BROADCAST_GRAMS", most)
+        got = {tuple(r) for r in similarity.containing(texts, "t", terms, "w").collect()}
+        assert got == {("Red bolt", "bol"), ("a", "A"), ("ring", "ri")}
