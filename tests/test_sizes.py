@@ -113,6 +113,35 @@ def test_walks_of_the_third_hop_are_told_apart_where_they_are_made(spark, monkey
     assert len(made) == 1 and "Exchange" not in made[0].split("Generate explode(ends")[0]
 
 
+def _complete(ids):
+    return ids.withColumnRenamed("node_id", "source_node_id").crossJoin(ids.withColumnRenamed("node_id", "target_node_id")).selectExpr(
+        "concat(source_node_id, target_node_id) AS edge_id", "source_node_id", "target_node_id", "'weak' AS current_weight_band",
+        "'' AS falsification_criteria", "false AS deprecated")
+
+
+def test_walks_of_two_hops_are_summed_where_they_are_made(spark, monkeypatch):
+    """What leaves a middle node becomes rows in the task of the start; no walk is dealt anew, nor kept as a row of a checkpoint."""
+    plans = []
+    real = traverse.cut_lineage
+    monkeypatch.setattr(traverse, "cut_lineage", lambda d: plans.append((d._jdf.queryExecution().executedPlan().toString(), d.count())) or real(d))
+    ids = spark.range(12).selectExpr("concat('n', id) AS node_id")
+    got = traverse.projection_totals(_complete(ids), ids, 3).filter("hops = 2").collect()
+    assert {(r["n_ends"], r["n_paths"]) for r in got} == {(11, 11 * 10)} and len(got) == 12
+    made = [(plan, n) for plan, n in plans if "Generate inline(steps" in plan]
+    assert len(made) == 1 and made[0][1] == 12 and "Exchange" not in made[0][0].split("Generate inline(steps")[0]
+
+
+def test_starts_with_the_same_ends_share_copies(spark, monkeypatch):
+    """Two graphs without an edge between them: each share of the starts takes the nodes of one."""
+    monkeypatch.setattr(traverse, "SHARES", 2)
+    ids = spark.range(24).selectExpr("concat(CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END, id) AS node_id")
+    edges = _complete(ids).filter("left(source_node_id, 1) = left(target_node_id, 1)")
+    pairs, names = traverse._factors(edges)
+    shares = traverse._shares(pairs.select(F.col("a").alias("s"), F.col("b").alias("x")), pairs)
+    dealt = shares.join(names.toDF("node", "s"), "s").select(F.left("node", F.lit(1)).alias("graph"), "share").distinct().collect()
+    assert len(dealt) == 2 and len({r["share"] for r in dealt}) == 2
+
+
 def test_two_full_blocks_are_linked_in_strips():
     """Groups of four equal vectors; products of all pairs would take 128 MB, their comparison takes 16 MB."""
     x = np.random.default_rng(3).normal(size=(1000, 64))
