@@ -14,7 +14,7 @@ from evgraph.checks.tables import duck
 from evgraph.checks.view_checks import CAL_TABLES, OUTCOME, pending
 from evgraph.operators import quality, vectors
 from evgraph.plans import anchoring, calibrate, extract, market, review, scenarios
-from evgraph.session import cut_lineage
+from evgraph.session import cut_lineage, stored
 from evgraph.sources import landed
 
 # --- context of a batch ------------------------------------------------------------------------
@@ -142,8 +142,9 @@ def _passed(t):
     """A pass over all due edges: found, not found, no answer in the text, a failed call, no response."""
     body = f"""CASE {_DST} WHEN 0 THEN {_ANSWER.replace('OUT', "'found'")}
       WHEN 1 THEN concat('```json\\n', {_ANSWER.replace('OUT', "'not_found'")}, '\\n```') WHEN 2 THEN 'nothing' END"""
-    responses = t["edges"].filter(f"{_DST} < 4").selectExpr("edge_id", f"{body} AS body", f"{_DST} = 3 AS failed")
-    return review.run_pass(t["edges"], t["condition_nodes"], t["signals"], responses, now=AS_OF)
+    edges, nodes = stored(t["edges"]), stored(t["condition_nodes"])  # read six times
+    responses = edges.filter(f"{_DST} < 4").selectExpr("edge_id", f"{body} AS body", f"{_DST} = 3 AS failed")
+    return review.run_pass(edges, nodes, t["signals"], responses, now=AS_OF)
 
 
 @query("challenge_pass", _PASS + f"""

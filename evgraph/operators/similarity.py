@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from evgraph.functions.text import set_similarity, trigrams
 from evgraph.operators.ordered import top_per_key
-from evgraph.session import cut_lineage
+from evgraph.session import cut_lineage, stored
 
 # Thresholds tried from high to low by :func:`top_similar`; the caller's own comes last.
 TIERS = (0.5,)
@@ -26,6 +26,8 @@ TIERS = (0.5,)
 PREFIX_FROM = 0.4
 # Most trigrams a side may have to be broadcast; at some forty bytes each, about ten megabytes.
 BROADCAST_GRAMS = 250_000
+# Most texts that are broadcast; claims of some hundred bytes make a few megabytes.
+BROADCAST_TEXTS = 20_000
 
 
 def intern(df: DataFrame, text: str) -> DataFrame:
@@ -306,13 +308,14 @@ def alias_candidates(
 
 
 def _numbered(texts: DataFrame) -> DataFrame:
-    """Distinct texts with a number, their trigrams and how many there are; written once.
+    """Distinct texts with a number; written once, without their trigrams, which need many times the room."""
+    return stored(texts.filter("text IS NOT NULL").withColumn("id", F.monotonically_increasing_id()))
 
-    The number comes first: Spark does not move what stands behind it below the grouping, to all rows.
-    """
-    d = texts.filter("text IS NOT NULL").withColumn("id", F.monotonically_increasing_id())
-    d = d.withColumn("grams", trigrams(F.col("text"))).filter(F.size("grams") > 0)
-    return cut_lineage(d.withColumn("size", F.size("grams")))
+
+def _with_grams(texts: DataFrame) -> DataFrame:
+    """Texts with their trigrams and how many there are."""
+    d = texts.withColumn("grams", trigrams(F.col("text"))).filter(F.size("grams") > 0)
+    return d.withColumn("size", F.size("grams"))
 
 
 #: Names that must hold a word for it to be common; the other words of a name are its tail.
@@ -329,28 +332,29 @@ def _cores(names: DataFrame) -> DataFrame:
 
 
 def _shared_grams(names: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``ranked``: numbers of the trigrams that the two sides share, rare ones first.
+    """Both sides with ``ranked``: numbers of the trigrams that the two sides share, those of few names first.
 
     ``size`` stays the whole size.  A trigram that only one side has can't be among the common ones of a pair.
-    Names also have the two parts of their list, ``core`` and ``tail``.
+    Names also have the two parts of their list, ``core`` and ``tail``; claims keep ``newest``.  Where names have few
+    trigrams, claims look theirs up where they are read, and lists of shared ones are all that is shuffled and written.
     """
-    flat = lambda d: d.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    known = flat(names).withColumnRenamed("df", "own").join(flat(claims), "gram")
-    known = cut_lineage(known.select("gram", (F.col("own") + F.col("df")).alias("df"), F.monotonically_increasing_id().alias("no")))
-    few = known.count() <= BROADCAST_GRAMS
-
-    def ranked(d: DataFrame, common: Column) -> DataFrame:
-        n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = F.transform("grams", lambda g: F.struct(g.alias("gram"), common(g).alias("common")))
-        grams = d.select("id", "size", F.inline(pairs)).repartition(n, "id")
-        return grams.join(F.broadcast(known) if few else known, "gram").groupBy("id", "size").agg(
-            F.array_sort(F.collect_list(F.struct("df", "no", "common"))).alias("met"))
-
+    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = cut_lineage(_cores(cut_lineage(_with_grams(names))))
+    own = names.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("own"))
+    own = cut_lineage(own.orderBy("own", "gram").select("gram", F.monotonically_increasing_id().alias("no")))
+    few = own.count() <= BROADCAST_GRAMS
+    known = F.broadcast(own) if few else own
+    told = _with_grams(claims).select("id", "newest", "size", F.explode("grams").alias("gram")).join(known, "gram")
+    told = stored(told.groupBy("id", "newest", "size").agg(F.array_sort(F.collect_list("no")).alias("ranked")))
+    used = told.select(F.explode("ranked").alias("no")).distinct()
+    known = cut_lineage(own.join(used, "no"))
+    pairs = F.transform("grams", lambda g: F.struct(g.alias("gram"), F.array_contains("core", g).alias("common")))
+    named = names.select("id", "size", F.inline(pairs)).repartition(n, "id").join(F.broadcast(known) if few else known, "gram")
+    named = named.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("no", "common"))).alias("met"))
     numbers = lambda c: F.transform(c, lambda x: x["no"])
-    named = ranked(_cores(names), lambda g: F.array_contains("core", g)).select(
+    return named.select(
         "id", "size", numbers("met").alias("ranked"), numbers(F.filter("met", lambda x: x["common"])).alias("core"),
-        numbers(F.filter("met", lambda x: ~x["common"])).alias("tail"))
-    return named, ranked(claims, lambda g: F.lit(True)).select("id", "size", numbers("met").alias("ranked"))
+        numbers(F.filter("met", lambda x: ~x["common"])).alias("tail")), told
 
 
 def _near_pairs(
@@ -397,8 +401,8 @@ def _kinds(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     return names, kinds.select("id", "size", F.col("core").alias("ranked"), "most")
 
 
-def _newest_of_kinds(names: DataFrame, kinds: DataFrame, claims: DataFrame, above: float, k: int) -> DataFrame:
-    """The ``k`` newest of ``claims`` that resemble each name: l_id, r_id, newest.
+def _newest_of_kinds(names: DataFrame, kinds: DataFrame, claims: DataFrame, above: float, k: int, spread: bool = True) -> DataFrame:
+    """The ``k`` newest of ``claims`` that resemble each name: l_id, r_id, newest.  Few claims are ``spread`` over all tasks.
 
     Claims meet the common words once per kind.  What reaches the ratio with these alone resembles all names of the
     kind, so its ``k`` newest are enough; what a tail may lift to it meets the tails by their trigrams.  The rest
@@ -414,7 +418,7 @@ def _newest_of_kinds(names: DataFrame, kinds: DataFrame, claims: DataFrame, abov
     def meet(d: DataFrame, slack: int | None = None) -> DataFrame:
         grams, smallest, _ = count(d, "ranked")
         small = None if min(grams or 0, n_claims) > BROADCAST_GRAMS else "names" if (grams or 0) <= n_claims else "claims"
-        sides = (d if small == "names" else d.repartition(n, "id"), claims if small == "claims" else claims.repartition(n, "id"))
+        sides = (d if small == "names" else d.repartition(n, "id"), claims.repartition(n, "id") if spread and small != "claims" else claims)
         return _near_pairs(*sides, above, (smallest or 0, least), small, slack)
 
     cored = kinds.filter(F.size("ranked") > 0)
@@ -428,6 +432,10 @@ def _newest_of_kinds(names: DataFrame, kinds: DataFrame, claims: DataFrame, abov
             open_ = met.filter("NOT sure").withColumnRenamed("l_id", "kind").select("*", F.posexplode("r").alias("pos", "gram"))
             tails = names.select(F.col("id").alias("l_id"), "kind", "tail", F.explode("tail").alias("gram"))
             few = (count(names, "tail")[0] or 0) <= BROADCAST_GRAMS
+            if not few:
+                # Few of a claim's trigrams are in any tail; only these take the shuffle.
+                held = cut_lineage(tails.select("kind", "gram").distinct())
+                open_ = open_.join(F.broadcast(held) if held.count() <= BROADCAST_GRAMS else held, ["kind", "gram"], "left_semi")
             d = open_.join(F.broadcast(tails) if few else tails, ["kind", "gram"])
             both = F.col("both") + F.size(F.array_intersect("tail", "r"))
             d = d.filter(~F.arrays_overlap(F.slice("r", F.lit(1), F.col("pos")), "tail") & (both / (F.col("l_n") + F.col("r_n") - both) > above))
@@ -458,16 +466,18 @@ def _newest_claims(names: DataFrame, claims: DataFrame, above: float, k: int) ->
     for n in SLABS[:-1]:
         slab = slab + (F.col("place") > n).cast("int")
     slabs = order.withColumn("place", place).select("id", slab.alias("slab"))
-    told = cut_lineage(told.join(claims.select("id", "newest"), "id").join(F.broadcast(slabs), "id", "left").fillna(len(SLABS), ["slab"]))
+    told = told.join(F.broadcast(cut_lineage(slabs)), "id", "left").fillna(len(SLABS), ["slab"])
     names_of, kinds = _kinds(cut_lineage(named))
     left, found = cut_lineage(names_of), None
     for number in range(len(SLABS) + 1):
         now = told.filter(F.col("slab") == number).drop("slab")
         if left.isEmpty():
             break
+        # All that is left over lies in the files of its table already.
+        now = now if number == len(SLABS) else cut_lineage(now)
         if now.isEmpty():
             continue
-        met = _newest_of_kinds(left, kinds, now, above, k)
+        met = _newest_of_kinds(left, kinds, now, above, k, spread=number < len(SLABS))
         found = cut_lineage(met if found is None else found.unionByName(met))
         full = found.groupBy("l_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
         left = cut_lineage(left.join(full.select(F.col("l_id").alias("id")), "id", "left_anti"))
@@ -487,20 +497,34 @@ def signals_near_edges(
 
     ``edges`` holds edge_id, source_name, target_name; ``signals`` is already cut
     to the time window.  The newest ``k`` are cut per claim and per name before
-    edges are joined, so an edge never meets all signals of a name.  Lists of
-    signals have numbers; edges travel with two of them, and lists are merged once per pair.
+    edges are joined, so an edge never meets all signals of a name.
+    """
+    pointed, lists = near_lists(edges, signals, above=above, k=k)
+    return (
+        pointed.join(lists, ["source", "target"])
+        .select("edge_id", F.explode("near").alias("s"))
+        .select("edge_id", "s.signal_id", "s.content_timestamp")
+    )
+
+
+def near_lists(edges: DataFrame, signals: DataFrame, *, above: float = 0.15, k: int = 30) -> tuple[DataFrame, DataFrame]:
+    """What :func:`signals_near_edges` joins: edge_id, source, target and the ``near`` signals of each such pair, newest first.
+
+    Lists of signals have numbers; edges travel with two of them, and lists are merged once per pair.
     """
     newest = [F.col("content_timestamp").desc(), F.col("signal_id").desc()]
     sides = edges.select(F.explode(F.array("source_name", "target_name")).alias("name"))
     names = _numbered(sides.select(F.col("name").alias("text")).distinct())
     claims = _numbered(signals.groupBy(F.col("claim_text").alias("text")).agg(
         F.max(F.struct("content_timestamp", "signal_id")).alias("newest")))
-    pairs = _newest_claims(names, claims, above, k)
-    met = pairs.join(claims.select(F.col("id").alias("r_id"), F.col("text").alias("claim_text")), "r_id").drop("r_id")
-    per_claim = top_per_key(
-        signals.select("signal_id", "claim_text", "content_timestamp").join(met.select("claim_text").distinct(), "claim_text"),
-        ["claim_text"], newest, k)
-    per_name = top_per_key(met.join(per_claim, "claim_text"), ["l_id"], newest, k)
+    pairs = cut_lineage(_newest_claims(names, claims, above, k))
+    ids = cut_lineage(pairs.select("r_id").distinct())
+    texts = claims.select(F.col("id").alias("r_id"), F.col("text").alias("claim_text"))
+    texts = cut_lineage(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_GRAMS else ids, "r_id"))
+    met = signals.select("signal_id", "claim_text", "content_timestamp").join(
+        F.broadcast(texts) if texts.count() <= BROADCAST_TEXTS else texts, "claim_text").drop("claim_text")
+    per_claim = cut_lineage(top_per_key(met, ["r_id"], newest, k))
+    per_name = top_per_key(pairs.join(per_claim, "r_id"), ["l_id"], newest, k)
     # At most k entries per name; many names share a list.
     lists = per_name.groupBy("l_id").agg(F.sort_array(F.collect_list(F.struct("content_timestamp", "signal_id")), asc=False).alias("near"))
     lists = cut_lineage(lists.join(names.select(F.col("id").alias("l_id"), F.col("text").alias("name")), "l_id").drop("l_id"))
@@ -516,9 +540,4 @@ def signals_near_edges(
         both = both.join(kinds.select(F.col("no").alias(end), F.col("near").alias(f"near_{end}")), end, "left")
     none = F.array().cast(lists.schema["near"].dataType)
     merged = F.array_union(F.coalesce("near_source", none), F.coalesce("near_target", none))
-    both = both.select("source", "target", F.slice(F.sort_array(merged, asc=False), 1, k).alias("near"))
-    return (
-        pointed.join(both, ["source", "target"])
-        .select("edge_id", F.explode("near").alias("s"))
-        .select("edge_id", "s.signal_id", "s.content_timestamp")
-    )
+    return pointed, both.select("source", "target", F.slice(F.sort_array(merged, asc=False), 1, k).alias("near"))

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from evgraph.functions.bands import band_rank, is_high
 from evgraph.functions.text import strip
 from evgraph.operators.mutate import ALIAS_SCHEMA, Graph, apply_batches
-from evgraph.operators.ordered import top_per_key
-from evgraph.operators.similarity import signals_near_edges
+from evgraph.operators.similarity import near_lists
 from evgraph.plans.changes import named_edges
 from evgraph.session import literal_table, side_by_side
 
@@ -171,13 +170,11 @@ def run_pass(
     """
     chosen = challenge_candidates(edges, nodes, now=now, limit=limit)
     recent = signals.filter(F.col("extracted_at") > F.lit(now - timedelta(days=window_days)))
-    near = signals_near_edges(chosen, recent)
-    # At most ten signals of an edge are named as the trigger.
-    cited = top_per_key(near, ["edge_id"], [F.col("content_timestamp").desc(),
-                                            F.col("signal_id").desc()], 10)
-    cited = cited.groupBy("edge_id").agg(
-        F.array_sort(F.collect_list(F.col("signal_id").cast("string"))).alias("triggered_by")
-    )
+    pointed, lists = near_lists(chosen, recent)
+    near = pointed.join(lists, ["source", "target"]).select("edge_id", F.inline("near")).select("edge_id", "signal_id", "content_timestamp")
+    # At most ten signals of an edge are named as the trigger: the head of its list, which only operations need.
+    cited = lists.select("source", "target", F.array_sort(
+        F.transform(F.slice("near", 1, 10), lambda s: s["signal_id"].cast("string"))).alias("triggered_by"))
     answered = chosen.select("edge_id", "current_weight_band").join(responses, "edge_id", "left")
     failed = F.coalesce("failed", F.col("body").isNull())
     parsed = parse_challenges(answered.filter(~failed))
@@ -185,7 +182,7 @@ def run_pass(
         "edge_id", "current_weight_band", F.lit("error").alias("outcome"),
         F.lit("LLM call failed").alias("reasoning"),
     )
-    ops = challenge_operations(parsed).join(cited, "edge_id", "left").select(
+    ops = challenge_operations(parsed).join(pointed, "edge_id", "left").join(cited, ["source", "target"], "left").select(
         F.concat(F.lit("challenge|"), "edge_id").alias("batch_id"), F.lit(now).alias("batch_time"),
         F.col("pos").cast("long").alias("pos"), "operation", "target_edge_id", "new_weight_band",
         "direction", "signal_id", "reasoning", F.lit("disconfirmation").alias("source"),

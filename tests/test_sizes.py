@@ -187,6 +187,36 @@ def test_names_that_share_their_words_meet_claims_as_one(spark, monkeypatch):
     assert met and max(n for n, whole in met if whole) <= 20
 
 
+def test_claims_are_kept_as_lists_of_the_trigrams_that_names_have(spark, monkeypatch):
+    """A claim's own trigrams are neither shuffled nor written, and triggers of operations are not sorted out of all near signals."""
+    written = []
+    for name in ("cut_lineage", "stored"):
+        real = getattr(similarity, name)
+        monkeypatch.setattr(similarity, name, lambda d, real=real: written.append(d.schema) or real(d))
+    monkeypatch.setattr(similarity, "BROADCAST_TEXTS", 0)
+    edges = spark.range(4).selectExpr("id AS edge_id", "concat('copper ', id) AS source_name", "'none' AS target_name")
+    signals = spark.range(60).selectExpr(
+        "id AS signal_id", "concat('copper among other words ', id) AS claim_text",
+        "timestamp '2024-01-01' + id * interval '1' hour AS content_timestamp")
+    pointed, lists = similarity.near_lists(edges, signals, k=5)
+    assert {len(r["near"]) for r in pointed.join(lists, ["source", "target"]).collect()} == {5}
+    assert not [s for s in written if {"newest", "grams"} <= set(s.fieldNames())]
+    told = [s for s in written if {"newest", "ranked", "size"} <= set(s.fieldNames())]
+    assert told and "string" not in told[0].simpleString()
+
+
+def test_claims_meet_many_tails_by_the_trigrams_of_tails_only(spark, monkeypatch):
+    """With tails that are too many to be broadcast, what is dealt out are the claims' trigrams that some tail has."""
+    monkeypatch.setattr(similarity, "BROADCAST_GRAMS", 40)
+    edges = [(n, f"copper ring {n}", "none") for n in range(30)]
+    start = datetime(2024, 1, 1)
+    signals = [(n, f"copper among a few words {n % 20 + 100}", start + timedelta(hours=n)) for n in range(40)]
+    got = similarity.signals_near_edges(
+        spark.createDataFrame(edges, "edge_id long, source_name string, target_name string"),
+        spark.createDataFrame(signals, "signal_id long, claim_text string, content_timestamp timestamp"), above=0.15, k=7)
+    assert {(r["edge_id"], r["signal_id"]) for r in got.collect()} == _brute_near(edges, signals, 0.15, 7)
+
+
 def test_answers_are_not_parsed_to_filter_the_rows_they_came_from(spark):
     d = spark.range(20).selectExpr("concat('e', id % 5) AS edge_id").distinct().selectExpr(
         "edge_id", "concat('{\"outcome\":\"found\",\"operations\":[{\"operation\":\"update_edge_weight\",\"target_edge_id\":\"', edge_id, '\"}]}') AS body")
