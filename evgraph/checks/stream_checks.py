@@ -49,7 +49,8 @@ def in_files(t, d: DataFrame, time: str | Column, parts: int, span: int = 31) ->
     """``d`` as a stream of several micro-batches, by day of month of ``time`` or a number from 1 to ``span``.
 
     Every micro-batch has the same number of files, which grows with the rows, so no task holds a whole one.
-    Where fewer were written empty files follow, for the source counts files.
+    Rows are dealt over just as many tasks.  Where rows are fewer than files empty ones follow, each by a job of its
+    own, for the source counts files.
     """
     at = f"{home(t)}/input"
     d = d.withColumn("__day", F.dayofmonth(time) if isinstance(time, str) else time)
@@ -59,7 +60,8 @@ def in_files(t, d: DataFrame, time: str | Column, parts: int, span: int = 31) ->
     files = max(1, -(-most // FILE_ROWS))
     schema = d.drop("__day").schema
     for k, w in enumerate(within):
-        d.filter(w).drop("__day").coalesce(files).write.mode("append").parquet(at)
+        part = d.filter(w).drop("__day")
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(at)
         for _ in range((k + 1) * files - len(t.spark.read.schema(schema).parquet(at).inputFiles())):
             t.spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(at)
     return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(at)

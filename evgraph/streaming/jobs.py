@@ -85,13 +85,16 @@ def count_hours(stream: DataFrame, time: str, home: str, keys: list[str] | None
         spark = batch.sparkSession
         batch = batch.withColumn(time, F.col(time).cast("timestamp"))
         before = spark.read.parquet(f"{home}/clock/{number - 1}").first()[0] if number else None
-        newest = batch.agg(F.max(time)).first()[0]
-        clock = max([t for t in (before, newest) if t is not None], default=None)
         mark = F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         flagged = batch.withColumn("late", F.coalesce(F.col(time) < mark, F.lit(False)))
-        flagged.filter("late").drop("late").write.mode("overwrite").parquet(f"{home}/late/batch={number}")
-        hours = flagged.groupBy(*keys, F.date_trunc("hour", time).alias("hour"), "late").agg(F.count(F.lit(1)).alias("n"))
-        hours.write.mode("overwrite").parquet(f"{home}/hours/batch={number}")
+        # Rows are read once for the counts and the newest time, and again only if some are late.
+        hours = cut_lineage(flagged.groupBy(*keys, F.date_trunc("hour", time).alias("hour"), "late").agg(
+            F.count(F.lit(1)).alias("n"), F.max(time).alias("newest")))
+        newest, some_late = hours.agg(F.max("newest"), F.bool_or("late")).first()
+        clock = max([t for t in (before, newest) if t is not None], default=None)
+        late = flagged.filter("late") if some_late else flagged.limit(0)
+        late.drop("late").write.mode("overwrite").parquet(f"{home}/late/batch={number}")
+        hours.drop("newest").write.mode("overwrite").parquet(f"{home}/hours/batch={number}")
         spark.range(1).select(F.lit(clock).cast("timestamp").alias("clock")).write.mode("overwrite").parquet(f"{home}/clock/{number}")
 
     (

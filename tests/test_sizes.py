@@ -15,6 +15,8 @@ from evgraph.checks.registry import QUERIES
 from evgraph.checks.tables import Tables
 from evgraph.operators import components, mutate, quality, similarity, traverse, vectors
 from evgraph.plans import anchoring, calibrate, changes, extract, review, topics
+from evgraph.session import configure
+from evgraph.streaming import jobs
 
 
 def test_streamed_table_may_be_a_folder_of_files(spark, folder):
@@ -98,6 +100,38 @@ def test_micro_batches_span_files_and_stay_apart(spark, folder, monkeypatch):
     assert seen[0][1] == 4
 
 
+def test_rows_of_one_task_are_dealt_over_the_files_of_a_micro_batch(spark, folder, monkeypatch):
+    """Files with rows are as many as the rows ask for, so no empty one has to be written by a job of its own."""
+    monkeypatch.setattr(stream_checks, "FILE_ROWS", 10)
+    d = spark.range(80).selectExpr("id", "1 + id % 2 AS part").coalesce(1)
+    stream = stream_checks.in_files(Tables(spark, folder), d, F.col("part"), 2, span=2)
+    seen = {}
+    stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(
+        lambda rows, k: seen.update({k: (rows.count(), rows.select(F.input_file_name()).distinct().count())})).start().awaitTermination()
+    assert seen == {0: (40, 4), 1: (40, 4)}
+
+
+def test_state_of_streams_is_kept_off_the_heap(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    configure(other)
+    assert other.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
+    assert other.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"
+
+
+def test_hours_and_newest_time_are_read_in_one_pass(spark, folder, monkeypatch):
+    """Four micro-batches, the last one late: rows are read for the counts, and once more where some are late."""
+    passes = []
+    real = jobs.cut_lineage
+    monkeypatch.setattr(jobs, "cut_lineage", lambda d: passes.append(d.columns) or real(d))
+    d = spark.range(40).selectExpr("timestamp '2024-01-10' - CASE WHEN id < 30 THEN 0 ELSE 5 END * interval '1' day AS ts", "1 + floor(id / 10) AS part")
+    stream = stream_checks.in_files(Tables(spark, folder), d, F.col("part"), 4, span=4)
+    got = {(str(r["hour"]), r["late"]): r["n"] for r in jobs.count_hours(stream, "ts", f"{folder}/home").collect()}
+    assert got == {("2024-01-10 00:00:00", False): 30, ("2024-01-05 00:00:00", True): 10}
+    assert passes == [["hour", "late", "n", "newest"]] * 4
+    assert spark.read.parquet(f"{folder}/home/late/batch=*").count() == 10
+
+
 def test_walks_of_the_third_hop_are_told_apart_where_they_are_made(spark, monkeypatch):
     """A complete graph of twelve nodes: every other node is an end, and no walk is dealt anew after its node's ends were added."""
     plans = []
