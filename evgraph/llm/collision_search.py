@@ -5,12 +5,13 @@ the largest norm, and each query is scaled to that norm.  A block of vectors kee
 sorted array per random projection.  A query opens a window around its own projection in
 every array and widens all of them level by level (virtual rehashing: no array is built
 again).  A vector that lies in at least ``SHARE`` of the windows is verified by its exact
-inner product.  The search in a block ends when the radius of the level covers the
+inner product.  What lies in a window is told by each vector's place in the sorted array.  The search in a block ends when the radius of the level covers the
 distance of the last neighbour found, or all vectors of the block are verified.
 
 Equal vectors are one entry that keeps the few smallest ids which could appear in a
 result; equal queries are searched once.  Queries and vectors meet in blocks of bounded
-size, and each block pair returns ``k + 1`` entries a query at most.
+size, a task sorts a block of vectors once for several blocks of queries, and each block
+returns ``k + 1`` entries a query at most.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
 take no part, neither as queries nor as candidates; vectors of another length are
@@ -39,6 +40,10 @@ GROWTH = 1.25
 #: Entries and queries of a block.
 VECTOR_BLOCK = 8_192
 QUERY_BLOCK = 1_024
+#: Blocks of queries that one task has in memory, to meet a block of vectors that is sent and sorted once.
+GROUP_BLOCKS = 8
+#: Above this share of a block, one product over all its rows is cheaper than to gather those that collide.
+GATHERED = 0.2
 
 
 class Block:
@@ -51,8 +56,11 @@ class Block:
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
         lines = self.vectors @ self.axes[:-1] + rest[:, None] * self.axes[-1]
         order = np.argsort(lines, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(order.T.astype(np.int32))
         self.lines = np.ascontiguousarray(np.take_along_axis(lines, order, 0).T)
+        # The place of each entry in each sorted array: a window is a range of places.
+        places = np.empty(order.T.shape, np.min_scalar_type(2 * len(vectors)))
+        np.put_along_axis(places, order.T, np.arange(len(vectors), dtype=places.dtype)[None, :], 1)
+        self.places = places
 
     def search(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(entries, scores) of the ``k`` best verified entries and their ties for each query."""
@@ -60,41 +68,48 @@ class Block:
         norms = np.sqrt((queries**2).sum(1))
         spots = (queries * (self.top / norms)[:, None]) @ self.axes[:-1]
         need = int(np.ceil(SHARE * m))
-        low = np.empty((len(queries), m), np.int64)
-        for j in range(m):
-            low[:, j] = np.searchsorted(self.lines[j], spots[:, j])
-        high = low.copy()
-        counts = np.zeros((len(queries), n), np.uint8)
-        scores = np.full((len(queries), n), -np.inf)
-        active, radius = np.arange(len(queries)), FIRST_RADIUS * self.top
-        done: list = [None] * len(queries)
-        while len(active):
-            reach = HALF_WINDOW * radius
-            new_low, new_high = low.copy(), high.copy()
-            for j in range(m):
-                new_low[active, j] = np.searchsorted(self.lines[j], spots[active, j] - reach, side="left")
-                new_high[active, j] = np.searchsorted(self.lines[j], spots[active, j] + reach, side="right")
-            left = []
-            for q in active.tolist():
-                ring = [self.order[j, a:b] for j in range(m) for a, b in (
-                    (new_low[q, j], low[q, j]), (high[q, j], new_high[q, j])) if a < b]
-                if ring:
-                    counts[q] += np.bincount(np.concatenate(ring), minlength=n).astype(np.uint8)
-                fresh = np.flatnonzero((counts[q] >= need) & np.isneginf(scores[q]))
-                if len(fresh):
-                    scores[q, fresh] = self.vectors[fresh] @ queries[q]
-                found = np.flatnonzero(~np.isneginf(scores[q]))
+        levels = [self._windows(spots, FIRST_RADIUS * self.top)]
+        away, inside = np.empty_like(self.places), np.empty(self.places.shape, bool)
+        done = []
+        for q, query in enumerate(queries):
+            level, products = 0, None
+            while True:
+                if level == len(levels):
+                    levels.append(self._windows(spots, levels[-1][0] * GROWTH))
+                radius, low, wide = levels[level]
+                # Places before a window wrap round to large numbers, so one comparison tells what lies inside.
+                np.subtract(self.places, low[q, :, None], out=away)
+                np.less(away, wide[q, :, None], out=inside)
+                found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= need)
                 if len(found) >= min(k, n):
-                    worst = np.partition(scores[q, found], len(found) - min(k, n))[len(found) - min(k, n)]
+                    if products is None and len(found) > GATHERED * n:
+                        products = self.vectors @ query
+                    scores = self.vectors[found] @ query if products is None else products[found]
+                    worst = np.partition(scores, len(found) - min(k, n))[len(found) - min(k, n)]
                     apart = np.sqrt(max(0.0, 2 * self.top**2 - 2 * self.top * worst / norms[q]))
                     if apart <= radius or len(found) == n:
-                        keep = found[scores[q, found] >= worst]
-                        done[q] = (keep, scores[q, keep])
-                        continue
-                left.append(q)
-            low, high, active, radius = new_low, new_high, np.array(left, np.int64), radius * GROWTH
+                        keep = scores >= worst
+                        done.append((found[keep], scores[keep]))
+                        break
+                level += 1
         return done
 
+    def _windows(self, spots: np.ndarray, radius: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Radius of a level; first place and number of places in the window of each query and projection."""
+        reach = HALF_WINDOW * radius
+        low, wide = np.empty((2, *spots.shape), self.places.dtype)
+        for j, line in enumerate(self.lines):
+            low[:, j] = np.searchsorted(line, spots[:, j] - reach, side="left")
+            wide[:, j] = np.searchsorted(line, spots[:, j] + reach, side="right") - low[:, j]
+        return radius, low, wide
+
+
+def query_groups(n_vectors: int, n_queries: int, tasks: int) -> int:
+    """Groups of queries that meet each block of vectors; few, as each gets a copy of the block, but enough for all ``tasks``."""
+    blocks = max(1, -(-n_vectors // VECTOR_BLOCK))
+    most = max(1, -(-n_queries // QUERY_BLOCK))
+    return max(-(-most // GROUP_BLOCKS), min(most, -(-tasks // blocks)))
+
 
 def usable(vector: Column) -> Column:
     """Whether a vector takes part."""
@@ -115,7 +130,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     asking = cut_lineage(asked.groupBy("h", "v").agg(F.min("id").alias("q")))
     n, n_asking = entries.count(), asking.count()
     top = entries.select(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("m")).first()["m"]
-    n_v, n_q = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-n_asking // QUERY_BLOCK))
+    n_v, n_q = max(1, -(-n // VECTOR_BLOCK)), query_groups(n, n_asking, 4 * vectors.sparkSession.sparkContext.defaultParallelism)
     size = F.size("v").alias("d")
     dealt = entries.select("ids", "v", size, F.pmod(F.xxhash64("h", F.lit(1)), F.lit(n_v)).alias("b"),
                            F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("g"))
@@ -128,16 +143,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         index = Block(np.stack(block["v"].to_numpy()), top)
         ids = block["ids"].to_numpy()
         q, v, s = [], [], []
-        asked_v = np.ascontiguousarray(np.stack(queries["v"].to_numpy()), np.float64)
-        for name, (found, score) in zip(queries["q"].tolist(), index.search(asked_v, k + 1)):
-            hits = [(-float(x), i) for e, x in zip(found.tolist(), score) for i in ids[e].tolist()]
-            hits = sorted(hits)[: k + 1]
-            q += [name] * len(hits)
-            s += [-x for x, _ in hits]
-            v += [i for _, i in hits]
+        for at in range(0, len(queries), QUERY_BLOCK):
+            some = queries.iloc[at : at + QUERY_BLOCK]
+            asked_v = np.ascontiguousarray(np.stack(some["v"].to_numpy()), np.float64)
+            for name, (found, score) in zip(some["q"].tolist(), index.search(asked_v, k + 1)):
+                hits = [(-float(x), i) for e, x in zip(found.tolist(), score) for i in ids[e].tolist()]
+                hits = sorted(hits)[: k + 1]
+                q += [name] * len(hits)
+                s += [-x for x, _ in hits]
+                v += [i for _, i in hits]
         return pd.DataFrame({"q": q, "vec_id": v, "score": s})
 
-    met = calling.groupBy("d", "b", "g").cogroup(dealt.groupBy("d", "b", "g")).applyInPandas(meet, "q long, vec_id long, score double")
+    # Bytes say little about the work of a pair of groups, so the number of tasks follows the pairs.
+    spread = lambda d: d.repartition(2 * n_v * n_q, "d", "b", "g").groupBy("d", "b", "g")
+    met = spread(calling).cogroup(spread(dealt)).applyInPandas(meet, "q long, vec_id long, score double")
     order = [F.col("score").desc(), F.col("vec_id")]
     best = top_per_key(met, ["q"], order, k + 1)
     owners = asked.join(asking.select("h", "v", "q"), ["h", "v"]).select("q", F.col("id").alias("query_id"))

@@ -165,6 +165,28 @@ def test_collision_search(spark, monkeypatch):
     assert collision_search.nearest(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_blocks_are_sent_once_for_many_queries_and_windows_count_as_defined():
+    """Groups of queries are few where blocks are many; a search equals one that counts windows by their definition."""
+    assert collision_search.query_groups(600_000, 30_000, 24) == 4
+    assert collision_search.query_groups(51_300, 2_565, 24) == 3
+    rng = np.random.default_rng(3)
+    vectors, queries, k = rng.normal(size=(300, 12)), rng.normal(size=(25, 12)), 5
+    top = float(np.sqrt((vectors**2).sum(1)).max())
+    block = collision_search.Block(vectors, top)
+    rest = np.sqrt(np.maximum(0.0, top**2 - (vectors**2).sum(1)))
+    lines = vectors @ block.axes[:-1] + rest[:, None] * block.axes[-1]
+    for query, (found, scores) in zip(queries, block.search(queries, k)):
+        norm, radius = np.sqrt((query**2).sum()), collision_search.FIRST_RADIUS * top
+        spot = query * top / norm @ block.axes[:-1]
+        while True:
+            near = np.flatnonzero((np.abs(lines - spot) <= collision_search.HALF_WINDOW * radius).sum(1) >= collision_search.SHARE * 40)
+            best = sorted(vectors[near] @ query)[::-1][:k]
+            if len(near) >= k and (np.sqrt(max(0.0, 2 * top**2 - 2 * top * best[-1] / norm)) <= radius or len(near) == 300):
+                break
+            radius *= collision_search.GROWTH
+        assert len(found) == k and np.allclose(sorted(scores)[::-1], best)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 def test_recall_on_the_given_vectors(spark):
     pdf = spark.read.parquet(f"{FOLDER}/embeddings.parquet").toPandas()
