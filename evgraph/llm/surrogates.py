@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.session import cut_lineage
+from evgraph.session import cut_lineage, stored
 
 #: Kinds by pattern, tried in this order at each place.
 #: An address starts where its letters do, or right behind another entity: an unbroken run is tried once.
@@ -286,7 +286,11 @@ def matches(text: Column) -> Column:
 
 def found_entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """kind, value of every distinct entity of the corpus."""
-    each = docs.select(F.explode(matches(F.col(text))).alias("m")).select(F.explode(entities(F.col("m"))).alias("e"))
+    return _entities_of(docs.select(matches(F.col(text)).alias("found")))
+
+
+def _entities_of(rows: DataFrame) -> DataFrame:
+    each = rows.select(F.explode("found").alias("m")).select(F.explode(entities(F.col("m"))).alias("e"))
     return each.select("e.kind", "e.value").distinct()
 
 
@@ -323,12 +327,15 @@ def redrawn(found: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
 def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with personal data replaced, n_chars to match, and n_entities of each row.
 
-    A column n_entities of the input gives way to the new one.
+    A column n_entities of the input gives way to the new one.  Texts are searched once: rows are written
+    with their matches, of which first the distinct entities and then the surrogates are made.
     """
-    again = redrawn(cut_lineage(found_entities(docs, text)), key)
     names = [c for c in docs.columns if c != "n_entities"]
+    void = {name for name, kind in docs.dtypes if kind == "void"}  # no file can hold these
     # The row travels as one struct, so its column names cannot meet those used here.
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text].alias("old"), matches(docs[text]).alias("found"))
+    rows = stored(docs.select(F.struct(*[docs[c] for c in names if c not in void]).alias("row"), matches(docs[text]).alias("found")))
+    again = redrawn(cut_lineage(_entities_of(rows)), key)
+    rows = rows.withColumn("old", F.col("row").getField(text))
     attempts = None
     if not again.isEmpty():
         # Texts that hold an entity drawn again, by digest: equal texts share one map.
@@ -347,7 +354,7 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> Data
     def column(name: str) -> Column:
         if name == text:
             return F.col("new").alias(name)
-        value = F.col("row").getField(name)
+        value = F.lit(None) if name in void else F.col("row").getField(name)
         if name == "n_chars":
             value = F.when(some, F.length("new").cast(docs.schema[name].dataType)).otherwise(value)
         return value.alias(name)

@@ -165,6 +165,19 @@ def test_collision_search(spark, monkeypatch):
     assert collision_search.nearest(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_texts_are_searched_for_personal_data_once(spark, monkeypatch):
+    """What the surrogates are put into comes from rows that were written with their matches; a column without a type stays."""
+    written = []
+    real = surrogates.stored
+    monkeypatch.setattr(surrogates, "stored", lambda d: written.append(d.columns) or real(d))
+    docs = spark.createDataFrame([(1, "write to anna.smith@mail.org", "x"), (2, "nothing here", None)], "doc_id long, text string, old string").withColumn("none", F.lit(None))
+    got = surrogates.replace_personal_data(docs, "k")
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString() and written == [["row", "found"]]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows[1]["n_entities"] == 1 and "anna" not in rows[1]["text"] and rows[1]["old"] == "x" and rows[1]["none"] is None
+    assert rows[2]["text"] == "nothing here" and got.columns == ["doc_id", "text", "old", "none", "n_entities"]
+
+
 def test_blocks_are_sent_once_for_many_queries_and_windows_count_as_defined():
     """Groups of queries are few where blocks are many; a search equals one that counts windows by their definition."""
     assert collision_search.query_groups(600_000, 30_000, 24) == 4
